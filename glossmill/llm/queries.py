@@ -7,21 +7,88 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm import simhash
+from glossmill.llm import chat, decontam, mixing, quality, simhash, toxicity, warc
+from glossmill.llm.common import scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as ARC archives, converted to WARC files in the shared folder, and read back."""
+    arcs = warc.write_arc(table(spark, sf_dir, "pages"))
+    records = warc.convert_arc(arcs).where("record_type != 'warcinfo'")
+    path = scratch_path(spark, "warc")
+    warc.write_warc(warc.mark_revisits(records), path)
+    back = warc.read_warc(spark, path)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target", "date")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document by a factorization machine fitted on rows that are not held out."""
+    docs, labels = (table(spark, sf_dir, x) for x in ("documents", "labels"))
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, labels))
+    return scored.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document, the base rules, and the weakly supervised verdict."""
+    judged, _ = quality.judge(table(spark, sf_dir, "documents"))
+    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return judged.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        base.alias("base_failed"),
+        (~base & F.col("good")).alias("kept"),
+        "posterior",
+    )
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     groups = simhash.near_duplicate_groups(table(spark, sf_dir, "documents"), width=3)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all sources takes from every document."""
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, max_epochs=2)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that says control strings, formatted and read back from the output."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    planted = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    back = chat.read_back(chat.format_conversations(turns.unionByName(planted)))
+    return back.withColumn("valid", F.col("error").isNull()).drop("error")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie inside windows of benchmark items."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.find_benchmark(docs, table(spark, sf_dir, "benchmark"), window=10)
+    return found.select(
+        "doc_id",
+        "found.n_words",
+        "found.n_hit",
+        F.size("found.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"),
+        (F.col("found.n_hit") > 0).alias("contaminated"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_simhash,)}
+    every = (op1_warc, op3_toxicity, op4_quality, op6_simhash, op8_mixing, op9_chat, op10_decontamination)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
