@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm import chat, decontam, mixing, quality, simhash, toxicity, warc
+from glossmill.llm import chat, decontam, licenses, linededup, mixing, quality, simhash, toxicity, urlfilter, warc
 from glossmill.llm.common import scratch_path
 
 
@@ -25,6 +25,69 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target", "date")
 
 
+#: Rules of op2: a host with the beginning of a path, and what it says.
+URL_RULES = [
+    ("com/en/", "block"),
+    ("example.com/en/7", "allow"),
+    ("net/de/", "block"),
+    ("example.net/de/8", "block"),
+    ("org/es/", "block"),
+]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url, from rules and from the aliases of the url."""
+    rules = spark.createDataFrame(URL_RULES, "rule string, action string")
+    return urlfilter.judge_urls(table(spark, sf_dir, "pages"), rules).drop("component")
+
+
+OP2_SQL = r"""
+WITH RECURSIVE rules(rule, action) AS (
+  VALUES ('com/en/', 'block'), ('example.com/en/7', 'allow'), ('net/de/', 'block'), ('example.net/de/8', 'block'), ('org/es/', 'block')
+), p AS (
+  SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1)) AS host,
+         regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1) AS path,
+         regexp_extract(coalesce(url, ''), '^.*?://[^?#]*(\?[^#]*)', 1) AS query, html
+  FROM pages
+), links AS (
+  SELECT host || path || query AS node, unnest(list_concat(
+    [regexp_extract(x, '(?is)href\s*=\s*["'']?([^"''>\s]+)', 1)
+     for x in regexp_extract_all(html, '(?is)<link\b[^>]*>') if regexp_matches(x, '(?i)rel\s*=\s*["'']?canonical')],
+    [regexp_extract(x, '(?is)url\s*=\s*["'']?([^"''>\s]+)', 1)
+     for x in regexp_extract_all(html, '(?is)<meta\b[^>]*>') if regexp_matches(x, '(?i)http-equiv\s*=\s*["'']?refresh')])) AS target
+  FROM p WHERE host <> ''
+), edges AS (
+  SELECT host || path || query AS a, regexp_replace(regexp_replace(
+      regexp_replace(host || path || regexp_replace(query, '([?&])(utm_[^&=]*|ref)=[^&]*(&|$)', '\1', 'g'), '[?&]+$', ''),
+      '(\.html|/)$', ''), '(\.html|/)\?', '?') AS b
+  FROM p WHERE host <> ''
+  UNION
+  SELECT node, lower(regexp_extract(target, '^.*?://([^/?#]*)', 1)) || regexp_extract(target, '^.*?://[^/?#]*([^#]*)', 1)
+  FROM links WHERE contains(target, '://')
+), both_ways AS (
+  SELECT a, b FROM edges UNION SELECT b, a FROM edges
+), reach AS (
+  SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a
+), places AS (
+  SELECT DISTINCT host, path FROM p
+  UNION SELECT DISTINCT regexp_extract(b, '^[^/?#]*'), regexp_extract(b, '^[^/?#]*([^?#]*)', 1) FROM reach
+), decided AS (
+  SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(action, length(rule)) AS action
+  FROM places JOIN rules
+    ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1)))
+   AND starts_with(path, substr(rule, strpos(rule, '/')))
+  GROUP BY host, path
+), said AS (
+  SELECT r.a AS node, bool_or(d.action = 'allow') AS allows
+  FROM reach r JOIN decided d ON d.host = regexp_extract(r.b, '^[^/?#]*') AND d.path = regexp_extract(r.b, '^[^/?#]*([^?#]*)', 1)
+  GROUP BY r.a
+)
+SELECT p.page_id, p.host, p.path, d.rule,
+       coalesce(d.action, CASE WHEN s.allows THEN 'allow' WHEN NOT s.allows THEN 'block' END, 'allow') AS verdict
+FROM p LEFT JOIN decided d USING (host, path) LEFT JOIN said s ON s.node = p.host || p.path || p.query
+"""
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document by a factorization machine fitted on rows that are not held out."""
     docs, labels = (table(spark, sf_dir, x) for x in ("documents", "labels"))
@@ -51,12 +114,93 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the line runs of at least 50 words that copy an earlier run."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.drop_copied_runs(docs, min_words=50, report=True)
+
+
+OP5_SQL = """
+WITH raw AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS line
+  FROM documents
+), lines AS (
+  SELECT doc_id, s, line, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS o,
+         len(regexp_extract_all(s, '[^ \\t-\\r]+')) AS w
+  FROM raw WHERE regexp_matches(s, '[^ \\t-\\r]')
+), seqs AS (
+  SELECT doc_id, list(s ORDER BY o) AS ss, list(w ORDER BY o) AS ws, list(line ORDER BY o) AS ls FROM lines GROUP BY doc_id
+), spans AS (
+  SELECT doc_id, o, m, ss[o:o + m - 1] AS run, ls[o] AS a, ls[o + m - 1] AS b,
+         list_sum(ws[o:o + m - 1]) AS total, ws[o] AS head, ws[o + m - 1] AS tail
+  FROM (SELECT *, unnest(range(1, len(ss) + 1)) AS o FROM seqs) t, range(1, 51) r(m)
+  WHERE o + m - 1 <= len(ss)
+), tight AS (
+  SELECT * FROM spans WHERE total >= 50 AND (total - head < 50 OR total - tail < 50)
+), firsts AS (
+  SELECT *, min(struct_pack(d := doc_id, o := o)) OVER (PARTITION BY run) AS f FROM tight
+), cuts AS (
+  SELECT doc_id, a, b FROM firsts WHERE struct_pack(d := doc_id, o := o) > f AND NOT (doc_id = f.d AND o < f.o + m)
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS line FROM cuts
+), kept AS (
+  SELECT r.doc_id, string_agg(r.s, chr(10) ORDER BY r.line) AS text
+  FROM raw r LEFT JOIN gone g ON r.doc_id = g.doc_id AND r.line = g.line WHERE g.line IS NULL GROUP BY r.doc_id
+), counted AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(g.line) AS n_deleted
+  FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.line = g.line GROUP BY l.doc_id
+)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
+       coalesce(c.n_lines, 0) AS n_lines, coalesce(c.n_deleted, 0) AS n_deleted
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id LEFT JOIN counted c ON d.doc_id = c.doc_id
+"""
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     groups = simhash.near_duplicate_groups(table(spark, sf_dir, "documents"), width=3)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in all documents."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+OP7_SQL = f"""
+WITH templates(license, words) AS (
+  SELECT license, regexp_extract_all(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')
+  FROM (VALUES {", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in licenses.TEMPLATES)}) v(license, body)
+), grams AS (
+  SELECT license, list_distinct([words[i] || ' ' || words[i + 1] for i in range(1, len(words))]) AS g FROM templates
+), raw AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line
+  FROM documents
+), lines AS (
+  SELECT doc_id, line, regexp_extract_all(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words
+  FROM raw
+), parts AS (
+  SELECT *, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS part FROM lines WHERE len(words) > 0
+), units AS (
+  SELECT doc_id, line AS line_from, line AS line_to, words FROM parts
+  UNION ALL
+  SELECT doc_id, min(line), max(line), flatten(list(words ORDER BY line)) FROM parts GROUP BY doc_id, part HAVING count(*) > 1
+), sized AS (
+  SELECT doc_id, line_from, line_to, list_distinct([words[i] || ' ' || words[i + 1] for i in range(1, len(words))]) AS u
+  FROM units WHERE len(words) > 1
+), scored AS (
+  SELECT doc_id, license, line_from, line_to, 2.0::DOUBLE * len(list_intersect(u, g)) / (len(u) + len(g)) AS dice
+  FROM sized JOIN grams ON len(g) >= 0.6 * len(u) AND len(u) >= 0.6 * len(g)
+)
+SELECT doc_id, license, dice, line_from, line_to FROM scored WHERE dice >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, line_from, line_to ORDER BY dice DESC, license) = 1
+"""
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all sources takes from every document."""
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, max_epochs=2)
@@ -87,9 +231,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_warc, op3_toxicity, op4_quality, op6_simhash, op8_mixing, op9_chat, op10_decontamination)
+    every = (op1_warc, op2_url_filter, op3_toxicity, op4_quality, op5_line_dedup, op6_simhash, op7_licenses, op8_mixing, op9_chat, op10_decontamination)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_url_filter": OP2_SQL, "op5_line_dedup": OP5_SQL, "op7_licenses": OP7_SQL}
