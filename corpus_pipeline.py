@@ -4,16 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossmill.llm import simhash
+from glossmill.llm import decontam, linededup, mixing, simhash, toxicity
 from glossmill.llm.common import scratch_path
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.3 or more go."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3)
+
+
+def drop_copied_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Line runs of at least 50 words that copy an earlier run go, and documents of which nothing is left."""
+    return linededup.drop_copied_runs(docs, min_words=50)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, the one with the smallest doc_id."""
     return simhash.drop_near_duplicates(docs, width=5)
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold ten words in a row of a benchmark item go."""
+    return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
+    return mixing.mix_sources(docs, weights=(5, 2, 1), share=1.5, max_epochs=2)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_copied_lines),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix),
+]
 
 #: The classifier and the fingerprints are not expressible in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
