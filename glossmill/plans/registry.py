@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Modules of this package that register queries.
+MODULES = ["q_eval", "q_profiles"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
@@ -26,13 +30,20 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"glossmill.plans.{name}")
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _QUERIES["eval_summary"](spark, sf_dir)
+    return queries()["eval_summary"](spark, sf_dir)
