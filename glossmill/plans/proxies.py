@@ -121,7 +121,7 @@ annotations AS (
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(video_id, annotation_id, text, start_ms, end_ms)``."""
-    start = F.unix_millis("ts")
+    start = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
     return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("video_id"),
         F.col("event_id").alias("annotation_id"),

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package that register queries.
-MODULES = ["q_eval", "q_profiles"]
+MODULES = ["q_eval", "q_profiles", "q_splits", "q_segments"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
