@@ -9,14 +9,17 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
-FRAMES = Window.partitionBy("clip_id").orderBy("frame_idx")
+
+def in_order() -> WindowSpec:
+    """The frames of a clip in order."""
+    return Window.partitionBy("clip_id").orderBy("frame_idx")
 
 
 def velocity(frames: DataFrame) -> DataFrame:
     """Mean displacement of the points ``kp`` since the frame before, 0 for the first."""
-    before = F.lag("kp").over(FRAMES)
+    before = F.lag("kp").over(in_order())
     square = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
     moved = F.zip_with("kp", before, lambda a, b: F.sqrt(square(a, b)))
     mean = F.aggregate(moved, F.lit(0.0), lambda s, x: s + x) / F.size("kp")
@@ -26,7 +29,7 @@ def velocity(frames: DataFrame) -> DataFrame:
 def smooth(frames: DataFrame, w: int = 5) -> DataFrame:
     """Centred moving sum over ``w`` frames divided by ``w``: zeros count beyond the ends."""
     low = -(w // 2)
-    return frames.withColumn("smooth", F.sum("v").over(FRAMES.rowsBetween(low, low + w - 1)) / w)
+    return frames.withColumn("smooth", F.sum("v").over(in_order().rowsBetween(low, low + w - 1)) / w)
 
 
 def motion_threshold(frames: DataFrame, value: str = "smooth") -> DataFrame:
@@ -44,8 +47,8 @@ def motion_segments(moving: DataFrame, least: int = 2, most: int = 60, rest: int
     of a clip); then it is padded and clamped. Gaps and islands: one lag and one running sum.
     """
     active = moving.where("moves")
-    gap = F.col("frame_idx") - F.lag("frame_idx").over(FRAMES) - 1
-    active = active.withColumn("island", F.sum((F.coalesce(gap, F.lit(0)) >= rest).cast("int")).over(FRAMES))
+    gap = F.col("frame_idx") - F.lag("frame_idx").over(in_order()) - 1
+    active = active.withColumn("island", F.sum((F.coalesce(gap, F.lit(0)) >= rest).cast("int")).over(in_order()))
     runs = active.groupBy("clip_id", "island").agg(F.min("frame_idx").alias("a"), F.max("frame_idx").alias("b"), F.first("n_frames").alias("n_frames"))
     last = F.max("island").over(Window.partitionBy("clip_id"))
     length = F.col("b") - F.col("a")
@@ -66,12 +69,12 @@ def longest_region(segments: DataFrame) -> DataFrame:
 
 
 def rolling_peak(frames: DataFrame, n: int = 5) -> DataFrame:
-    return frames.withColumn("peak", F.max("v").over(FRAMES.rowsBetween(1 - n, 0)))
+    return frames.withColumn("peak", F.max("v").over(in_order().rowsBetween(1 - n, 0)))
 
 
 def most_active_window(frames: DataFrame, n: int = 50) -> DataFrame:
     """Start of the window of ``n`` frames with the largest motion; the first of equals; short clips start at 0."""
-    total = frames.withColumn("s", F.sum("v").over(FRAMES.rowsBetween(0, n - 1))).withColumn("n", F.count("*").over(Window.partitionBy("clip_id")))
+    total = frames.withColumn("s", F.sum("v").over(in_order().rowsBetween(0, n - 1))).withColumn("n", F.count("*").over(Window.partitionBy("clip_id")))
     whole = total.where((F.col("frame_idx") + n <= F.col("n")) | (F.col("frame_idx") == 0))
     best = F.max_by(F.struct("frame_idx", "s"), F.struct(F.round("s", 9), -F.col("frame_idx")))
     return whole.groupBy("clip_id").agg(best.alias("b")).select("clip_id", F.col("b.frame_idx").alias("start_frame"), F.col("b.s").alias("motion"))
@@ -223,7 +226,7 @@ def valleys(frames: DataFrame, w: int = 5, share: float = 0.2, apart: int = 5) -
 
     Candidates are found with one window; only they go through the step that depends on the cut before.
     """
-    near = FRAMES.rowsBetween(-w, w)
+    near = in_order().rowsBetween(-w, w)
     low = frames.withColumn("low", F.min("v").over(near)).withColumn("high", F.max("v").over(near))
     found = low.where((F.col("v") == F.col("low")) & (F.col("v") < share * F.col("high"))).select("clip_id", "frame_idx")
 

@@ -113,7 +113,7 @@ def motion(spark: SparkSession, sf_dir: str) -> DataFrame:
 INTERVALS_SQL = """
 annotations AS (
   SELECT user_id AS video_id, event_id AS annotation_id, event_type AS text,
-         epoch_ms(ts) AS start_ms, epoch_ms(ts) + CAST(floor(value * 100000) AS BIGINT) AS end_ms
+         epoch_us(ts) // 1000 AS start_ms, epoch_us(ts) // 1000 + CAST(floor(value * 100000) AS BIGINT) AS end_ms
   FROM events
 )
 """
