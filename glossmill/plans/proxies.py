@@ -67,8 +67,8 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
 ENTRIES_SQL = """
 entries AS (
   SELECT u.conv_id * 1000 + u.turn AS entry_id, u.text AS reference, a.text AS output, (u.conv_id * 7 + u.turn) % 101 AS plausibility,
-         [x for x in regexp_split_to_array(trim(upper(u.text)), '\\s+') if x <> ''] AS glosses,
-         [x for x in regexp_split_to_array(trim(upper(a.text)), '\\s+') if x <> ''] AS predicted
+         [x for x in regexp_split_to_array(trim(lower(u.text)), '\\s+') if x <> ''] AS glosses,
+         [x for x in regexp_split_to_array(trim(lower(a.text)), '\\s+') if x <> ''] AS predicted
   FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
   WHERE u.role = 'user' AND a.role = 'assistant'
 )
@@ -87,8 +87,8 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         "reference",
         "output",
         ((F.col("conv_id") * 7 + F.col("turn")) % 101).alias("plausibility"),
-        words(F.upper("reference")).alias("glosses"),
-        words(F.upper("output")).alias("predicted"),
+        words(F.lower("reference")).alias("glosses"),
+        words(F.lower("output")).alias("predicted"),
     )
 
 
