@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,3 +51,53 @@ def caption_trigger(gloss: Column, n: Column, since_word: Column, since_call: Co
         .when(word.isin(*ends), "end")
         .when(since_call > 10, "timeout")
     )
+
+
+def compare_versions(entries: DataFrame) -> DataFrame:
+    """Two versions of a score on the same pairs: effect size of each, their rank correlation, and disagreements.
+
+    ``entries(entry_id, a_base, a_model, b_base, b_model)``; a disagreement is an entry that one version sees improve and
+    the other does not.
+    """
+    from glossmill.operators.statistics import average_rank
+
+    da, db = F.col("a_model") - F.col("a_base"), F.col("b_model") - F.col("b_base")
+    sizes = entries.agg(
+        F.count("*").alias("n"), (F.avg(da) / F.stddev_samp(da)).alias("d_a"), (F.avg(db) / F.stddev_samp(db)).alias("d_b"),
+        F.count_if((da > 0) != (db > 0)).alias("disagreements"),
+    )
+    ranked = average_rank(average_rank(entries.select("entry_id", "a_model", "b_model"), "a_model", [], "ra"), "b_model", [], "rb")
+    return sizes.join(F.broadcast(ranked.agg(F.corr("ra", "rb").alias("rank_correlation"))))
+
+
+def union_glosses(*lists: DataFrame) -> DataFrame:
+    """Distinct classes of several lists, sorted."""
+    out = lists[0].select("gloss")
+    for other in lists[1:]:
+        out = out.unionByName(other.select("gloss"))
+    return out.distinct().orderBy("gloss")
+
+
+def shared_glosses(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.select("gloss").intersect(b.select("gloss"))
+
+
+def average_features_mixed(features: DataFrame, by: str) -> DataFrame:
+    """Mean of each number and commonest value (the smaller of equals) of anything else, for each class."""
+    numbers = ("double", "float", "bigint", "int")
+    aggs = [F.avg(c).alias(c) if kind in numbers else F.mode(c, True).alias(c) for c, kind in features.dtypes if c != by]
+    return features.groupBy(by).agg(*aggs)
+
+
+def predict(clips: DataFrame, model: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Scores of a user's model for each row of ``clips(clip_id, clip)``: ``(clip_id, scores)``.
+
+    The model gets one clip of shape (frames, points, coordinates) at a time and returns a score for each class.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            scores = [np.asarray(model(np.array([[np.asarray(p, float) for p in frame] for frame in clip])), float).tolist() for clip in pdf["clip"]]
+            yield pd.DataFrame({"clip_id": pdf["clip_id"], "scores": scores})
+
+    return clips.select("clip_id", "clip").mapInPandas(run, f"clip_id {dict(clips.dtypes)['clip_id']}, scores array<double>")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from glossmill.functions import distributions as D
 from glossmill.functions import geometry as G
 from glossmill.functions import text as T
+from glossmill.functions.bleu import sentence_bleu
 from glossmill.operators import evalreport, segments, splits, statistics, vocab
 from glossmill.operators import landmarks as L
 from glossmill.plans import proxies as P
@@ -55,6 +56,16 @@ def test_answers(spark):
     assert one(spark, w=T.wrap_text(F.lit("aaa bb cccc d"), 6)).w == "aaa bb\ncccc d"
 
 
+def test_bleu():
+    same = "the man walks before the dance".split()
+    assert sentence_bleu(same, same) == pytest.approx(100)
+    assert sentence_bleu([], same) == 0 and sentence_bleu("x y".split(), same) == 0
+    half = sentence_bleu("the man eats".split(), "the man walks".split())
+    assert half == pytest.approx(100 * (2 / 3 * 1 / 2 * 1 / 2) ** (1 / 3))
+    short = sentence_bleu("the man".split(), "the man walks".split())
+    assert short == pytest.approx(100 * math.exp(1 - 3 / 2))
+
+
 def test_user_scorer(spark):
     score = evalreport.scorer(lambda s: s.str.len().where(s.str.len() > 3), lambda s: s.str.len() * 0.0)
     rows = spark.createDataFrame([("abcd",), ("ab",)], "s string").select(score(F.col("s")).alias("x")).collect()
