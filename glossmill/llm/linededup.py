@@ -163,7 +163,8 @@ def copied_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
     runs = runs.select(*_DOC, F.explode("both").alias("run")).select(*_DOC, "run.*").where("m > 0")
     runs = cut(runs.withColumn("at", F.struct(F.col("doc_id").isNull().alias("none"), *_DOC, "o")), "runs")
     first = runs.groupBy("m", "x", "y").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first != last")
-    copies = runs.join(first.drop("last"), ["m", "x", "y"])
+    first = cut(first.drop("last"), "firsts")  # an aggregate right under the join would keep AQE from splitting it
+    copies = runs.join(first, ["m", "x", "y"])
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tk") == F.col("first.tk"))
     copies = copies.where((F.col("at") > F.col("first")) & ~(same & (F.col("o") < F.col("first.o") + F.col("m"))))
 
