@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossmill.llm.common import cut
+
 #: Bytes of blocks, and records, after which a new ARC archive is begun; the limits bound what a task holds at once.
 ARCHIVE_BYTES, ARCHIVE_RECORDS = 8 << 20, 500
 #: Equal payloads shorter than this are all kept in full.
@@ -169,6 +171,7 @@ def mark_revisits(records: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
         .agg(F.min(first).alias("first"), F.count("*").alias("n"))
         .where("n > 1")
     )
+    twice = cut(twice, "repeated-payloads")  # an aggregate right under the join would keep AQE from splitting it
     again = (F.col("record_type") == "response") & F.col("d").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
     out = records.join(twice, F.col("digest") == F.col("d"), "left").withColumn("again", again)
     return out.select(
