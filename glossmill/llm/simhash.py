@@ -140,12 +140,14 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     """
     groups = near_duplicate_groups(docs, width)
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    # Equal keys of one group meet again below, so a group needs only its first key.
+    # Rows with one key are copies and meet again below, so a group needs only its first key.
     keep = groups.groupBy(F.coalesce("component_id", F.col("fp")).alias("a"), F.col("component_id").isNull().alias("b"))
-    keep = keep.agg(F.min(first).alias("k")).select(F.col("k.doc_id").alias("_k_id"), F.col("k.text_key").alias("_k_text"))
-    rows = docs.withColumn("_k_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = rows.join(
-        keep.hint("shuffle_hash"), rows["doc_id"].eqNullSafe(keep["_k_id"]) & (rows["_k_hash"] == keep["_k_text"]), "left_semi"
-    )
-    once = Window.partitionBy("doc_id", "_k_hash").orderBy(F.lit(0))
-    return kept.withColumn("_k_n", F.row_number().over(once)).where("_k_n = 1").drop("_k_n", "_k_hash")
+    keep = keep.agg(F.min(first).alias("k")).select(_row_key(F.col("k.doc_id"), F.col("k.text_key")).alias("_key"))
+    rows = docs.withColumn("_key", _row_key(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit("")))))
+    kept = rows.join(keep.hint("shuffle_hash"), "_key", "left_semi")
+    once = Window.partitionBy("_key").orderBy(F.lit(0))  # by the key of the join, so the rows are not moved again
+    return kept.withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_n", "_key")
+
+
+def _row_key(doc_id: Column, text_key: Column) -> Column:
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), text_key.cast("string"))
