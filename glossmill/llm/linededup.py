@@ -51,21 +51,27 @@ def line_table(docs: DataFrame) -> DataFrame:
     )
 
 
+def _sum_before(rows: DataFrame, by: list[str], order: list[str], place: Column, name: str) -> DataFrame:
+    """``rows`` with the sum of ``n`` over the rows before each, inside ``by`` and in ``order``.
+
+    ``place`` cuts the order into slices. The sum is taken inside a slice, and shifted by the totals of the slices before.
+    """
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("slice", place)
+    shift = rows.groupBy(*by, "slice").agg(F.sum("n").alias("s"))
+    shift = shift.select(*by, "slice", F.coalesce(F.sum("s").over(before.partitionBy(*by).orderBy("slice")), F.lit(0)).alias("shift"))
+    ahead = F.coalesce(F.sum("n").over(before.partitionBy(*by, "slice").orderBy(*order)), F.lit(0))
+    out = rows.withColumn("ahead", ahead).join(shift if by else F.broadcast(shift), [*by, "slice"])
+    return out.withColumn(name, F.col("shift") + F.col("ahead")).drop("slice", "shift", "ahead")
+
+
 def _first_ranks(counts: DataFrame) -> DataFrame:
     """``counts(h, h2, n)`` with the rank ``r0`` of each line: 1 and all occurrences of smaller lines.
 
-    The running sum is taken in slices of the hash's range, which the totals of the slices then shift.
+    The hash's range is cut into 4,096 slices.
     """
-    counts = counts.withColumn("slice", F.shiftright("h", 52))
-    below = Window.rowsBetween(Window.unboundedPreceding, -1)
-    shift = counts.groupBy("slice").agg(F.sum("n").alias("s"))
-    shift = shift.withColumn("shift", F.coalesce(F.sum("s").over(below.orderBy("slice")), F.lit(0)))
-    ahead = F.coalesce(F.sum("n").over(below.partitionBy("slice").orderBy("h", "h2")), F.lit(0))
-    return (
-        counts.withColumn("ahead", ahead)
-        .join(F.broadcast(shift.select("slice", "shift")), "slice")  # at most 4,096 slices
-        .select("h", "h2", (1 + F.col("shift") + F.col("ahead")).alias("r0"))
-    )
+    ranked = _sum_before(counts, [], ["h", "h2"], F.shiftright("h", 52), "below")
+    return ranked.select("h", "h2", (1 + F.col("below")).alias("r0"))
 
 
 def _stretches(lines: DataFrame, min_words: int) -> DataFrame:
@@ -96,19 +102,24 @@ def _frames(min_words: int):
     return part.orderBy("p").rangeBetween(0, min_words - 1), part.orderBy("c").rangeBetween(1 - min_words, 0)
 
 
-def _double(rows: DataFrame, k: int) -> DataFrame:
-    """Ranks by ``2 ** (k + 1)`` lines, ``r{k+1}``, from those by ``2 ** k``.
+#: Slices into which the continuations of one rank are cut.
+_SLICES = 256
+
+
+def _double(rows: DataFrame, k: int, top: int) -> DataFrame:
+    """Ranks by ``2 ** (k + 1)`` lines, ``r{k+1}``, from those by ``2 ** k``; ``top`` is the greatest rank.
 
     The distinct pairs of ranks are counted first and ordered inside the rank they refine, so a rank that many suffixes
-    share costs as many rows there as it has different continuations. Stretches without runs of so many lines keep out.
+    share costs as many rows there as it has different continuations, and these are cut into slices. Stretches without
+    runs of so many lines keep out.
     """
     old, new, deep = f"r{k}", f"r{k + 1}", 2 ** (k + 1)
     step = Window.partitionBy(*_DOC, "part").orderBy("o")
     active = rows.where(F.col("deepest") >= deep).withColumn("then", F.coalesce(F.lead(old, 2**k).over(step), F.lit(0)))
     active = cut(active, "pairs")
-    smaller = Window.partitionBy(old).orderBy("then").rowsBetween(Window.unboundedPreceding, -1)
     pairs = active.groupBy(old, "then").agg(F.count("*").alias("n"))
-    pairs = pairs.select(old, "then", (F.col(old) + F.coalesce(F.sum("n").over(smaller), F.lit(0))).alias(new))
+    pairs = _sum_before(pairs, [old], ["then"], F.floor(F.col("then") * (_SLICES / (top + 1))), "below")
+    pairs = pairs.select(old, "then", (F.col(old) + F.col("below")).alias(new))
     idle = rows.where(F.col("deepest") < deep).withColumn(new, F.lit(None).cast("long"))
     return active.join(pairs, [old, "then"]).drop("then").unionByName(idle)
 
@@ -127,10 +138,10 @@ def copied_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
     deepest = F.max(F.greatest("ls", "le")).over(Window.partitionBy(*_DOC, "part"))
     rows = cut(rows.withColumn("deepest", deepest), "stretches")
     release(lines)
-    longest = rows.agg(F.max("deepest")).first()[0] or 1
-    levels = int(math.log2(longest))
+    longest, top = rows.agg(F.max("deepest"), F.max("r0")).first()
+    levels = int(math.log2(longest or 1))
     for k in range(levels):
-        after = cut(_double(rows, k), "ranks")
+        after = cut(_double(rows, k, top), "ranks")
         release(rows)
         rows = after
 
