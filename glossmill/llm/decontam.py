@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import cut
+from glossmill.llm.common import bounded_batches, cut
 
 #: Characters of benchmark text in one automaton (its windows overlap, so it holds about ten times as many). A larger
 #: benchmark is scanned for in blocks, each of which is broadcast and built in turn.
@@ -103,6 +103,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, bloc
     chars = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
     spark = docs.sparkSession
+    bounded_batches(spark)
     out = docs
     for block in range(blocks):
         rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossmill.llm.common import bounded_batches
+
 # Names of licences and the wording of their notices.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -126,4 +128,5 @@ def scan_licenses(
     def hits(text: Column) -> Column:
         return run(text.cast("binary"))
 
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", F.explode(hits(F.col("text"))).alias("hit")).select("doc_id", "hit.*")

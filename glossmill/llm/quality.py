@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import cut
+from glossmill.llm.common import bounded_batches, cut
 
 _COUNTS = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, "
@@ -158,6 +158,7 @@ def judge(docs: DataFrame, threshold: float = 0.5, rules: dict[str, str] = RULES
     all that reaches the driver. Returns ``doc_id``, the counts, a column ``vote_<rule>`` for each rule, ``posterior``
     and ``good`` (posterior at or above ``threshold``). Null, empty and repeated texts are rows like any other.
     """
+    bounded_batches(docs.sparkSession)
     votes = [f"vote_{name}" for name in rules]
     counted = docs.select("doc_id", text_counts(F.col("text")).alias("c")).select("doc_id", "c.*")
     counted = counted.withColumn("w", F.greatest("n_words", F.lit(1)))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from glossmill.llm.common import connected_components, cut
+from glossmill.llm.common import bounded_batches, connected_components, cut
 
 #: Members of a candidate bucket up to which its pairs are compared one by one; larger ones take the exact other way.
 SMALL_BUCKET = 48
@@ -114,6 +114,7 @@ def near_duplicate_groups(docs: DataFrame, width: int) -> DataFrame:
     null). Repeated rows all come back. Equal fingerprints meet before anything is linked, so a large group of exact
     copies is one node.
     """
+    bounded_batches(docs.sparkSession)
     marked = cut(
         docs.select(
             "doc_id",

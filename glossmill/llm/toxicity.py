@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import cut
+from glossmill.llm.common import bounded_batches, cut
 
 #: Labelled rows the machine is fitted on, at most so many of each class (those with the smallest hash of their id).
 SAMPLE_ROWS = 12_000
@@ -24,7 +24,7 @@ BUCKETS, TERMS = 1 << 20, 4_096
 #: Least likelihood-ratio statistic between a bucket and the label for it to become a term.
 LEAST_G = 18.0
 _PREFIXES = (4, 5, 6)
-_MEMO = 400_000
+_MEMO = 200_000
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
 
@@ -137,6 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Factoriz
 
     Which hash buckets become terms is decided by their association with the label over the sample, counted in Spark.
     """
+    bounded_batches(docs.sparkSession)
     rows = cut(labelled_sample(docs, labels, most), "labelled")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,6 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Factoriz
 
 def score(docs: DataFrame, model: FactorizationMachine, name: str = "score") -> DataFrame:
     """``docs`` with the probability that its whole text is toxic. Null and empty texts have the prior's."""
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((model.slot, model.bias, model.weights, model.factors))
 
     @F.pandas_udf("double")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import cut
+from glossmill.llm.common import bounded_batches, cut
 
 #: Bytes of blocks, and records, after which a new ARC archive is begun; the limits bound what a task holds at once.
 ARCHIVE_BYTES, ARCHIVE_RECORDS = 8 << 20, 500
@@ -77,6 +77,7 @@ def write_arc(pages: DataFrame, date: str = "20080430000000") -> DataFrame:
         if pieces:
             yield pd.DataFrame({"version": [version], "content": [b"".join(pieces)]})
 
+    bounded_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", F.col("html").cast("binary").alias("html"))
     return rows.mapInPandas(run, "version int, content binary")
 
