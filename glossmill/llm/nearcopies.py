@@ -1,0 +1,163 @@
+"""Near-duplicate removal by the Jaccard similarity of word shingles: MinHash bands find candidates, exact sets verify them.
+
+A text is the set of its shingles. Of 128 minima under random permutations, four in a row make a band; texts that
+share a band are candidates. A pair of similarity 0.8 shares none of the 32 bands in 5 of 10 ** 8 cases, and more alike
+pairs more rarely. Every candidate pair that can change a group is verified on the whole sets, so no pair below the
+limit is linked.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from glossmill.llm.common import bounded_batches, connected_components, cut, release
+from glossmill.llm.simhash import keep_first, name_groups, row_key
+
+#: Members of a bucket up to which all pairs are verified at once; larger ones are first cut into slices of ``SLICE``.
+SMALL_BUCKET, SLICE = 16, 4
+BANDS, ROWS = 32, 4
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_CHUNK = 1 << 10
+_DRAW = np.random.default_rng(42)
+_TIMES = _DRAW.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32) | np.uint32(1)
+_PLUS = _DRAW.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32)
+_MIX = _DRAW.integers(0, 1 << 63, (3, BANDS), dtype=np.uint64) | np.uint64(1)
+
+
+def shingles_of(text: bytes | None, width: int) -> np.ndarray:
+    """Sorted hashes of the different word shingles of a UTF-8 text, A-Z lower-cased.
+
+    A text with fewer words than ``width`` is one shingle; one without words has none.
+    """
+    words = (text or b"").translate(_LOWER).split()
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    if n <= width:
+        return np.array([digest(joined, 42)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    cuts = zip(starts[: n - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
+    return np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in cuts), np.uint64, n - width + 1))
+
+
+def bands_of(shingles: np.ndarray) -> np.ndarray:
+    """Keys of the bands of a set of shingles; the empty set has none."""
+    if not len(shingles):
+        return np.zeros(0, np.int64)
+    low = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    values = (shingles >> np.uint64(32)).astype(np.uint32)
+    for k in range(0, len(values), _CHUNK):
+        low = np.minimum(low, (values[k : k + _CHUNK] * _TIMES + _PLUS).min(1))
+    pairs = low.view(np.uint64).reshape(BANDS, 2)
+    pairs = pairs ^ pairs >> np.uint64(29)
+    return (pairs[:, 0] * _MIX[0] + pairs[:, 1] * _MIX[1] + _MIX[2]).view(np.int64)
+
+
+def _sketch(text: Column, width: int) -> Column:
+    kind = T.StructType().add("node", T.LongType()).add("n", T.IntegerType()).add("bands", T.ArrayType(T.LongType()))
+
+    @F.pandas_udf(kind)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = []
+            for x in texts:
+                s = shingles_of(x, width)
+                rows.append((int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64)), len(s), bands_of(s)))
+            yield pd.DataFrame(rows, columns=["node", "n", "bands"])
+
+    return run(text.cast("binary"))
+
+
+def _shingles(text: Column, width: int) -> Column:
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([shingles_of(x, width).view(np.int64) for x in texts], dtype=object)
+
+    return run(text.cast("binary"))
+
+
+def _alike(keyed: DataFrame, by: list[str], similarity: float) -> DataFrame:
+    """Pairs inside the groups ``by`` whose sizes allow the similarity."""
+    lists = keyed.groupBy(*by).agg(F.collect_list(F.struct("node", "n")).alias("all"))
+    fits = f"filter(all, x -> x.node > one.node AND least(x.n, one.n) / greatest(x.n, one.n) >= {similarity}D)"
+    pairs = lists.select(F.explode("all").alias("one"), "all").select("one", F.explode(F.expr(fits)).alias("two"))
+    return pairs.select(F.col("one.node").alias("src"), F.col("two.node").alias("dst")).distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs(src, dst)`` whose sets have the Jaccard similarity."""
+    pairs = cut(pairs, "candidates")
+    a = sets.select(F.col("node").alias("src"), F.col("shingles").alias("a"))
+    b = sets.select(F.col("node").alias("dst"), F.col("shingles").alias("b"))
+    both = pairs.join(a, "src").join(b, "dst")
+    both = both.select("src", "dst", F.size(F.array_intersect("a", "b")).alias("i"), (F.size("a") + F.size("b")).alias("s"))
+    links = cut(both.where(F.col("i") / (F.col("s") - F.col("i")) >= similarity).select("src", "dst"), "links")
+    release(pairs)
+    return links
+
+
+def link_sets(nodes: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links ``(src, dst)`` whose components are those of all pairs of ``nodes(node, n, bands, key)`` that are alike.
+
+    Small buckets verify all pairs. Larger ones (a large group of near copies) verify the pairs inside random slices, other
+    slices in each band, which joins what belongs together at a cost linear in the bucket; after that only the members
+    outside the bucket's largest component are verified against all that are not in their own.
+    ``docs(_key, text)`` gives the text of a key.
+    """
+    keyed = nodes.select("node", "n", F.explode("bands").alias("band"))
+    shared = keyed.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
+    keyed = cut(keyed.join(cut(shared, "shared"), "band"), "buckets")
+    busy = cut(keyed.select("node").distinct(), "busy")
+    keys = cut(nodes.join(busy, "node").select("node", F.col("key").alias("_key")), "keys")
+    rows = docs.join(keys.hint("shuffle_hash"), "_key").dropDuplicates(["node"])
+    sets = cut(rows.select("node", _shingles(F.col("text"), width).alias("shingles")), "sets")
+
+    small = _alike(keyed.where(F.col("m") <= SMALL_BUCKET), ["band"], similarity)
+    crowded = keyed.where(F.col("m") > SMALL_BUCKET)
+    slices = crowded.withColumn("slice", F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("m") / SLICE)))
+    links = _verified(small.unionByName(_alike(slices, ["band", "slice"], similarity)).distinct(), sets, similarity)
+
+    labels = connected_components(links)
+    crowded = crowded.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    crowded = cut(crowded, "crowded")
+    parts = crowded.groupBy("band", "component").agg(F.count("*").alias("c"))
+    main = parts.groupBy("band").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("k"))
+    main = cut(main.where("k > 1").drop("k"), "main")
+    open_ = cut(crowded.join(main, "band"), "open")
+    out = open_.where("component != main").select("band", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
+    pairs = out.join(open_, "band").where("component != cx")
+    pairs = pairs.where(F.least("n", "nx") / F.greatest("n", "nx") >= similarity)
+    pairs = pairs.select(F.least("x", "node").alias("src"), F.greatest("x", "node").alias("dst")).distinct()
+    return links.unionByName(_verified(pairs, sets, similarity))
+
+
+def near_copy_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Shingle set and group of every row of ``docs(doc_id, text)``: ``(doc_id, text_key, fp, component_id)``.
+
+    ``fp`` tells sets apart; ``component_id`` is the smallest doc_id reachable over pairs whose sets have a Jaccard
+    similarity of at least ``similarity``. Rows without words are one group. Null ids as in ``near_duplicate_groups``.
+    """
+    bounded_batches(docs.sparkSession)
+    sketched = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), _sketch(F.col("text"), width).alias("s"))
+    marked = cut(sketched.select("doc_id", "text_key", "s.*").withColumnRenamed("node", "fp"), "sketches")
+    key = row_key(F.col("doc_id"), F.col("text_key"))
+    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min(key).alias("key"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = cut(nodes, "nodes")
+    texts = docs.select(row_key(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit("")))).alias("_key"), "text")
+    links = link_sets(nodes.withColumnRenamed("fp", "node"), texts, width, similarity)
+    return name_groups(marked, nodes.select("fp", "low"), links)
+
+
+def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group of near copies: that with the smallest doc_id. All columns are kept."""
+    return keep_first(docs, near_copy_groups(docs, width, similarity))

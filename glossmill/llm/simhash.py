@@ -124,7 +124,11 @@ def near_duplicate_groups(docs: DataFrame, width: int) -> DataFrame:
         "fingerprints",
     )
     fps = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    links = link_fingerprints(fps.select("fp"))
+    return name_groups(marked, fps, link_fingerprints(fps.select("fp")))
+
+
+def name_groups(marked: DataFrame, fps: DataFrame, links: DataFrame) -> DataFrame:
+    """``marked(doc_id, text_key, fp)`` with the smallest ``low`` of ``fps(fp, low)`` in each component of ``links``."""
     labels = connected_components(links).select(F.col("node").alias("fp"), "component")
     named = fps.join(labels, "fp").groupBy("component").agg(F.min("low").alias("low"))
     linked = labels.join(named, "component").select("fp", "low")
@@ -139,16 +143,20 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     Ties on the id (nulls come last) fall to the smaller hash of the text; of rows equal in both, one stays. All
     columns of ``docs`` are kept; the text is moved once, to meet the decision.
     """
-    groups = near_duplicate_groups(docs, width)
+    return keep_first(docs, near_duplicate_groups(docs, width))
+
+
+def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The first row of each group of ``groups(doc_id, text_key, fp, component_id)``."""
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     # Rows with one key are copies and meet again below, so a group needs only its first key.
     keep = groups.groupBy(F.coalesce("component_id", F.col("fp")).alias("a"), F.col("component_id").isNull().alias("b"))
-    keep = keep.agg(F.min(first).alias("k")).select(_row_key(F.col("k.doc_id"), F.col("k.text_key")).alias("_key"))
-    rows = docs.withColumn("_key", _row_key(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit("")))))
+    keep = keep.agg(F.min(first).alias("k")).select(row_key(F.col("k.doc_id"), F.col("k.text_key")).alias("_key"))
+    rows = docs.withColumn("_key", row_key(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit("")))))
     kept = rows.join(keep.hint("shuffle_hash"), "_key", "left_semi")
     once = Window.partitionBy("_key").orderBy(F.lit(0))  # by the key of the join, so the rows are not moved again
     return kept.withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_n", "_key")
 
 
-def _row_key(doc_id: Column, text_key: Column) -> Column:
+def row_key(doc_id: Column, text_key: Column) -> Column:
     return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), text_key.cast("string"))
