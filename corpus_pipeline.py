@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossmill.llm import decontam, linededup, mixing, nearcopies, toxicity
+from glossmill.llm import decontam, linededup, mixing, simhash, toxicity
 from glossmill.llm.common import scratch_path
 
 
@@ -20,7 +20,7 @@ def drop_copied_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group with a five-word Jaccard similarity of 0.8 stays, the one with the smallest doc_id."""
-    return nearcopies.drop_near_copies(docs, width=5, similarity=0.8)
+    return simhash.drop_near_copies(docs, width=5, similarity=0.8)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,10 +3,12 @@
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from glossmill.llm import nearcopies
+from glossmill.llm import simhash
 
 SF = "/root/testdata/sf0.01"
 
@@ -43,10 +45,29 @@ def test_stage_finds_all_near_copies(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()) == want and near > 0
 
 
+def components(ids, linked):
+    label = {i: i for i in ids}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for n, a in enumerate(ids):
+        for b in ids[:n]:
+            if linked(a, b):
+                low, high = sorted((root(a), root(b)))
+                label[high] = low
+    return {i: root(i) for i in ids}
+
+
 @pytest.mark.parametrize("limit", [2, 16])
 def test_large_group_of_near_copies(spark, monkeypatch, limit):
-    """Copies with a few words changed, chained and beside the limit, with buckets that all take the other way."""
-    monkeypatch.setattr(nearcopies, "SMALL_BUCKET", limit)
+    """Copies with a few words changed, chained and beside the limit, with buckets that nearly all take the other way.
+
+    All alike pairs with a common signature are linked, and none that is not alike.
+    """
+    monkeypatch.setattr(simhash, "SMALL_GROUP", limit)
     draw = random.Random(3)
     base = [f"w{i}" for i in range(120)]
     rows = [(0, " ".join(base))]
@@ -54,7 +75,24 @@ def test_large_group_of_near_copies(spark, monkeypatch, limit):
         words = list(base)
         for _ in range(draw.choice((1, 2, 3, 4, 8))):
             words[draw.randrange(120)] = f"x{i}"
-        rows.append((i, " ".join(words)))
-    want, near = plain_kept(rows)
+        rows.append((i, " ".join(words[: draw.choice((120, 120, 110, 97))])))
+    sets = {i: plain_shingles(t) for i, t in rows}
+    prints = {i: simhash.wide_fingerprint(simhash.word_hashes(t.encode())).view(np.uint32) for i, t in rows}
+    alike = lambda a, b: 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))
+    near = lambda a, b: any(int(x).bit_count() <= 1 for x in prints[a] ^ prints[b])
+    ids = [i for i, _ in rows]
+    least, most = components(ids, lambda a, b: alike(a, b) and near(a, b)), components(ids, alike)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(r.doc_id for r in nearcopies.drop_near_copies(docs).collect()) == want and near > 0 and len(want) > 1
+    got = {r.doc_id: r.component_id for r in simhash.near_copy_groups(docs).collect()}
+    assert all(got[i] == got[k] for i, k in least.items()) and all(most[i] == most[k] for i, k in got.items())
+    assert 1 < len(set(most.values())) <= len(set(got.values())) < len(ids)
+    assert sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect()) == sorted(set(got.values()))
+
+
+def test_odd_rows(spark):
+    """Null and empty texts are one group, short texts one shingle, a row repeated in full stays once."""
+    rows = [(5, None, 1), (4, "", 2), (6, "A b", 3), (7, "a  B", 4), (None, "a b", 5), (8, "a b c", 6), (9, "q w e r t y", 7), (9, "q w e r t y", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key int").withColumn("_n", F.lit(1)).withColumn("row", F.lit(2)).withColumn("key", F.lit(3))
+    kept = simhash.drop_near_copies(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id, r["_key"]) for r in kept.collect()) == [(4, 2), (6, 3), (8, 6), (9, 7)]
+    assert simhash.near_copy_groups(docs).count() == 8 and simhash.drop_near_copies(docs.limit(0)).count() == 0
