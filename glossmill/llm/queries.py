@@ -45,9 +45,9 @@ OP2_SQL = r"""
 WITH RECURSIVE rules(rule, action) AS (
   VALUES ('com/en/', 'block'), ('example.com/en/7', 'allow'), ('net/de/', 'block'), ('example.net/de/8', 'block'), ('org/es/', 'block')
 ), p AS (
-  SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1)) AS host,
-         regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1) AS path,
-         regexp_extract(coalesce(url, ''), '^.*?://[^?#]*(\?[^#]*)', 1) AS query, html
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path,
+         regexp_extract(coalesce(url, ''), '^.*?://[^?#]*(\?[^#]*)', 1, 's') AS query, html
   FROM pages
 ), links AS (
   SELECT host || path || query AS node, unnest(list_concat(
@@ -57,12 +57,7 @@ WITH RECURSIVE rules(rule, action) AS (
      for x in regexp_extract_all(html, '(?is)<meta\b[^>]*>') if regexp_matches(x, '(?i)http-equiv\s*=\s*["'']?refresh')])) AS target
   FROM p WHERE host <> ''
 ), edges AS (
-  SELECT host || path || query AS a, regexp_replace(regexp_replace(
-      regexp_replace(host || path || regexp_replace(query, '([?&])(utm_[^&=]*|ref)=[^&]*(&|$)', '\1', 'g'), '[?&]+$', ''),
-      '(\.html|/)$', ''), '(\.html|/)\?', '?') AS b
-  FROM p WHERE host <> ''
-  UNION
-  SELECT node, lower(regexp_extract(target, '^.*?://([^/?#]*)', 1)) || regexp_extract(target, '^.*?://[^/?#]*([^#]*)', 1)
+  SELECT node AS a, translate(regexp_extract(target, '^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(target, '^.*?://[^/?#]*([^#]*)', 1) AS b
   FROM links WHERE contains(target, '://')
 ), both_ways AS (
   SELECT a, b FROM edges UNION SELECT b, a FROM edges

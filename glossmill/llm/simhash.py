@@ -244,11 +244,18 @@ def _shared(rows: DataFrame) -> DataFrame:
     return out
 
 
-def _with_hubs(crowded: DataFrame) -> DataFrame:
-    """``crowded(key, fp, m, ...)`` with the ``hub`` of each key: the member that shares most, the middle of a large group."""
+def _with_hubs(crowded: DataFrame, merge: bool) -> DataFrame:
+    """``crowded(key, fp, m, ...)`` with the ``hub`` of each key: the member that shares most, the middle of a large group.
+
+    With ``merge``, keys take the hub that shares most in all keys of their own hub, so overlapping ones come together.
+    """
     fame = crowded.groupBy("fp").agg(F.sum("m").alias("fame"))
-    hubs = crowded.join(fame, "fp").groupBy("key").agg(F.max_by("fp", F.struct("fame", "fp")).alias("hub"))
-    return crowded.join(cut(hubs, "hubs"), "key")
+    hubs = crowded.join(fame, "fp").groupBy("key").agg(F.max(F.struct("fame", F.col("fp").alias("hub"))).alias("best"))
+    hubs = cut(hubs, "hubs")
+    if merge:
+        top = crowded.join(hubs, "key").groupBy("fp").agg(F.max("best").alias("top"))
+        hubs = cut(hubs.join(top, F.col("best.hub") == F.col("fp")).select("key", F.col("top").alias("best")), "hubs")
+    return crowded.join(hubs.select("key", "best.hub"), "key")
 
 
 def _inner_pairs(groups: DataFrame, similarity: float) -> DataFrame:
@@ -283,7 +290,7 @@ def _link_sets(buckets: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     found = [_verified(_all_pairs(buckets.where(F.col("m") <= SMALL_GROUP), similarity), sets, similarity)]
     crowded = buckets.where(F.col("m") > SMALL_GROUP).select("key", "fp", "n", "m")
     # Buckets around one hub are one group.
-    members = cut(_with_hubs(crowded).select(F.col("hub").alias("key"), "hub", "fp", "n").distinct(), "members")
+    members = cut(_with_hubs(crowded, merge=True).select(F.col("hub").alias("key"), "hub", "fp", "n").distinct(), "members")
     rest = members.join(sets.withColumn("rest", F.col("shingles")), "fp")
     while members.limit(1).count():
         known = sets.join(members.select("hub").distinct(), F.col("fp") == F.col("hub"))
@@ -303,7 +310,7 @@ def _link_sets(buckets: DataFrame, sets: DataFrame, similarity: float) -> DataFr
         pairs = _all_pairs(tokens.where(F.col("m") <= SMALL_GROUP), similarity).unionByName(_inner_pairs(still, similarity))
         found.append(_verified(pairs, sets, similarity))
 
-        crowded = _with_hubs(tokens.where(F.col("m") > SMALL_GROUP))
+        crowded = _with_hubs(tokens.where(F.col("m") > SMALL_GROUP), merge=False)
         members = cut(crowded.select("key", "parent", "hub", "fp", "n"), "members")
         rest = members.join(groups.select(F.col("key").alias("parent"), "fp", "rest"), ["parent", "fp"]).drop("parent").join(sets, "fp")
     return reduce(DataFrame.unionByName, found)
@@ -326,7 +333,9 @@ def near_copy_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -
 
     plain, less = zip(*[_segment_keys(f"wide[{k}]", k) for k in range(WIDE)], strict=True)
     keys = [f"transform(concat({', '.join(x)}), k -> struct(k AS key, {main} AS main))" for x, main in ((plain, "true"), (less, "false"))]
-    keyed = nodes.where("n > 0").select("fp", "n", F.explode(F.expr(f"concat({', '.join(keys)})")).alias("k"))
+    # A node becomes over a hundred rows, so its small table is spread first.
+    spread = nodes.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    keyed = spread.where("n > 0").select("fp", "n", F.explode(F.expr(f"concat({', '.join(keys)})")).alias("k"))
     buckets = _shared(keyed.select("fp", "n", "k.*"))
     rows = nodes.join(buckets.select("fp").distinct(), "fp").select("fp", F.col("row").alias("key"))
     texts = docs.select(row_key(F.col("doc_id"), text_key(F.col("text"))).alias("key"), "text")

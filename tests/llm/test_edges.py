@@ -181,6 +181,56 @@ def test_urls(spark):
     assert urlfilter.judge_urls(df, rules.limit(0)).where("verdict = 'block'").count() == 0
 
 
+def test_redirects_decide(spark):
+    """Several thousand redirects over hosts, in chains and cycles and one hub, against plain union-find."""
+    import random
+
+    draw = random.Random(11)
+    hosts = ["a.org/es", "b.com/en", "t.example.com/en/7", "c.net/x", "d.info/y", "e.dev/z"]
+    urls = [f"http://{draw.choice(hosts[3:] if i % 6 else hosts)}/{i}" for i in range(4000)]
+    edges = [(f"http://hub.dev/{i % 3}", f"https://k{i}.dev/") for i in range(900)]
+    edges += [(urls[i], urls[i + 1]) for i in range(0, 3000) if i % 7] + [(urls[i + 6], urls[i]) for i in range(0, 2900, 7)]
+    edges += [("http://hub.dev/0", "http://a.org/es/9"), ("http://hub.dev/1", "http://b.com/en/9"), ("http://k1.dev/", "http://t.example.com/en/78"), (None, "http://c.net/x"), ("x", "y")]
+    urls += [b for _, b in edges[:900]]
+    rules = {"org/es/": "block", "com/en/": "block", "example.com/en/7": "allow"}
+    node = lambda u: u.split("://", 1)[1]
+    label = {}
+
+    def root(x):
+        while label.setdefault(x, x) != x:
+            x = label[x]
+        return x
+
+    for a, b in edges:
+        if a and "://" in a and "://" in b:
+            x, y = sorted((root(node(a)), root(node(b))))
+            label[y] = x
+
+    def rule(x):
+        host, path = x.split("/", 1)
+        fits = [r for r in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and f"/{path}".startswith("/" + r.split("/", 1)[1])]
+        return max(fits, key=len, default=None)
+
+    said = {}
+    for x in list(label):
+        if r := rule(x):
+            said.setdefault(root(x), set()).add(rules[r])
+    want = {}
+    for i, u in enumerate(urls):
+        says = said.get(root(node(u)), ())
+        want[i] = (rule(node(u)), rules[rule(node(u))] if rule(node(u)) else "allow" if "allow" in says or not says else "block")
+    df = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    table = spark.createDataFrame(list(rules.items()), "rule string, action string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urlfilter.judge_urls(df, table, redirects=spark.createDataFrame(edges, "src string, dst string")).collect()}
+    assert got == want and sum(r is None and v == "block" for r, v in want.values()) > 300
+
+
+def test_unsettled_components(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(200)], "src long, dst long")
+    with pytest.raises(RuntimeError):
+        common.connected_components(path, max_rounds=2)
+
+
 def test_warc(spark):
     same = "x" * 150
     pages = [(3, "http://a/ b", same), (1, None, same), (1, "u", same), (None, "n", same), (2, "s", "short"), (4, "t", "short"), (5, "WARC/1.0\r\n\r\n", "\r\n\r\nWARC/1.0\r\nX: y\r\n\r\n" * 9), (6, "e", None), (7, "l", "é" * 500_000)]
