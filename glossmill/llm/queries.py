@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossmill.llm import chat, decontam, licenses, linededup, mixing, quality, simhash, toxicity, urlfilter, warc
-from glossmill.llm.common import scratch_path
+from glossmill.llm.common import cut, scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as ARC archives, converted to WARC files in the shared folder, and read back."""
     arcs = warc.write_arc(table(spark, sf_dir, "pages"))
-    records = warc.convert_arc(arcs).where("record_type != 'warcinfo'")
+    records = cut(warc.convert_arc(arcs).where("record_type != 'warcinfo'"), "records")
     path = scratch_path(spark, "warc")
     warc.write_warc(warc.mark_revisits(records), path)
     back = warc.read_warc(spark, path)

@@ -55,7 +55,8 @@ def write_arc(pages: DataFrame, date: str = "20080430000000") -> DataFrame:
     """Archives of ``pages(page_id, url, html)``: ``(version, content)``, of versions 1 and 2 in turn.
 
     A block is an HTTP answer whose payload is the html in UTF-8 (null: empty); the page_id travels as a header of it
-    (none for null). An archive holds at most about ``ARCHIVE_BYTES`` or one longer record.
+    (none for null). An archive holds at most about ``ARCHIVE_BYTES`` or one longer record. Other columns are not used;
+    repeated rows are repeated records; an empty table gives no archive.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -83,31 +84,33 @@ def write_arc(pages: DataFrame, date: str = "20080430000000") -> DataFrame:
 
 
 def parse_arc(content: bytes) -> Iterator[dict]:
-    """Records of an ARC archive, ``filedesc`` first. Header lines are split from the right by the fields of the
-    version that the ``filedesc`` block declares, so that a URL may hold spaces; a block is as long as declared."""
-    at, version, size = 0, 1, len(content)
+    """Records of an ARC archive. The first is the head, ``filedesc``, whose block declares the version; any other is a
+    page's, whatever its URL says.
+
+    Header lines are split from the right by the fields of the version, so that a URL may hold spaces; a block is as
+    long as declared. What cannot be read (a header line without end or with other fields, a block that is cut off) is
+    one last record of its bytes with an ``error``, since nothing tells where the next one would begin.
+    """
+    at, version, size, head = 0, 1, len(content), True
     while at < size:
         if content[at : at + 1] in (b"\n", b"\r"):
             at += 1
             continue
         end = content.find(b"\n", at)
-        if end < 0:
-            raise ValueError(f"header line without end at byte {at}")
-        line = content[at:end].decode("utf-8", "replace").rstrip("\r")
         start = end + 1
-        if line.startswith("filedesc://"):
-            length = int(line.rsplit(" ", 1)[1])
-            version = int(content[start : start + 1] or b"1")
-        fields = _FIELDS[version]
-        parts = line.rsplit(" ", len(fields) - 1)
-        if len(parts) != len(fields):
-            raise ValueError(f"{len(parts)} fields in a version {version} header at byte {at}")
-        record = dict(zip(fields, parts, strict=True))
-        length = int(record["length"])
-        if start + length > size:
-            raise ValueError(f"block of {length} bytes is cut off at byte {start}")
-        yield record | {"offset": at, "block": content[start : start + length]}
-        at = start + length
+        parts: list[str] = []
+        if end >= 0:
+            line = content[at:end].decode("utf-8", "replace").rstrip("\r")
+            if head and line.startswith("filedesc:"):
+                version = 2 if content[start : start + 1] == b"2" else 1
+            parts = line.rsplit(" ", len(_FIELDS[version]) - 1)
+        length = int(parts[-1]) if len(parts) == len(_FIELDS[version]) and re.fullmatch(r"\d{1,18}", parts[-1]) else -1
+        if length < 0 or start + length > size:
+            yield {"offset": at, "error": f"broken record at byte {at}", "block": content[at:]}
+            return
+        record = dict(zip(_FIELDS[version], parts, strict=True))
+        yield record | {"offset": at, "head": head and line.startswith("filedesc:"), "block": content[start : start + length]}
+        at, head = start + length, False
 
 
 RECORD = (
@@ -117,40 +120,45 @@ RECORD = (
 
 
 def convert_arc(archives: DataFrame) -> DataFrame:
-    """WARC records equivalent to the records of ``archives(content)``: ``RECORD``.
-
-    ``filedesc`` records become ``warcinfo``, ``dns:`` records ``resource`` and all others ``response``. The record
-    identifier is a name-based UUID of URL, date, offset and block, so that a repeated conversion gives the same; the
-    14-digit date becomes ISO 8601; the digest is SHA-256 of the payload, which begins after the HTTP header if the
-    block has one.
+    """WARC records equivalent to the records of ``archives(content)``, plain or gzip: ``RECORD``.
+
+    The head of an archive becomes ``warcinfo`` and every other record ``response``; a lookup (a block of type
+    ``text/dns`` under a ``dns:`` URL) becomes ``resource``. What cannot be read becomes a ``conversion`` record without
+    page_id, whose type is ``application/octet-stream`` and whose payload is the bytes from there on, so that broken
+    archives are set aside and counted, not lost. The record identifier is a name-based UUID of URL, date, offset and
+    block, so that a repeated conversion gives the same; the 14-digit date becomes ISO 8601 (the epoch if it is none);
+    the digest is SHA-256 of the payload, which begins after the HTTP header if the block has one.
     """
 
+    def record(r: dict) -> tuple:
+        block = r["block"]
+        if "error" in r:
+            r, kind = {"url": r["error"], "date": "", "type": "application/octet-stream", "offset": r["offset"]}, "conversion"
+        else:
+            lookup = r["url"].startswith("dns:") and r["type"] == "text/dns"
+            kind = "warcinfo" if r["head"] else "resource" if lookup else "response"
+        start = block.find(b"\r\n\r\n") + 4 if kind == "response" and block.startswith(b"HTTP/") else 0
+        http, payload = block[: max(start, 0)], block[max(start, 0) :]
+        mark = re.search(rb"\r\nX-Page-Id: (-?\d+)\r\n", http)
+        d = r["date"] if re.fullmatch(r"\d{14}", r["date"]) else "19700101000000"
+        seed = f"{r['url']} {d} {r['offset']} {hashlib.sha256(block).hexdigest()}"
+        return (
+            int(mark[1]) if mark else None,
+            f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, seed)}>",
+            kind,
+            r["url"],
+            f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z",
+            "application/http;msgtype=response" if http else r["type"],
+            http,
+            payload,
+            hashlib.sha256(payload).hexdigest(),
+        )
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             for content in part["content"]:
-                out = []
-                for r in parse_arc(content):
-                    block, url = r["block"], r["url"]
-                    kind = "warcinfo" if url.startswith("filedesc:") else "resource" if url.startswith("dns:") else "response"
-                    head = block.find(b"\r\n\r\n") + 4 if block.startswith(b"HTTP/") else 0
-                    http, payload = block[: max(head, 0)], block[max(head, 0) :]
-                    mark = re.search(rb"\r\nX-Page-Id: (-?\d+)\r\n", http)
-                    d = r["date"]
-                    seed = f"{url} {d} {r['offset']} {hashlib.sha256(block).hexdigest()}"
-                    out.append(
-                        (
-                            int(mark[1]) if mark else None,
-                            f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, seed)}>",
-                            kind,
-                            url,
-                            f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z",
-                            "application/http;msgtype=response" if http else r["type"],
-                            http,
-                            payload,
-                            hashlib.sha256(payload).hexdigest(),
-                        )
-                    )
-                frame = pd.DataFrame.from_records(out, columns=[x.split()[0] for x in RECORD.split(", ")])
+                plain = gunzip(content) if content.startswith(b"\x1f\x8b") else content
+                frame = pd.DataFrame.from_records([record(r) for r in parse_arc(plain)], columns=[x.split()[0] for x in RECORD.split(", ")])
                 frame["page_id"] = frame["page_id"].astype("Int64")
                 yield frame
 
@@ -209,10 +217,26 @@ def record_bytes() -> Column:
     return F.concat(head.cast("binary"), F.col("http"), kept)
 
 
-def write_warc(records: DataFrame, path: str, file_records: int = 500) -> None:
-    """Write records as WARC files, gzip-compressed, of at most ``file_records`` records each."""
-    lines = records.select(record_bytes().cast("string").alias("value"))
-    lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
+#: Bytes of records in a WARC file, about; a reader holds one file at a time. A longer record has one for itself.
+FILE_BYTES = 16 << 20
+
+
+def write_warc(records: DataFrame, path: str, file_records: int = 500, file_bytes: int = FILE_BYTES) -> None:
+    """Write records as WARC files, gzip-compressed, of at most ``file_records`` records each.
+
+    No file holds more than about ``file_bytes``: records are dealt to files of so many records that even the longest of
+    them stay below, by their size's power of two. An empty table gives no file with records.
+    """
+    sized = records.withColumn("_size", F.octet_length("http") + F.octet_length("payload"))
+    long = F.col("_size") > file_bytes // file_records
+    lines = sized.where(~long).select(record_bytes().cast("string").alias("value"))
+    out = lambda rows, most, mode: rows.write.mode(mode).option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
+    out(lines, file_records, "error")
+    power = F.floor(F.log2(F.col("_size").cast("double"))).cast("int")
+    powers = [r[0] for r in sized.where(long).select(power.alias("p")).distinct().collect()]  # a few dozen at most
+    for p in sorted(powers):
+        some = sized.where(long & (power == p)).select(record_bytes().cast("string").alias("value"))
+        out(some, max(1, file_bytes >> (p + 1)), "append")
 
 
 READ = (
@@ -222,28 +246,33 @@ READ = (
 
 
 def parse_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of an uncompressed WARC file, by the declared lengths."""
+    """Headers and block of each record of an uncompressed WARC file, by the declared lengths.
+
+    From where no record can be read, the bytes are one last record with only an ``error`` in its head.
+    """
     at = 0
     while at < len(content):
-        end = content.index(b"\r\n\r\n", at)
-        version, *lines = content[at:end].decode("utf-8").split("\r\n")
-        if not version.startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        head = dict(x.split(": ", 1) for x in lines)
-        start = end + 4
-        stop = start + int(head["Content-Length"])
-        if content[stop : stop + 4] != b"\r\n\r\n":
-            raise ValueError(f"record at byte {at} is cut off")
-        yield head, content[start:stop]
+        end = content.find(b"\r\n\r\n", at)
+        version, *lines = content[at : max(end, at)].decode("utf-8", "replace").split("\r\n")
+        head = dict(x.split(": ", 1) for x in lines if ": " in x)
+        length = head.get("Content-Length", "")
+        stop = end + 4 + int(length) if length.isdecimal() else -1
+        if end < 0 or not version.startswith("WARC/") or stop < 0 or content[stop : stop + 4] != b"\r\n\r\n":
+            yield {"error": f"broken record at byte {at}"}, content[at:]
+            return
+        yield head, content[end + 4 : stop]
         at = stop + 4
 
 
 def gunzip(content: bytes) -> bytes:
-    """All members of a gzip file: archives may be compressed whole or record by record."""
+    """All members of a gzip file, compressed whole or record by record, as far as they can be read."""
     out = []
     while content:
         member = zlib.decompressobj(31)
-        out.append(member.decompress(content) + member.flush())
+        try:
+            out.append(member.decompress(content) + member.flush())
+        except zlib.error:
+            break
         content = member.unused_data
     return b"".join(out)
 
@@ -251,8 +280,9 @@ def gunzip(content: bytes) -> bytes:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records of the WARC files under ``path``: ``READ``. The length and digest are those of the full payload.
 
-    The digest of a stored payload is computed again and must be the declared one; a revisit has its declared digest
-    and the length that its HTTP header gives.
+    The digest of a stored payload is computed again; a revisit has its declared digest and the length that its HTTP
+    header gives. Broken records, and those whose digest is not the declared one, come back with the type ``broken``,
+    without page_id, so that they can be counted. No file or an empty one gives no rows.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -262,22 +292,24 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 for head, block in parse_warc(gunzip(content)):
                     split = block.find(b"\r\n\r\n") + 4 if block.startswith(b"HTTP/") else 0
                     http, payload = block[: max(split, 0)], block[max(split, 0) :]
-                    digest, size = head["WARC-Payload-Digest"].removeprefix("sha256:"), len(payload)
-                    if head["WARC-Type"] == "revisit":
-                        size = int(re.search(rb"\r\nContent-Length: (\d+)\r\n", http)[1])
-                    elif hashlib.sha256(payload).hexdigest() != digest:
-                        raise ValueError(f"{head['WARC-Record-ID']}: the payload has another digest")
-                    mark = re.search(rb"\r\nX-Page-Id: (-?\d+)\r\n", http)
+                    kind, size, own = head.get("WARC-Type"), len(payload), hashlib.sha256(payload).hexdigest()
+                    digest = head.get("WARC-Payload-Digest", "").removeprefix("sha256:")
+                    if kind == "revisit":
+                        full = re.search(rb"\r\nContent-Length: (\d+)\r\n", http)
+                        size = int(full[1]) if full else 0
+                    elif kind is None or "WARC-Payload-Digest" in head and own != digest:
+                        kind = "broken"
+                    mark = re.search(rb"\r\nX-Page-Id: (-?\d+)\r\n", http) if kind != "broken" else None
                     refers = head.get("X-Refers-To-Page-Id")
                     out.append(
                         (
-                            head["WARC-Type"],
-                            head["WARC-Record-ID"],
-                            head.get("WARC-Target-URI"),
-                            head["WARC-Date"],
+                            kind,
+                            head.get("WARC-Record-ID"),
+                            head.get("WARC-Target-URI", head.get("error")),
+                            head.get("WARC-Date"),
                             int(mark[1]) if mark else None,
                             size,
-                            digest,
+                            digest or own,
                             int(refers) if refers else None,
                             head.get("WARC-Refers-To"),
                             payload,
