@@ -8,14 +8,14 @@ the mention of a group can weigh more than either, which no sum of weights expre
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import bounded_batches, cut
+from glossmill.llm.common import bounded_batches, boxed, cut
 
 #: Labelled rows the machine is fitted on, at most so many of each class (those with the smallest hash of their id).
 SAMPLE_ROWS = 12_000
@@ -101,13 +101,22 @@ class FactorizationMachine:
                 out.update(found)
         return out
 
-    def score(self, text: bytes | None) -> float:
-        """Probability of label 1. A text without any known term has the prior's."""
-        raw = self.bias
-        if terms := list(self.terms_of(text)):
+    def scores(self, texts: Iterable[bytes | None]) -> np.ndarray:
+        """Probabilities of label 1, by one sparse product a batch. A text without any known term has the prior's."""
+        rows = [list(self.terms_of(x)) for x in texts]
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        raw = np.full(len(rows), self.bias)
+        full = np.flatnonzero(sizes)
+        if len(full):
+            terms = np.fromiter((t for r in rows for t in r), np.int64, int(sizes.sum()))
+            starts = np.concatenate(([0], np.cumsum(sizes[full])[:-1]))
             own = self.factors[terms]
-            raw += self.weights[terms].sum() + 0.5 * ((own.sum(0) ** 2).sum() - (own**2).sum())
-        return float(1 / (1 + np.exp(-min(max(raw, -30.0), 30.0))))
+            pairs = (np.add.reduceat(own, starts) ** 2).sum(1) - np.add.reduceat((own**2).sum(1), starts)
+            raw[full] += np.add.reduceat(self.weights[terms], starts) + 0.5 * pairs
+        return 1 / (1 + np.exp(-np.clip(raw, -30.0, 30.0)))
+
+    def score(self, text: bytes | None) -> float:
+        return float(self.scores([text])[0])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -176,20 +185,29 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Factoriz
     return FactorizationMachine.fit(slot, [np.array(r["terms"], int) for r in train], np.array([r["label"] for r in train], float))
 
 
-def score(docs: DataFrame, model: FactorizationMachine, name: str = "score") -> DataFrame:
-    """``docs`` with the probability that its whole text is toxic. Null and empty texts have the prior's."""
-    bounded_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast((model.slot, model.bias, model.weights, model.factors))
+def _scores(spark, model: FactorizationMachine, text: Column) -> Column:
+    bounded_batches(spark)
+    sent = spark.sparkContext.broadcast((model.slot, model.bias, model.weights, model.factors))
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         machine = FactorizationMachine(*sent.value)
         for texts in batches:
-            yield pd.Series([machine.score(x) for x in texts], dtype=float)
+            yield pd.Series(machine.scores(texts), dtype=float)
 
-    return docs.withColumn(name, run(F.col("text").cast("binary")))
+    return run(text.cast("binary"))
+
+
+def score(docs: DataFrame, model: FactorizationMachine, name: str = "score") -> DataFrame:
+    """``docs`` with the probability that its whole text is toxic, as the column ``name``, which it replaces if there.
+
+    Null and empty texts have the prior's. Every row comes back.
+    """
+    return docs.withColumn(name, _scores(docs.sparkSession, model, F.col("text")))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more; all columns stay."""
-    return score(docs, fit(docs, labels), "_toxic_score").where(F.col("_toxic_score") < threshold).drop("_toxic_score")
+    """``docs`` without the rows that score ``threshold`` or more; all columns stay, whatever their names."""
+    model = fit(docs, labels)
+    rows = docs.select(boxed(docs).alias("row"), _scores(docs.sparkSession, model, F.col("text")).alias("toxic"))
+    return rows.where(F.col("toxic") < threshold).select("row.*")
