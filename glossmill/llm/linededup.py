@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glossmill.llm.common import WORD, cut, release
+from glossmill.llm.common import WORD, boxed, cut, release
 
 _DOC = ("doc_id", "tk")
 
@@ -193,28 +193,28 @@ def drop_copied_runs(docs: DataFrame, min_words: int = 50, report: bool = False)
 
     All other columns and all other lines, blank ones included, stay as they are. A document that loses all its lines
     with words is dropped; documents that had none are kept. With ``report``, all rows stay, with the number of lines
-    with words, before and deleted, as ``n_lines`` and ``n_deleted``. Null texts have no lines.
+    with words, before and deleted, as ``n_lines`` and ``n_deleted`` beside all columns of ``docs`` (which must not have
+    these two). Null texts have no lines; rows repeated in full are treated as one and all come back.
     """
-    cuts = cut(copied_runs(docs, min_words), "cuts")
-    cuts = cuts.select(F.col("doc_id").alias("_cut_id"), F.col("tk").alias("_cut_key"), F.col("cuts").alias("_cuts"))
-    names = docs.columns
-    rows = docs.withColumn("_row_key", text_key(F.col("text")))
+    cuts = cut(copied_runs(docs, min_words), "cuts").withColumnsRenamed({"doc_id": "cut_id", "tk": "cut_key"})
+    rows = docs.select(boxed(docs).alias("row"), F.col("doc_id").alias("id"), text_key(F.col("text")).alias("row_key"))
     rows = rows.join(
-        cuts.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_cut_id")) & (F.col("_row_key") == F.col("_cut_key")), "left"
+        cuts.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("cut_id")) & (F.col("row_key") == F.col("cut_key")), "left"
     )
     kept = F.expr(
-        "transform(sequence(0, size(_cuts)), k -> slice(split(text, '\\n', -1), IF(k = 0, 1, _cuts[k - 1].to + 2),"
-        " IF(k = size(_cuts), size(split(text, '\\n', -1)), _cuts[k].from) - IF(k = 0, 0, _cuts[k - 1].to + 1)))"
+        "transform(sequence(0, size(cuts)), k -> slice(split(row.text, '\\n', -1), IF(k = 0, 1, cuts[k - 1].to + 2),"
+        " IF(k = size(cuts), size(split(row.text, '\\n', -1)), cuts[k].from) - IF(k = 0, 0, cuts[k - 1].to + 1)))"
     )
-    rows = rows.withColumn("_kept", F.when(F.col("_cuts").isNotNull(), F.array_join(F.flatten(kept), "\n")).otherwise(F.col("text")))
+    rows = rows.withColumn("kept", F.when(F.col("cuts").isNotNull(), F.array_join(F.flatten(kept), "\n")).otherwise(F.col("row.text")))
 
     def with_words(text: str) -> Column:
         lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
         return F.coalesce(F.when(F.col(text).isNotNull(), F.size(lines)), F.lit(0)).cast("long")
 
+    counts = []
     if report:
-        rows = rows.withColumn("n_lines", with_words("text")).withColumn("n_deleted", F.col("n_lines") - with_words("_kept"))
+        counts = [with_words("row.text").alias("n_lines"), (with_words("row.text") - with_words("kept")).alias("n_deleted")]
     else:
-        rows = rows.where(F.col("_cuts").isNull() | F.col("_kept").rlike(WORD))
-    columns = [F.col("_kept").alias("text") if c == "text" else F.col(f"`{c}`") for c in names]
-    return rows.select(*columns, *(["n_lines", "n_deleted"] if report else []))
+        rows = rows.where(F.col("cuts").isNull() | F.col("kept").rlike(WORD))
+    columns = [F.col("kept").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
+    return rows.select(*columns, *counts)
