@@ -10,16 +10,16 @@ neither a source with a third of all rows nor the global order ends up in one ta
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from glossmill.llm.common import WORD, cut
 
-#: Rows aimed at in a slice of the shuffled order of a source, and of the global order.
-SLICE_ROWS = 10_000
+#: Rows aimed at in a slice of the shuffled order of a source, and in a range of the global order.
+SLICE_ROWS, RANGE_ROWS = 5_000, 10_000
+#: Sources up to which their table is broadcast.
+BROADCAST_SOURCES = 10_000
 
 
 def count_words(text: Column) -> Column:
@@ -58,9 +58,9 @@ def source_targets(
     return sources.select("source", "rank", "weight", "source_size", target.alias("target")), level
 
 
-def _prefix_length(rows: int) -> int:
-    """Hexadecimal digits that cut so many rows of evenly spread keys into slices of about ``SLICE_ROWS``."""
-    return max(1, math.ceil(math.log(max(rows, 1) / SLICE_ROWS + 1, 16)))
+def _slice_of(spread: Column, rows: Column) -> Column:
+    """The slice of an evenly spread 32-bit key among as many as hold about ``SLICE_ROWS`` of so many rows, in order."""
+    return F.floor(spread * F.ceil(rows / SLICE_ROWS) / (1 << 32)).cast("long")
 
 
 def mix_sources(
@@ -73,27 +73,33 @@ def mix_sources(
     """Decide how many words of every row of ``docs(doc_id, text, source)`` the mix takes.
 
     Returns ``(doc_id, source, size, source_size, target, taken)``, a row for each input row; ``taken`` is 0 or a
-    multiple of ``size`` up to ``max_epochs`` times. The shuffle is by the MD5 of the seed and the doc_id, so reruns
-    agree; ties fall to the doc_id and the size, and rows alike in all of them are interchangeable. Null texts have
+    multiple of ``size`` up to ``max_epochs`` times. The shuffle is by the MD5 of the seed, the doc_id and the text, so
+    reruns agree; ties fall to the doc_id and the size, and rows alike in all of them are interchangeable. Null texts have
     size 0, null sources are one source, and rows of size 0 are never taken. An empty table gives an empty result.
     """
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = cut(docs.select("doc_id", "source", count_words(F.col("text")).alias("size"), key.alias("r")), "sizes")
-    rows, words = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    targets, level = source_targets(sized, weights, share, max_epochs)
+    # Rows that share an id are spread by their size too, so no slice fills with them unless they are alike in both.
+    name = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    sized = docs.select("doc_id", "source", count_words(F.col("text")).alias("size"), F.col("text"))
+    sized = sized.select("doc_id", "source", "size", F.md5(name).alias("r"), F.xxhash64("text").alias("same"))
+    sized = cut(sized.withColumn("r", F.md5(F.concat_ws(":", "r", "same"))).drop("same"), "sizes")
+    counts = sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    counts = cut(counts, "sources")
+    rows, words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    targets, level = source_targets(counts, weights, share, max_epochs)
     budget = words * share
 
-    # Words of a source up to each document: totals of the slices of its shuffled order, then sums inside a slice.
-    part = F.substring("r", 1, _prefix_length(rows))
-    parts = sized.groupBy("source", part.alias("part")).agg(F.sum("size").alias("in_part"))
-    ahead = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # Words of a source up to each document: totals of the slices of its shuffled order, then sums inside a slice. A
+    # source is cut by the number of its own rows.
+    of = targets.join(counts.select(F.col("source").alias("c"), "n"), F.col("source").eqNullSafe(F.col("c"))).drop("c")
+    of = cut(of.withColumnRenamed("source", "s"), "targets")
+    of = F.broadcast(of) if of.count() <= BROADCAST_SOURCES else of
+    spread = F.conv(F.substring("r", 1, 8), 16, 10).cast("long")
+    sliced = sized.join(of, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("part", _slice_of(spread, F.col("n")))
+    parts = sliced.groupBy("rank", "part").agg(F.sum("size").alias("in_part"))
+    ahead = Window.partitionBy("rank").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("offset", F.coalesce(F.sum("in_part").over(ahead), F.lit(0))).drop("in_part")
-    of = targets.withColumnRenamed("source", "s")
-    of = F.broadcast(of) if of.count() <= SLICE_ROWS else of
-    known = parts.join(of, F.col("source").eqNullSafe(F.col("s"))).drop("source").withColumnRenamed("part", "p")
-    inside = Window.partitionBy("source", "part").orderBy("r", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    queued = sized.withColumn("part", part).withColumn("run", F.sum("size").over(inside))
-    queued = queued.join(known, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
+    inside = Window.partitionBy("rank", "part").orderBy("r", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    queued = sliced.withColumn("run", F.sum("size").over(inside)).join(parts, ["rank", "part"])
     queued = cut(
         queued.select(
             "doc_id", "source", "size", "r", "rank", "weight", "source_size", "target", (F.col("offset") + F.col("run")).alias("sent")
@@ -108,7 +114,7 @@ def mix_sources(
     # The water level is where it ends but for the last documents, so the ranges are cut fine up to there.
     copies = queued.where("size > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))))
     copies = copies.select(F.struct(finish(F.col("epoch")).alias("finish"), "rank", "r", "doc_id", "size").alias("at"), "size")
-    slices = max(1, rows * max_epochs // SLICE_ROWS)
+    slices = max(1, rows * max_epochs // RANGE_ROWS)
     place = F.floor(F.col("at.finish") / F.lit(level or 1.0) * slices)
     copies = copies.withColumn("range", F.least(place, F.lit(2 * slices)))
     upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
