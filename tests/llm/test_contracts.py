@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -39,6 +40,30 @@ def test_op1(spark):
     assert len(got) == len(pages)
 
 
+def test_op3(spark):
+    """Every document once; the held-out rows by plain CRC-32; labels of held-out rows change no score."""
+    import zlib
+
+    from pyspark.sql import functions as F
+
+    from glossmill.llm import toxicity
+
+    got = result(Q.op3_toxicity(spark, SF), "doc_id")
+    docs, labels = (spark.read.parquet(f"{SF}/{x}.parquet") for x in ("documents", "labels"))
+    texts = {d.doc_id: d.text for d in docs.collect()}
+    assert got.keys() == texts.keys()
+    for i, r in got.items():
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
+    flipped = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    machine = toxicity.fit(docs, flipped)
+    for i, r in got.items():  # the machine written out, with every pair of terms
+        terms = sorted(machine.terms_of((texts[i] or "").encode()))
+        raw = machine.bias + sum(machine.weights[t] for t in terms)
+        f = machine.factors[terms]
+        raw += sum(float(f[a] @ f[b]) for a in range(len(terms)) for b in range(a)) if len(terms) < 60 else 0.5 * float((f.sum(0) ** 2).sum() - (f**2).sum())
+        assert r.score == pytest.approx(float(1 / (1 + np.exp(-min(max(raw, -30.0), 30.0)))), abs=1e-9)
+
+
 def test_op4(spark):
     got = result(Q.op4_quality(spark, SF), "doc_id")
     docs = rows(spark, "documents")
@@ -107,6 +132,24 @@ def test_op8(spark):
     most = {s: max(n for i, n in size.items() if source[i] == s) for s in names}
     assert all(abs(taken[s] - target[s]) <= most[s] for s in names)
     assert sum(taken.values()) <= 1.5 * sum(total.values())
+    # The fair queue itself: every copy in the order of its finish time, from the same shuffled order of each source.
+    import xxhash as xx
+
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    place = {d.doc_id: md5(f"{md5(f'mix:{d.doc_id}')}:{signed(xx.xxh64_intdigest((d.text or '').encode(), 42))}") for d in docs if d.text is not None}
+    copies, sent = [], defaultdict(int)
+    for i in sorted(place, key=lambda i: (place[i], i, size[i])):
+        s = source[i]
+        sent[s] += size[i]
+        copies += [((e * total[s] + sent[s]) / weight[s], names.index(s), place[i], i) for e in (0, 1) if size[i]]
+    plan, used = defaultdict(int), 0
+    for *_, i in sorted(copies):
+        used += size[i]
+        if used > 1.5 * sum(total.values()):
+            break
+        plan[i] += size[i]
+    assert {i: r.taken for i, r in got.items()} == {i: plan[i] for i in got}
     assert {(r.doc_id, r.taken) for r in got.values()} == {(r.doc_id, r.taken) for r in Q.op8_mixing(spark, SF).collect()}
 
 

@@ -247,8 +247,52 @@ def test_warc(spark):
         record = warc.arc_record(version, "http://x/", "19990102030405", b"HTTP/1.0 200 OK\r\n\r\nbody", 0, "f")
         head, body = warc.parse_arc(warc.arc_head(version, "f", "19990102030405") + record)
         assert head["url"].startswith("filedesc:") and body["block"].endswith(b"body") and body["date"] == "19990102030405"
-    with pytest.raises(ValueError):
-        list(warc.parse_arc(record[:-9]))
+    *_, last = warc.parse_arc(warc.arc_head(2, "f", "19990102030405") + record + record[:-9])
+    assert last["error"] and last["block"] == record[:-9]
     empty = common.scratch_path(spark, "warc")
     warc.write_warc(warc.mark_revisits(warc.convert_arc(warc.write_arc(df.limit(0)))), empty)
     assert warc.read_warc(spark, empty).count() == 0
+
+
+def test_warc_odd_urls_and_broken_archives(spark):
+    """URLs that look like heads or lookups are pages; gzip archives are read; what is cut off is set aside."""
+    import gzip
+
+    urls = ["filedesc://x", "filedesc:", "dns:a.org", "http://a"]
+    df = spark.createDataFrame([(i, u, f"page {i}") for i, u in enumerate(urls)], "page_id long, url string, html string").coalesce(1)
+    content = bytes(warc.write_arc(df).first().content)
+    archives = spark.createDataFrame([(gzip.compress(content),), (content[:-4],), (b"junk",), (b"",)], "content binary")
+    kinds = [(r.page_id, r.record_type) for r in warc.convert_arc(archives).collect() if r.record_type != "warcinfo"]
+    assert sorted(kinds, key=str) == sorted([*[(i, "response") for i in range(4)], *[(i, "response") for i in range(3)], (None, "conversion"), (None, "conversion")], key=str)
+    path = common.scratch_path(spark, "warc")
+    big = df.withColumn("html", F.when(F.col("page_id") > 1, F.concat("html", F.repeat(F.lit("x y "), 30_000))).otherwise(F.col("html")))
+    warc.write_warc(warc.mark_revisits(warc.convert_arc(warc.write_arc(big))), path, file_bytes=200_000)
+    assert spark.read.format("binaryFile").load(path).count() >= 3
+    back = warc.read_warc(spark, path)
+    assert sorted(r.payload_bytes for r in back.where("page_id IS NOT NULL").collect()) == [6, 6, 120_006, 120_006]
+    cut_off = common.scratch_path(spark, "warc")
+    lines = [r.value for r in spark.read.text(path, lineSep="\r\n\r\n").limit(1).collect()]
+    spark.createDataFrame([(lines[0],)], "value string").write.option("compression", "gzip").text(cut_off)
+    assert [r.record_type for r in warc.read_warc(spark, cut_off).collect()] == ["broken"]
+
+
+CLASHES = "_key _n _toxic_score _kept _row_key _cuts _cut_id found _found score row key cuts kept fp part source_size id text_key n_hit toxic of all".split()
+
+
+@pytest.mark.parametrize("name", ["toxicity", "line_dedup", "near_duplicates", "decontamination"])
+def test_clashing_columns_stay(spark, name, tmp_path):
+    """Stages keep columns that have the names of their own, with their values, and work on wide empty tables."""
+    import corpus_pipeline
+
+    run = " ".join(f"r{i}" for i in range(60))
+    docs = docs_of(spark, f"a b\n{run}", f"c d\n{run}", "e f g", "e f g", None, "").select("doc_id", "text", "lang", "source", "n_chars")
+    for k, c in enumerate(CLASHES):
+        docs = docs.withColumn(c, F.lit(k)) if c not in docs.columns else docs
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "zz yy xx")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stage = dict(corpus_pipeline.STAGES)[name]
+    out = stage(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert 3 <= len(rows) <= 6 and all(r[c] == k for r in rows for k, c in enumerate(CLASHES))
+    assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
