@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -196,51 +198,102 @@ def _resample(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     return x[low] * (1 - part) + x[high] * part
 
 
-def augment(x: np.ndarray, technique: str, draw: np.random.Generator) -> np.ndarray:
-    """One augmentation of a clip of shape (frames, points, coordinates); points that were not seen stay zero."""
+#: Points of the body and of the hands in the 83-point layout, first and end; a hand's first point is its wrist.
+BODY, HANDS = (0, 33), ((33, 54), (54, 75))
+# Strengths of the techniques, of which the number of an augmentation picks one, and ranges of draws.
+LEVELS = {
+    "noise": (0.01, 0.02, 0.03),
+    "translation": (0.1, 0.2, 0.3),
+    "occlusion": (0.15, 0.25, 0.35),
+    "speed": (0.75, 1.25),
+    "temporal_warp": (0.2, 0.3, 0.5),
+}
+SCALES, HAND_SCALES, BODY_SCALES = (0.7, 1.5), (0.8, 1.2), (0.9, 1.1)
+SHEAR, TURN, VIEW = 0.1, math.radians(5), 0.15
+
+
+def _middle(x: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Mean of the seen points of each frame, zero if there are none."""
+    n = there.sum(1, keepdims=True)
+    return np.where(there, x, 0).sum(1, keepdims=True) / np.maximum(n, 1)
+
+
+def _turn(x: np.ndarray, i: int, j: int, angle: float) -> np.ndarray:
+    """The plane of coordinates ``i`` and ``j`` turned by an angle."""
+    out = x.copy()
+    out[..., i] = np.cos(angle) * x[..., i] - np.sin(angle) * x[..., j]
+    out[..., j] = np.sin(angle) * x[..., i] + np.cos(angle) * x[..., j]
+    return out
+
+
+def augment(
+    x: np.ndarray, technique: str, draw: np.random.Generator, number: int = 0,
+    body: tuple[int, int] = BODY, hands: tuple[tuple[int, int], ...] = HANDS,
+) -> np.ndarray:
+    """One augmentation of a clip of shape (frames, points, coordinates); points that were not seen stay zero.
+
+    ``number`` picks the technique's level and the hand that is dropped. ``geometric`` shears and turns each frame about
+    the middle of its seen points, ``combined`` scales the outcome as well; ``viewpoint`` turns about the x axis, then
+    the y axis, or in the plane if there are two coordinates; ``proportion`` scales each hand about its wrist and the
+    body about its own middle.
+    """
     there = (x[..., :2] != 0).any(-1, keepdims=True)
-    middle = x[there[..., 0]].mean(0) if there.any() else np.zeros(x.shape[-1])
+    level = LEVELS[technique][number % len(LEVELS[technique])] if technique in LEVELS else 0.0
     if technique == "flip":
         return x * np.r_[-1.0, np.ones(x.shape[-1] - 1)]
     if technique == "translation":
-        return np.where(there, x + np.r_[draw.uniform(-0.2, 0.2, 2), np.zeros(x.shape[-1] - 2)], x)
-    if technique in ("scaling", "proportion"):
-        s = draw.uniform(0.7, 1.5) if technique == "scaling" else draw.uniform(0.9, 1.1, x.shape[-1])
-        return np.where(there, (x - middle) * s + middle, x)
+        return np.where(there, x + np.r_[draw.uniform(-level, level, 2), np.zeros(x.shape[-1] - 2)], x)
+    if technique == "scaling":
+        middle = x[there[..., 0]].mean(0) if there.any() else np.zeros(x.shape[-1])
+        return np.where(there, (x - middle) * draw.uniform(*SCALES) + middle, x)
     if technique == "noise":
-        return np.where(there, x + draw.normal(0, 0.02, x.shape), x)
+        return np.where(there, x + draw.normal(0, level, x.shape), x)
     if technique == "occlusion":
-        return x * (draw.random((1, x.shape[1], 1)) >= 0.25)
+        gone = draw.permutation(x.shape[1])[: int(x.shape[1] * level)]
+        out = x.copy()
+        out[:, gone] = 0
+        return out
     if technique == "hand_drop":
-        keep = np.ones((1, x.shape[1], 1))
-        half = x.shape[1] // 2
-        keep[:, half:] = 0 if draw.random() < 0.5 else 1
-        if keep.all():
-            keep[:, :half] = 0
-        return x * keep
+        out, (start, end) = x.copy(), hands[number % len(hands)]
+        out[:, start:end] = 0
+        return out
     if technique == "speed":
-        n = max(1, int(len(x) / draw.uniform(0.8, 1.25)))
-        return _resample(x, np.linspace(0, len(x) - 1, n))
+        return _resample(x, np.linspace(0, len(x) - 1, max(1, int(len(x) / level))))
     if technique == "temporal_warp" and len(x) >= 4:
-        steps = np.cumsum(draw.uniform(0.5, 1.5, len(x) - 1))
+        steps = np.cumsum(draw.uniform(1 - level, 1 + level, len(x) - 1))
         return _resample(x, np.r_[0, steps / steps[-1] * (len(x) - 1)])
-    if technique in ("viewpoint", "geometric", "combined") and x.shape[-1] >= 2:
-        a = draw.normal(0, 0.1)
-        y = x - middle
-        turned = y.copy()
-        turned[..., 0] = np.cos(a) * y[..., 0] - np.sin(a) * y[..., 1]
-        turned[..., 1] = np.sin(a) * y[..., 0] + np.cos(a) * y[..., 1]
-        if technique != "viewpoint":
-            turned[..., 0] += draw.normal(0, 0.05) * y[..., 1]
-        return np.where(there, turned + middle, x)
+    if technique == "proportion":
+        out, hand, torso = x.copy(), draw.uniform(*HAND_SCALES), draw.uniform(*BODY_SCALES)
+        for start, end in hands:
+            wrist = x[:, start : start + 1]
+            out[:, start:end] = (x[:, start:end] - wrist) * hand + wrist
+        part = slice(*body)
+        middle = _middle(x[:, part], there[:, part])
+        out[:, part] = (x[:, part] - middle) * torso + middle
+        return np.where(there, out, x)
+    middle = _middle(x, there)
+    if technique == "viewpoint":
+        rx, ry = draw.uniform(-VIEW, VIEW, 2)
+        out = _turn(_turn(x - middle, 1, 2, rx), 2, 0, ry) if x.shape[-1] > 2 else _turn(x - middle, 0, 1, ry)
+        return np.where(there, out + middle, x)
+    if technique in ("geometric", "combined"):
+        out, (sx, sy) = x.copy(), draw.normal(0, SHEAR, 2)
+        out[..., 0] += sx * x[..., 1]
+        out[..., 1] += sy * out[..., 0]
+        middle = _middle(out, there)
+        out = np.where(there, _turn(out - middle, 0, 1, draw.normal(0, TURN)) + middle, x)
+        return out if technique == "geometric" else augment(out, "scaling", draw, number)
     return x
 
 
-def augment_clips(clips: DataFrame, plan: DataFrame, parts: int | None = None) -> DataFrame:
+def augment_clips(
+    clips: DataFrame, plan: DataFrame, parts: int | None = None, body: tuple[int, int] = BODY, hands: tuple[tuple[int, int], ...] = HANDS
+) -> DataFrame:
     """New clips ``(clip_id, aug_id, technique, clip)``, one for each row of ``plan(clip_id, aug_id, technique)``.
 
     Clips meet their plan by an equi-join and are spread by clip and number, as the output is many times the input. The
-    random draw of a row depends on its clip and number only, so a retried task gives the same clip.
+    random draw of a row depends on its clip and number only, so a retried task gives the same clip. ``body`` and
+    ``hands`` say where these points are (first and end).
     """
 
     def run(batches):
@@ -249,7 +302,8 @@ def augment_clips(clips: DataFrame, plan: DataFrame, parts: int | None = None) -
             for row in pdf.itertuples(index=False):
                 x = np.array([[np.asarray(p, float) for p in frame] for frame in row.clip])
                 draw = np.random.default_rng(abs(int(row.seed)))
-                out.append((row.clip_id, row.aug_id, row.technique, augment(x, row.technique, draw).tolist()))
+                made = augment(x, row.technique, draw, int(row.aug_id), body, hands)
+                out.append((row.clip_id, row.aug_id, row.technique, made.tolist()))
             yield pd.DataFrame(out, columns=["clip_id", "aug_id", "technique", "clip"])
 
     rows = clips.join(plan, "clip_id").withColumn("seed", F.xxhash64("clip_id", "aug_id"))

@@ -12,6 +12,11 @@ def class_frequencies(clips: DataFrame) -> DataFrame:
     return clips.groupBy("gloss").agg(F.count_distinct("video_id").alias("videos"))
 
 
+def min_length(clips: DataFrame, n: int = 5) -> DataFrame:
+    """Clips of at least ``n`` frames."""
+    return clips.where(F.col("n_frames") >= n)
+
+
 def label_clips(clips: DataFrame, mapping: DataFrame) -> DataFrame:
     """Clips with the class of their video; clips without one are left out."""
     return clips.join(mapping, "video_id")

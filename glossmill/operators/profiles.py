@@ -261,3 +261,21 @@ def worst_best(report: DataFrame, n: int = 10) -> DataFrame:
     """The ``n`` worst and the ``n`` best classes; ties by name."""
     worst = report.orderBy("accuracy", "true_gloss").limit(n).withColumn("side", F.lit("worst"))
     return worst.unionByName(report.orderBy(F.desc("accuracy"), "true_gloss").limit(n).withColumn("side", F.lit("best")))
+
+
+def motion_complexity(moves: DataFrame, predictions: DataFrame, by: str = "clip_id") -> DataFrame:
+    """Accuracy of clips by how much their movement varies, in thirds.
+
+    ``moves(clip_id, frame_idx, move)`` has the displacement from the frame before (null for the first); a clip's
+    complexity is the population spread of its moves. ``predictions(clip_id, correct)``. The bounds are the exact
+    percentiles 33 and 66 of all clips, one row that is joined to all. Returns ``(complexity, clips, accuracy, spread)``.
+    """
+    spread = moves.groupBy(by).agg(F.stddev_pop("move").alias("spread"))
+    known = predictions.join(spread, by).where("spread IS NOT NULL")
+    bounds = known.agg(F.percentile("spread", F.array(F.lit(0.33), F.lit(0.66))).alias("b"))
+    name = F.when(F.col("spread") <= F.col("b")[0], "low").when(F.col("spread") <= F.col("b")[1], "medium").otherwise("high")
+    return (
+        known.crossJoin(F.broadcast(bounds))
+        .groupBy(name.alias("complexity"))
+        .agg(F.count("*").alias("clips"), F.avg(F.col("correct").cast("int")).alias("accuracy"), F.avg("spread").alias("spread"))
+    )

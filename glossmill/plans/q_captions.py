@@ -202,5 +202,5 @@ def survey_round_trip(spark, sf_dir):
 def predictions_round_trip(spark, sf_dir):
     path = scratch_path(spark, "predictions")
     P.predictions(spark, sf_dir).write.json(path)
-    back = spark.read.schema(readers.PREDICTION).json(path)
+    back = readers.read_predictions(spark, path)
     return back.groupBy("true_gloss").agg(F.count("*").alias("n"), F.round(F.sum(F.col("top_k")[0]["confidence"]), 4).alias("confidence"))

@@ -253,7 +253,7 @@ def augment_clips(spark, sf_dir):
     frames = P.frames(spark, sf_dir)
     sizes = frames.select(F.col("clip_id").alias("key")).distinct().withColumn("n", F.lit(12))
     plan = splits.augmentation_sequence(sizes).select(F.col("key").alias("clip_id"), F.col("aug_no").alias("aug_id"), "technique")
-    out = L.augment_clips(L.clip_arrays(frames), plan)
+    out = L.augment_clips(L.clip_arrays(frames), plan, body=(0, 7), hands=((7, 14), (14, 21)))
     return out.select("clip_id", "aug_id", "technique", F.size("clip").alias("frames"), L.energy(F.flatten("clip")).alias("s"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from glossmill.functions import bleu as B
 from glossmill.functions import vectors as V
@@ -32,18 +33,33 @@ def compare_versions(spark, sf_dir):
     return rounded(X.compare_versions(rows), "d_a", "d_b", "rank_correlation")
 
 
-def _brands(spark, sf_dir, where):
-    return P.table(spark, sf_dir, "part").where(where).select(F.col("p_brand").alias("gloss"))
+def _halves(spark, sf_dir):
+    """Brands with types, of small and of large parts."""
+    part = P.table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_brand", "p_type").alias("gloss"), (F.col("p_size") <= 25).alias("small"))
+    return part.where("small"), part.where("NOT small")
 
 
-@query("union_glosses", "SELECT DISTINCT p_brand AS gloss FROM part WHERE p_size = 1 OR p_size = 2 ORDER BY 1")
+@query("union_glosses", "SELECT DISTINCT concat(p_brand, ' ', p_type) AS gloss FROM part ORDER BY 1")
 def union_glosses(spark, sf_dir):
-    return X.union_glosses(_brands(spark, sf_dir, "p_size = 1"), _brands(spark, sf_dir, "p_size = 2"))
+    return X.union_glosses(*_halves(spark, sf_dir))
 
 
-@query("shared_glosses", "SELECT p_brand AS gloss FROM part WHERE p_size = 1 INTERSECT SELECT p_brand FROM part WHERE p_size = 2")
+@query("shared_glosses", "SELECT concat(p_brand, ' ', p_type) AS gloss FROM part WHERE p_size <= 25 INTERSECT SELECT concat(p_brand, ' ', p_type) FROM part WHERE p_size > 25")
 def shared_glosses(spark, sf_dir):
-    return X.shared_glosses(_brands(spark, sf_dir, "p_size = 1"), _brands(spark, sf_dir, "p_size = 2"))
+    return X.shared_glosses(*_halves(spark, sf_dir))
+
+
+@query(
+    "motion_complexity",
+    f"""WITH {P.MOTION_SQL}, m AS (SELECT clip_id, abs(v - lag(v) OVER (PARTITION BY clip_id ORDER BY frame_idx)) AS move FROM motion),
+s AS (SELECT clip_id, stddev_pop(move) AS spread FROM m GROUP BY 1 HAVING stddev_pop(move) IS NOT NULL), b AS (SELECT quantile_cont(spread, 0.33) AS lo, quantile_cont(spread, 0.66) AS hi FROM s)
+SELECT CASE WHEN spread <= lo THEN 'low' WHEN spread <= hi THEN 'medium' ELSE 'high' END AS complexity, count(*) AS clips, round(avg(CAST(clip_id % 3 > 0 AS INT)), 6) AS accuracy, round(avg(spread), 6) AS spread FROM s, b GROUP BY 1""",
+)
+def motion_complexity(spark, sf_dir):
+    rows = P.motion(spark, sf_dir)
+    step = F.abs(F.col("v") - F.lag("v").over(Window.partitionBy("clip_id").orderBy("frame_idx")))
+    right = rows.select("clip_id", (F.col("clip_id") % 3 > 0).alias("correct")).distinct()
+    return rounded(PR.motion_complexity(rows.withColumn("move", step), right), "accuracy", "spread")
 
 
 @query(

@@ -300,15 +300,20 @@ def category_stats(spark, sf_dir):
 
 @query(
     "missing_coverage",
-    """WITH a AS (SELECT DISTINCT n_name AS gloss FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 50 = 0),
-b AS (SELECT DISTINCT n_name AS gloss FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 4 = 1)
+    """WITH g AS (SELECT concat(n_name, ' ', c_mktsegment) AS gloss, c_acctbal < 0 AS owes FROM customer JOIN nation ON c_nationkey = n_nationkey),
+a AS (SELECT DISTINCT gloss FROM g WHERE owes), b AS (SELECT DISTINCT gloss FROM g WHERE NOT owes)
 SELECT gloss, 'missing' AS side FROM a WHERE gloss NOT IN (SELECT gloss FROM b) UNION ALL SELECT gloss, 'extra' FROM b WHERE gloss NOT IN (SELECT gloss FROM a)""",
 )
 def missing_coverage(spark, sf_dir):
-    nation = P.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("gloss"))
-    a = P.table(spark, sf_dir, "customer").where("c_custkey % 50 = 0").join(nation, F.col("c_nationkey") == F.col("k"))
-    b = P.table(spark, sf_dir, "supplier").where("s_suppkey % 4 = 1").join(nation, F.col("s_nationkey") == F.col("k"))
-    return M.missing_coverage(a, b)
+    nation = P.table(spark, sf_dir, "nation")
+    rows = P.table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = rows.select(F.concat_ws(" ", "n_name", "c_mktsegment").alias("gloss"), (F.col("c_acctbal") < 0).alias("owes"))
+    return M.missing_coverage(rows.where("owes"), rows.where("NOT owes"))
+
+
+@query("min_length", f"{_WITH} SELECT gloss, count(*) AS clips FROM clips WHERE n_frames >= 40 GROUP BY 1")
+def min_length(spark, sf_dir):
+    return M.min_length(P.clips(spark, sf_dir), 40).groupBy("gloss").agg(F.count("*").alias("clips"))
 
 
 @query("exclude", "SELECT p_brand AS gloss, count(*) AS n FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size = 1 AND p_partkey % 3 = 0) GROUP BY 1")
@@ -334,18 +339,19 @@ def class_mapping(spark, sf_dir):
     return M.class_mapping(P.table(spark, sf_dir, "part").select(F.col("p_brand").alias("gloss")))
 
 
-@query("signer_coverage", f"{_WITH}, s AS (SELECT signer_id, count(DISTINCT gloss) AS glosses FROM clips WHERE video_id % 40 = 0 GROUP BY 1) SELECT *, row_number() OVER (ORDER BY glosses DESC, signer_id) AS rank FROM s")
+@query("signer_coverage", f"{_WITH}, s AS (SELECT signer_id, count(DISTINCT gloss) AS glosses FROM clips GROUP BY 1) SELECT *, row_number() OVER (ORDER BY glosses DESC, signer_id) AS rank FROM s")
 def signer_coverage(spark, sf_dir):
-    return M.signer_coverage(P.clips(spark, sf_dir).where("video_id % 40 = 0"))
+    return M.signer_coverage(P.clips(spark, sf_dir))
 
 
 @query(
     "signer_missing",
-    f"{_WITH}, x AS (SELECT * FROM clips WHERE aug_id = 7) SELECT gloss, min(signer_id) AS alternative, count(DISTINCT signer_id) - 1 AS others FROM x WHERE gloss NOT IN (SELECT gloss FROM x WHERE signer_id = 3 AND n_frames < 30) AND signer_id <> 3 GROUP BY 1",
+    """WITH x AS (SELECT l_partkey AS gloss, l_suppkey % 10 AS signer_id FROM lineitem)
+SELECT gloss, min(signer_id) AS alternative, count(DISTINCT signer_id) - 1 AS others FROM x WHERE gloss NOT IN (SELECT gloss FROM x WHERE signer_id = 3) GROUP BY 1""",
 )
 def signer_missing(spark, sf_dir):
-    x = P.clips(spark, sf_dir).where("aug_id = 7 AND (signer_id != 3 OR n_frames < 30)")
-    return M.signer_missing(x, 3)
+    rows = P.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("gloss"), (F.col("l_suppkey") % 10).alias("signer_id"))
+    return M.signer_missing(rows, 3)
 
 
 @query("pool_index", f"{_WITH} SELECT gloss, string_agg(clip_id, ' ' ORDER BY clip_id) AS files FROM clips GROUP BY 1")
@@ -356,17 +362,18 @@ def pool_index(spark, sf_dir):
 
 @query(
     "domain_overlap",
-    f"""{_WITH}, e AS (SELECT DISTINCT signer_id AS domain, gloss FROM clips WHERE video_id % 60 = 1), h AS (SELECT gloss, count(*) AS n FROM e GROUP BY 1)
+    """WITH e AS (SELECT DISTINCT l_suppkey % 10 AS domain, l_partkey AS gloss FROM lineitem), h AS (SELECT gloss, count(*) AS n FROM e GROUP BY 1)
 SELECT domain, count(*) FILTER (n > 1) AS shared, count(*) FILTER (n = 1) AS unique_glosses FROM e JOIN h USING (gloss) GROUP BY 1""",
 )
 def domain_overlap(spark, sf_dir):
-    return M.domain_overlap(P.clips(spark, sf_dir).where("video_id % 60 = 1").select(F.col("signer_id").alias("domain"), "gloss"))
+    rows = P.table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 10).alias("domain"), F.col("l_partkey").alias("gloss"))
+    return M.domain_overlap(rows)
 
 
-@query("pick_sample", f"{_WITH}, o AS (SELECT gloss, min(clip_id) AS clip_id FROM clips WHERE is_augmented GROUP BY 1) SELECT p_partkey AS pos, p_brand AS gloss, clip_id FROM part LEFT JOIN o ON gloss = p_brand")
+@query("pick_sample", f"{_WITH}, o AS (SELECT gloss, min(clip_id) AS clip_id FROM clips GROUP BY 1) SELECT p_partkey AS pos, p_brand AS gloss, clip_id FROM part LEFT JOIN o ON gloss = p_brand")
 def pick_sample(spark, sf_dir):
     wanted = P.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), F.col("p_brand").alias("gloss"))
-    return M.pick_sample(wanted, P.clips(spark, sf_dir).where("is_augmented"))
+    return M.pick_sample(wanted, P.clips(spark, sf_dir))
 
 
 @query(

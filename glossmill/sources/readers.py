@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 
 import numpy as np
 import pandas as pd
@@ -115,9 +116,45 @@ def read_survey(spark: SparkSession, path: str, first: int = 4, n: int = 53) ->
     return rows.select("rater", "sentence_id", F.col("cell").try_cast("int").alias("rating")).where("rating IS NOT NULL")
 
 
+def _is_lines(spark: SparkSession, path: str) -> bool:
+    """Whether the JSON under ``path`` has one object a line; else it is one array or object over many lines."""
+    first = spark.read.text(path).where(F.trim("value") != "").first()
+    if first is None:
+        return True
+    text = first[0].strip()
+    return text.startswith("{") and text.endswith("}")
+
+
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """Predictions from JSON, lines or one array."""
-    return spark.read.schema(PREDICTION).json(path, multiLine=True)
+    """Predictions from JSON: one object a line, or one array in a file. All files under ``path`` have one of the forms."""
+    return spark.read.schema(PREDICTION).json(path, multiLine=not _is_lines(spark, path))
+
+
+_SCORES = [f"{side}_{name}" for side in ("baseline", "model") for name in (
+    "bleu", "bertscore", "quality", "plausibility", "composite", "composite_v2", "coverage_recall", "coverage_precision", "coverage_f1", "ptr",
+)]
+EVAL_ENTRY = (
+    "entry_id long, glosses array<string>, reference_sentence string, predicted_sentence string, predicted_response_raw string, "
+    f"predicted_glosses array<struct<top_prediction:string,confidence:double,top_k:array<{CANDIDATE}>>>, "
+    + ", ".join(f"{x} double" for x in _SCORES)
+    + ", gloss_accuracy double, gloss_correct long, gloss_total long, "
+    "gloss_mismatches array<struct<position:int,predicted:string,original:string>>, effective_glosses array<string>, "
+    "missing_words array<string>, hallucinated_words array<string>, status string"
+)
+
+
+def read_eval_entries(spark: SparkSession, path: str) -> DataFrame:
+    """Evaluation entries from JSON: one object a line, one array, or one object whose ``entries`` or ``results`` is the array."""
+    listed = f"array<struct<{_fields(EVAL_ENTRY)}>>"
+    nested = spark.read.schema(f"entries {listed}, results {listed}, {EVAL_ENTRY}").json(path, multiLine=not _is_lines(spark, path))
+    names = [x for x in nested.columns if x not in ("entries", "results")]
+    inner = F.coalesce("entries", "results")
+    return nested.select(F.explode(F.coalesce(inner, F.array(F.struct(*names)))).alias("e")).select("e.*")
+
+
+def _fields(schema: str) -> str:
+    """A flat column list as the fields of a struct."""
+    return re.sub(r"(^|, )(\w+) ", r"\1\2:", schema)
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:

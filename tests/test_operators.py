@@ -174,6 +174,40 @@ def test_augmentation_is_repeatable_and_keeps_unseen_points():
     assert np.array_equal(L.augment(L.augment(x, "flip", None), "flip", None), x)
 
 
+def test_augmentation_values():
+    """Hands keep their wrists, a view from the side keeps distances, levels follow the number, hands drop in turn."""
+    x = np.random.default_rng(1).normal(0, 1, (6, 83, 3))
+    out = L.augment(x, "proportion", np.random.default_rng(2))
+    for start, end in L.HANDS:
+        k = np.linalg.norm(out[:, start + 1 : end] - out[:, start : start + 1], axis=-1) / np.linalg.norm(x[:, start + 1 : end] - x[:, start : start + 1], axis=-1)
+        assert np.allclose(out[:, start], x[:, start]) and np.allclose(k, k[0, 0]) and 0.8 <= k[0, 0] <= 1.2
+    assert np.allclose(out[:, :33].mean(1), x[:, :33].mean(1)) and np.array_equal(out[:, 75:], x[:, 75:])
+    turned = L.augment(x, "viewpoint", np.random.default_rng(3))
+    assert np.allclose(np.linalg.norm(turned[:, 1] - turned[:, 0], axis=-1), np.linalg.norm(x[:, 1] - x[:, 0], axis=-1)) and not np.allclose(turned[..., 2], x[..., 2])
+    plain, both = (L.augment(x, t, np.random.default_rng(4)) for t in ("geometric", "combined"))
+    assert not np.allclose(plain, both) and np.allclose((both - both.mean((0, 1))) / (plain - plain.mean((0, 1))), (both - both.mean((0, 1)))[0, 0, 0] / (plain - plain.mean((0, 1)))[0, 0, 0])
+    spreads = [(L.augment(x, "noise", np.random.default_rng(5), k) - x).std() for k in range(3)]
+    assert np.allclose(spreads, [0.01, 0.02, 0.03], rtol=0.1)
+    assert [int((L.augment(x, "occlusion", np.random.default_rng(6), k)[0] == 0).all(-1).sum()) for k in range(3)] == [12, 20, 29]
+    assert [[(L.augment(x, "hand_drop", None, k)[:, a:b] == 0).all() for a, b in L.HANDS] for k in range(2)] == [[True, False], [False, True]]
+    assert [len(L.augment(x, "speed", None, k)) for k in range(2)] == [8, 4]
+
+
+def test_prediction_and_entry_readers(spark, tmp_path):
+    row = {"sample_id": "a", "entry_id": 1, "top_k": [{"gloss": "EAT", "confidence": 0.5}]}
+    (tmp_path / "lines.json").write_text("\n" + "\n".join(json.dumps(row | {"entry_id": i}) for i in range(3)))
+    (tmp_path / "array.json").write_text(json.dumps([row | {"entry_id": i} for i in range(3)], indent=1))
+    for name in ("lines", "array"):
+        assert [r.entry_id for r in readers.read_predictions(spark, str(tmp_path / f"{name}.json")).orderBy("entry_id").collect()] == [0, 1, 2]
+    entry = {"entry_id": 1, "glosses": ["EAT"], "model_bleu": 2.5, "gloss_mismatches": [{"position": 0, "predicted": "A", "original": "B"}]}
+    many = [entry | {"entry_id": i} for i in range(3)]
+    shapes = {"l": "\n".join(map(json.dumps, many)), "a": json.dumps(many, indent=2), "e": json.dumps({"entries": many}), "r": json.dumps({"results": many, "n": 3}, indent=2)}
+    for name, text in shapes.items():
+        (tmp_path / f"{name}.json").write_text(text)
+        got = readers.read_eval_entries(spark, str(tmp_path / f"{name}.json")).orderBy("entry_id").collect()
+        assert [(r.entry_id, r.model_bleu, r.gloss_mismatches[0].original) for r in got] == [(i, 2.5, "B") for i in range(3)]
+
+
 def test_hands_open_and_closed(spark):
     def hand(bend):
         out = [[0.0, 0.0, 0.0]]
