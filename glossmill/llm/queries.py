@@ -180,19 +180,25 @@ WITH templates(license, words) AS (
   FROM raw
 ), parts AS (
   SELECT *, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS part FROM lines WHERE len(words) > 0
+), sentences AS (
+  SELECT doc_id, line, unnest(pieces) AS s, generate_subscripts(pieces, 1) - 1 AS sentence
+  FROM (SELECT doc_id, line, regexp_split_to_array(s, '[.!?][ \\t]+') AS pieces FROM raw)
+  WHERE len([x for x in pieces if regexp_matches(x, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]')]) > 1
 ), units AS (
-  SELECT doc_id, line AS line_from, line AS line_to, words FROM parts
+  SELECT doc_id, line AS line_from, line AS line_to, NULL::BIGINT AS sentence, words FROM parts
   UNION ALL
-  SELECT doc_id, min(line), max(line), flatten(list(words ORDER BY line)) FROM parts GROUP BY doc_id, part HAVING count(*) > 1
+  SELECT doc_id, line, line, sentence, regexp_extract_all(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') FROM sentences
+  UNION ALL
+  SELECT doc_id, min(line), max(line), NULL, flatten(list(words ORDER BY line)) FROM parts GROUP BY doc_id, part HAVING count(*) > 1
 ), sized AS (
-  SELECT doc_id, line_from, line_to, list_distinct([words[i] || ' ' || words[i + 1] for i in range(1, len(words))]) AS u
+  SELECT doc_id, line_from, line_to, sentence, list_distinct([words[i] || ' ' || words[i + 1] for i in range(1, len(words))]) AS u
   FROM units WHERE len(words) > 1
 ), scored AS (
-  SELECT doc_id, license, line_from, line_to, 2.0::DOUBLE * len(list_intersect(u, g)) / (len(u) + len(g)) AS dice
+  SELECT doc_id, license, line_from, line_to, sentence, 2.0::DOUBLE * len(list_intersect(u, g)) / (len(u) + len(g)) AS dice
   FROM sized JOIN grams ON len(g) >= 0.6 * len(u) AND len(u) >= 0.6 * len(g)
 )
-SELECT doc_id, license, dice, line_from, line_to FROM scored WHERE dice >= 0.8
-QUALIFY row_number() OVER (PARTITION BY doc_id, line_from, line_to ORDER BY dice DESC, license) = 1
+SELECT doc_id, license, dice, line_from, line_to, sentence FROM scored WHERE dice >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, line_from, line_to, sentence ORDER BY dice DESC, license) = 1
 """
 
 

@@ -150,6 +150,12 @@ def test_licenses(spark, odd, none):
     words = full.split()
     wrapped = "\n".join(" ".join(words[i : i + 9]) for i in range(0, len(words), 9))
     assert {(r.license, r.line_from) for r in licenses.scan_licenses(docs_of(spark, "a b\n\n" + wrapped + "\n\nc d")).collect()} == {("MIT", 2)}
+    header = [t for n, t in licenses.TEMPLATES if n == "Apache-2.0"]
+    notice = "Copyright 2020 X\n\n" + header[2] + "\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n" + header[3]
+    got = {(r.license, r.line_from) for r in licenses.scan_licenses(docs_of(spark, notice)).where("sentence IS NULL").collect()}
+    assert {("Apache-2.0", 2), ("Apache-2.0", 6)} <= got
+    inside = licenses.scan_licenses(docs_of(spark, "Some words before. Released under the MIT License. And some more after it.")).collect()
+    assert [(r.license, r.line_from, r.sentence) for r in inside] == [("MIT", 0, 1)]
     assert licenses.scan_licenses(odd).count() == 0 and licenses.scan_licenses(none).count() == 0
 
 
