@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -34,19 +36,100 @@ def event_stream(spark, sf_dir):
     return _shape(spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*"))
 
 
-_SETTINGS = {"pause": 7200.0, "timeout": 36000.0, "questions": ("SIGNUP",), "ends": ("ERROR",)}
-
-
-@query("trigger_captions", None)
+# Both buffers as recursion over the number of the event: each step takes every session's next event.
+_SETTINGS = {"pause": 7200.0, "timeout": 36000.0, "session_end": 172800.0, "questions": ("SIGNUP",), "ends": ("ERROR",)}
+_DELAY = datetime.timedelta(hours=1)
+_KNOWN = "(SELECT (epoch_ms(max(ts)) - 3600000) / 1e3 FROM events)"
+
+
+def _watermark(spark, sf_dir):
+    """Where the watermark of the streams below ends, in whole milliseconds."""
+    micros = P.table(spark, sf_dir, "events").agg(F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()[0]
+    return datetime.datetime.fromtimestamp(0, datetime.timezone.utc) + datetime.timedelta(milliseconds=micros // 1000) - _DELAY
+
+
+def _event_sql(until: str | None) -> str:
+    known = f"WHERE epoch_us(ts) / 1e6 <= {until}" if until else ""
+    return f"""e AS (SELECT CAST(user_id AS VARCHAR) AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i,
+  epoch_us(ts) / 1e6 AS t, event_type AS g, value / 500 AS c FROM events {known})"""
+
+
+def _trigger_sql(until: str | None = None) -> str:
+    close = "{'at': %s, 'words': %s, 'confs': %s, 'reason': %s}"
+    idle = close % ("last_word + 7200", "words", "confs", "CASE WHEN len(words) > 1 THEN 'pause' ELSE 'idle' END")
+    return f"""WITH RECURSIVE {_event_sql(until)}, m AS (
+  SELECT DISTINCT s, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS words, CAST([] AS DOUBLE[]) AS confs, 0::DOUBLE AS last_word, CAST(NULL AS DOUBLE) AS last_call,
+    CAST(NULL AS STRUCT("at" DOUBLE, words VARCHAR[], confs DOUBLE[], reason VARCHAR)) AS o1, CAST(NULL AS STRUCT("at" DOUBLE, words VARCHAR[], confs DOUBLE[], reason VARCHAR)) AS o2 FROM e
+  UNION ALL SELECT s, i, CASE WHEN reason IS NULL THEN words ELSE [] END, CASE WHEN reason IS NULL THEN confs ELSE [] END, t, CASE WHEN reason IS NULL THEN last_call ELSE t END,
+    o1, CASE WHEN reason IS NOT NULL THEN {close % ("t", "words", "confs", "reason")} END
+  FROM (SELECT *, CASE WHEN len(words) >= 3 THEN 'full' WHEN upper(g) = 'SIGNUP' AND len(words) > 1 THEN 'question' WHEN upper(g) = 'ERROR' THEN 'end' WHEN t - last_call > 36000 THEN 'timeout' END AS reason
+    FROM (SELECT s, i, t, g, CASE WHEN due THEN [g] ELSE list_append(words, g) END AS words, CASE WHEN due THEN [c] ELSE list_append(confs, c) END AS confs, CASE WHEN due THEN {idle} END AS o1,
+        CASE WHEN t - last_word > 172800 THEN t ELSE coalesce(CASE WHEN due THEN last_word + 7200 ELSE last_call END, t) END AS last_call
+      FROM (SELECT m.s, e.i, m.words, m.confs, m.last_word, m.last_call, len(m.words) > 0 AND e.t - m.last_word > 7200 AS due, e.t, e.g, e.c FROM m JOIN e ON e.s = m.s AND e.i = m.i + 1)))),
+z AS (SELECT s, arg_max(words, i) AS words, arg_max(confs, i) AS confs, max(last_word) AS last_word FROM m GROUP BY 1),
+o AS (SELECT s, o1 AS o FROM m UNION ALL SELECT s, o2 FROM m UNION ALL SELECT s, {idle} FROM z WHERE len(words) > 0 {f"AND {until} - last_word > 7200" if until else ""})
+SELECT s AS session_id, make_timestamp(CAST(round(o.at * 1e6) AS BIGINT)) AS ts, array_to_string(o.words, ' ') AS text, len(o.words) AS n, round(list_sum(o.confs) / len(o.confs), 6) AS confidence, o.reason AS reason FROM o WHERE o IS NOT NULL"""
+
+
+def _count_sql(until: str | None = None) -> str:
+    return f"""WITH RECURSIVE {_event_sql(until)}, m AS (
+  SELECT DISTINCT s, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS waiting, CAST(0 AS BIGINT) AS total, 0::DOUBLE AS last_word, CAST(NULL AS DOUBLE) AS last_call,
+    CAST(NULL AS BIGINT) AS sent, CAST(NULL AS BIGINT) AS rest, CAST(NULL AS DOUBLE) AS rest_at FROM e
+  UNION ALL SELECT s, i, CASE WHEN out THEN 0 ELSE waiting END, total, t, CASE WHEN out THEN t ELSE last_call END, CASE WHEN out THEN waiting END, rest, rest_at
+  FROM (SELECT *, waiting >= 3 AND coalesce(t - last_call >= 7200, true) AS out
+    FROM (SELECT e.s, e.i, e.t, CASE WHEN t - last_word > 172800 THEN 1 ELSE waiting + 1 END AS waiting, CASE WHEN t - last_word > 172800 THEN 1 ELSE total + 1 END AS total,
+      CASE WHEN t - last_word <= 172800 THEN last_call END AS last_call, CASE WHEN t - last_word > 172800 AND waiting > 0 THEN total END AS rest, last_word AS rest_at FROM m JOIN e ON e.s = m.s AND e.i = m.i + 1))),
+z AS (SELECT s, arg_max(waiting, i) AS waiting, arg_max(total, i) AS total, max(last_word) AS last_word FROM m GROUP BY 1),
+o AS (SELECT s, last_word AS t, sent AS n, false AS is_rest FROM m WHERE sent IS NOT NULL UNION ALL SELECT s, rest_at, rest, true FROM m WHERE rest IS NOT NULL
+  UNION ALL SELECT s, last_word, total, true FROM z WHERE waiting > 0 {f"AND {until} - last_word > 172800" if until else ""})
+SELECT s AS session_id, make_timestamp(CAST(round(t * 1e6) AS BIGINT)) AS ts, n, is_rest FROM o"""
+
+
+@query("trigger_captions", _trigger_sql())
 def trigger_captions(spark, sf_dir):
-    return C.trigger_captions(events(spark, sf_dir), **_SETTINGS)
+    return rounded(_plain_times(C.trigger_captions(events(spark, sf_dir), **_SETTINGS), "ts"), "confidence")
 
 
-@query("trigger_caption_stream", None)
+@query("trigger_caption_stream", _trigger_sql(_KNOWN))
 def trigger_caption_stream(spark, sf_dir):
     path = scratch_path(spark, "captions")
     C.run_available(C.trigger_caption_stream(event_stream(spark, sf_dir), "1 hour", **_SETTINGS), path)
-    return spark.read.schema(C.CAPTION).parquet(path)
+    return rounded(_plain_times(spark.read.schema(C.CAPTION).parquet(path), "ts"), "confidence")
+
+
+@query("count_batches", _count_sql())
+def count_batches(spark, sf_dir):
+    return _plain_times(C.count_batches(events(spark, sf_dir), 3, 7200.0, session_end=172800.0), "ts")
+
+
+@query("count_batch_stream", _count_sql(_KNOWN))
+def count_batch_stream(spark, sf_dir):
+    path = scratch_path(spark, "counted")
+    C.run_available(C.count_batch_stream(event_stream(spark, sf_dir), "1 hour", 3, 7200.0, 172800.0), path)
+    return _plain_times(spark.read.schema(C.COUNTED).parquet(path), "ts")
+
+
+_SIGN_WINDOWS = """WITH v AS (SELECT CAST(user_id AS VARCHAR) AS session_id, ts, event_id FROM events WHERE value > 50),
+g AS (SELECT *, coalesce(CAST(ts - lag(ts) OVER w >= INTERVAL 6 HOUR AS INT), 0) AS new FROM v WINDOW w AS (PARTITION BY session_id ORDER BY ts, event_id)),
+b AS (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS block FROM g)
+SELECT session_id, min(ts) AS start_ts, max(ts) AS last_ts, count(*) AS moving FROM b GROUP BY session_id, block"""
+
+
+def _moving(frames):
+    return frames.withColumn("moves", F.col("confidence") * 500 > 50)
+
+
+@query("sign_windows", _SIGN_WINDOWS)
+def sign_windows(spark, sf_dir):
+    return _plain_times(C.sign_windows(_moving(events(spark, sf_dir)), "6 hours"), "start_ts", "last_ts")
+
+
+@query("sign_windows_stream", f"{_SIGN_WINDOWS} HAVING epoch_us(max(ts)) / 1e6 + 21600 <= (SELECT (epoch_ms(max(ts)) - 3600000) / 1e3 FROM events WHERE value > 50)")
+def sign_windows_stream(spark, sf_dir):
+    path = scratch_path(spark, "signs")
+    frames = _moving(event_stream(spark, sf_dir)).where("moves").withWatermark("ts", "1 hour")
+    C.run_available(C.sign_windows(frames, "6 hours"), path)
+    return _plain_times(spark.read.schema("session_id string, start_ts timestamp, last_ts timestamp, moving long").parquet(path), "start_ts", "last_ts")
 
 
 _EV = "ev AS (SELECT CAST(user_id AS VARCHAR) AS session_id, event_id, ts, event_type AS gloss, value / 500 AS confidence FROM events)"
@@ -87,11 +170,6 @@ def last_n(spark, sf_dir):
     return C.last_n(events(spark, sf_dir)).select("session_id", "event_id", F.array_join("recent", " ").alias("recent"))
 
 
-@query("count_batches", None)
-def count_batches(spark, sf_dir):
-    return C.count_batches(events(spark, sf_dir), 3, 7200.0)
-
-
 @query(
     "sign_activity",
     """WITH n AS (SELECT CAST(user_id AS VARCHAR) AS session_id, value > 50 AS moves, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
@@ -99,7 +177,7 @@ g AS (SELECT *, coalesce(CAST(i - lag(i) OVER (PARTITION BY session_id ORDER BY
 SELECT session_id, CAST(sign_no AS BIGINT) AS sign_no, min(i) AS start_frame, max(i) AS end_frame, count(*) AS moving FROM b GROUP BY 1, 2""",
 )
 def sign_activity(spark, sf_dir):
-    return C.sign_activity(events(spark, sf_dir).withColumn("moves", F.col("confidence") * 500 > 50))
+    return C.sign_activity(_moving(events(spark, sf_dir)))
 
 
 @query(

@@ -6,6 +6,8 @@ the one before. A session's events go through a small state machine in order of
 
 from __future__ import annotations
 
+import datetime
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -19,6 +21,7 @@ QUESTION_WORDS = ("WHAT", "WHERE", "WHEN", "WHO", "WHY", "HOW", "WHICH")
 END_WORDS = ("FINISH", "DONE", "END", "BYE", "THANK-YOU")
 
 CAPTION = "session_id string, ts timestamp, text string, n long, confidence double, reason string"
+COUNTED = "session_id string, ts timestamp, n long, is_rest boolean"
 
 
 @dataclass
@@ -26,12 +29,14 @@ class TriggerBuffer:
     """Buffers words and says when they become a caption.
 
     A word closes the buffer when it makes it full, is a question word that is not alone, is an end word, or comes more
-    than ``timeout`` seconds after the last caption. A silence of more than ``pause`` seconds closes it as it is.
+    than ``timeout`` seconds after the last caption. A silence of more than ``pause`` seconds closes it as it is. One of
+    more than ``session_end`` seconds ends the session: what follows knows of no earlier caption.
     """
 
     pause: float = 1.8
     full: int = 3
     timeout: float = 10.0
+    session_end: float = 1800.0
     questions: tuple[str, ...] = QUESTION_WORDS
     ends: tuple[str, ...] = END_WORDS
     words: list[str] = field(default_factory=list)
@@ -39,19 +44,25 @@ class TriggerBuffer:
     last_word: float = 0.0
     last_call: float | None = None
 
+    ROWS = "at long, text string, n long, confidence double, reason string"
+    STATE = "words array<string>, confidences array<double>, last_word double, last_call double"
+
     def _close(self, at: float, reason: str) -> tuple[float, str, int, float, str]:
         out = (at, " ".join(self.words), len(self.words), sum(self.confidences) / len(self.confidences), reason)
         self.words, self.confidences, self.last_call = [], [], at
         return out
 
-    def idle(self, now: float) -> list[tuple]:
-        """Captions due to silence by ``now``."""
+    def silence(self, now: float) -> list[tuple]:
+        """Captions due to the silence from the last word to ``now``."""
+        out = []
         if self.words and now - self.last_word > self.pause:
-            return [self._close(self.last_word + self.pause, "pause" if len(self.words) > 1 else "idle")]
-        return []
+            out.append(self._close(self.last_word + self.pause, "pause" if len(self.words) > 1 else "idle"))
+        if now - self.last_word > self.session_end:
+            self.last_call = None
+        return out
 
     def word(self, now: float, gloss: str, confidence: float) -> list[tuple]:
-        out = self.idle(now)
+        out = self.silence(now)
         if self.last_call is None:
             self.last_call = now
         self.words.append(gloss)
@@ -68,92 +79,177 @@ class TriggerBuffer:
             out.append(self._close(now, "timeout"))
         return out
 
-    def flush(self) -> list[tuple]:
-        """What is left at the end of a session."""
-        return [self._close(self.last_word + self.pause, "rest")] if self.words else []
-
     def save(self) -> tuple:
         return (self.words, self.confidences, self.last_word, self.last_call)
 
-    @classmethod
-    def load(cls, saved: tuple, **settings) -> TriggerBuffer:
-        words, confidences, last_word, last_call = saved
-        return cls(words=list(words), confidences=list(confidences), last_word=last_word, last_call=last_call, **settings)
+    def load(self, words, confidences, last_word, last_call) -> None:
+        self.words, self.confidences, self.last_word, self.last_call = list(words), list(confidences), last_word, last_call
 
+    def due(self) -> float:
+        """When silence does something next."""
+        return self.last_word + (self.pause if self.words else self.session_end)
 
-def _moment(seconds: float) -> pd.Timestamp:
-    return pd.Timestamp(round(seconds * 1e6), unit="us")
+    def over(self, now: float) -> bool:
+        """Whether nothing before ``now`` matters any more."""
+        return not self.words and now - self.last_word > self.session_end
 
 
-def _rows(session: str, captions: list[tuple]) -> list[tuple]:
-    return [(session, _moment(at), text, n, conf, reason) for at, text, n, conf, reason in captions]
+@dataclass
+class CountBuffer:
+    """Emits all unprocessed glosses as soon as there are ``n``, at least ``gap`` seconds after the last emission.
 
+    After a silence of more than ``session_end`` seconds the session is over: if glosses are left, all of the session are
+    emitted once more as the rest, at the time of the last one.
+    """
 
-_NAMES = ["session_id", "ts", "text", "n", "confidence", "reason"]
+    n: int = 3
+    gap: float = 2.0
+    session_end: float = 1800.0
+    waiting: int = 0
+    total: int = 0
+    last_word: float = 0.0
+    last_call: float | None = None
 
+    ROWS = "at long, n long, is_rest boolean"
+    STATE = "waiting long, total long, last_word double, last_call double"
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame.from_records(rows, columns=_NAMES)
-    out["ts"] = pd.to_datetime(out["ts"])
-    return out
+    def silence(self, now: float) -> list[tuple]:
+        if now - self.last_word <= self.session_end:
+            return []
+        out = [(self.last_word, self.total, True)] if self.waiting else []
+        self.waiting, self.total, self.last_call = 0, 0, None
+        return out
 
+    def word(self, now: float, gloss: str, confidence: float) -> list[tuple]:
+        out = self.silence(now)
+        self.waiting, self.total, self.last_word = self.waiting + 1, self.total + 1, now
+        if self.waiting >= self.n and (self.last_call is None or now - self.last_call >= self.gap):
+            out.append((now, self.waiting, False))
+            self.waiting, self.last_call = 0, now
+        return out
 
-def trigger_captions(events: DataFrame, **settings) -> DataFrame:
-    """Captions of a table of events: the batch twin of :func:`trigger_caption_stream`.
+    def save(self) -> tuple:
+        return (self.waiting, self.total, self.last_word, self.last_call)
 
-    Sessions are sorted inside partitions and walked one after another, so a long session needs no more memory.
-    """
+    def load(self, waiting, total, last_word, last_call) -> None:
+        self.waiting, self.total, self.last_word, self.last_call = waiting, total, last_word, last_call
+
+    def due(self) -> float:
+        return self.last_word + self.session_end
+
+    def over(self, now: float) -> bool:
+        return now - self.last_word > self.session_end
+
+
+def _micros(seconds: float) -> int:
+    return round(seconds * 1e6)
+
+
+def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    """Rows ``(session, time in seconds, ...)`` with the time in whole microseconds."""
+    names = ["session_id", *(column.split()[0] for column in schema.split(", "))]
+    return pd.DataFrame.from_records([(s, _micros(at), *rest) for s, at, *rest in rows], columns=names)
+
+
+def _events(events: DataFrame) -> DataFrame:
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    return events.select(F.col("session_id").cast("string").alias("session_id"), "ts", "event_id", seconds.alias("t"), "gloss", "confidence")
+
+
+def _timed(rows: DataFrame) -> DataFrame:
+    return rows.select("session_id", F.timestamp_micros("at").alias("ts"), *[c for c in rows.columns if c not in ("session_id", "at")])
+
+
+def _batch(events: DataFrame, make, until: datetime.datetime | None) -> DataFrame:
+    """Walks sessions one after another, sorted inside partitions, so a long session needs no more memory."""
+    schema, end = make().ROWS, math.inf
+    if until is not None:
+        end = until.replace(tzinfo=until.tzinfo or datetime.timezone.utc).timestamp()
+        events = events.where(F.unix_micros(F.col("ts").cast("timestamp")) <= _micros(end))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         session, buffer = None, None
         for pdf in batches:
-            out = []
+            out: list[tuple] = []
             for s, t, gloss, conf in zip(pdf["session_id"], pdf["t"], pdf["gloss"], pdf["confidence"], strict=True):
                 if buffer is None or s != session:
                     if buffer is not None:
-                        out += _rows(session, buffer.flush())
-                    session, buffer = s, TriggerBuffer(**settings)
-                out += _rows(s, buffer.word(t, gloss, conf))
-            yield _frame(out)
+                        out += [(session, *row) for row in buffer.silence(end)]
+                    session, buffer = s, make()
+                out += [(s, *row) for row in buffer.word(t, gloss, conf)]
+            yield _frame(out, schema)
         if buffer is not None:
-            yield _frame(_rows(session, buffer.flush()))
+            yield _frame([(session, *row) for row in buffer.silence(end)], schema)
+
+    rows = _events(events).repartition("session_id").sortWithinPartitions("session_id", "ts", "event_id")
+    return _timed(rows.mapInPandas(run, f"session_id string, {schema}"))
+
+
+def _stream(events: DataFrame, make, watermark: str) -> DataFrame:
+    """The same walk with the buffer as state of the session.
 
-    rows = events.select(F.col("session_id").cast("string").alias("session_id"), "ts", "event_id", _seconds().alias("t"), "gloss", "confidence")
-    rows = rows.repartition("session_id").sortWithinPartitions("session_id", "ts", "event_id")
-    return rows.mapInPandas(run, CAPTION)
+    Events wait in the state until the watermark has passed them, so they are walked in order of time whatever order
+    they come in; a timer brings the next moment at which an event or a silence counts. A session that is over leaves no
+    state. A task holds a session's events of one micro-batch and those that wait; the reader's ``maxFilesPerTrigger`` or
+    ``maxBytesPerTrigger`` bounds the former, the watermark's delay the latter.
+    """
+    schema, kept = make().ROWS, make().STATE
+
+    def run(key, batches, state):
+        buffer, waiting, out = make(), [], []
+        if state.exists:
+            *saved, times, ids, glosses, confidences = state.get
+            buffer.load(*saved)
+            waiting = list(zip(times, ids, glosses, confidences, strict=True))
+        if not state.hasTimedOut:
+            for pdf in batches:
+                waiting += zip(pdf["t"].tolist(), pdf["event_id"].tolist(), pdf["gloss"], pdf["confidence"].tolist(), strict=True)
+        passed = state.getCurrentWatermarkMs()
+        waiting.sort(key=lambda event: event[:2])
+        ready = [event for event in waiting if _micros(event[0]) <= passed * 1000]
+        waiting = waiting[len(ready) :]
+        for t, _, gloss, confidence in ready:
+            out += buffer.word(t, gloss, confidence)
+        out += buffer.silence(passed / 1000)
+        if waiting or not buffer.over(passed / 1000):
+            state.update((*buffer.save(), *([event[k] for event in waiting] for k in range(4))))
+            due = min([buffer.due(), *(event[0] for event in waiting[:1])]) if buffer.last_word else waiting[0][0]
+            state.setTimeoutTimestamp(max(math.ceil(due * 1000), passed + 1))
+        else:
+            state.remove()
+        if out:
+            yield _frame([(key[0], *row) for row in out], schema)
 
+    rows = _events(events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark))
+    waits = "times array<double>, ids array<long>, glosses array<string>, confs array<double>"
+    return _timed(rows.groupBy("session_id").applyInPandasWithState(run, f"session_id string, {schema}", f"{kept}, {waits}", "append", "EventTimeTimeout"))
 
-def _seconds():
-    return F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+
+def trigger_captions(events: DataFrame, until: datetime.datetime | None = None, **settings) -> DataFrame:
+    """Captions of a table of events: the batch twin of :func:`trigger_caption_stream`.
+
+    With ``until`` (UTC if it names no zone) only what is known at that time comes out, as from a stream whose watermark
+    is there; without it every buffer is closed by the silence after its last word.
+    """
+    return _batch(events, lambda: TriggerBuffer(**settings), until)
 
 
 def trigger_caption_stream(events: DataFrame, watermark: str = "10 seconds", **settings) -> DataFrame:
-    """Captions of a stream of events, with the buffer as state of the session.
+    """Captions of a stream of events; those of :func:`trigger_captions` up to the watermark, in any order of arrival.
 
-    Rows later than the watermark are dropped. When no event comes, the event-time timer closes a silent buffer.
+    Rows later than the watermark are dropped.
     """
+    return _stream(events, lambda: TriggerBuffer(**settings), watermark)
+
+
+def count_batches(events: DataFrame, n: int = 3, gap: float = 2.0, until: datetime.datetime | None = None, session_end: float = 1800.0) -> DataFrame:
+    """Emissions ``(session_id, ts, n, is_rest)`` of :class:`CountBuffer` over a table of events."""
+    return _batch(events, lambda: CountBuffer(n, gap, session_end), until)
 
-    def run(key, batches, state):
-        session = key[0]
-        buffer = TriggerBuffer.load(state.get, **settings) if state.exists else TriggerBuffer(**settings)
-        out: list[tuple] = []
-        if state.hasTimedOut:
-            out = buffer.idle(state.getCurrentWatermarkMs() / 1000)
-        else:
-            rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-            for t, gloss, conf in zip(rows["t"], rows["gloss"], rows["confidence"], strict=True):
-                out += buffer.word(t, gloss, conf)
-        state.update(buffer.save())
-        if buffer.words:
-            due = int((buffer.last_word + buffer.pause) * 1000) + 1
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield _frame(_rows(session, out))
-
-    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
-    rows = rows.select(F.col("session_id").cast("string").alias("session_id"), "ts", "event_id", _seconds().alias("t"), "gloss", "confidence")
-    return rows.groupBy("session_id").applyInPandasWithState(
-        run, CAPTION, "words array<string>, confidences array<double>, last_word double, last_call double", "append", "EventTimeTimeout"
-    )
+
+def count_batch_stream(events: DataFrame, watermark: str = "10 seconds", n: int = 3, gap: float = 2.0, session_end: float = 1800.0) -> DataFrame:
+    """Emissions of :func:`count_batches` from a stream; the rest comes when the watermark ends the session."""
+    return _stream(events, lambda: CountBuffer(n, gap, session_end), watermark)
 
 
 def session_captions(events: DataFrame, pause: str = "1800 milliseconds") -> DataFrame:
@@ -176,45 +272,10 @@ def last_n(events: DataFrame, n: int = 6) -> DataFrame:
     return events.withColumn("recent", F.collect_list("gloss").over(order))
 
 
-def count_batches(events: DataFrame, n: int = 3, gap: float = 2.0) -> DataFrame:
-    """Emissions of all unprocessed glosses as soon as there are ``n``, at least ``gap`` seconds after the last emission.
-
-    What is left at the end of a session is emitted with the number of all its glosses.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        session, waiting, total, last, now = None, 0, 0, None, 0.0
-
-        def rest() -> list[tuple]:
-            return [(session, _moment(now), total, True)] if waiting else []
-
-        for pdf in batches:
-            out: list[tuple] = []
-            for s, t in zip(pdf["session_id"], pdf["t"], strict=True):
-                if s != session:
-                    out += rest()
-                    session, waiting, total, last = s, 0, 0, None
-                waiting, total, now = waiting + 1, total + 1, t
-                if waiting >= n and (last is None or t - last >= gap):
-                    out.append((s, _moment(t), waiting, False))
-                    waiting, last = 0, t
-            yield _batch(out)
-        yield _batch(rest())
-
-    def _batch(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame.from_records(rows, columns=["session_id", "ts", "n", "is_rest"])
-        out["ts"] = pd.to_datetime(out["ts"])
-        return out
-
-    rows = events.select(F.col("session_id").cast("string").alias("session_id"), "ts", "event_id", _seconds().alias("t"))
-    rows = rows.repartition("session_id").sortWithinPartitions("session_id", "ts", "event_id")
-    return rows.mapInPandas(run, "session_id string, ts timestamp, n long, is_rest boolean")
-
-
 def sign_activity(frames: DataFrame, cooldown: int = 3) -> DataFrame:
     """Signs from frames ``(session_id, ts, moves)``: runs of moving frames that are less than ``cooldown`` frames apart.
 
-    On a stream the same is a session window over the moving frames, with the cooldown as its gap.
+    Frames are counted; :func:`sign_windows` takes the cooldown as time, which streams can do.
     """
     order = Window.partitionBy("session_id").orderBy("ts", "event_id")
     numbered = frames.withColumn("i", F.row_number().over(order)).where("moves")
@@ -223,6 +284,16 @@ def sign_activity(frames: DataFrame, cooldown: int = 3) -> DataFrame:
     return runs.groupBy("session_id", "sign_no").agg(F.min("i").alias("start_frame"), F.max("i").alias("end_frame"), F.count("*").alias("moving"))
 
 
+def sign_windows(frames: DataFrame, cooldown: str = "200 milliseconds") -> DataFrame:
+    """Signs from frames ``(session_id, ts, moves)`` as session windows over the moving ones: tables and streams.
+
+    A sign is over when no frame moves for ``cooldown``; on a stream with a watermark it comes out then.
+    """
+    window = F.session_window(F.col("ts"), cooldown)
+    out = frames.where("moves").groupBy("session_id", window.alias("w")).agg(F.count("*").alias("moving"), F.max("ts").alias("last_ts"))
+    return out.select("session_id", F.col("w.start").alias("start_ts"), "last_ts", "moving")
+
+
 def run_available(stream: DataFrame, path: str, mode: str = "append") -> None:
     """Run a stream over what is there into Parquet files under ``path``; the checkpoint lies beside them.
 

@@ -1,7 +1,9 @@
 """Operators against hand-made cases, plain Python and the properties they promise."""
 
+import datetime
 import json
 import math
+import random
 
 import numpy as np
 import pytest
@@ -259,13 +261,38 @@ def test_trigger_buffer():
     said = []
     for t, w in [(0, "I"), (0.5, "GO"), (0.9, "HOME"), (2, "YOU"), (2.4, "WHERE"), (3, "EAT"), (9, "FINISH"), (20, "A"), (30.5, "B")]:
         said += b.word(t, w, 0.5)
-    said += b.flush()
+    said += b.silence(math.inf)
     want = [("I GO HOME", "full"), ("YOU WHERE", "question"), ("EAT", "idle"), ("FINISH", "end"), ("A", "timeout"), ("B", "timeout")]
     assert [(x[1], x[4]) for x in said] == want
-    assert C.TriggerBuffer().flush() == []
+    assert C.TriggerBuffer().silence(math.inf) == []
 
 
 def test_stream_twin(spark):
-    batch = {(r.session_id, r.ts, r.text, r.reason) for r in q_captions.trigger_captions(spark, SF).collect() if r.reason != "rest"}
-    stream = {(r.session_id, r.ts, r.text, r.reason) for r in q_captions.trigger_caption_stream(spark, SF).collect()}
-    assert batch and len(batch ^ stream) <= 0.02 * len(batch)
+    until = q_captions._watermark(spark, SF)
+    events = q_captions.events(spark, SF)
+    for stream, batch in (
+        (q_captions.trigger_caption_stream, C.trigger_captions(events, until, **q_captions._SETTINGS)),
+        (q_captions.count_batch_stream, C.count_batches(events, 3, 7200.0, until, 172800.0)),
+    ):
+        plain = q_captions._plain_times(batch, "ts")
+        plain = q_captions.rounded(plain, "confidence") if "confidence" in plain.columns else plain
+        want = sorted(map(tuple, plain.collect()))
+        assert want and sorted(map(tuple, stream(spark, SF).collect())) == want
+
+
+def test_stream_late_rows(spark, tmp_path):
+    """Events that come in any order inside the watermark, over several files, are walked in order of time."""
+    rng = random.Random(5)
+    rows = [(f"s{k % 3}", k, 1_700_000_000 + 2 * k + (4000 if k > 150 else 0), rng.choice(["GO", "WHERE", "DONE", "EAT"]), 0.5) for k in range(300)]
+    late = sorted(rows, key=lambda r: r[2] + rng.uniform(0, 50))
+    schema = "session_id string, event_id long, s long, gloss string, confidence double"
+    for k in range(0, 300, 60):
+        part = spark.createDataFrame(late[k : k + 60], schema).select("session_id", "event_id", F.timestamp_seconds("s").alias("ts"), "gloss", "confidence")
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    every = spark.read.parquet(str(tmp_path / "in"))
+    reader = spark.readStream.schema(every.schema).option("maxFilesPerTrigger", 1)
+    C.run_available(C.trigger_caption_stream(reader.parquet(str(tmp_path / "in")), "60 seconds"), str(tmp_path / "out"))
+    got = spark.read.schema(C.CAPTION).parquet(str(tmp_path / "out"))
+    until = datetime.datetime.fromtimestamp(max(r[2] for r in rows) - 60, datetime.timezone.utc)
+    want = C.trigger_captions(every, until)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 50
