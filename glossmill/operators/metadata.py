@@ -81,9 +81,10 @@ def dedupe_scan(clips: DataFrame) -> DataFrame:
     return clips.where(~F.col("is_augmented")).groupBy("gloss", "video_id").agg(F.min("clip_id").alias("clip_id"))
 
 
-def pool_index(files: DataFrame) -> DataFrame:
-    """Sorted files of each class."""
-    return files.groupBy("gloss").agg(F.array_sort(F.collect_list("file")).alias("files"))
+def pool_index(files: DataFrame, size: int = 1000) -> DataFrame:
+    """Sorted files of each class, in parts of at most ``size``: ``(gloss, part, files)``."""
+    part = F.floor((F.row_number().over(Window.partitionBy("gloss").orderBy("file")) - 1) / size)
+    return files.withColumn("part", part).groupBy("gloss", "part").agg(F.array_sort(F.collect_list("file")).alias("files"))
 
 
 def domain_overlap(domains: DataFrame) -> DataFrame:

@@ -119,10 +119,13 @@ def pass_rate(profiles: DataFrame, least_confidence: float = 70, least_top3: flo
 
 def per_gloss_performance(predictions: DataFrame, least: int = 5) -> DataFrame:
     """Accuracy of each class, its first ten faulty videos and its band."""
-    errors = F.slice(F.array_sort(F.collect_set(F.when(~correct(), F.col("video_id")))), 1, 10)
+    wrong = predictions.where(~correct()).select("true_gloss", "video_id").distinct()
+    first = wrong.withColumn("i", F.row_number().over(Window.partitionBy("true_gloss").orderBy("video_id"))).where("i <= 10")
+    errors = first.groupBy("true_gloss").agg(F.array_sort(F.collect_list("video_id")).alias("errors"))
     acc = F.col("accuracy")
     band = F.when(acc < 0.25, "0-25").when(acc < 0.5, "25-50").when(acc < 0.75, "50-75").otherwise("75-100")
-    out = predictions.groupBy("true_gloss").agg(F.count("*").alias("n"), rate(correct()).alias("accuracy"), errors.alias("errors"))
+    out = predictions.groupBy("true_gloss").agg(F.count("*").alias("n"), rate(correct()).alias("accuracy")).join(errors, "true_gloss", "left")
+    out = out.withColumn("errors", F.coalesce("errors", F.array().cast(errors.schema["errors"].dataType)))
     return out.withColumn("band", band).withColumn("poor", (acc < 0.5) & (F.col("n") >= least))
 
 

@@ -190,15 +190,17 @@ def extend_intervals(intervals: DataFrame, before_ms: int, after_ms: int, short_
     return wide.select(*[c for c in intervals.columns if c not in ("start_ms", "end_ms")], start.alias("start_ms"), end.alias("end_ms"))
 
 
-def fill_gaps(segments: DataFrame, sentences: DataFrame, least_ms: int = 2000, coverage: float = 0.6) -> DataFrame:
+def fill_gaps(segments: DataFrame, sentences: DataFrame, least_ms: int = 2000, coverage: float = 0.6, bin_ms: int = 3_600_000) -> DataFrame:
     """An interval for each gap between segments: the first sentence wholly inside it, else one in its middle.
 
     The middle one covers ``coverage`` of the gap, one to three seconds, with a fifth of a second left at both ends; it
-    is only made if over half a second is usable.
+    is only made if over half a second is usable. Gaps and sentences meet by the hour (``bin_ms``) in which these begin.
     """
     order = Window.partitionBy("video_id").orderBy("start_ms", "end_ms")
     gaps = segments.select("video_id", F.col("end_ms").alias("a"), F.lead("start_ms").over(order).alias("b")).where(F.col("b") - F.col("a") > least_ms)
-    inside = gaps.join(sentences.select("video_id", F.col("start_ms").alias("s"), F.col("end_ms").alias("e")), "video_id").where("s >= a AND e <= b")
+    hours = gaps.withColumn("bin", F.explode(F.sequence(F.floor(F.col("a") / bin_ms), F.floor(F.col("b") / bin_ms))))
+    said = sentences.select("video_id", F.col("start_ms").alias("s"), F.col("end_ms").alias("e"), F.floor(F.col("start_ms") / bin_ms).alias("bin"))
+    inside = hours.join(said, ["video_id", "bin"]).where("s >= a AND e <= b")
     first = inside.groupBy("video_id", "a", "b").agg(F.min(F.struct("s", "e")).alias("x"))
     usable = F.col("b") - F.col("a") - 400
     length = F.least(F.least(F.greatest(F.floor((F.col("b") - F.col("a")) * coverage), F.lit(1000)), F.lit(3000)), usable)

@@ -6,10 +6,15 @@ moved to decide a split. Shuffles are by the MD5 of seed and key, so a retried t
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from glossmill.operators.statistics import sums_below
+
 
 def shuffled(seed: str, *key: Column) -> Column:
     """A key to order by that looks random and is the same every time."""
@@ -150,18 +155,14 @@ def sample_ratio_check(assigned: DataFrame) -> DataFrame:
 def ks_two_sample(values: DataFrame, a: str, b: str, least: int = 10) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic of ``values(part, value)`` between the parts ``a`` and ``b``.
 
-    Rows are counted by value before anything is ordered, so the running sums go over distinct values.
+    Rows are counted by value first; running sums over the distinct values are taken in ranges of the value. Nothing
+    comes back if a part has fewer than ``least`` rows.
     """
     counts = values.groupBy("value").agg(F.count_if(F.col("part") == a).alias("na"), F.count_if(F.col("part") == b).alias("nb"))
-    upto = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    run = counts.select(
-        F.abs(F.sum("na").over(upto) / F.sum("na").over(every) - F.sum("nb").over(upto) / F.sum("nb").over(every)).alias("gap"),
-        F.sum("na").over(every).alias("na"),
-        F.sum("nb").over(every).alias("nb"),
-    )
-    out = run.groupBy("na", "nb").agg(F.max("gap").alias("statistic"))
-    return out.where((F.col("na") >= least) & (F.col("nb") >= least))
+    total = counts.agg(F.sum("na").alias("all_a"), F.sum("nb").alias("all_b")).where((F.col("all_a") >= least) & (F.col("all_b") >= least))
+    below = sums_below(counts, "value", [], ["na", "nb"]).join(F.broadcast(total))  # one row
+    gap = F.abs((F.col("below_na") + F.col("na")) / F.col("all_a") - (F.col("below_nb") + F.col("nb")) / F.col("all_b"))
+    return below.groupBy(F.col("all_a").alias("na"), F.col("all_b").alias("nb")).agg(F.max(gap).alias("statistic"))
 
 
 def augmentation_plan(counts: DataFrame, target: int = 100, least: int = 1, most: int = 60) -> DataFrame:
@@ -244,70 +245,97 @@ def signer_aware_split(videos: DataFrame, gap: int = 100) -> DataFrame:
     One group: shares of its videos. Two groups: the larger trains, the other tests, and its first video goes to val.
     More: groups from the largest on go where most is missing of 70, 15 and 15 percent. A class with one video copies it
     to all splits, with two its second one to val as well (``is_copy``). The choice of one group depends on the earlier
-    ones, so it runs in a task for each class, over one row for each video.
+    ones, so it runs in a task for each class with more than two, over one row for each group; videos only join it.
     """
-    import pandas as pd
+    grouped = signer_groups(videos.select("gloss", "video_id").distinct(), gap)
+    sizes = grouped.groupBy("gloss", "signer_group").agg(F.count("*").alias("size"))
+    total = Window.partitionBy("gloss")
+    sizes = sizes.withColumns({"n": F.sum("size").over(total), "groups": F.count("*").over(total)})
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("video_id").reset_index(drop=True)
-        n, out = len(pdf), []
-        put = lambda i, split, copy=False: out.append((pdf["gloss"][i], int(pdf["video_id"][i]), int(pdf["signer_group"][i]), split, copy))
-        sizes = pdf["signer_group"].value_counts()
-        groups = sorted(sizes.index, key=lambda g: (-sizes[g], g))
-        if n == 1:
-            put(0, "train"), put(0, "val", True), put(0, "test", True)
-        elif n == 2:
-            put(0, "train"), put(1, "test"), put(1, "val", True)
-        elif n == 3 or len(groups) == 1:
-            n_val = max(1, int(n * 0.15))
-            n_train = max(1, min(int(n * 0.7), n - n_val - 1))
-            for i in range(n):
-                put(i, "train" if i < n_train else "val" if i < n_train + n_val else "test")
-        elif len(groups) == 2:
-            rest = [i for i in range(n) if pdf["signer_group"][i] == groups[1]]
-            for i in range(n):
-                put(i, "train" if i not in rest else "val" if i == rest[0] and len(rest) > 1 else "test")
-            if len(rest) == 1:
-                put(rest[0], "val", True)
-        else:
-            have, want, where = dict.fromkeys(("train", "val", "test"), 0), {"train": 0.7 * n, "val": 0.15 * n, "test": 0.15 * n}, {}
-            for k, g in enumerate(groups):
-                empty = [s for s in have if not have[s]]
-                if len(groups) - k <= len(empty):
-                    split = empty[0]
-                else:
-                    split = max(have, key=lambda s: (want[s] - have[s], s))
-                where[g] = split
-                have[split] += int(sizes[g])
-            for i in range(n):
-                put(i, where[pdf["signer_group"][i]])
-        return pd.DataFrame(out, columns=["gloss", "video_id", "signer_group", "split", "is_copy"])
+        pdf = pdf.sort_values(["size", "signer_group"], ascending=[False, True])
+        have, n, where = dict.fromkeys(("train", "val", "test"), 0), int(pdf["n"].iloc[0]), []
+        want = {"train": 0.7 * n, "val": 0.15 * n, "test": 0.15 * n}
+        for k, size in enumerate(pdf["size"]):
+            empty = [s for s in have if not have[s]]
+            split = empty[0] if len(pdf) - k <= len(empty) else max(have, key=lambda s: (want[s] - have[s], s))
+            where.append(split)
+            have[split] += int(size)
+        return pdf.assign(chosen=where)[["gloss", "signer_group", "chosen"]]
+
+    many = sizes.where("groups > 2 AND n > 3").groupBy("gloss").applyInPandas(run, "gloss string, signer_group long, chosen string")
+    # Of two groups the larger one trains.
+    second = Window.partitionBy("gloss").orderBy(F.desc("size"), "signer_group")
+    sizes = sizes.withColumn("second", F.row_number().over(second) == 2).join(many, ["gloss", "signer_group"], "left")
+    order = Window.partitionBy("gloss").orderBy("video_id")
+    rows = grouped.withColumns({"i": F.row_number().over(order) - 1, "first": F.coalesce(F.lag("signer_group").over(order) != F.col("signer_group"), F.lit(True))})
+    rows = rows.join(sizes, ["gloss", "signer_group"])
+
+    def put(split: Column | str, copy: bool = False) -> Column:
+        return F.struct((F.lit(split) if isinstance(split, str) else split).alias("split"), F.lit(copy).alias("is_copy"))
+
+    i, n = F.col("i"), F.col("n")
+    n_val = F.greatest(F.lit(1), F.floor(n * 0.15))
+    n_train = F.greatest(F.lit(1), F.least(F.floor(n * 0.7), n - n_val - 1))
+    by_share = F.when(i < n_train, "train").when(i < n_train + n_val, "val").otherwise("test")
+    places = (
+        F.when(n == 1, F.array(put("train"), put("val", True), put("test", True)))
+        .when((n == 2) & (i == 0), F.array(put("train")))
+        .when(n == 2, F.array(put("test"), put("val", True)))
+        .when((n == 3) | (F.col("groups") == 1), F.array(put(by_share)))
+        .when(F.col("groups") > 2, F.array(put(F.col("chosen"))))
+        .when(~F.col("second"), F.array(put("train")))
+        .when(F.col("size") == 1, F.array(put("test"), put("val", True)))
+        .otherwise(F.array(put(F.when(F.col("first"), "val").otherwise("test"))))
+    )
+    return rows.select("gloss", "video_id", "signer_group", F.explode(places).alias("p")).select("gloss", "video_id", "signer_group", "p.*")
 
-    grouped = signer_groups(videos.select("gloss", "video_id").distinct(), gap)
-    return grouped.groupBy("gloss").applyInPandas(run, "gloss string, video_id long, signer_group long, split string, is_copy boolean")
+
+#: The Kolmogorov-Smirnov statistic is significant at 1 % beyond this over the root of the harmonic size.
+KS_BOUND = math.sqrt(-math.log(0.005) / 2)
 
 
 def verify_splits(assigned: DataFrame) -> DataFrame:
-    """One row for each check: leaks, balance, ratios; ``passed`` and a figure."""
+    """One row for each check: leaks, balance, ratios; ``passed`` and a figure.
+
+    If ``assigned`` has ``n_frames``, train is held against test by the Kolmogorov-Smirnov statistic, which passes unless it
+    is significant at 1 % (its large-sample bound); splits with fewer than ten clips pass without a figure.
+    """
     leaks = leaky_overlap(assigned).agg(F.coalesce(F.sum("shared"), F.lit(0)).cast("double").alias("figure"))
     balance = class_balance(assigned).agg(F.count_if(F.col("missing_val") | F.col("missing_test")).cast("double").alias("figure"), F.max("train_cv").alias("cv"))
     ratio = sample_ratio_check(assigned)
     rows = leaks.select(F.lit("no_leak").alias("check"), "figure", (F.col("figure") == 0).alias("passed"))
     rows = rows.unionByName(balance.select(F.lit("classes_present").alias("check"), "figure", (F.col("figure") == 0).alias("passed")))
     rows = rows.unionByName(balance.select(F.lit("balanced").alias("check"), F.col("cv").alias("figure"), (F.col("cv") <= 0.5).alias("passed")))
-    return rows.unionByName(ratio.select(F.lit("ratio").alias("check"), F.col("train_ratio").alias("figure"), "passed"))
+    rows = rows.unionByName(ratio.select(F.lit("ratio").alias("check"), F.col("train_ratio").alias("figure"), "passed"))
+    if "n_frames" in assigned.columns:
+        frames = assigned.select(F.col("split").alias("part"), F.col("n_frames").alias("value"))
+        bound = KS_BOUND * F.sqrt(1 / F.col("na") + 1 / F.col("nb"))
+        ks = ks_two_sample(frames, "train", "test").agg(F.max("statistic").alias("figure"), F.max(bound).alias("bound"))
+        rows = rows.unionByName(ks.select(F.lit("frames").alias("check"), "figure", F.coalesce(F.col("figure") <= F.col("bound"), F.lit(True)).alias("passed")))
+    return rows
 
 
 def design_dataset(glosses: DataFrame, recipe: dict[str, int], n: int, seed: str = "42") -> DataFrame:
     """``n`` distinct combinations of classes with so many of each difficulty: ``(combo_no, glosses)``.
 
-    ``glosses(gloss, difficulty)``. Candidate draws order the classes of a difficulty by a hash of draw and class.
+    ``glosses(gloss, difficulty)``. Candidate draws order the classes of a difficulty by a hash of draw and class; there
+    are four for each combination, and more while too many of them are equal. Fewer than ``n`` possible ones are an error.
     """
-    draws = glosses.sparkSession.range(4 * n).withColumnRenamed("id", "draw")
-    wanted = glosses.sparkSession.createDataFrame(list(recipe.items()), "difficulty string, k int")
-    pool = glosses.join(F.broadcast(wanted), "difficulty").join(F.broadcast(draws))
-    order = Window.partitionBy("draw", "difficulty").orderBy(shuffled(seed, F.col("draw"), F.col("gloss")), "gloss")
-    picked = pool.withColumn("r", F.row_number().over(order)).where("r <= k")
-    combos = picked.groupBy("draw").agg(F.array_sort(F.collect_list("gloss")).alias("glosses")).where(F.size("glosses") == sum(recipe.values()))
-    once = combos.groupBy("glosses").agg(F.min("draw").alias("draw"))
+    held = {r["difficulty"]: r["c"] for r in glosses.groupBy("difficulty").agg(F.count_distinct("gloss").alias("c")).collect()}
+    possible = math.prod(math.comb(held.get(d, 0), k) for d, k in recipe.items())
+    if possible < n:
+        raise ValueError(f"there are only {possible} such combinations, not {n}")
+    want = F.coalesce(*[F.when(F.col("difficulty") == d, k) for d, k in recipe.items()])
+    pool = glosses.select("gloss", want.alias("k"), "difficulty").where("k > 0").distinct()
+
+    def combos(draws: int) -> DataFrame:
+        each = pool.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+        order = Window.partitionBy("draw", "difficulty").orderBy(shuffled(seed, F.col("draw"), F.col("gloss")), "gloss")
+        picked = each.withColumn("r", F.row_number().over(order)).where("r <= k")
+        return picked.groupBy("draw").agg(F.array_sort(F.collect_list("gloss")).alias("glosses")).groupBy("glosses").agg(F.min("draw").alias("draw"))
+
+    draws = 4 * n
+    while (once := combos(draws)).count() < n:  # too many draws were equal
+        draws *= 4
     return once.withColumn("combo_no", F.row_number().over(Window.orderBy("draw"))).where(F.col("combo_no") <= n).select("combo_no", "glosses")

@@ -18,23 +18,29 @@ from glossmill.functions import distributions as D
 from glossmill.functions.text import ctqi_v3
 
 
-def average_rank(df: DataFrame, value: str, by: list[str], name: str = "rank", ranges: int = 64) -> DataFrame:
-    """``df`` with the average rank of ``value`` inside each group of ``by``; equal values share their mean rank.
+def sums_below(counts: DataFrame, value: str, by: list[str], sums: list[str], ranges: int = 128) -> DataFrame:
+    """``counts(*by, value, *sums)`` with the totals of each of ``sums`` over all smaller values, as ``below_<name>``.
 
-    Values are counted first. Each group's values are cut into ``ranges`` ranges between its smallest and largest; the
-    running sum inside a range is shifted by the totals of the ranges before it.
+    ``value`` is distinct inside each group of ``by``. Each group's values are cut at their approximate quantiles into
+    ``ranges`` ranges of about as many rows each, however they are spread; the bounds only place rows, so the sums are
+    exact. The running sum inside a range is shifted by the totals of the ranges before it.
     """
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    ends = counts.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    counts = counts.join(ends, by) if by else counts.join(F.broadcast(ends))
-    place = (F.col(value) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * ranges
-    counts = counts.withColumn("_range", F.coalesce(F.least(F.floor(place), F.lit(ranges - 1)), F.lit(0))).drop("_lo", "_hi")
+    cuts = counts.groupBy(*by).agg(F.percentile_approx(value, [k / ranges for k in range(1, ranges)], 100 * ranges).alias("_cuts"))
+    placed = counts.join(cuts, by) if by else counts.join(F.broadcast(cuts))  # without groups the bounds are one row
+    placed = placed.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     ahead = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    shift = counts.groupBy(*by, "_range").agg(F.sum("_n").alias("_s")).withColumn("_shift", F.coalesce(F.sum("_s").over(ahead), F.lit(0))).drop("_s")
+    totals = placed.groupBy(*by, "_range").agg(*[F.sum(n).alias(f"_{n}") for n in sums])
+    shift = totals.select(*by, "_range", *[F.coalesce(F.sum(f"_{n}").over(ahead), F.lit(0)).alias(f"_{n}") for n in sums])
     inside = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.join(shift, [*by, "_range"]).withColumn("_below", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-    ranked = ranked.select(*by, value, (F.col("_shift") + F.col("_below") + (F.col("_n") + 1) / 2).alias(name))
-    return df.join(ranked, [*by, value])
+    out = placed.join(shift, [*by, "_range"])
+    return out.select(*counts.columns, *[(F.col(f"_{n}") + F.coalesce(F.sum(n).over(inside), F.lit(0))).alias(f"below_{n}") for n in sums])
+
+
+def average_rank(df: DataFrame, value: str, by: list[str], name: str = "rank") -> DataFrame:
+    """``df`` with the average rank of ``value`` inside each group of ``by``; equal values share their mean rank."""
+    counts = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
+    ranked = sums_below(counts, value, by, ["_n"])
+    return df.join(ranked.select(*by, value, (F.col("below__n") + (F.col("_n") + 1) / 2).alias(name)), [*by, value])
 
 
 def effect_label(d: Column) -> Column:
@@ -94,6 +100,37 @@ def p_values(scores: DataFrame, metrics: int | None = None) -> DataFrame:
     return out.withColumn("p_bonferroni", F.least(F.col("p_t") * m, F.lit(1.0)))
 
 
+def one_sample_t(values: DataFrame, mean: float = 0.0) -> DataFrame:
+    """One-sample t of each group of ``values(metric, value)`` against ``mean``: ``(metric, n, mean, t, p)``.
+
+    Without spread, or with fewer than two values, ``t`` is null and ``p`` is 1.
+    """
+    v = F.col("value")
+    stats = values.groupBy("metric").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"))
+    stats = stats.select("metric", "n", "mean", F.when(F.col("sd") > 0, (F.col("mean") - mean) / (F.col("sd") / F.sqrt("n"))).alias("t"))
+    return stats.withColumn("p", _p_column(lambda t, n: 1.0 if math.isnan(t) else D.t_two_sided(t, n - 1))("t", "n"))
+
+
+def mcnemar(pairs: DataFrame) -> DataFrame:
+    """Exact McNemar test of each group of ``pairs(metric, a, b)``, two booleans of one case: ``(metric, only_a, only_b, p)``.
+
+    Cases where either is null are left out.
+    """
+    a, b = F.col("a"), F.col("b")
+    counts = pairs.groupBy("metric").agg(F.count_if(a & ~b).alias("only_a"), F.count_if(~a & b).alias("only_b"))
+    return counts.withColumn("p", _p_column(lambda x, y: D.mcnemar_exact(int(x), int(y)))("only_a", "only_b"))
+
+
+def _p_column(p):
+    """A column of p-values from two columns; tables here have a row for each metric."""
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([p(float(i), float(j)) for i, j in zip(x, y, strict=True)], dtype="float64")
+
+    return run
+
+
 def power_sample_size(stats: DataFrame, power: float = 0.8) -> DataFrame:
     """Pairs needed for each metric of a paired comparison (its ``mean_diff`` and ``sd_diff``) at that power."""
     z = D.normal_quantile(0.975) + D.normal_quantile(power)
@@ -249,17 +286,27 @@ def bootstrap_bca(scores: DataFrame, replicates: int = 10_000, seed: int = 42, l
     """
     block = 250
     parts = -(-replicates // block)
+    # P(weight <= k) of Poisson(1)
+    upto = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(20)])
+
+    def weights_of(keys: np.ndarray, b: int) -> np.ndarray:
+        """Weights of the rows in the replicates of a block: the count of a hash of row key and replicate among ``upto``."""
+        x = keys[:, None] + np.arange(b * block + 1, (b + 1) * block + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        return np.searchsorted(upto, (x >> np.uint64(11)) * 2.0**-53, side="right").astype(float)
 
     def run(batches):
         held: dict[tuple[str, int], np.ndarray] = {}
         for pdf in batches:
             for metric, group in pdf.groupby("metric"):
-                values, keys = group["value"].to_numpy(float), group["key"].to_numpy(np.uint64)
+                values, keys = group["value"].to_numpy(float), group["key"].to_numpy(np.int64).view(np.uint64)
                 for b in range(parts):
                     acc = held.setdefault((metric, b), np.zeros((2, block)))
                     for start in range(0, len(values), 2_000):
                         v, k = values[start : start + 2_000], keys[start : start + 2_000]
-                        weights = np.stack([np.random.default_rng([seed, b, int(x)]).poisson(1.0, block) for x in k])
+                        weights = weights_of(k, b)
                         acc[0] += weights.sum(0)
                         acc[1] += v @ weights
         for (metric, b), acc in held.items():

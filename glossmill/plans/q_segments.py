@@ -170,7 +170,16 @@ def merge_intervals(spark, sf_dir):
     return S.merge_intervals(P.annotations(spark, sf_dir), 600_000)
 
 
-@query("merge_short_intervals", None)
+@query(
+    "merge_short_intervals",
+    """WITH RECURSIVE a AS (SELECT user_id AS v, epoch_us(ts) // 1000 AS s, epoch_us(ts) // 1000 + CAST(floor(value * 100000) AS BIGINT) AS e FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY v ORDER BY s, e) AS i FROM a),
+m AS (SELECT v, i, s, e, CAST(1 AS BIGINT) AS parts, s AS first FROM n WHERE i = 1
+  UNION ALL SELECT v, i, CASE WHEN j THEN ms ELSE s END, CASE WHEN j THEN greatest(me, e) ELSE e END, CASE WHEN j THEN parts + 1 ELSE 1 END, CASE WHEN j THEN first ELSE s END
+  FROM (SELECT n.v, n.i, n.s, n.e, m.s AS ms, m.e AS me, m.parts, m.first, n.s - m.e <= 3600000 AND m.e - m.s < 20000000 AND n.e - n.s < 20000000 AS j FROM m JOIN n ON n.v = m.v AND n.i = m.i + 1)),
+k AS (SELECT *, coalesce(lead(parts) OVER (PARTITION BY v ORDER BY i), 1) = 1 AS done FROM m)
+SELECT v AS video_id, s AS start_ms, e AS end_ms, parts FROM k WHERE done""",
+)
 def merge_short_intervals(spark, sf_dir):
     return S.merge_short_intervals(P.annotations(spark, sf_dir), 3_600_000, 20_000_000)
 
@@ -212,7 +221,14 @@ def video_type(spark, sf_dir):
     return out.withColumns({c: F.round(c, 3) for c in ("avg_gap", "std_length", "avg_length")})
 
 
-@query("valleys", None)
+@query(
+    "valleys",
+    """WITH RECURSIVE f AS (SELECT user_id AS c, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, value AS v FROM events),
+l AS (SELECT *, min(v) OVER w AS low, max(v) OVER w AS high FROM f WINDOW w AS (PARTITION BY c ORDER BY i ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)),
+d AS (SELECT c, i FROM l WHERE v = low AND v < 0.2::DOUBLE * high),
+k AS (SELECT c, min(i) AS i FROM d GROUP BY 1 UNION ALL SELECT k.c, (SELECT min(d.i) FROM d WHERE d.c = k.c AND d.i >= k.i + 5) AS i FROM k WHERE EXISTS (SELECT 1 FROM d WHERE d.c = k.c AND d.i >= k.i + 5))
+SELECT c AS clip_id, i AS frame_idx FROM k""",
+)
 def valleys(spark, sf_dir):
     return S.valleys(P.motion(spark, sf_dir))
 

@@ -122,6 +122,11 @@ def sample_ratio_check(spark, sf_dir):
     return rounded(S.sample_ratio_check(_assigned(spark, sf_dir)), "train_ratio")
 
 
+_KS = """SELECT 'frames', round(max(gap), 6), coalesce(max(gap) <= sqrt(-ln(0.005) / 2) * sqrt(1 / max(na) + 1 / max(nb)), true) FROM (
+SELECT abs(sum(a) OVER w / sum(a) OVER () - sum(b) OVER w / sum(b) OVER ()) AS gap, sum(a) OVER () AS na, sum(b) OVER () AS nb
+FROM (SELECT n_frames, count(*) FILTER (split = 'train') AS a, count(*) FILTER (split = 'test') AS b FROM assigned GROUP BY 1) WINDOW w AS (ORDER BY n_frames ROWS UNBOUNDED PRECEDING)) WHERE na >= 10 AND nb >= 10"""
+
+
 @query(
     "verify_splits",
     f"""{_ALL}, {_BALANCE}, k AS (SELECT DISTINCT split, gloss, video_id FROM assigned),
@@ -129,7 +134,8 @@ l AS (SELECT count(*) AS f FROM k x JOIN k y ON x.gloss = y.gloss AND x.video_id
 SELECT 'no_leak' AS "check", CAST(f AS DOUBLE) AS figure, f = 0 AS passed FROM l
 UNION ALL SELECT 'classes_present', CAST(count(*) FILTER (missing_val OR missing_test) AS DOUBLE), count(*) FILTER (missing_val OR missing_test) = 0 FROM balance
 UNION ALL SELECT 'balanced', round(max(train_cv), 6), max(train_cv) <= 0.5 FROM balance
-UNION ALL SELECT 'ratio', round(train_ratio, 6), train_ratio BETWEEN 0.5 AND 0.9 AND val > 0 AND test > 0 FROM q""",
+UNION ALL SELECT 'ratio', round(train_ratio, 6), train_ratio BETWEEN 0.5 AND 0.9 AND val > 0 AND test > 0 FROM q
+UNION ALL {_KS}""",
 )
 def verify_splits(spark, sf_dir):
     return rounded(S.verify_splits(_assigned(spark, sf_dir)), "figure")
@@ -354,7 +360,7 @@ def signer_missing(spark, sf_dir):
     return M.signer_missing(rows, 3)
 
 
-@query("pool_index", f"{_WITH} SELECT gloss, string_agg(clip_id, ' ' ORDER BY clip_id) AS files FROM clips GROUP BY 1")
+@query("pool_index", f"{_WITH}, r AS (SELECT gloss, clip_id, (row_number() OVER (PARTITION BY gloss ORDER BY clip_id) - 1) // 1000 AS part FROM clips) SELECT gloss, part, string_agg(clip_id, ' ' ORDER BY clip_id) AS files FROM r GROUP BY 1, 2")
 def pool_index(spark, sf_dir):
     files = P.clips(spark, sf_dir).withColumnRenamed("clip_id", "file")
     return M.pool_index(files).withColumn("files", F.array_join("files", " "))

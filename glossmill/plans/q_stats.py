@@ -50,6 +50,31 @@ def p_values(spark, sf_dir):
     return S.p_values(_cents(spark, sf_dir))
 
 
+@query(
+    "one_sample_t",
+    """WITH v AS (SELECT event_type AS metric, value - 50 AS v FROM events), s AS (SELECT metric, count(*) AS n, avg(v) AS mean, stddev_samp(v) AS sd FROM v GROUP BY 1),
+t AS (SELECT metric, n, mean, mean / (sd / sqrt(n)) AS t, n - 1 AS df FROM s),
+x AS (SELECT metric, sum((CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * (1 + (t * i / 4000) ** 2 / df) ** (-(df + 1) / 2::DOUBLE)) * abs(t) / 12000 * exp(lgamma((df + 1) / 2::DOUBLE) - lgamma(df / 2::DOUBLE)) / sqrt(df * pi()) AS half FROM t, range(4001) r(i) GROUP BY metric, t, df)
+SELECT metric, n, round(mean, 6) AS mean, round(t, 6) AS t, round(1 - 2 * half, 6) AS p FROM t JOIN x USING (metric)""",
+)
+def one_sample_t(spark, sf_dir):
+    rows = P.table(spark, sf_dir, "events").select(F.col("event_type").alias("metric"), (F.col("value") - 50).alias("value"))
+    return rounded(S.one_sample_t(rows), "mean", "t", "p")
+
+
+@query(
+    "mcnemar",
+    """WITH c AS (SELECT o_orderpriority AS metric, o_totalprice > 200000 AS a, o_custkey % 3 = 0 AS b FROM orders),
+s AS (SELECT metric, count(*) FILTER (a AND NOT b) AS only_a, count(*) FILTER (b AND NOT a) AS only_b FROM c GROUP BY 1),
+t AS (SELECT metric, only_a, only_b, least(only_a, only_b) AS k, only_a + only_b AS n FROM s),
+x AS (SELECT metric, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))) AS tail FROM (SELECT metric, n, unnest(range(k + 1)) AS i FROM t) GROUP BY 1)
+SELECT metric, only_a, only_b, round(least(1, 2 * tail), 6) AS p FROM t JOIN x USING (metric)""",
+)
+def mcnemar(spark, sf_dir):
+    pairs = P.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("metric"), (F.col("o_totalprice") > 200000).alias("a"), (F.col("o_custkey") % 3 == 0).alias("b"))
+    return rounded(S.mcnemar(pairs), "p")
+
+
 @query("power_sample_size", f"{_WITH}, {_PAIR} SELECT metric, CAST(ceil((2.801585218 * sd_diff / mean_diff) ** 2) AS BIGINT) AS needed FROM pair")
 def power_sample_size(spark, sf_dir):
     return S.power_sample_size(S.paired_stats(P.scores(spark, sf_dir))).select("metric", "needed")

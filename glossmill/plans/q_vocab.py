@@ -40,12 +40,12 @@ def pairwise_euclidean(spark, sf_dir):
     return rounded(O.pairwise_distance(_centroids(spark, sf_dir), "euclidean", blocks=2), "distance")
 
 
-_SOFT = """s AS (SELECT vec_id, label, [CAST(x AS DOUBLE) * 20 for x in embedding[1:10]] AS z FROM embeddings), x AS (SELECT *, [exp(v - list_max(z)) for v in z] AS e FROM s),
+_SOFT = """s AS (SELECT vec_id, label, [CAST(x AS DOUBLE) * 20 for x in embedding] AS z FROM embeddings), x AS (SELECT *, [exp(v - list_max(z)) for v in z] AS e FROM s),
 soft AS (SELECT vec_id, label, [v / list_sum(e) for v in e] AS p FROM x)"""
 
 
 def _soft(spark, sf_dir):
-    scores = F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double") * 20)
+    scores = F.transform("embedding", lambda x: x.cast("double") * 20)
     return P.table(spark, sf_dir, "embeddings").select("vec_id", "label", V.softmax(scores).alias("p"), scores.alias("z"))
 
 
@@ -60,13 +60,13 @@ def top_k(spark, sf_dir):
     return rounded(best.select("vec_id", (F.col("k") + 1).alias("k"), "c.*"), "confidence")
 
 
-@query("mask_classes", f"WITH {_SOFT}, m AS (SELECT vec_id, [CASE WHEN i IN (2, 5) THEN 0 ELSE p[i + 1] END for i in range(10)] AS q FROM soft) SELECT vec_id, round(list_max(q) / list_sum(q), 6) AS top, round(q[1] / list_sum(q), 6) AS first FROM m")
+@query("mask_classes", f"WITH {_SOFT}, m AS (SELECT vec_id, [CASE WHEN i IN (2, 5) THEN 0 ELSE p[i + 1] END for i in range(64)] AS q FROM soft) SELECT vec_id, round(list_max(q) / list_sum(q), 6) AS top, round(q[1] / list_sum(q), 6) AS first FROM m")
 def mask_classes(spark, sf_dir):
     q = V.mask_classes(F.col("p"), [2, 5])
     return rounded(_soft(spark, sf_dir).select("vec_id", F.array_max(q).alias("top"), q[0].alias("first")), "top", "first")
 
 
-@query("entropy", f"WITH {_SOFT} SELECT vec_id, round(-list_sum([v * ln(v + 1e-10) for v in p]) / ln(10), 6) AS entropy FROM soft")
+@query("entropy", f"WITH {_SOFT} SELECT vec_id, round(-list_sum([v * ln(v + 1e-10) for v in p]) / ln(64), 6) AS entropy FROM soft")
 def entropy(spark, sf_dir):
     return rounded(_soft(spark, sf_dir).select("vec_id", V.entropy(F.col("p")).alias("entropy")), "entropy")
 
@@ -109,17 +109,39 @@ def _domains(spark, sf_dir):
     return d.where(same).withColumn("domain", F.substring_index("a", "_", -1))
 
 
-@query("farthest_point", None)
+_PAIRS = f"""{_CENT}, p AS (SELECT split_part(a, '_', 2) AS dom, a, b, distance AS x FROM dist WHERE split_part(a, '_', 2) = split_part(b, '_', 2)),
+d AS (SELECT dom, a, b, x FROM p UNION ALL SELECT dom, b, a, x FROM p)"""
+
+
+def _chain_sql(first: str, k: int) -> str:
+    """Farthest points as recursion: each step takes the class whose nearest chosen one is farthest."""
+    return f"""{_PAIRS}, z AS ({first}), ch AS (SELECT * FROM z
+  UNION ALL SELECT dom, list_append(names, pick) FROM (SELECT dom, names, arg_min(a, (-round(near, 9), a)) AS pick FROM (
+    SELECT ch.dom, ch.names, d.a, min(d.x) AS near FROM ch JOIN d ON d.dom = ch.dom AND list_contains(ch.names, d.b) AND NOT list_contains(ch.names, d.a) WHERE len(ch.names) < {k} GROUP BY 1, 2, 3) GROUP BY 1, 2)),
+best AS (SELECT dom, arg_max(names, len(names)) AS names FROM ch GROUP BY 1),
+picked AS (SELECT dom AS domain, unnest(names) AS gloss, generate_subscripts(names, 1) AS rank FROM best)"""
+
+
+_CENTER = "SELECT dom, [arg_min(a, (round(m, 9), a))] AS names FROM (SELECT dom, a, sum(x) / count(*) AS m FROM d GROUP BY 1, 2) GROUP BY 1"
+_FARTHEST = "SELECT dom, arg_min([a, b], (-round(x, 9), a, b)) AS names FROM p GROUP BY 1"
+
+
+@query("farthest_point", f"WITH RECURSIVE {_chain_sql(_CENTER, 5)} SELECT domain, rank, gloss FROM picked")
 def farthest_point(spark, sf_dir):
     return O.farthest_point(_domains(spark, sf_dir), 5)
 
 
-@query("max_dispersion", None)
+@query("max_dispersion", f"WITH RECURSIVE {_chain_sql(_FARTHEST, 5)} SELECT domain, rank, gloss FROM picked")
 def max_dispersion(spark, sf_dir):
     return O.farthest_point(_domains(spark, sf_dir), 5, seed="dispersion")
 
 
-@query("domain_lists", None)
+@query(
+    "domain_lists",
+    f"""WITH RECURSIVE {_chain_sql(_CENTER, 6)}, own AS (SELECT DISTINCT dom AS domain, a AS gloss FROM d),
+o AS (SELECT domain, gloss, row_number() OVER (PARTITION BY domain ORDER BY CASE WHEN gloss LIKE 'C1%' THEN 0 ELSE 1 END, rank NULLS LAST, gloss) AS pos FROM own LEFT JOIN picked USING (domain, gloss) WHERE gloss NOT LIKE 'C2%')
+SELECT domain, pos, gloss FROM o WHERE pos <= 5""",
+)
 def domain_lists(spark, sf_dir):
     d = _domains(spark, sf_dir)
     candidates = d.select("domain", F.explode(F.array("a", "b")).alias("gloss")).distinct()

@@ -7,20 +7,21 @@ from pyspark.sql import functions as F
 
 
 def manifest(assigned: DataFrame, pool: str) -> DataFrame:
-    """A row for each split: totals, and classes with their families and files, from ``(split, gloss, video_id,
-    frame_bucket, file)``."""
+    """A row for each family, with the totals of its split, from ``(split, gloss, video_id, frame_bucket, file)``.
+
+    ``classes`` holds the family's class with its files, so no row grows with the corpus; readers join the rows.
+    """
     fams = assigned.groupBy("split", "gloss", "video_id", "frame_bucket").agg(F.array_sort(F.collect_list("file")).alias("files"))
+    classes = fams.groupBy("split", "gloss").agg(F.count("*").alias("n_families"), F.sum(F.size("files")).alias("n_files"))
+    totals = classes.groupBy("split").agg(F.sum("n_files").alias("total_samples"), F.sum("n_families").alias("total_families"), F.count("*").alias("num_classes"))
     family = F.struct(F.col("video_id").cast("string").alias("video_id"), "frame_bucket", "files")
-    classes = fams.groupBy("split", "gloss").agg(F.array_sort(F.collect_list(family)).alias("families"), F.count("*").alias("n_families"), F.sum(F.size("files")).alias("n_files"))
-    return classes.groupBy("split").agg(
-        F.lit(pool).alias("pickle_pool"), F.sum("n_files").alias("total_samples"), F.sum("n_families").alias("total_families"), F.count("*").alias("num_classes"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("gloss", "families")))).alias("classes"),
-    )
+    out = fams.select("split", F.lit(pool).alias("pickle_pool"), F.create_map("gloss", F.array(family)).alias("classes"))
+    return out.join(totals, "split").select("split", "pickle_pool", "total_samples", "total_families", "num_classes", "classes")
 
 
 def write_manifest(assigned: DataFrame, path: str, pool: str) -> None:
-    """One JSON file for each split; the assignment itself is better kept as Parquet (:func:`write_assignment`)."""
-    manifest(assigned, pool).repartition("split").write.json(path)
+    """Manifest rows as JSON lines in any number of files."""
+    manifest(assigned, pool).write.json(path)
 
 
 def write_assignment(assigned: DataFrame, path: str) -> None:

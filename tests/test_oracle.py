@@ -2,6 +2,7 @@
 
 import datetime
 import math
+import os
 
 import duckdb
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 
 from glossmill.plans import registry
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
