@@ -172,30 +172,57 @@ def augmentation_plan(counts: DataFrame, target: int = 100, least: int = 1, most
     return counts.withColumn("missing", missing).withColumn("per_video", F.when(missing == 0, 0).otherwise(per))
 
 
-def balancing_plan(train: DataFrame) -> DataFrame:
-    """How many more augmentations each family of a class gets to bring the class up to the largest.
+def balancing_plan(train: DataFrame, target: int | None = None) -> DataFrame:
+    """How many more augmentations each family of a class gets to bring the class up to ``target``, or to the largest.
 
     ``train(gloss, video_id)``: a row for each clip. More than the augmentations of the largest family less one are not
     added; whole numbers leave some classes short.
     """
     fams = train.groupBy("gloss", "video_id").agg(F.count("*").alias("size"))
     per = fams.groupBy("gloss").agg(F.sum("size").alias("n"), F.count("*").alias("families"), F.max("size").alias("largest"))
-    target = per.agg(F.max("n").alias("target"))
-    out = per.join(F.broadcast(target)).withColumn("needed", F.col("target") - F.col("n"))
+    if target is None:
+        out = per.join(F.broadcast(per.agg(F.max("n").alias("target"))))  # one row
+    else:
+        out = per.withColumn("target", F.lit(target).cast("long"))
+    out = out.withColumn("needed", F.greatest(F.col("target") - F.col("n"), F.lit(0)))
     extra = F.least(F.floor(F.col("needed") / F.col("families")), F.greatest(F.col("largest") - 1, F.lit(0)))
     out = out.withColumn("per_family", extra).withColumn("after", F.col("n") + F.col("per_family") * F.col("families"))
     status = F.when(F.col("needed") == 0, "already_balanced").when(F.col("after") == F.col("target"), "balanced").otherwise("partial")
     return out.withColumn("status", status)
 
 
-def balance_rows(train: DataFrame) -> DataFrame:
+def balance_rows(train: DataFrame, target: int | None = None) -> DataFrame:
     """The rows that a balancing plan adds: families with new augmentation numbers that continue their own."""
-    plan = balancing_plan(train).where("per_family > 0").select("gloss", "per_family")
+    plan = balancing_plan(train, target).where("per_family > 0").select("gloss", "per_family")
     fams = train.groupBy("gloss", "video_id").agg(F.max("aug_id").alias("last"))
     ids = F.sequence(F.col("last") + 1, F.col("last") + F.col("per_family").cast("int"))
     return fams.join(plan, "gloss").select("gloss", "video_id", F.explode(ids).alias("aug_id"))
 
 
+def balance_train(train: DataFrame, target: int, seed: str = "42") -> DataFrame:
+    """``train(clip_id, gloss, video_id, aug_id, is_augmented)`` balanced: augmentations are added, then capped at ``target``.
+
+    New clips are named ``<video>_balance_<number>`` and carry their ``technique``, null for those that were there;
+    :func:`augmentation_sequence` gives it by the clip's place among the new ones of its family. Originals all stay.
+    """
+    new = balance_rows(train, target)
+    fams = new.groupBy("gloss", "video_id").agg(F.count("*").alias("n"), F.min("aug_id").alias("first"))
+    named = augmentation_sequence(fams.select(F.struct("gloss", "video_id", "first").alias("key"), "n"))
+    new = named.select(
+        F.concat_ws("_", F.col("key.video_id").cast("string"), F.lit("balance"), F.col("key.first") + F.col("aug_no")).alias("clip_id"),
+        "key.gloss", "key.video_id", (F.col("key.first") + F.col("aug_no")).alias("aug_id"), F.lit(True).alias("is_augmented"), "technique",
+    )
+    every = train.select("clip_id", "gloss", "video_id", "aug_id", "is_augmented", F.lit(None).cast("string").alias("technique"))
+    return cap_class(every.unionByName(new), target, seed)
+
+
+def balance_summary(train: DataFrame, balanced: DataFrame, target: int) -> DataFrame:
+    """Clips of each class before and after, how many of the latter are new, and whether the target is met."""
+    before = train.groupBy("gloss").agg(F.count("*").alias("before"))
+    after = balanced.groupBy("gloss").agg(F.count("*").alias("after"), F.count_if(F.col("technique").isNotNull()).alias("added"))
+    return before.join(after, "gloss").withColumn("achieved", F.col("after") == target)
+
+
 #: Techniques in the order of the configuration, with their weights.
 TECHNIQUES = (
     ("geometric", 3.0), ("noise", 2.0), ("translation", 2.0), ("scaling", 2.0), ("speed", 2.0), ("flip", 1.0),

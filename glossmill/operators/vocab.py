@@ -64,6 +64,23 @@ def pairwise_distance(vectors: DataFrame, metric: str = "cosine", blocks: int |
     return sent.groupBy("i", "j").applyInPandas(run, "a string, b string, distance double")
 
 
+def standardized(vectors: DataFrame, heavy: tuple[int, int] | None = None, weight: float = 2.0) -> DataFrame:
+    """``vectors(gloss, vec)`` with each dimension brought to mean 0 and spread 1 over the classes.
+
+    Dimensions from ``heavy[0]`` to before ``heavy[1]`` (those of the fingers) are then multiplied by ``weight``. One
+    without spread is only centred. Means and spreads are one row.
+    """
+    each = vectors.select(F.posexplode("vec").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
+    one = each.agg(F.array_sort(F.collect_list(F.struct("i", "m", "s"))).alias("norms"))
+    scale = F.lit(1.0) if heavy is None else None
+
+    def norm(x, d):
+        by = scale if scale is not None else F.when((d["i"] >= heavy[0]) & (d["i"] < heavy[1]), weight).otherwise(1.0)
+        return (x - d["m"]) / F.when(d["s"] < 1e-6, 1.0).otherwise(d["s"]) * by
+
+    return vectors.join(F.broadcast(one)).withColumn("vec", F.zip_with("vec", "norms", norm)).drop("norms")
+
+
 def entropy_distinctiveness(scores: DataFrame) -> DataFrame:
     """From ``scores(gloss, p)``, a distribution for each clip: mean distribution's entropy and mean confidence, blended."""
     conf = scores.groupBy("gloss").agg(F.avg(F.array_max("p")).alias("confidence"))
@@ -72,14 +89,35 @@ def entropy_distinctiveness(scores: DataFrame) -> DataFrame:
     return spread.join(conf, "gloss").withColumn("score", 0.6 * F.col("entropy") + 0.4 * (1 - F.col("confidence")))
 
 
-def rank_candidates(candidates: DataFrame, kept: DataFrame) -> DataFrame:
+def rank_candidates(candidates: DataFrame, kept: DataFrame, blocks: int | None = None) -> DataFrame:
     """Candidates ``(gloss, vec, n)`` by distance from the vocabulary kept ``(gloss, vec)`` and by how many clips they have.
 
-    The vocabulary kept is broadcast while it has at most ``ONE_BLOCK`` classes; both sides have one row for each class.
+    Both have one row for each class and are cut into blocks by a hash of it. Each pair of blocks is a task that
+    multiplies two matrices of bounded size and keeps each candidate's nearest class (of equal ones that with the larger
+    name); the nearest of all blocks is an aggregate. Without any class kept there is no distance, and no row.
     """
-    have = kept.select(F.col("gloss").alias("other"), F.col("vec").alias("ovec"))
-    have = F.broadcast(have) if kept.count() <= ONE_BLOCK else have
-    near = candidates.join(have).withColumn("sim", V.cosine(F.col("vec"), F.col("ovec")))
+    if blocks is None:
+        blocks = max(1, -(-max(candidates.count(), kept.count()) // ONE_BLOCK))
+    own = F.pmod(F.xxhash64("gloss"), F.lit(blocks)).cast("int")
+    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    vec = F.transform("vec", lambda x: x.cast("double")).alias("vec")
+    left = candidates.select(F.col("gloss").alias("gloss"), vec, "n", own.alias("i"), others.alias("j"))
+    right = kept.select(F.col("gloss").alias("other"), vec, own.alias("j"), others.alias("i"))
+
+    def unit(pdf: pd.DataFrame) -> np.ndarray:
+        x = np.stack(pdf["vec"].to_numpy())
+        size = np.linalg.norm(x, axis=1, keepdims=True)
+        return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+    def run(some: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
+        if some.empty or have.empty:
+            return pd.DataFrame({"gloss": [], "n": [], "sim": [], "other": []})
+        have = have.sort_values("other", ascending=False)
+        sims = unit(some) @ unit(have).T
+        best = np.argmax(np.round(sims, 9), axis=1)
+        return pd.DataFrame({"gloss": some["gloss"], "n": some["n"], "sim": sims[np.arange(len(some)), best], "other": have["other"].to_numpy()[best]})
+
+    near = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, "gloss string, n long, sim double, other string")
     best = near.groupBy("gloss").agg(F.max("sim").alias("similarity"), F.max_by("other", F.struct(F.round("sim", 9), "other")).alias("nearest"), F.first("n").alias("n"))
     out = best.withColumn("distinct", 1 - F.col("similarity")).withColumn("samples", F.least(F.log10(F.col("n") + 1.0) / 2, F.lit(1.0)))
     score = 0.7 * F.col("distinct") + 0.3 * F.col("samples")

@@ -39,7 +39,7 @@ def event_stream(spark, sf_dir):
 # Both buffers as recursion over the number of the event: each step takes every session's next event.
 _SETTINGS = {"pause": 7200.0, "timeout": 36000.0, "session_end": 172800.0, "questions": ("SIGNUP",), "ends": ("ERROR",)}
 _DELAY = datetime.timedelta(hours=1)
-_KNOWN = "(SELECT (epoch_ms(max(ts)) - 3600000) / 1e3 FROM events)"
+_KNOWN = "(SELECT (epoch_us(max(ts)) // 1000 - 3600000) / 1e3 FROM events)"
 
 
 def _watermark(spark, sf_dir):
@@ -124,7 +124,7 @@ def sign_windows(spark, sf_dir):
     return _plain_times(C.sign_windows(_moving(events(spark, sf_dir)), "6 hours"), "start_ts", "last_ts")
 
 
-@query("sign_windows_stream", f"{_SIGN_WINDOWS} HAVING epoch_us(max(ts)) / 1e6 + 21600 <= (SELECT (epoch_ms(max(ts)) - 3600000) / 1e3 FROM events WHERE value > 50)")
+@query("sign_windows_stream", f"{_SIGN_WINDOWS} HAVING epoch_us(max(ts)) / 1e6 + 21600 <= (SELECT (epoch_us(max(ts)) // 1000 - 3600000) / 1e3 FROM events WHERE value > 50)")
 def sign_windows_stream(spark, sf_dir):
     path = scratch_path(spark, "signs")
     frames = _moving(event_stream(spark, sf_dir)).where("moves").withWatermark("ts", "1 hour")
@@ -242,6 +242,26 @@ def parse_response(spark, sf_dir):
     return P.table(spark, sf_dir, "events").select("event_id", parsed.alias("p")).select("event_id", "p.sentence", F.size("p.selections").alias("n"))
 
 
+@query("gloss_stream_round_trip", "SELECT event_type AS gloss, count(*) AS n, round(sum(value / 500), 4) AS confidence FROM events GROUP BY 1")
+def gloss_stream_round_trip(spark, sf_dir):
+    """Events written as JSON lines, read as a stream and counted."""
+    path = scratch_path(spark, "gloss-lines")
+    events(spark, sf_dir).write.json(path)
+    out = scratch_path(spark, "gloss-rows")
+    C.run_available(readers.read_gloss_stream(spark, path), out)
+    return spark.read.parquet(out).groupBy("gloss").agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 4).alias("confidence"))
+
+
+@query("baseline_sentence", f"WITH {P.ENTRIES_SQL} SELECT entry_id, array_to_string(glosses, ' ') || '.' AS sentence FROM entries")
+def baseline_sentence(spark, sf_dir):
+    return P.entries(spark, sf_dir).select("entry_id", T.baseline_sentence(F.col("glosses")).alias("sentence"))
+
+
+@query("ms_to_frame", "SELECT event_id, CAST(epoch_us(ts) // 1000 % 86400000 / 1000 * 25 AS INT) AS frame FROM events")
+def ms_to_frame(spark, sf_dir):
+    return P.table(spark, sf_dir, "events").select("event_id", T.ms_to_frame(F.expr("unix_millis(CAST(ts AS timestamp)) % 86400000"), 25).alias("frame"))
+
+
 @query("manifest_round_trip", f"{_ALL} SELECT split, gloss, CAST(video_id AS VARCHAR) AS video_id, bucket AS frame_bucket, 'pool/' || clip_id || '.pkl' AS file FROM assigned JOIN families USING (gloss, video_id)")
 def manifest_round_trip(spark, sf_dir):
     buckets = splits.families(P.clips(spark, sf_dir)).select("gloss", "video_id", F.col("bucket").alias("frame_bucket"))

@@ -181,6 +181,23 @@ def balance_rows(spark, sf_dir):
     return S.balance_rows(P.clips(spark, sf_dir))
 
 
+@query(
+    "balance_train",
+    f"""{_WITH}, f AS (SELECT gloss, video_id, count(*) AS size, max(aug_id) AS last FROM clips GROUP BY 1, 2),
+p AS (SELECT gloss, sum(size) AS n, count(*) AS families, max(size) AS largest FROM f GROUP BY 1),
+e AS (SELECT *, least(greatest(300 - n, 0) // families, greatest(largest - 1, 0)) AS per_family FROM p),
+every AS (SELECT clip_id, gloss, is_augmented, false AS new FROM clips
+  UNION ALL SELECT concat_ws('_', video_id, 'balance', unnest(range(last + 1, CAST(last + per_family + 1 AS BIGINT)))), gloss, true, true FROM f JOIN e USING (gloss) WHERE per_family > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY gloss ORDER BY CAST(is_augmented AS INT), md5('42|' || clip_id), clip_id) AS rn FROM every),
+k AS (SELECT * FROM r WHERE rn <= 300 OR NOT is_augmented)
+SELECT gloss, count(*) FILTER (NOT new) AS kept, (SELECT count(*) FROM clips c WHERE c.gloss = k.gloss) AS before, count(*) AS after, count(*) FILTER (new) AS added, count(*) = 300 AS achieved FROM k GROUP BY gloss""",
+)
+def balance_train(spark, sf_dir):
+    train = P.clips(spark, sf_dir)
+    out = S.balance_summary(train, S.balance_train(train, 300), 300)
+    return out.withColumn("kept", F.col("after") - F.col("added"))
+
+
 def _sequence_sql() -> str:
     total = sum(w for _, w in S.TECHNIQUES)
     counts = [f"greatest(1, CAST(trunc(n * {w}::DOUBLE / {total}::DOUBLE) AS BIGINT))" for _, w in S.TECHNIQUES]

@@ -40,6 +40,16 @@ def pairwise_euclidean(spark, sf_dir):
     return rounded(O.pairwise_distance(_centroids(spark, sf_dir), "euclidean", blocks=2), "distance")
 
 
+@query(
+    "pairwise_weighted",
+    f"""WITH {_CENT}, u AS (SELECT gloss, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM cents), z AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM u GROUP BY 1),
+v AS (SELECT gloss, list((x - m) / CASE WHEN s < 1e-6 THEN 1 ELSE s END * CASE WHEN i BETWEEN 31 AND 60 THEN 2 ELSE 1 END ORDER BY i) AS vec FROM u JOIN z USING (i) GROUP BY 1)
+SELECT p.gloss AS a, q.gloss AS b, round(list_distance(p.vec, q.vec), 6) AS distance FROM v p JOIN v q ON p.gloss < q.gloss""",
+)
+def pairwise_weighted(spark, sf_dir):
+    return rounded(O.pairwise_distance(O.standardized(_centroids(spark, sf_dir), (30, 60)), "euclidean", blocks=2), "distance")
+
+
 _SOFT = """s AS (SELECT vec_id, label, [CAST(x AS DOUBLE) * 20 for x in embedding] AS z FROM embeddings), x AS (SELECT *, [exp(v - list_max(z)) for v in z] AS e FROM s),
 soft AS (SELECT vec_id, label, [v / list_sum(e) for v in e] AS p FROM x)"""
 

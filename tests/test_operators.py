@@ -157,6 +157,85 @@ def test_bootstrap_interval_holds_the_mean(spark):
     assert r.ci_high - r.ci_low == pytest.approx(2 * 1.96 * se, rel=0.25)
 
 
+def test_bootstrap_does_not_depend_on_partitions(spark):
+    rows = spark.range(300).select(F.lit("m").alias("metric"), (F.col("id") % 17).cast("double").alias("value"), "id")
+    assert statistics.bootstrap_bca(rows.repartition(7), 300).collect() == statistics.bootstrap_bca(rows.coalesce(1), 300).collect()
+
+
+def test_p_values(spark):
+    rng = np.random.default_rng(4)
+    diffs = {"up": np.round(rng.normal(1, 3, 60), 1), "none": np.round(rng.normal(0, 1, 40), 1), "flat": np.zeros(5)}
+    rows = [(m, 10.0, 10.0 + float(x)) for m, d in diffs.items() for x in d]
+    got = {r.metric: r for r in statistics.p_values(spark.createDataFrame(rows, "metric string, baseline double, model double")).collect()}
+    for m, d in diffs.items():
+        n, kept = len(d), np.round(d[d != 0], 9)
+        if not len(kept):
+            assert (got[m].p_t, got[m].p_wilcoxon, got[m].p_bonferroni) == (1.0, 1.0, 1.0)
+            continue
+        t = d.mean() / (d.std(ddof=1) / math.sqrt(n))
+        grid = np.linspace(0, abs(t), 200_001)
+        density = math.exp(math.lgamma(n / 2) - math.lgamma((n - 1) / 2)) / math.sqrt((n - 1) * math.pi) * (1 + grid**2 / (n - 1)) ** (-n / 2)
+        p_t = 1 - 2 * float(((density[1:] + density[:-1]) / 2).sum() * (grid[1] - grid[0]))
+        size = np.abs(kept)
+        rank = np.array([(size < x).sum() + ((size == x).sum() + 1) / 2 for x in size])
+        w, k = min(rank[kept > 0].sum(), rank[kept < 0].sum()), len(kept)
+        ties = sum(float(c) ** 3 - c for c in np.unique(size, return_counts=True)[1])
+        z = (w - k * (k + 1) / 4) / math.sqrt(k * (k + 1) * (2 * k + 1) / 24 - ties / 48)
+        better = int((d > 0).sum())
+        assert got[m].p_t == pytest.approx(p_t, abs=1e-7)
+        assert got[m].p_wilcoxon == pytest.approx(math.erfc(-z / math.sqrt(2)), abs=1e-6)
+        assert got[m].p_binomial == pytest.approx(sum(math.comb(n, i) for i in range(better, n + 1)) / 2**n, abs=1e-9)
+        assert got[m].p_bonferroni == pytest.approx(min(1, 3 * p_t), abs=1e-6)
+
+
+def test_pca_weights(spark):
+    x = np.random.default_rng(2).normal(0, 1, (200, 1)) * [1, 2, -1] + np.random.default_rng(3).normal(0, 1, (200, 3))
+    got = statistics.pca_weights(spark.createDataFrame(x.tolist(), "a double, b double, c double"), ["a", "b", "c"])
+    v, corr = np.ones(3) / 3, np.corrcoef(x.T)
+    v[2] = -v[2]
+    for _ in range(500):
+        v = corr @ v
+        v /= np.linalg.norm(v)
+    assert got["weight"].tolist() == pytest.approx((np.abs(v) / np.abs(v).sum()).tolist())
+    assert got["explained"][0] == pytest.approx(float(v @ corr @ v) / 3)
+
+
+def test_repetition(spark):
+    rows = [(1, i, math.sin(2 * math.pi * i / 8)) for i in range(64)] + [(2, i, float(i == 3)) for i in range(40)] + [(3, i, 1.0) for i in range(10)]
+    out = L.repetition(spark.createDataFrame(rows, "clip_id long, frame_idx long, v double"), F.col("v"))
+    assert {r.clip_id: r.period for r in out.collect()} == {1: 8, 2: 0, 3: 0}
+
+
+def test_wrapped_lines(spark):
+    texts = ["", "a", "one two three four", "averyveryverylongword b", "x " * 40, None]
+    for width in (5, 12, 50):
+        got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.wrap_text(F.col("t"), width).alias("w"))
+        for i, w in got.collect():
+            lines = []
+            for word in (texts[i] or "").split():
+                if lines and len(lines[-1]) + 1 + len(word) <= width:
+                    lines[-1] += " " + word
+                else:
+                    lines.append(word)
+            assert w == "\n".join(lines)
+
+
+def test_design_dataset(spark):
+    pool = spark.createDataFrame([(f"e{i}", "easy") for i in range(4)] + [(f"h{i}", "hard") for i in range(3)], "gloss string, difficulty string")
+    got = [tuple(r.glosses) for r in splits.design_dataset(pool, {"easy": 2, "hard": 1}, 18).collect()]
+    assert len(set(got)) == 18 and all([g[0] for g in c] == ["e", "e", "h"] for c in got)
+    with pytest.raises(ValueError, match="only 18"):
+        splits.design_dataset(pool, {"easy": 2, "hard": 1}, 19)
+
+
+def test_rank_candidates_in_blocks(spark):
+    rng = np.random.default_rng(6)
+    some = spark.createDataFrame([(f"c{i}", rng.normal(size=4).tolist(), i) for i in range(30)], "gloss string, vec array<double>, n long")
+    kept = spark.createDataFrame([(f"k{i}", rng.normal(size=4).tolist()) for i in range(20)] + [("zero", [0.0] * 4)], "gloss string, vec array<double>")
+    one, three = (sorted(map(tuple, vocab.rank_candidates(some, kept, b).select("gloss", "nearest", "n", F.round("score", 9)).collect())) for b in (1, 3))
+    assert len(one) == 30 and one == three
+
+
 def test_farthest_point(spark):
     points = {"a": 0.0, "b": 1.0, "c": 2.0, "d": 10.0}
     rows = [("x", p, q, abs(points[p] - points[q])) for p in points for q in points if p < q]

@@ -50,4 +50,4 @@ def test_query(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_query_runs(spark, name):
     df = registry.queries()[name](spark, SF)
-    assert df.columns and df.limit(5).collect() is not None
+    assert df.columns and df.collect()
