@@ -25,6 +25,22 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target", "date")
 
 
+OP1_SQL = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload,
+         array_to_string([CASE WHEN ord(x) <= 32 OR ord(x) = 127 THEN printf('%%%02X', ord(x)) ELSE x END FOR x IN string_split(coalesce(url, ''), '')], '') AS target
+  FROM pages
+), hashed AS (
+  SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest, CASE WHEN target = '' THEN '-' ELSE target END AS target FROM p
+), firsts AS (
+  SELECT *, CASE WHEN payload_bytes < 100 THEN page_id ELSE min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM hashed
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to, target, '2008-04-30T00:00:00Z' AS date
+FROM firsts
+"""
+
+
 #: Rules of op2: a host with the beginning of a path, and what it says.
 URL_RULES = [
     ("com/en/", "block"),
@@ -217,6 +233,28 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.withColumn("valid", F.col("error").isNull()).drop("error")
 
 
+OP9_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), marked AS (
+  SELECT *, row_number() OVER o AS k, count(*) OVER (PARTITION BY conv_id) AS n, lag(role) OVER o AS before,
+         length(text) + length(regexp_replace(text, '[^\\]', '', 'gs'))
+           + 2 * len(regexp_extract_all(text, '<</SYS>>|<<SYS>>|\[/INST\]|\[/ROLE\]|\[INST\]|\[ROLE\]|\[TEXT\]|\[OUT\]|</s>|<s>')) AS escaped,
+         length(role) + length(regexp_replace(role, '[^\\]', '', 'gs'))
+           + 2 * len(regexp_extract_all(role, '<</SYS>>|<<SYS>>|\[/INST\]|\[/ROLE\]|\[INST\]|\[ROLE\]|\[TEXT\]|\[OUT\]|</s>|<s>')) AS escaped_role
+  FROM turns WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(3 + sum(escaped + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 9 ELSE 19 + escaped_role END) AS BIGINT) AS formatted_chars,
+       bool_and(CASE WHEN before IS NULL THEN role IN ('system', 'user') WHEN before = 'assistant' OR before = 'system' THEN role = 'user'
+                     WHEN before = 'user' THEN role = 'assistant' ELSE false END) AND bool_or(k = n AND role = 'assistant') AS valid
+FROM marked GROUP BY conv_id
+"""
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie inside windows of benchmark items."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -231,10 +269,43 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP10_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), windows AS (
+  SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[k:k + 9], ' ') AS words
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM items WHERE len(w) > 0)
+), places AS (
+  SELECT doc_id, k, n, array_to_string(w[k:k + n - 1], ' ') AS words
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM docs, (SELECT DISTINCT n FROM windows))
+), found AS (
+  SELECT doc_id, k, n, item FROM places JOIN windows USING (n, words)
+), hit AS (
+  SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS word FROM found) GROUP BY doc_id
+), listed AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(l.n_items, 0) AS n_items,
+       sha256(coalesce(l.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hit h USING (doc_id) LEFT JOIN listed l USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (op1_warc, op2_url_filter, op3_toxicity, op4_quality, op5_line_dedup, op6_simhash, op7_licenses, op8_mixing, op9_chat, op10_decontamination)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op5_line_dedup": OP5_SQL, "op7_licenses": OP7_SQL}
+    return {
+        "op1_warc": OP1_SQL,
+        "op2_url_filter": OP2_SQL,
+        "op5_line_dedup": OP5_SQL,
+        "op7_licenses": OP7_SQL,
+        "op9_chat": OP9_SQL,
+        "op10_decontamination": OP10_SQL,
+    }
