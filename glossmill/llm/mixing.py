@@ -77,11 +77,9 @@ def mix_sources(
     reruns agree; ties fall to the doc_id and the size, and rows alike in all of them are interchangeable. Null texts have
     size 0, null sources are one source, and rows of size 0 are never taken. An empty table gives an empty result.
     """
-    # Rows that share an id are spread by their size too, so no slice fills with them unless they are alike in both.
-    name = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sized = docs.select("doc_id", "source", count_words(F.col("text")).alias("size"), F.col("text"))
-    sized = sized.select("doc_id", "source", "size", F.md5(name).alias("r"), F.xxhash64("text").alias("same"))
-    sized = cut(sized.withColumn("r", F.md5(F.concat_ws(":", "r", "same"))).drop("same"), "sizes")
+    # Rows that share an id are spread by their texts too, so no slice fills with them unless they are alike in both.
+    name = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5("text"))
+    sized = cut(docs.select("doc_id", "source", count_words(F.col("text")).alias("size"), F.md5(name).alias("r")), "sizes")
     counts = sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     counts = cut(counts, "sources")
     rows, words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()

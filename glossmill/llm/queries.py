@@ -224,6 +224,39 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+OP8_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+')) AS size,
+         md5(concat_ws(':', 'mix', coalesce(CAST(doc_id AS VARCHAR), ''), md5(text))) AS r
+  FROM documents
+), ranked AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS rank FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, CAST([5, 2, 1][CAST((rank - 1) % 3 + 1 AS INT)] AS DOUBLE) AS weight, CAST(2 * source_size AS DOUBLE) AS most FROM ranked
+), fills AS (
+  SELECT *, 1.5::DOUBLE * CAST(sum(source_size) OVER () AS DOUBLE) AS budget, coalesce(sum(most) OVER before, 0) AS filled,
+         sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS open
+  FROM weighed WINDOW before AS (ORDER BY most / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), water AS (
+  SELECT (budget - filled) / open AS level FROM fills WHERE filled + open * most / weight >= budget ORDER BY most / weight, rank LIMIT 1
+), targets AS (
+  SELECT w.*, coalesce(least(most, weight * (SELECT level FROM water)), most) AS target FROM weighed w
+), queued AS (
+  SELECT doc_id, sized.source, size, r, rank, weight, source_size, target,
+         sum(size) OVER (PARTITION BY rank ORDER BY r, doc_id, size ROWS UNBOUNDED PRECEDING) AS sent
+  FROM sized JOIN targets t ON sized.source IS NOT DISTINCT FROM t.source
+), copies AS (
+  SELECT *, CAST(epoch * source_size + sent AS DOUBLE) / weight AS finish FROM queued, (VALUES (0), (1)) e(epoch) WHERE size > 0
+), ordered AS (
+  SELECT *, sum(size) OVER (ORDER BY finish, rank, r, doc_id, size ROWS UNBOUNDED PRECEDING) AS used FROM copies
+), plan AS (
+  SELECT doc_id, r, CAST(sum(size) AS BIGINT) AS taken FROM ordered WHERE used <= 1.5 * (SELECT sum(size) FROM sized) GROUP BY doc_id, r
+)
+SELECT q.doc_id, size, source_size, target, coalesce(taken, 0) AS taken, source
+FROM queued q LEFT JOIN plan p ON q.doc_id = p.doc_id AND q.r = p.r
+"""
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one that says control strings, formatted and read back from the output."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -306,6 +339,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_url_filter": OP2_SQL,
         "op5_line_dedup": OP5_SQL,
         "op7_licenses": OP7_SQL,
+        "op8_mixing": OP8_SQL,
         "op9_chat": OP9_SQL,
         "op10_decontamination": OP10_SQL,
     }
