@@ -146,7 +146,15 @@ def validate_sentences(spark, sf_dir):
 
 @query(
     "wrapped_lines",
-    None,
+    """WITH RECURSIVE w AS (SELECT item_id, [x for x in regexp_split_to_array(trim(coalesce(text, '')), '\\s+') if x <> ''] AS g FROM benchmark),
+step AS (
+  SELECT item_id, g, 1 AS i, '' AS done, coalesce(g[1], '') AS line FROM w
+  UNION ALL
+  SELECT item_id, g, i + 1, CASE WHEN length(line) + 1 + length(g[i + 1]) <= 50 THEN done WHEN done = '' THEN line ELSE done || chr(10) || line END,
+         CASE WHEN length(line) + 1 + length(g[i + 1]) <= 50 THEN line || ' ' || g[i + 1] ELSE g[i + 1] END
+  FROM step WHERE i < len(g)
+), said AS (SELECT item_id, CASE WHEN done = '' THEN line ELSE done || chr(10) || line END AS wrapped FROM step WHERE i >= len(g))
+SELECT item_id, len(string_split(wrapped, chr(10))) AS lines, wrapped FROM said""",
 )
 def wrapped_lines(spark, sf_dir):
     wrapped = T.wrap_text(F.col("text"), 50)

@@ -220,7 +220,18 @@ def compare_pose_stats(spark, sf_dir):
     return rounded(L.compare_pose_stats(_gloss_features(spark, sf_dir), ["velocity"]), "velocity")
 
 
-@query("repetition", None)
+@query(
+    "repetition",
+    f"""WITH {P.MOTION_SQL}, c AS (
+  SELECT clip_id, frame_idx, v - avg(v) OVER (PARTITION BY clip_id) AS x, count(*) OVER (PARTITION BY clip_id) AS n FROM motion
+), p AS (SELECT clip_id, sum(x * x) AS power FROM c GROUP BY 1),
+r AS (
+  SELECT a.clip_id, b.frame_idx - a.frame_idx AS k, sum(a.x * b.x) AS s
+  FROM c a JOIN c b ON a.clip_id = b.clip_id AND b.frame_idx - a.frame_idx BETWEEN 2 AND a.n // 2 GROUP BY 1, 2
+)
+SELECT p.clip_id, coalesce(arg_max(k, struct_pack(r := s / power, k := -k)) FILTER (power > 1e-12 AND s / power > 0.3), 0) AS period
+FROM p LEFT JOIN r ON r.clip_id = p.clip_id GROUP BY p.clip_id""",
+)
 def repetition(spark, sf_dir):
     return L.repetition(P.motion(spark, sf_dir).withColumn("kp", F.lit(None)), F.col("v"))
 

@@ -111,6 +111,28 @@ def severity(spark, sf_dir):
     return rounded(errors.withColumn("severity", PR.severity(F.col("errors"), (0.5, 0.25, 0.2))), "errors")
 
 
-@query("bleu", None)
+@query(
+    "bleu",
+    f"""WITH {P.ENTRIES_SQL}, said AS (
+  SELECT entry_id, [x for x in regexp_split_to_array(trim(lower(regexp_replace(output, '[!-/:-@\\[-`{{-~]', '', 'g'))), '\\s+') if x <> ''] AS o,
+         [x for x in regexp_split_to_array(trim(lower(regexp_replace(reference, '[!-/:-@\\[-`{{-~]', '', 'g'))), '\\s+') if x <> ''] AS r
+  FROM entries WHERE output IS NOT NULL AND reference IS NOT NULL
+), orders AS (SELECT entry_id, n, len(o) - n + 1 AS total FROM said, range(1, 5) t(n) WHERE len(o) >= n),
+grams AS (
+  SELECT entry_id, n, side, gram, count(*) AS c FROM (
+    SELECT entry_id, n, 'o' AS side, unnest([array_to_string(o[k:k + n - 1], ' ') for k in range(1, len(o) - n + 2)]) AS gram FROM said, range(1, 5) t(n)
+    UNION ALL SELECT entry_id, n, 'r', unnest([array_to_string(r[k:k + n - 1], ' ') for k in range(1, len(r) - n + 2)]) FROM said, range(1, 5) t(n)
+  ) GROUP BY ALL
+), matched AS (
+  SELECT a.entry_id, a.n, sum(least(a.c, b.c)) AS m FROM grams a JOIN grams b ON a.entry_id = b.entry_id AND a.n = b.n AND a.gram = b.gram
+  WHERE a.side = 'o' AND b.side = 'r' GROUP BY 1, 2
+), logs AS (
+  SELECT entry_id, m, CASE WHEN m > 0 THEN ln(m / total)
+           ELSE -ln(total * 2::DOUBLE ** count(*) FILTER (m IS NULL) OVER (PARTITION BY entry_id ORDER BY n ROWS UNBOUNDED PRECEDING)) END AS precision
+  FROM orders LEFT JOIN matched USING (entry_id, n)
+), scores AS (SELECT entry_id, max(m) AS m, exp(avg(precision)) AS score FROM logs GROUP BY 1)
+SELECT entry_id, round(CASE WHEN m > 0 THEN 100 * exp(least(0, 1 - len(r) / len(o))) * score WHEN output IS NOT NULL AND reference IS NOT NULL THEN 0 END, 6) AS bleu
+FROM entries LEFT JOIN said USING (entry_id) LEFT JOIN scores USING (entry_id)""",
+)
 def bleu(spark, sf_dir):
-    return P.entries(spark, sf_dir).select("entry_id", B.bleu(F.col("output"), F.col("reference")).alias("bleu"))
+    return rounded(P.entries(spark, sf_dir).select("entry_id", B.bleu(F.col("output"), F.col("reference")).alias("bleu")), "bleu")

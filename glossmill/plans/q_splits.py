@@ -241,7 +241,39 @@ def signer_groups(spark, sf_dir):
     return S.signer_groups(_videos(spark, sf_dir))
 
 
-@query("signer_aware_split", None)
+@query(
+    "signer_aware_split",
+    f"""WITH RECURSIVE {P.CLIPS_SQL}, {_GROUPS}, per AS (SELECT gloss, signer_group, count(*) AS size FROM grouped GROUP BY 1, 2), sizes AS (
+  SELECT *, CAST(sum(size) OVER g AS BIGINT) AS n, count(*) OVER g AS many, row_number() OVER (PARTITION BY gloss ORDER BY size DESC, signer_group) AS k
+  FROM per WINDOW g AS (PARTITION BY gloss)
+), step AS (
+  SELECT gloss, 0::BIGINT AS k, 0::BIGINT AS train, 0::BIGINT AS val, 0::BIGINT AS test, '' AS chosen FROM sizes WHERE k = 1 AND many > 2 AND n > 3
+  UNION ALL
+  SELECT gloss, k, train + CASE WHEN chosen = 'train' THEN size ELSE 0 END, val + CASE WHEN chosen = 'val' THEN size ELSE 0 END,
+         test + CASE WHEN chosen = 'test' THEN size ELSE 0 END, chosen
+  FROM (
+    SELECT t.gloss, s.k, s.size, train, val, test, CASE
+             WHEN many - s.k + 1 <= CAST(train = 0 AS INT) + CAST(val = 0 AS INT) + CAST(test = 0 AS INT)
+               THEN CASE WHEN train = 0 THEN 'train' WHEN val = 0 THEN 'val' ELSE 'test' END
+             WHEN 0.15::DOUBLE * n - val >= 0.7::DOUBLE * n - train AND val <= test THEN 'val'
+             WHEN 0.7::DOUBLE * n - train >= 0.15::DOUBLE * n - test THEN 'train' ELSE 'test' END AS chosen
+    FROM step t JOIN sizes s ON s.gloss = t.gloss AND s.k = t.k + 1
+  )
+), placed AS (
+  SELECT v.gloss, v.video_id, v.signer_group, s.size, s.n, s.many, s.k, t.chosen, row_number() OVER o - 1 AS i,
+         coalesce(lag(v.signer_group) OVER o <> v.signer_group, true) AS first,
+         greatest(1, floor(s.n * 0.15::DOUBLE)) AS n_val
+  FROM grouped v JOIN sizes s ON s.gloss = v.gloss AND s.signer_group = v.signer_group LEFT JOIN step t ON t.gloss = s.gloss AND t.k = s.k
+  WINDOW o AS (PARTITION BY v.gloss ORDER BY v.video_id)
+), shares AS (SELECT *, greatest(1, least(floor(n * 0.7::DOUBLE), n - n_val - 1)) AS n_train FROM placed), dealt AS (
+  SELECT gloss, video_id, signer_group, unnest(CASE
+    WHEN n = 1 THEN ['train', 'val copy', 'test copy'] WHEN n = 2 AND i = 0 THEN ['train'] WHEN n = 2 THEN ['test', 'val copy']
+    WHEN n = 3 OR many = 1 THEN [CASE WHEN i < n_train THEN 'train' WHEN i < n_train + n_val THEN 'val' ELSE 'test' END]
+    WHEN many > 2 THEN [chosen] WHEN k = 1 THEN ['train'] WHEN size = 1 THEN ['test', 'val copy'] WHEN first THEN ['val'] ELSE ['test'] END) AS place
+  FROM shares
+)
+SELECT gloss, video_id, signer_group, split_part(place, ' ', 1) AS split, ends_with(place, 'copy') AS is_copy FROM dealt""",
+)
 def signer_aware_split(spark, sf_dir):
     return S.signer_aware_split(_videos(spark, sf_dir))
 
@@ -263,7 +295,18 @@ def parse_family(spark, sf_dir):
     )
 
 
-@query("design_dataset", None)
+@query(
+    "design_dataset",
+    f"""{_WITH}, pool AS (
+  SELECT gloss, CASE WHEN gloss < 'Brand#15' THEN 'easy' WHEN gloss < 'Brand#2' THEN 'medium' ELSE 'hard' END AS difficulty FROM (SELECT DISTINCT gloss FROM clips)
+), drawn AS (
+  SELECT draw, gloss, difficulty, row_number() OVER (PARTITION BY draw, difficulty ORDER BY md5(concat_ws('|', '42', draw, gloss)), gloss) AS r
+  FROM pool, range(80) t(draw)
+), combos AS (
+  SELECT draw, string_agg(gloss, ',' ORDER BY gloss) AS glosses FROM drawn WHERE r <= CASE difficulty WHEN 'easy' THEN 2 ELSE 1 END GROUP BY draw
+), once AS (SELECT glosses, min(draw) AS draw FROM combos GROUP BY glosses)
+SELECT CAST(row_number() OVER (ORDER BY draw) AS INT) AS combo_no, glosses FROM once ORDER BY draw LIMIT 20""",
+)
 def design_dataset(spark, sf_dir):
     sizes = M.class_frequencies(P.clips(spark, sf_dir))
     level = F.when(F.col("gloss") < "Brand#15", "easy").when(F.col("gloss") < "Brand#2", "medium").otherwise("hard")
