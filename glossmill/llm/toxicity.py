@@ -58,7 +58,7 @@ class FactorizationMachine:
         """Adagrad on the log loss. With one class only, or none, the machine is its prior."""
         terms = len(slot)
         positives = float(labels.sum())
-        prior = np.log((positives + 0.5) / (len(labels) - positives + 0.5))
+        prior = np.log((positives + 0.5) / (len(labels) - positives + 0.5)) if len(labels) else -30.0
         draw = np.random.default_rng(seed)
         weights, factors = np.zeros(terms + 1), draw.normal(0, 0.02, (terms + 1, rank))
         factors[terms] = 0  # the padding of short rows
@@ -124,15 +124,29 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def learnable(labels: DataFrame) -> DataFrame:
+    """Labels that may be learned from, a row for each id: ``(doc_id, label)``; held-out and null ids are not among them.
+
+    A document labelled twice is toxic if one label says so.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
+    return known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("label"))
+
+
+def sampling_offset(labels: DataFrame, most: int = SAMPLE_ROWS) -> float:
+    """What a sample cut to ``most`` rows of each class adds to the log odds of label 1; 0 while no class is cut."""
+    sizes = {r["label"]: r["n"] for r in learnable(labels).groupBy("label").agg(F.count("*").alias("n")).collect()}
+    kept = {k: min(n, most) / n for k, n in sizes.items()}
+    return float(np.log(kept.get(1, 1.0) / kept.get(0, 1.0)))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> DataFrame:
     """At most ``most`` labelled rows of each class with their text: ``(text binary, label int)``.
 
-    Labels of held-out and of null ids are left out before anything else; a document labelled twice is toxic if one
-    label says so; of several rows with one id the text with the smallest hash counts. At most ``2 * most`` ids are
-    broadcast.
+    Labels are those of :func:`learnable`; of several rows with one id the text with the smallest hash counts. At most
+    ``2 * most`` ids are broadcast.
     """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("label"))
+    known = learnable(labels)
     order = F.xxhash64("doc_id")
     some = [known.where(F.col("label") == k).orderBy(order, "doc_id").limit(most) for k in (0, 1)]
     rows = docs.select("doc_id", "text").join(F.broadcast(some[0].unionByName(some[1])), "doc_id")
@@ -145,6 +159,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Factoriz
     """Fit a machine on a bounded sample of the labelled rows that are not held out.
 
     Which hash buckets become terms is decided by their association with the label over the sample, counted in Spark.
+    Classes that the sample cuts by different rates would shift the scores; the bias takes that back, so they mean the
+    same at every size. Without any label every score is next to 0.
     """
     bounded_batches(docs.sparkSession)
     rows = cut(labelled_sample(docs, labels, most), "labelled")
@@ -182,7 +198,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Factoriz
 
     train = rows.mapInPandas(reduce, "terms array<int>, label int").collect()
     train.sort(key=lambda r: (r["label"], r["terms"]))
-    return FactorizationMachine.fit(slot, [np.array(r["terms"], int) for r in train], np.array([r["label"] for r in train], float))
+    machine = FactorizationMachine.fit(slot, [np.array(r["terms"], int) for r in train], np.array([r["label"] for r in train], float))
+    machine.bias -= sampling_offset(labels, most)
+    return machine
 
 
 def _scores(spark, model: FactorizationMachine, text: Column) -> Column:

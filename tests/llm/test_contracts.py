@@ -82,6 +82,68 @@ def test_op4(spark):
         assert r.base_failed == (len(words) < 50 or 100 * len(inside) > 50 * len(words))
         assert not (r.kept and r.base_failed)
     assert len(got) == len(docs)
+    votes = {d.doc_id: plain_votes(d.text or "") for d in docs}
+    good = plain_em(votes)
+    for i, r in got.items():
+        assert r.posterior == pytest.approx(good[i], abs=1e-6) and r.kept == (not r.base_failed and good[i] >= 0.5)
+    assert {r.kept for r in got.values()} == {True, False}
+
+
+def plain_votes(text):
+    """The votes of the rules of op4, from the text alone."""
+    words, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
+    w = max(len(words), 1)
+    latin = [c for c in text if c.isascii() and c.isalpha()]
+    letters = len(latin) + sum(len(c.encode()) for c in text if not c.isascii())
+    marks = sum(33 <= ord(c) < 127 and not c.isalnum() for c in text)
+    windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+    twice = {x for x in windows if windows.count(x) > 1} if len(set(windows)) < len(windows) else set()
+    repeated = len({k + j for k, x in enumerate(windows) if x in twice for j in range(3)})
+    size = sum(map(len, words)) / w
+    ended = sum(x.rstrip(" \t\n\r\x0b\x0c")[-1] in ".!?" for x in lines)
+
+    def low(x, good, bad):
+        return -1 if x > bad else 1 if x <= good else 0
+
+    def high(x, good, bad):
+        return -1 if x < bad else 1 if x >= good else 0
+
+    return (
+        low(len(re.findall(r"[#*$%&|<>]", text)) / w, 0.02, 0.1),
+        low(marks / w, 0.3, 0.45),
+        high(letters / max(letters + marks, 1), 0.93, 0.9),
+        low(sum(c.isupper() for c in latin) / max(len(latin), 1), 0.15, 0.5),
+        low(text.count("!!") / w, 0.01, 0.1),
+        low(repeated / w, 0.1, 0.3),
+        high(len(set(words)) / w, 0.35, 0.12),
+        1 if 3 <= size <= 8 else 0 if 2 <= size <= 14 else -1,
+        low((len(lines) - len(set(lines))) / len(lines), 0.1, 0.3) if len(lines) > 2 else 0,
+        high(ended / len(lines), 0.7, 0.3) if len(lines) > 2 else 0,
+        -1 if len(words) < 50 else 1 if len(words) >= 100 else 0,
+    )
+
+
+def plain_em(votes):
+    """Expectation-maximisation document by document: the posterior of each."""
+    good = {i: (0.9, 0.3, 0.05)[min(v.count(-1), 2)] for i, v in votes.items()}
+    for _ in range(200):
+        mass = {(r, c, x): 0.5 for r in range(11) for c in (0, 1) for x in (-1, 0, 1)}
+        for i, v in votes.items():
+            for r, x in enumerate(v):
+                mass[r, 1, x] += good[i]
+                mass[r, 0, x] += 1 - good[i]
+        share = (sum(good.values()) + 1) / (len(votes) + 2)
+        total = {(r, c): sum(mass[r, c, x] for x in (-1, 0, 1)) for r in range(11) for c in (0, 1)}
+        before, good = good, {}
+        for i, v in votes.items():
+            yes, no = share, 1 - share
+            for r, x in enumerate(v):
+                yes *= mass[r, 1, x] / total[r, 1]
+                no *= mass[r, 0, x] / total[r, 0]
+            good[i] = yes / (yes + no)
+        if max(abs(good[i] - before[i]) for i in votes) < 1e-9:
+            break
+    return good
 
 
 def test_op6(spark):

@@ -101,6 +101,17 @@ def test_pairs_are_learned(spark):
     assert both > 0.5 > max(one, other)
 
 
+def test_sample_does_not_shift_scores(spark):
+    """One in twenty is toxic; a sample with as many of each class still gives a text of no known word that prior."""
+    docs = docs_of(spark, *[f"word{i % 7} {'awful' if i % 20 == 0 else 'fine'}" for i in range(4000)])
+    labels = docs.selectExpr("doc_id", "1 AS quality", "int(doc_id % 20 = 0) AS toxic")
+    assert toxicity.sampling_offset(labels) == 0
+    for most in (100, 5000):
+        model = toxicity.fit(docs, labels, most)
+        assert 0.01 < model.score(b"unseen") < 0.2 and model.score(b"awful") >= 0.3
+    assert toxicity.fit(docs, labels.limit(0)).score(b"awful") < 0.01
+
+
 def test_quality(spark, odd, none):
     judged, _ = quality.judge(odd)
     rows = judged.collect()

@@ -113,3 +113,21 @@ def test_held_out_accuracy(spark):
     rows = scored.join(labels, "doc_id").collect()
     hit = sum(r.predicted and r.toxic for r in rows)
     assert hit >= 0.9 * sum(r.toxic for r in rows) and hit >= 0.9 * sum(r.predicted for r in rows)
+
+
+def test_run(spark, stages):
+    """The whole pipeline gives what its stages give one after another."""
+    done = corpus_pipeline.run(spark, SF)
+    want = [tuple(r) for r in stages["mixing"][1]]
+    assert done.columns == list(stages["mixing"][1][0].asDict())
+    assert sorted(map(repr, map(tuple, done.collect()))) == sorted(map(repr, want)) and want
+
+
+@pytest.mark.parametrize("empty", [("documents",), ("labels", "benchmark"), ("documents", "labels", "benchmark")])
+def test_run_on_empty_tables(spark, tmp_path, empty):
+    """Without documents there are no rows; without labels or benchmark items their stages take nothing away."""
+    for t in ("documents", "labels", "benchmark"):
+        rows = spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet")
+        (rows.limit(0) if t in empty else rows).write.parquet(str(tmp_path / f"{t}.parquet"))
+    done = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert bool(done) == ("documents" not in empty)
