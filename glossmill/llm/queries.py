@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm import chat, decontam, licenses, linededup, mixing, quality, simhash, toxicity, urlfilter, warc
+from glossmill.llm import bpe, chat, decontam, divergence, licenses, linededup, mixing, quality, simhash, toxicity, urlfilter, vectorcodes, warc
 from glossmill.llm.common import cut, scratch_path
 
 
@@ -328,8 +329,118 @@ FROM docs d LEFT JOIN hit h USING (doc_id) LEFT JOIN listed l USING (doc_id)
 """
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all usable vectors, four bytes each, and how far they are off."""
+    coded, books = vectorcodes.compress(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+    rated = vectorcodes.with_label_error(coded)
+    return rated.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def _op11_sql(rounds: int = 4) -> str:
+    """The rounds one after another; an assignment compares every part with every entry."""
+    ctes = [
+        """kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS k, vec_id, label, [CAST(floor(1024.0::DOUBLE * x::DOUBLE) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND list_bool_and([coalesce(isfinite(x), false) FOR x IN embedding])
+), parts AS (
+  SELECT k, p, v[p * (len(v) // 4) + 1:(p + 1) * (len(v) // 4)] AS x FROM kept, range(4) r(p)
+), book0 AS MATERIALIZED (
+  SELECT p, k - 1 AS e, x AS c FROM parts WHERE k <= 256
+)"""
+    ]
+    for n in range(rounds + 1):
+        ctes.append(
+            f"""near{n} AS MATERIALIZED (
+  SELECT k, p, any_value(x) AS x, min(struct_pack(d := d, e := e)) AS best
+  FROM (SELECT k, parts.p, e, x, CAST(list_sum([(a[1] - a[2]) * (a[1] - a[2]) FOR a IN list_zip(x, c)]) AS BIGINT) AS d FROM parts JOIN book{n} USING (p))
+  GROUP BY k, p
+)"""
+        )
+        if n < rounds:
+            ctes.append(
+                f"""means{n} AS (
+  SELECT p, e, list(m ORDER BY i) AS c
+  FROM (SELECT p, best.e AS e, i, CAST(floor(CAST(sum(x[i]) AS DOUBLE) / count(*)) AS BIGINT) AS m
+        FROM near{n}, (SELECT unnest(range(1, (SELECT max(len(x)) FROM parts) + 1)) AS i) GROUP BY p, best.e, i)
+  GROUP BY p, e
+), book{n + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book{n} b LEFT JOIN means{n} m ON b.p = m.p AND b.e = m.e
+)"""
+            )
+    body = ", ".join(ctes)
+    return f"""WITH {body}, coded AS (
+  SELECT k, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM near{rounds} GROUP BY k
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256
+FROM kept JOIN coded USING (k)
+"""
+
+
+OP11_SQL = _op11_sql()
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each source's words are from those of the other sources and of the language."""
+    return divergence.source_divergence(table(spark, sf_dir, "documents"), least_documents=10, top_terms=10)
+
+
+OP12_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), words AS (
+  SELECT d, lang, source, unnest(w) AS term FROM docs
+), kept AS (
+  SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT d) >= 10
+), sizes AS (
+  SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), held AS (
+  SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY lang, source, term
+), grps AS (
+  SELECT DISTINCT lang, source FROM docs
+), dense AS (
+  SELECT lang, source, term, coalesce(n, 0)::HUGEINT AS n FROM grps JOIN kept USING (lang) LEFT JOIN held USING (lang, source, term)
+), own AS (
+  SELECT lang, source, term, n, 1 + 1000000000 * (n + 2) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v)::HUGEINT AS p FROM dense JOIN sizes USING (lang)
+), whole AS (
+  SELECT lang, term, 1 + 1000000000 * (n + 2) // (sum(n) OVER (PARTITION BY lang) + 2 * v)::HUGEINT AS q
+  FROM (SELECT lang, term, sum(n)::HUGEINT AS n FROM dense GROUP BY lang, term) JOIN sizes USING (lang)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM own a JOIN own b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), all_pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM grps a JOIN grps b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+), terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // (p + q) AS BIGINT) AS value
+  FROM own JOIN whole USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INT) AS rank
+FROM (SELECT * FROM all_pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' OR rank <= 10
+"""
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole text by a public vocabulary, and the texts that come back of them, as digests."""
+    coding = bpe.Tokenizer(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = table(spark, sf_dir, "documents").select("doc_id", coding.encode(F.col("text")).alias("ids"))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(coding.decode(F.col("ids")), 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_warc, op2_url_filter, op3_toxicity, op4_quality, op5_line_dedup, op6_simhash, op7_licenses, op8_mixing, op9_chat, op10_decontamination)
+    every = (
+        op1_warc, op2_url_filter, op3_toxicity, op4_quality, op5_line_dedup, op6_simhash, op7_licenses, op8_mixing, op9_chat, op10_decontamination,
+        op11_vector_codes, op12_divergence, op13_bpe,
+    )
     return {f.__name__: f for f in every}
 
 
@@ -342,4 +453,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_mixing": OP8_SQL,
         "op9_chat": OP9_SQL,
         "op10_decontamination": OP10_SQL,
+        "op11_vector_codes": OP11_SQL,
+        "op12_divergence": OP12_SQL,
     }
