@@ -6,11 +6,19 @@ partitioned by clip and ordered by frame, so a clip is shuffled and sorted once.
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from glossmill.sources.scratch import written
+
+#: A rule for :func:`walk`: state, key and columns (None at the key's end) to the state after and rows to put out.
+Walk = Callable[[list[int] | None, object, dict[str, list] | None], tuple[list[int] | None, list[tuple]]]
+
 
 def in_order() -> WindowSpec:
     """The frames of a clip in order."""
@@ -160,23 +168,112 @@ def merge_intervals(intervals: DataFrame, gap_ms: int = 300) -> DataFrame:
     return grouped.agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("parts"))
 
 
-def merge_short_intervals(intervals: DataFrame, gap_ms: int = 500, short_ms: int = 1000) -> DataFrame:
-    """Joins neighbours whose gap is small while both what has been joined so far and the next are short.
+#: Rows of one task in a walk over a long recording.
+WALK_ROWS = 50_000
+
+
+def walk(rows: DataFrame, key: str, order: list[str], step: Walk, schema: str, block_rows: int = WALK_ROWS) -> DataFrame:
+    """A walk over the rows of each ``key`` in ``order``, for rules in which what was decided before matters.
 
-    What was joined before decides, so a video's intervals are walked in order, in a task for each video.
+    ``step(state, key, columns)`` goes over some rows of one key that follow each other, with the state (a list of whole
+    numbers, None at the start) that the rows before left; it returns the state after them and the rows to put out.
+    ``step(state, key, None)`` ends a key.
+
+    Rows are range-partitioned, so a key with very many of them is walked in many tasks. A block first starts without a
+    state; blocks are walked again with what the block before really left, until no block's end changes any more. Rules
+    that cut now and then forget what was before the cut, so this takes two or three rounds; the result is always that of
+    one walk. Between rounds there is one row for each block.
+    """
+    blocks = max(1, -(-rows.count() // block_rows))
+    columns = [c for c in rows.columns if c != key]
+    placed = rows.repartitionByRange(blocks, key, *order).withColumn("_block", F.spark_partition_id())
+    packed = F.array_sort(F.collect_list(F.struct(key, *order, *[c for c in columns if c not in order])))
+    lists = written(placed.groupBy("_block").agg(packed.alias("rows")), "blocks")
+    last = lists.agg(F.max("_block")).first()[0]
+    names = [key, *order, *[c for c in columns if c not in order]]
+
+    def over(put_out: bool):
+        def run(batches):
+            for pdf in batches:
+                for block, some, held, state in zip(pdf["_block"], pdf["rows"], pdf["key"], pdf["state"], strict=True):
+                    now = None if state is None else (held, [int(x) for x in state])
+                    done: list[tuple] = []
+                    columns = {c: [r[c] for r in some] for c in names}
+                    keys, start = columns.pop(key), 0
+                    while start < len(keys):
+                        end = bisect.bisect_right(keys, keys[start], start)
+                        if now is not None and now[0] != keys[start]:
+                            done += step(now[1], now[0], None)[1]
+                            now = None
+                        after, out = step(now and now[1], keys[start], {c: v[start:end] for c, v in columns.items()})
+                        done += out
+                        now, start = (keys[start], after), end
+                    if block == last and now is not None:
+                        done += step(now[1], now[0], None)[1]
+                    if put_out:
+                        yield pd.DataFrame(done, columns=out_names)
+                    else:
+                        yield pd.DataFrame({"_block": [block], "key": [now[0]], "state": [now[1]]})
+
+        return run
+
+    out_names = [c.split()[0] for c in schema.split(", ")]
+    kind = rows.schema[key].dataType.simpleString()
+    ends_schema = f"_block int, key {kind}, state array<long>"
+    spark = rows.sparkSession
+    entries = spark.createDataFrame([], ends_schema)
+    while blocks > 1 and last is not None:
+        given = lists.join(entries, "_block", "left")
+        ends = written(given.select("_block", "rows", "key", "state").mapInPandas(over(False), ends_schema), "ends")
+        before = Window.orderBy("_block")
+        after = written(ends.select("_block", F.lag("key").over(before).alias("key"), F.lag("state").over(before).alias("state")), "entries")
+        same = after.join(entries.toDF("_block", "k", "s"), "_block", "left").where("key IS DISTINCT FROM k OR state IS DISTINCT FROM s")
+        entries = after
+        if same.isEmpty():
+            break
+    return lists.join(entries, "_block", "left").select("_block", "rows", "key", "state").mapInPandas(over(True), schema)
+
+
+def merge_short_intervals(intervals: DataFrame, gap_ms: int = 500, short_ms: int = 1000, block_rows: int = WALK_ROWS) -> DataFrame:
+    """Joins neighbours of ``intervals(video_id, start_ms, end_ms)`` whose gap is small while both what has been joined so
+    far and the next are short. What was joined before decides, so intervals are walked (:func:`walk`)."""
+
+    def merges(start: int, end: int, a: int, b: int) -> bool:
+        return a - end <= gap_ms and end - start < short_ms and b - a < short_ms
+
+    return _merged_walk(intervals, merges, max, block_rows)
+
+
+def merge_annotations(intervals: DataFrame, gap_ms: int = 300, short_gap_ms: int = 800, short_ms: int = 300, block_rows: int = WALK_ROWS) -> DataFrame:
+    """Joins annotated signs of ``intervals(video_id, start_ms, end_ms)``: a gap below ``gap_ms``, or one below
+    ``short_gap_ms`` if what has been joined so far or the next is shorter than ``short_ms``.
+
+    What is joined ends where its last part ends, even if an earlier one ends later.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[list[int]] = []
-        for video, start, end in pdf.sort_values(["start_ms", "end_ms"])[["video_id", "start_ms", "end_ms"]].itertuples(index=False):
-            if out and start - out[-1][2] <= gap_ms and out[-1][2] - out[-1][1] < short_ms and end - start < short_ms:
-                out[-1][2] = max(out[-1][2], end)
-                out[-1][3] += 1
+    def merges(start: int, end: int, a: int, b: int) -> bool:
+        return a - end < gap_ms or (a - end < short_gap_ms and (end - start < short_ms or b - a < short_ms))
+
+    return _merged_walk(intervals, merges, lambda end, b: b, block_rows)
+
+
+def _merged_walk(intervals: DataFrame, merges: Callable[[int, int, int, int], bool], ends: Callable[[int, int], int], block_rows: int) -> DataFrame:
+    def step(state, video, rows):
+        if rows is None:
+            return None, [(video, *state)]
+        out = []
+        for a, b in zip(rows["start_ms"], rows["end_ms"], strict=True):
+            if state is not None and merges(state[0], state[1], a, b):
+                state = [state[0], ends(state[1], b), state[2] + 1]
             else:
-                out.append([video, start, end, 1])
-        return pd.DataFrame(out, columns=["video_id", "start_ms", "end_ms", "parts"])
+                if state is not None:
+                    out.append((video, *state))
+                state = [a, b, 1]
+        return state, out
 
-    return intervals.groupBy("video_id").applyInPandas(run, "video_id long, start_ms long, end_ms long, parts long")
+    kind = intervals.schema["video_id"].dataType.simpleString()
+    rows = intervals.select("video_id", "start_ms", "end_ms")
+    return walk(rows, "video_id", ["start_ms", "end_ms"], step, f"video_id {kind}, start_ms long, end_ms long, parts long", block_rows)
 
 
 def extend_intervals(intervals: DataFrame, before_ms: int, after_ms: int, short_ms: int = 700) -> DataFrame:
@@ -223,23 +320,25 @@ def video_type(intervals: DataFrame) -> DataFrame:
     return per.withColumn("score", score).withColumn("type", F.when(F.col("avg_gap").isNull(), "mixed").otherwise(kind))
 
 
-def valleys(frames: DataFrame, w: int = 5, share: float = 0.2, apart: int = 5) -> DataFrame:
+def valleys(frames: DataFrame, w: int = 5, share: float = 0.2, apart: int = 5, block_rows: int = WALK_ROWS) -> DataFrame:
     """Cuts at local minima below ``share`` of the local maximum, from the left at least ``apart`` frames apart.
 
-    Candidates are found with one window; only they go through the step that depends on the cut before.
+    Candidates are found with one window; only they are walked (:func:`walk`).
     """
     near = in_order().rowsBetween(-w, w)
     low = frames.withColumn("low", F.min("v").over(near)).withColumn("high", F.max("v").over(near))
     found = low.where((F.col("v") == F.col("low")) & (F.col("v") < share * F.col("high"))).select("clip_id", "frame_idx")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        for i in sorted(pdf["frame_idx"]):
-            if not kept or i - kept[-1] >= apart:
-                kept.append(i)
-        return pd.DataFrame({"clip_id": pdf["clip_id"].iloc[0], "frame_idx": kept})
+    def step(state, clip, rows):
+        kept = []
+        for i in rows["frame_idx"] if rows else ():
+            if state is None or i - state[0] >= apart:
+                state = [i]
+                kept.append((clip, i))
+        return state, kept
 
-    return found.groupBy("clip_id").applyInPandas(run, "clip_id long, frame_idx long")
+    kind = frames.schema["clip_id"].dataType.simpleString()
+    return walk(found, "clip_id", ["frame_idx"], step, f"clip_id {kind}, frame_idx long", block_rows)
 
 
 def trim_signing_region(frames: DataFrame, least: int = 8, spread: float = 5.0) -> DataFrame:

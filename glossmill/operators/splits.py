@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from glossmill.operators.statistics import sums_below
+from glossmill.sources.scratch import written
 
 
 def shuffled(seed: str, *key: Column) -> Column:
@@ -326,10 +327,13 @@ def verify_splits(assigned: DataFrame) -> DataFrame:
     """One row for each check: leaks, balance, ratios; ``passed`` and a figure.
 
     If ``assigned`` has ``n_frames``, train is held against test by the Kolmogorov-Smirnov statistic, which passes unless it
-    is significant at 1 % (its large-sample bound); splits with fewer than ten clips pass without a figure.
+    is significant at 1 % (its large-sample bound); splits with fewer than ten clips pass without a figure. The columns
+    that the checks need are written once.
     """
+    needed = ["split", "gloss", "video_id"] + ["n_frames"] * ("n_frames" in assigned.columns)
+    assigned = written(assigned.select(*needed), "assigned")  # five checks read it
     leaks = leaky_overlap(assigned).agg(F.coalesce(F.sum("shared"), F.lit(0)).cast("double").alias("figure"))
-    balance = class_balance(assigned).agg(F.count_if(F.col("missing_val") | F.col("missing_test")).cast("double").alias("figure"), F.max("train_cv").alias("cv"))
+    balance = written(class_balance(assigned), "balance").agg(F.count_if(F.col("missing_val") | F.col("missing_test")).cast("double").alias("figure"), F.max("train_cv").alias("cv"))
     ratio = sample_ratio_check(assigned)
     rows = leaks.select(F.lit("no_leak").alias("check"), "figure", (F.col("figure") == 0).alias("passed"))
     rows = rows.unionByName(balance.select(F.lit("classes_present").alias("check"), "figure", (F.col("figure") == 0).alias("passed")))

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from glossmill.functions import distributions as D
 from glossmill.functions.text import ctqi_v3
+from glossmill.sources.scratch import written
 
 
 def sums_below(counts: DataFrame, value: str, by: list[str], sums: list[str], ranges: int = 128) -> DataFrame:
@@ -23,8 +24,10 @@ def sums_below(counts: DataFrame, value: str, by: list[str], sums: list[str], ra
 
     ``value`` is distinct inside each group of ``by``. Each group's values are cut at their approximate quantiles into
     ``ranges`` ranges of about as many rows each, however they are spread; the bounds only place rows, so the sums are
-    exact. The running sum inside a range is shifted by the totals of the ranges before it.
+    exact. The running sum inside a range is shifted by the totals of the ranges before it. ``counts`` is computed once
+    and written; bounds, totals and sums start from the files.
     """
+    counts = written(counts, "counts")
     cuts = counts.groupBy(*by).agg(F.percentile_approx(value, [k / ranges for k in range(1, ranges)], 100 * ranges).alias("_cuts"))
     placed = counts.join(cuts, by) if by else counts.join(F.broadcast(cuts))  # without groups the bounds are one row
     placed = placed.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
@@ -62,14 +65,19 @@ def paired_stats(scores: DataFrame) -> DataFrame:
 
 
 def wilcoxon(scores: DataFrame) -> DataFrame:
-    """Signed-rank sums of the differences that are not zero, with the tie term of the variance, for each metric."""
-    diff = scores.select("metric", (F.col("model") - F.col("baseline")).alias("d")).where("d != 0").withColumn("size", F.abs("d"))
-    ranked = average_rank(diff, "size", ["metric"])
+    """Signed-rank sums of the differences that are not zero, with the tie term of the variance, for each metric.
+
+    Equal sizes are counted first; ranks, sums and ties all come from these counts, and no row is joined to its rank.
+    """
+    d = F.col("d")
+    diff = scores.select("metric", (F.col("model") - F.col("baseline")).alias("d")).where("d != 0")
+    counts = diff.groupBy("metric", F.abs(d).alias("size")).agg(F.count_if(d > 0).alias("up"), F.count_if(d < 0).alias("down"), F.count("*").alias("t"))
+    ranked = sums_below(counts, "size", ["metric"], ["t"]).withColumn("rank", F.col("below_t") + (F.col("t") + 1) / 2)
     sums = ranked.groupBy("metric").agg(
-        F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("d") < 0, F.col("rank")).otherwise(0.0)).alias("w_minus")
-    )
-    ties = diff.groupBy("metric", "size").agg(F.count("*").alias("t")).groupBy("metric").agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
-    return sums.join(ties, "metric").withColumn("w", F.least("w_plus", "w_minus"))
+        F.sum("t").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.sum(F.col("rank") * F.col("down")).alias("w_minus"),
+        F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"),
+    )
+    return sums.withColumn("w", F.least("w_plus", "w_minus"))
 
 
 def p_values(scores: DataFrame, metrics: int | None = None) -> DataFrame:
@@ -139,14 +147,40 @@ def power_sample_size(stats: DataFrame, power: float = 0.8) -> DataFrame:
 
 
 def correlations(df: DataFrame, human: str, metrics: list[str]) -> DataFrame:
-    """Pearson and Spearman correlation of each metric with the human score: ``(metric, pearson, spearman, strength)``."""
+    """Pearson and Spearman correlation of each metric with the human score: ``(metric, pearson, spearman, strength)``.
+
+    Spearman's is Pearson's of average ranks. Rows are counted by their pair of values and written once; the ranks of
+    both sides come from these counts in one pass, and are joined back to the pairs.
+    """
     long = df.unpivot([human], metrics, "metric", "score").where(F.col("score").isNotNull() & F.col(human).isNotNull())
-    pearson = long.groupBy("metric").agg(F.corr(human, "score").alias("pearson"))
-    ranked = average_rank(average_rank(long, "score", ["metric"], "ra"), human, ["metric"], "rb")
-    spearman = ranked.groupBy("metric").agg(F.corr("ra", "rb").alias("spearman"))
+    score, other = F.col("score").cast("double").alias("a"), F.col(human).cast("double").alias("b")
+    pairs = written(long.select("metric", score, other).groupBy("metric", "a", "b").agg(F.count("*").alias("n")), "pairs")
+    sides = pairs.select("metric", "n", F.explode(F.array(*[F.struct(F.lit(x).alias("side"), F.col(x).alias("v")) for x in "ab"])).alias("s"))
+    counts = sides.groupBy("metric", "s.side", "s.v").agg(F.sum("n").alias("n"))
+    ranked = sums_below(counts, "v", ["metric", "side"], ["n"]).withColumn("rank", F.col("below_n") + (F.col("n") + 1) / 2)
+    ranked = written(ranked.select("metric", "side", "v", "rank"), "ranks")
+    for x in "ab":
+        side = ranked.where(F.col("side") == x).select("metric", F.col("v").alias(x), F.col("rank").alias(f"r{x}"))
+        pairs = pairs.join(side, ["metric", x])
+    return _weighted_correlations(pairs)
+
+
+def _weighted_correlations(pairs: DataFrame) -> DataFrame:
+    """Correlations of ``(a, b)`` and of ``(ra, rb)`` for each metric; a row counts ``n`` times.
+
+    Deviations from the means are summed, not squares of large numbers; the means are a row for each metric.
+    """
+    n, of = F.col("n"), ("a", "b", "ra", "rb")
+    means = pairs.groupBy("metric").agg(*[(F.sum(F.col(x) * n) / F.sum(n)).alias(f"m{x}") for x in of])
+    rows = pairs.join(means, "metric").select("metric", "n", *[(F.col(x) - F.col(f"m{x}")).alias(x) for x in of])
+
+    def corr(x: str, y: str) -> Column:
+        dots = [F.sum(F.col(p) * F.col(q) * n) for p, q in ((x, y), (x, x), (y, y))]
+        return F.when((dots[1] > 0) & (dots[2] > 0), dots[0] / F.sqrt(dots[1] * dots[2]))
+
     r = F.abs("pearson")
     strength = F.when(r >= 0.9, "very strong").when(r >= 0.7, "strong").when(r >= 0.5, "moderate").when(r >= 0.3, "weak").otherwise("none")
-    return pearson.join(spearman, "metric").withColumn("strength", strength)
+    return rows.groupBy("metric").agg(corr("a", "b").alias("pearson"), corr("ra", "rb").alias("spearman")).withColumn("strength", strength)
 
 
 def human_scores(ratings: DataFrame) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from glossmill.functions import vectors as V
+from glossmill.sources.scratch import written
 
 
 def gloss_centroids(vectors: DataFrame, most: int | None = None) -> DataFrame:
@@ -52,7 +55,9 @@ def pairwise_distance(vectors: DataFrame, metric: str = "cosine", blocks: int |
             unit = np.divide(x, size, out=np.zeros_like(x), where=size > 0)
             d = 1 - unit[left] @ unit[right].T
         else:
-            d = np.sqrt(((x[left, None, :] - x[None, right, :]) ** 2).sum(-1))
+            d = np.empty((len(left), len(right)))
+            for k in range(0, len(left), 64):  # differences of a few rows at a time
+                d[k : k + 64] = np.sqrt(((x[left[k : k + 64], None, :] - x[None, right, :]) ** 2).sum(-1))
         a, b = np.meshgrid(left, right, indexing="ij")
         a, b, d = a.ravel(), b.ravel(), d.ravel()
         keep = names[a] != names[b]
@@ -130,39 +135,99 @@ def select_next(ranked: DataFrame, n: int) -> DataFrame:
     return ranked.where("advice != 'NO'").orderBy(order, F.desc(F.round("score", 9)), "gloss").limit(n)
 
 
-def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    names = np.array(sorted(set(pdf["a"]) | set(pdf["b"])), object)
-    at = {x: i for i, x in enumerate(names)}
-    d = np.zeros((len(names), len(names)))
-    i, j = pdf["a"].map(at).to_numpy(), pdf["b"].map(at).to_numpy()
-    d[i, j] = d[j, i] = pdf["distance"]
-    return names, d
+#: Rounds of the greedy choice after which the distances so far are written.
+ROUNDS_A_TABLE = 8
+
+
+def _unit(vec: Column) -> Column:
+    """The vector with length 1; one without length stays."""
+    x = F.transform(vec, lambda v: v.cast("double"))
+    size = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
+    return F.transform(x, lambda v: F.when(size > 0, v / size).otherwise(v))
 
 
-def farthest_point(distances: DataFrame, k: int, seed: str = "center") -> DataFrame:
-    """``k`` classes of each domain, each as far as can be from those before: ``distances(domain, a, b, distance)``.
+def _dot(a: Column | str, b: Column | str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
-    It starts from the class nearest to all (``center``) or from the farthest pair (``dispersion``); ties go to the
-    smaller name. A choice depends on those before, so a domain's class matrix (a dimension) is one task's.
+
+def farthest_pair(vectors: DataFrame, blocks: int | None = None) -> DataFrame:
+    """The two classes of each domain that are farthest apart by cosine: ``vectors(domain, gloss, vec)`` to ``(domain, a, b)``.
+
+    Blocks of classes are multiplied as in :func:`pairwise_distance`; a pair of blocks gives one pair for each domain, not
+    its distances. Ties go to the smaller names. Domains of one class have no pair.
     """
+    if blocks is None:
+        blocks = max(1, -(-vectors.count() // ONE_BLOCK))
+    block = F.pmod(F.xxhash64("gloss"), F.lit(blocks)).cast("int")
+    rows = vectors.select("domain", "gloss", _unit(F.col("vec")).alias("vec"), block.alias("k"))
+    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    sent = rows.withColumn("o", others).select("domain", "gloss", "vec", "k", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, d = _matrix(pdf)
-        n = len(names)
-        if seed == "center":
-            chosen = [int(np.argmin(np.round(d.sum(1) / max(n - 1, 1), 9)))]
-        else:
-            chosen = [int(x) for x in np.unravel_index(np.argmax(np.round(d, 9)), d.shape)]
-        nearest = d[chosen].min(0)
-        while len(chosen) < min(k, n):
-            nearest[chosen] = -1
-            pick = int(np.argmax(np.round(nearest, 9)))
-            chosen.append(pick)
-            nearest = np.minimum(nearest, d[pick])
-        chosen = chosen[:k]
-        return pd.DataFrame({"domain": pdf["domain"].iloc[0], "rank": range(1, len(chosen) + 1), "gloss": names[chosen]})
-
-    return distances.groupBy("domain").applyInPandas(run, "domain string, rank long, gloss string")
+        pdf = pdf.sort_values("gloss")
+        names, x, k = pdf["gloss"].to_numpy(), np.stack(pdf["vec"].to_numpy()), pdf["k"].to_numpy()
+        left, right = np.flatnonzero(k == pdf["i"].iloc[0]), np.flatnonzero(k == pdf["j"].iloc[0])
+        d = np.round(1 - x[left] @ x[right].T, 9)
+        d[names[left][:, None] == names[right][None, :]] = -1
+        most = d.max(initial=-1)
+        if most < 0:
+            return pd.DataFrame([], columns=["domain", "a", "b", "distance"])
+        a, b = min(tuple(sorted((names[left[p]], names[right[q]]))) for p, q in np.argwhere(d == most))
+        return pd.DataFrame({"domain": [pdf["domain"].iloc[0]], "a": [a], "b": [b], "distance": [most]})
+
+    kind = vectors.schema["domain"].dataType.simpleString()
+    best = sent.groupBy("domain", "i", "j").applyInPandas(run, f"domain {kind}, a string, b string, distance double")
+    pair = F.min_by(F.struct("a", "b"), F.struct(-F.col("distance"), "a", "b")).alias("p")
+    return best.groupBy("domain").agg(pair).select("domain", "p.a", "p.b")
+
+
+def farthest_point(vectors: DataFrame, k: int, seed: str = "center") -> DataFrame:
+    """``k`` classes of each domain, each as far as can be from those before: ``vectors(domain, gloss, vec)``, one vector a class.
+
+    Distance is ``1 - cosine``, to nine places. The choice starts from the class nearest to all on average (``center``)
+    or from the farthest pair (``dispersion``); ties go to the smaller name. Returns ``(domain, rank, gloss)``.
+
+    Every class carries its distance to the nearest chosen one. A round is one aggregate over all domains, combined before
+    the shuffle, that picks the farthest class of each, and a join of the classes with the picks (one row for each domain);
+    distances to all pairs are never held. The average distance to all comes from the sum of a domain's vectors.
+    """
+    own = written(vectors.select("domain", "gloss", _unit(F.col("vec")).alias("vec")), "units")
+    picked: list[DataFrame] = []
+
+    def take(picks: DataFrame) -> DataFrame:
+        """Note the picks, and give the distances that they leave."""
+        picks = written(picks, "picks")
+        picked.append(picks.select("domain", F.lit(len(picked) + 1).cast("long").alias("rank"), "gloss"))
+        return picks.select("domain", F.col("gloss").alias("pick"), F.col("vec").alias("to"))
+
+    def nearer(state: DataFrame, to: DataFrame) -> DataFrame:
+        joined = state.join(to, "domain", "left").where(F.coalesce(F.col("gloss") != F.col("pick"), F.lit(True)))
+        return joined.select("domain", "gloss", "vec", F.least("near", 1 - _dot("vec", "to")).alias("near"))
+
+    state = own.withColumn("near", F.lit(None).cast("double"))
+    if seed == "center":
+        each = own.select("domain", F.posexplode("vec").alias("i", "x")).groupBy("domain", "i").agg(F.sum("x").alias("x"))
+        total = each.groupBy("domain").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("all"))
+        size = own.groupBy("domain").agg(F.count("*").alias("n"))
+        # of the sum of 1 - cosine to all n classes, the class's own share (0, or 1 without a direction) is taken away
+        itself = F.when(_dot("vec", "vec") > 0, 0).otherwise(1)
+        mean = (F.col("n") - _dot("vec", "all") - itself) / F.greatest(F.col("n") - 1, F.lit(1))
+        first = own.join(total.join(size, "domain"), "domain").withColumn("mean", F.round(mean, 9))
+        firsts = [first.groupBy("domain").agg(F.min_by(F.struct("gloss", "vec"), F.struct("mean", "gloss")).alias("s")).select("domain", "s.*")]
+    else:
+        pair = written(farthest_pair(own), "pair")
+        firsts = [own.join(pair.select("domain", F.col(x).alias("gloss")), ["domain", "gloss"]) for x in "ab"]
+    for f in firsts:
+        state = nearer(state, take(f))
+    while len(picked) < k:
+        if len(picked) % ROUNDS_A_TABLE == 0:
+            state = written(state, "distances")
+        order = F.struct(-F.round("near", 9), "gloss")
+        to = take(state.groupBy("domain").agg(F.min_by(F.struct("gloss", "vec"), order).alias("s")).select("domain", "s.*"))
+        if to.isEmpty():  # every class of every domain is chosen
+            break
+        state = nearer(state, to)
+    return reduce(DataFrame.unionByName, picked[:k]) if picked[:k] else own.select("domain", F.lit(0).cast("long").alias("rank"), "gloss").where("false")
 
 
 def chosen_set_distances(distances: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -184,6 +184,20 @@ def merge_short_intervals(spark, sf_dir):
     return S.merge_short_intervals(P.annotations(spark, sf_dir), 3_600_000, 20_000_000)
 
 
+@query(
+    "merge_annotations",
+    """WITH RECURSIVE a AS (SELECT user_id AS v, epoch_us(ts) // 1000 AS s, epoch_us(ts) // 1000 + CAST(floor(value * 100000) AS BIGINT) AS e FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY v ORDER BY s, e) AS i FROM a),
+m AS (SELECT v, i, s, e, CAST(1 AS BIGINT) AS parts FROM n WHERE i = 1
+  UNION ALL SELECT v, i, CASE WHEN j THEN ms ELSE s END, e, CASE WHEN j THEN parts + 1 ELSE 1 END
+  FROM (SELECT n.v, n.i, n.s, n.e, m.s AS ms, m.parts, n.s - m.e < 600000 OR (n.s - m.e < 7200000 AND (m.e - m.s < 3000000 OR n.e - n.s < 3000000)) AS j FROM m JOIN n ON n.v = m.v AND n.i = m.i + 1)),
+k AS (SELECT *, coalesce(lead(parts) OVER (PARTITION BY v ORDER BY i), 1) = 1 AS done FROM m)
+SELECT v AS video_id, s AS start_ms, e AS end_ms, parts FROM k WHERE done""",
+)
+def merge_annotations(spark, sf_dir):
+    return S.merge_annotations(P.annotations(spark, sf_dir), 600_000, 7_200_000, 3_000_000)
+
+
 @query(
     "extend_intervals",
     f"""{_IV}, f AS (SELECT *, CASE WHEN end_ms - start_ms < 700000 THEN 1.3::DOUBLE ELSE 1.0::DOUBLE END AS k FROM annotations),

@@ -114,9 +114,7 @@ def select_next(spark, sf_dir):
 
 
 def _domains(spark, sf_dir):
-    d = O.pairwise_distance(_centroids(spark, sf_dir), blocks=2)
-    same = F.substring_index("a", "_", -1) == F.substring_index("b", "_", -1)
-    return d.where(same).withColumn("domain", F.substring_index("a", "_", -1))
+    return _centroids(spark, sf_dir).select(F.substring_index("gloss", "_", -1).alias("domain"), "gloss", "vec")
 
 
 _PAIRS = f"""{_CENT}, p AS (SELECT split_part(a, '_', 2) AS dom, a, b, distance AS x FROM dist WHERE split_part(a, '_', 2) = split_part(b, '_', 2)),
@@ -154,7 +152,7 @@ SELECT domain, pos, gloss FROM o WHERE pos <= 5""",
 )
 def domain_lists(spark, sf_dir):
     d = _domains(spark, sf_dir)
-    candidates = d.select("domain", F.explode(F.array("a", "b")).alias("gloss")).distinct()
+    candidates = d.select("domain", "gloss")
     return O.domain_lists(candidates, O.farthest_point(d, 6), candidates.where("gloss LIKE 'C1%'"), candidates.where("gloss LIKE 'C2%'"), 5)
 
 

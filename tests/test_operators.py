@@ -133,6 +133,36 @@ def test_merge_short_intervals(spark):
     assert got == [(0, 1500), (9000, 9100)]
 
 
+def plain_merge(rows, merges, ends):
+    out = []
+    for video, a, b in sorted(rows):
+        if out and out[-1][0] == video and merges(out[-1][1], out[-1][2], a, b):
+            out[-1][2:] = [ends(out[-1][2], b), out[-1][3] + 1]
+        else:
+            out.append([video, a, b, 1])
+    return sorted(map(tuple, out))
+
+
+@pytest.mark.parametrize("block_rows", [50_000, 40, 7])
+def test_walks_in_blocks(spark, block_rows):
+    """One video holds most intervals; some stretches never let a block forget what was before it."""
+    rng = np.random.default_rng(13)
+    rows = []
+    for video, n in ((1, 400), (2, 5), (3, 60), (4, 1)):
+        starts = np.cumsum(rng.integers(0, 700 if video != 3 else 40, n))
+        rows += [(video, int(a), int(a + rng.integers(1, 1200 if video != 3 else 30))) for a in starts]
+    df = spark.createDataFrame(rows, "video_id long, start_ms long, end_ms long").repartition(4)
+    got = sorted(map(tuple, segments.merge_short_intervals(df, 100, 900, block_rows).collect()))
+    assert got == plain_merge(rows, lambda s, e, a, b: a - e <= 100 and e - s < 900 and b - a < 900, max)
+    got = sorted(map(tuple, segments.merge_annotations(df, 50, 300, 250, block_rows).collect()))
+    assert got == plain_merge(rows, lambda s, e, a, b: a - e < 50 or (a - e < 300 and (e - s < 250 or b - a < 250)), lambda e, b: b)
+    frames = spark.createDataFrame([(c, i, float(v)) for c in (1, 2) for i, v in enumerate(rng.integers(0, 4, 300))], "clip_id long, frame_idx long, v double")
+    one = sorted(map(tuple, segments.valleys(frames, 2, 0.5, 4).collect()))
+    assert one == sorted(map(tuple, segments.valleys(frames, 2, 0.5, 4, block_rows).collect())) and len(one) > 60
+    assert all(b[1] - a[1] >= 4 for a, b in zip(one, one[1:]) if a[0] == b[0])
+    assert segments.merge_short_intervals(df.where("false")).collect() == []
+
+
 def test_distributions():
     assert D.t_two_sided(2.0, 10) == pytest.approx(0.0733880, abs=1e-6)
     assert D.normal_quantile(0.975) == pytest.approx(1.959964, abs=1e-6)
@@ -148,6 +178,28 @@ def test_average_rank_and_wilcoxon(spark):
     assert got == [(1, 1.5), (1, 1.5), (2, 3), (3, 4.5), (3, 4.5), (4, 6), (5, 8), (5, 8), (5, 8), (6, 10), (9, 11)]
 
 
+def test_rank_statistics_read_their_input_once(spark, tmp_path):
+    """Ranks, ties and correlations by brute force; the plans start from written counts, not from the input again."""
+    rng = np.random.default_rng(14)
+    x, y = rng.integers(0, 30, 300), rng.integers(0, 20, 300)
+    y = x // 3 + y
+    spark.createDataFrame([(int(a), int(b)) for a, b in zip(x, y)], "human long, s long").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    out = statistics.correlations(df, "human", ["s"])
+    assert str(tmp_path) not in out._jdf.queryExecution().optimizedPlan().toString() and len(out.inputFiles()) > 0
+    assert not any(str(tmp_path) in f for f in out.inputFiles())
+
+    def ranks(v):
+        return np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
+
+    r = out.first()
+    assert r.pearson == pytest.approx(np.corrcoef(x, y)[0, 1]) and r.spearman == pytest.approx(np.corrcoef(ranks(x), ranks(y))[0, 1])
+    w = statistics.wilcoxon(df.selectExpr("'m' AS metric", "s AS model", "human AS baseline")).first()
+    d = (y - x)[y != x]
+    assert (w.n, w.w_plus, w.w_minus) == (len(d), ranks(abs(d))[d > 0].sum(), ranks(abs(d))[d < 0].sum())
+    assert w.ties == sum(c**3 - c for c in np.unique(abs(d), return_counts=True)[1])
+
+
 def test_bootstrap_interval_holds_the_mean(spark):
     draw = np.random.default_rng(1).normal(10, 2, 200)
     rows = spark.createDataFrame([("m", float(x), i) for i, x in enumerate(draw)], "metric string, value double, id long")
@@ -236,12 +288,54 @@ def test_rank_candidates_in_blocks(spark):
     assert len(one) == 30 and one == three
 
 
-def test_farthest_point(spark):
-    points = {"a": 0.0, "b": 1.0, "c": 2.0, "d": 10.0}
-    rows = [("x", p, q, abs(points[p] - points[q])) for p in points for q in points if p < q]
-    d = spark.createDataFrame(rows, "domain string, a string, b string, distance double")
-    assert [r.gloss for r in vocab.farthest_point(d, 3).orderBy("rank").collect()] == ["b", "d", "a"]
-    assert {r.gloss for r in vocab.farthest_point(d, 2, "dispersion").collect()} == {"a", "d"}
+def plain_choice(names, x, k, seed):
+    """The greedy choice over the full matrix, as one would write it for a small one."""
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    u = np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+    d = np.round(1 - u @ u.T, 9)
+    np.fill_diagonal(d, 0)
+    if seed == "center":
+        chosen = [int(np.argmin(np.round(d.sum(1) / max(len(x) - 1, 1), 9)))]
+    else:
+        chosen = [int(i) for i in np.unravel_index(np.argmax(d), d.shape)]
+    while len(chosen) < min(k, len(x)):
+        near = d[chosen].min(0)
+        near[chosen] = -1
+        chosen.append(int(np.argmax(near)))
+    return [names[i] for i in chosen[:k]]
+
+
+@pytest.mark.parametrize("seed", ["center", "dispersion"])
+def test_farthest_point(spark, seed, monkeypatch):
+    monkeypatch.setattr(vocab, "ROUNDS_A_TABLE", 3)
+    rng = np.random.default_rng(11)
+    rows, want = [], {}
+    for domain, n in (("x", 40), ("y", 7), ("z", 3)):
+        x = rng.normal(size=(n, 5))
+        x[1] = x[0] * 2  # a tie
+        names = [f"{domain}{i:02}" for i in range(n)]
+        rows += [(domain, a, v.tolist()) for a, v in zip(names, x)]
+        want[domain] = plain_choice(names, x, 10, seed)
+    df = spark.createDataFrame(rows, "domain string, gloss string, vec array<double>").repartition(3)
+    got = vocab.farthest_point(df, 10, seed).orderBy("rank").collect()
+    assert {d: [r.gloss for r in got if r.domain == d] for d in want} == want
+    one, more = (sorted(map(tuple, vocab.farthest_pair(df, b).collect())) for b in (1, 4))
+    assert one == more
+
+
+def test_farthest_point_of_many_classes(spark):
+    """20,000 classes in one domain, from their vectors; no step sees them all in one group."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(20_000, 6)).round(3)
+    df = spark.createDataFrame([("d", f"g{i:05}", v) for i, v in enumerate(x.tolist())], "domain string, gloss string, vec array<double>")
+    got = [r.gloss for r in vocab.farthest_point(df, 4).orderBy("rank").collect()]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    chosen = [int(np.argmin(np.round((len(u) - u @ u.sum(0)) / (len(u) - 1), 9)))]
+    while len(chosen) < 4:
+        near = np.round(1 - (u @ u[chosen].T).max(1), 9)
+        near[chosen] = -1
+        chosen.append(int(np.argmax(near)))
+    assert got == [f"g{i:05}" for i in chosen]
 
 
 def test_augmentation_is_repeatable_and_keeps_unseen_points():
