@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from glossmill.llm import decontam, linededup, mixing, simhash, toxicity
-from glossmill.llm.common import scratch_path
+from glossmill.llm.common import cut, release
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,12 +57,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply every stage to ``documents``; between stages the rows are written to the shared folder."""
+    """Apply every stage to ``documents``; between stages the rows are written to the shared folder.
+
+    A copy goes once the next one is written; the last one stays, since the result reads it.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for number, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if number < len(STAGES) - 1:
-            path = scratch_path(spark, f"stage-{name}")
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+    for name, stage in STAGES[:-1]:
+        after = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(docs)
+        docs = after
+    return STAGES[-1][1](spark, docs, sf_dir)
