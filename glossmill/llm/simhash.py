@@ -6,7 +6,7 @@ with one of its set bits removed. Fingerprints that share such a key are candida
 
 * :func:`near_duplicate_groups` links 64-bit fingerprints (two segments) that differ in at most two bits.
 * :func:`near_copy_groups` links texts with a Jaccard similarity of their word shingles of 0.8 or more. Fingerprints of
-  256 bits (eight segments) find the candidates, the whole sets of shingles verify them. Texts that alike differ in
+  512 bits (sixteen segments) find the candidates, the whole sets of shingles verify them. Texts that alike differ in
   about a tenth of the bits, far beyond 64 bits with two segments.
 """
 
@@ -30,7 +30,7 @@ SMALL_BUCKET = 48
 SMALL_GROUP = 16
 #: 64-bit words of the fingerprint of :func:`near_copy_groups`, and words in a feature of it. An edit of one word
 #: changes two word pairs but five shingles of five words, so fingerprints of pairs stay closer.
-WIDE, PAIR = 4, 2
+WIDE, PAIR = 8, 2
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _CHUNK = 1 << 13
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -320,8 +320,8 @@ def near_copy_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -
     """Set of shingles and group of every row of ``docs(doc_id, text)``: ``(doc_id, text_key, fp, component_id)``.
 
     Two texts are linked if their sets of ``width``-word shingles (A-Z lower-cased) have a Jaccard similarity of at least
-    ``similarity`` and one of the eight 32-bit segments of their wide fingerprints differs in at most one bit, which
-    is so for all fingerprints within 15 bits and for most beyond. ``fp`` tells the sets apart; ``component_id`` is the
+    ``similarity`` and one of the sixteen 32-bit segments of their wide fingerprints differs in at most one bit, which
+    is so for all fingerprints within 31 bits and for most beyond. ``fp`` tells the sets apart; ``component_id`` is the
     smallest doc_id reachable. Rows without words are one group, shorter texts one shingle. Null ids, repeated rows,
     other columns and empty tables as in :func:`near_duplicate_groups`.
     """
@@ -342,7 +342,10 @@ def near_copy_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -
     texts = texts.join(rows.hint("shuffle_hash"), "key").dropDuplicates(["fp"])
     sets = cut(texts.select("fp", _shingles(F.col("text"), width).alias("shingles")), "sets")
     links = _link_sets(buckets, sets, similarity)
-    return _name_groups(marked, nodes.select("fp", "low"), links)
+    named = _name_groups(marked, nodes.select("fp", "low"), links)  # the links are components now
+    release(buckets)
+    release(sets)
+    return named
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -364,7 +367,7 @@ def _keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
     groups = cut(groups, "groups")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     # Rows with one key are copies and meet again below, so a group needs only its first key.
-    keep = groups.groupBy(F.coalesce("component_id", F.col("fp")).alias("a"), F.col("component_id").isNull().alias("b"))
+    keep = groups.groupBy(F.coalesce(F.col("component_id").cast("string"), F.col("fp").cast("string")).alias("a"), F.col("component_id").isNull().alias("b"))
     keep = keep.agg(F.min(first).alias("k")).select(row_key(F.col("k.doc_id"), F.col("k.text_key")).alias("key"))
     rows = docs.select(row_key(F.col("doc_id"), text_key(F.col("text"))).alias("key"), boxed(docs).alias("row"))
     repeated = groups.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1")
