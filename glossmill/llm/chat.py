@@ -86,7 +86,7 @@ def format_conversations(turns: DataFrame, template: Template | None = None) ->
     Turns are taken by ``turn`` (null first), ties by role and text; repeated rows are turns of their own. Null roles
     and texts are empty. The state machine puts the first fault of a conversation into ``error`` on its closing,
     empty segment (null there: valid), so faulty conversations are formatted too and can be left out. Rows of null
-    conv_id are one conversation. Rows are sorted inside partitions and handled one after another, so a conversation
+    conv_id are one conversation; other columns are ignored, and an empty table gives no segments. Rows are sorted inside partitions and handled one after another, so a conversation
     of any length needs no more memory than one of its turns.
     """
     template = template or Template()
@@ -134,8 +134,10 @@ DIGEST = (
 def read_back(segments: DataFrame, template: Template | None = None) -> DataFrame:
     """Parse formatted conversations again and digest what they hold: ``DIGEST``, a row for each conversation.
 
-    Segments are joined in the order of ``seg_no`` and cut at the template's control strings, whatever the segments'
-    borders; roles and texts are unescaped. ``turns_sha256`` is over role, newline, text, newline of each turn;
+    Segments are read in the order of ``seg_no`` and cut at the template's control strings; a segment may hold several of
+    them, but none may begin in one segment and end in the next. Roles and texts are unescaped. What lies outside a turn,
+    or ends or begins one out of place, is the conversation's ``error`` and counts nowhere else; the others go on. An
+    empty table gives no rows. ``turns_sha256`` is over role, newline, text, newline of each turn;
     ``loss_sha256`` over the unescaped text of the segments under the loss mask. Both run as streaming hashes.
     """
     template = template or Template()
@@ -169,20 +171,24 @@ def read_back(segments: DataFrame, template: Template | None = None) -> DataFram
             elif isinstance(self.role, list):
                 self.role.append(string)
             else:
-                raise ValueError("text outside a turn")
+                self.error = self.error or f"text outside a turn: {string[:40]}"
 
         def control(self, mark: str) -> None:
             if mark in opens:
+                if self.role is not None:
+                    self.error = self.error or f"{mark} inside a turn"
                 self.role, self.text = opens[mark], []
             elif mark == template.other[0]:
                 self.role, self.text = [], None
-            elif mark == template.other[1]:
+            elif mark == template.other[1] and isinstance(self.role, list) and self.text is None:
                 self.role, self.text = template.unescape("".join(self.role)), []
-            elif mark in closes:
+            elif mark in closes and self.text is not None:
                 text = template.unescape("".join(self.text))
                 self.all.update(f"{self.role}\n{text}\n".encode())
                 self.turns += 1
                 self.role = self.text = None
+            elif mark not in (template.start, ""):
+                self.error = self.error or f"{mark} out of place"
 
         def row(self) -> tuple:
             return (self.conv, self.turns, self.all.hexdigest(), self.loss_chars, self.learned.hexdigest(), self.chars, self.error)

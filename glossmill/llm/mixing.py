@@ -75,7 +75,8 @@ def mix_sources(
     Returns ``(doc_id, source, size, source_size, target, taken)``, a row for each input row; ``taken`` is 0 or a
     multiple of ``size`` up to ``max_epochs`` times. The shuffle is by the MD5 of the seed, the doc_id and the text, so
     reruns agree; ties fall to the doc_id and the size, and rows alike in all of them are interchangeable. Null texts have
-    size 0, null sources are one source, and rows of size 0 are never taken. An empty table gives an empty result.
+    size 0, null sources are one source, and rows of size 0 are never taken. ``doc_id`` may have any type that can be
+    ordered; other columns are ignored. An empty table gives an empty result.
     """
     # Rows that share an id are spread by their texts too, so no slice fills with them unless they are alike in both.
     name = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5("text"))
@@ -128,12 +129,12 @@ def mix_sources(
             F.lit(first_out["finish"]).alias("finish"),
             F.lit(first_out["rank"]).alias("rank"),
             F.lit(first_out["r"]).alias("r"),
-            F.lit(first_out["doc_id"]).cast("long").alias("doc_id"),
+            F.lit(first_out["doc_id"]).cast(docs.schema["doc_id"].dataType).alias("doc_id"),
             F.lit(first_out["size"]).cast("long").alias("size"),
         )
         times = F.lit(0)
         for epoch in range(max_epochs):
-            here = F.struct(finish(F.lit(epoch)).alias("finish"), "rank", "r", F.col("doc_id").cast("long").alias("doc_id"), "size")
+            here = F.struct(finish(F.lit(epoch)).alias("finish"), "rank", "r", "doc_id", "size")
             times = times + (here < end).cast("int")
         taken = F.when(F.col("size") > 0, F.col("size") * times).otherwise(0)
     return queued.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))

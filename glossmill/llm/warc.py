@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm.common import bounded_batches, cut
+from glossmill.llm.common import bounded_batches, cut, release
 
 #: Bytes of blocks, and records, after which a new ARC archive is begun; the limits bound what a task holds at once.
 ARCHIVE_BYTES, ARCHIVE_RECORDS = 8 << 20, 500
@@ -233,10 +233,11 @@ def write_warc(records: DataFrame, path: str, file_records: int = 500, file_byte
     out = lambda rows, most, mode: rows.write.mode(mode).option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
     out(lines, file_records, "error")
     power = F.floor(F.log2(F.col("_size").cast("double"))).cast("int")
-    powers = [r[0] for r in sized.where(long).select(power.alias("p")).distinct().collect()]  # a few dozen at most
-    for p in sorted(powers):
-        some = sized.where(long & (power == p)).select(record_bytes().cast("string").alias("value"))
-        out(some, max(1, file_bytes >> (p + 1)), "append")
+    # The long records are computed once, whatever their sizes; the writes below only copy them.
+    large = cut(sized.where(long).select(power.alias("power"), record_bytes().cast("string").alias("value")), "long-records")
+    for (p,) in sorted(large.select("power").distinct().collect()):  # a few dozen at most
+        out(large.where(F.col("power") == p).select("value"), max(1, file_bytes >> (p + 1)), "append")
+    release(large)
 
 
 READ = (

@@ -313,3 +313,44 @@ def test_clashing_columns_stay(spark, name, tmp_path):
     rows = out.collect()
     assert 3 <= len(rows) <= 6 and all(r[c] == k for r in rows for k, c in enumerate(CLASHES))
     assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_mix_of_string_ids(spark):
+    """Ids of any type, also where the budget ends inside the queue; the same mix as for numbers in the same order."""
+    from glossmill.llm import mixing
+
+    rows = [(f"{i:03}", "w " * (1 + i % 7), f"s{i % 4}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    got = {r.doc_id: r for r in mixing.mix_sources(docs, share=0.7).collect()}
+    words = sum(1 + i % 7 for i in range(60))
+    assert len(got) == 60 and 0 < sum(r.taken for r in got.values()) <= 0.7 * words
+    assert all(r.taken % r.size == 0 and r.taken <= 2 * r.size for r in got.values())
+
+
+def test_string_ids_everywhere(spark):
+    """Operators that only carry the id take one of any type."""
+    from glossmill.llm import decontam, divergence, licenses, linededup, quality, simhash
+
+    docs = spark.createDataFrame([("b", "one two three " * 20, "de", "s"), ("a", "one two three " * 20, "de", "s"), ("c", None, None, None)],
+                                 "doc_id string, text string, lang string, source string")
+    items = spark.createDataFrame([("i", "one two three " * 4)], "item_id string, text string")
+    assert [r.doc_id for r in simhash.drop_near_copies(docs).orderBy("doc_id").collect()] == ["a", "c"]
+    assert {r.doc_id for r in simhash.near_duplicate_groups(docs, 3).where("component_id = 'a'").collect()} == {"a", "b"}
+    assert linededup.drop_copied_runs(docs, min_words=50).count() == 2
+    assert [r.doc_id for r in decontam.decontaminate(docs, items).collect()] == ["c"]
+    assert licenses.scan_licenses(docs).count() == 0 and quality.judge(docs)[0].count() == 3
+    assert divergence.source_divergence(docs).count() == 0
+
+
+def test_read_back_of_broken_segments(spark):
+    """Text outside a turn, a control string cut over two segments or out of place: an error of that conversation only."""
+    from glossmill.llm import chat
+
+    turns = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "ho")], "conv_id long, turn long, role string, text string")
+    good = chat.format_conversations(turns)
+    broken = [(2, 0, "<s>", False), (2, 1, "[IN", False), (2, 2, "ST]", False), (2, 3, "x", False), (3, 0, "[/INST]", False), (4, 0, "[INST]a[INST]b[/INST]", False)]
+    bad = spark.createDataFrame([(*b, None) for b in broken], good.schema)
+    got = {r.conv_id: r for r in chat.read_back(good.unionByName(bad)).collect()}
+    assert got[1].error is None and (got[1].n_turns, got[1].loss_chars) == (2, 2)
+    assert "outside a turn" in got[2].error and "out of place" in got[3].error and "inside a turn" in got[4].error
+    assert got[2].n_turns == 0 and got[2].formatted_chars == 10

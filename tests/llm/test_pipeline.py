@@ -131,3 +131,16 @@ def test_run_on_empty_tables(spark, tmp_path, empty):
         (rows.limit(0) if t in empty else rows).write.parquet(str(tmp_path / f"{t}.parquet"))
     done = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert bool(done) == ("documents" not in empty)
+
+
+def test_stage_copies_go(spark):
+    """After a run, of the copies between stages only the one that the result reads is left."""
+    import os
+
+    from glossmill.llm.common import shared_dir
+
+    where = shared_dir(spark).removeprefix("file:")
+    before = {x for x in os.listdir(where) if x.startswith("stage-")}
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    left = {x for x in os.listdir(where) if x.startswith("stage-")} - before
+    assert len(left) == 1 and left.pop().startswith("stage-decontamination") and out.count() > 0
