@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -25,24 +26,40 @@ from glossmill.llm.common import bounded_batches
 #: Bytes of a vocabulary file up to which it is broadcast; files of public tokenizers have 1 to 4 MB.
 VOCABULARY_BYTES = 64 << 20
 #: Pieces and pairs of tokens that a worker keeps in mind, and the longest piece that it keeps.
-MEMO, MEMO_CHARS = 400_000, 64
+MEMO, MEMO_CHARS = 300_000, 64
 #: Characters of a text that are split at once.
 CHUNK_CHARS = 1 << 20
 
 _BREAK = regex.compile(r"(?<=\S)(?=\s)")
 
 
+class _Lazy(dict):
+    """Token -> what a function says of it, asked once."""
+
+    def __init__(self, function: Callable[[int], int | None]):
+        super().__init__()
+        self._function = function
+
+    def __missing__(self, token: int) -> int | None:
+        self[token] = found = self._function(token)
+        return found
+
+
 class _Pieces(dict):
-    """Piece -> its ids as int32 bytes; filled when asked, emptied when full."""
+    """Piece -> its ids as int32 bytes, filled when asked. When it is full, what it holds is set aside, and what is asked
+    for again comes back from there."""
 
     def __init__(self, encode: Callable[[bytes], list[int]]):
         super().__init__()
-        self._encode = encode
+        self._encode, self._aside = encode, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self._encode(piece.encode("utf-8")), np.int32).tobytes()
+        ids = self._aside.get(piece)
+        if ids is None:
+            ids = array("i", self._encode(piece.encode("utf-8"))).tobytes()
         if len(piece) <= MEMO_CHARS:
             if len(self) >= MEMO:
+                self._aside = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -59,24 +76,28 @@ class BytePairEncoding:
             raise ValueError(f"the vocabulary has no token for {len(missing)} single bytes")
         self.ranks, self.bytes_of = ranks, {i: b for b, i in ranks.items()}
         self._split = regex.compile(pattern)
-        self._shorter: dict[int, int | None] = {}
+        self._size = {i: len(token) for token, i in ranks.items()}
+        self._starts_with, self._shorter = _Lazy(self._longest_made), _Lazy(self.shorter)
         self._fit: dict[tuple[int, int], bool] = {}
-        self._made: dict[int, bool] = {}
         self._pieces = _Pieces(self.encode_piece)
         self._automaton = ahocorasick.Automaton()
         for token, i in ranks.items():
-            self._automaton.add_word(token.decode("latin-1"), (i, len(token)))
+            self._automaton.add_word(token.decode("latin-1"), i)
         self._automaton.make_automaton()
 
     def merged(self, piece: bytes) -> list[int]:
         """Plain merging by rank, lowest and leftmost first; quadratic, for a few bytes."""
         parts = [piece[k : k + 1] for k in range(len(piece))]
-        while len(parts) > 1:
-            found = [(self.ranks[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.ranks]
-            if not found:
-                break
-            k = min(found)[1]
+        rank, none = self.ranks.get, len(self.ranks) << 32
+        pairs = [rank(a + b, none) for a, b in zip(parts, parts[1:])]
+        while pairs and (low := min(pairs)) < none:
+            k = pairs.index(low)
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del pairs[k]
+            if k:
+                pairs[k - 1] = rank(parts[k - 1] + parts[k], none)
+            if k < len(pairs):
+                pairs[k] = rank(parts[k] + parts[k + 1], none)
         return [self.ranks[p] for p in parts]
 
     def fits(self, a: int, b: int) -> bool:
@@ -91,43 +112,54 @@ class BytePairEncoding:
 
     def made(self, token: int) -> bool:
         """Whether merging makes this token of its own bytes."""
-        known = self._made.get(token)
-        if known is None:
-            known = self._made[token] = self.merged(self.bytes_of[token]) == [token]
-        return known
+        return self.merged(self.bytes_of[token]) == [token]
+
+    def _longest_made(self, token: int) -> int | None:
+        """This token if merging makes it, else the longest beginning of it that merging makes."""
+        while token is not None and not self.made(token):
+            token = self._head(token)
+        return token
+
+    def _head(self, token: int) -> int | None:
+        own = self.bytes_of[token]
+        heads = (own[:k] for k in range(len(own) - 1, 0, -1))
+        return next((self.ranks[h] for h in heads if h in self.ranks), None)
 
     def shorter(self, token: int) -> int | None:
-        """The longest other token that this one begins with."""
-        if token not in self._shorter:
-            own = self.bytes_of[token]
-            heads = (own[:k] for k in range(len(own) - 1, 0, -1))
-            self._shorter[token] = next((self.ranks[h] for h in heads if h in self.ranks), None)
-        return self._shorter[token]
+        """The longest other token that this one begins with and that merging makes."""
+        head = self._head(token)
+        return None if head is None else self._longest_made(head)
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one piece."""
         if piece in self.ranks:
             return [self.ranks[piece]]
-        size = len(piece)
+        size, size_of, starts_with, shorter, fit = len(piece), self._size, self._starts_with, self._shorter, self._fit
         longest: list[int | None] = [None] * (size + 1)
-        for end, (token, length) in self._automaton.iter(piece.decode("latin-1")):
-            longest[end + 1 - length] = token  # ends ascend, so the longest comes last
+        for end, token in self._automaton.iter(piece.decode("latin-1")):
+            longest[end + 1 - size_of[token]] = token  # ends ascend, so the longest comes last
         out: list[int] = []
         left = bytearray(size + 1)  # places stepped back from
-        at, token = 0, longest[0]
+        at, token, before = 0, starts_with[longest[0]], None
         while at < size:
             while token is not None:
-                end = at + len(self.bytes_of[token])
-                if not left[end] and self.made(token) and (not out or self.fits(out[-1], token)):
-                    break
-                token = self.shorter(token)
+                end = at + size_of[token]
+                if not left[end]:
+                    fits = before is None or fit.get((before, token))
+                    if fits is None:
+                        fits = self.fits(before, token)
+                    if fits:
+                        break
+                token = shorter[token]
             if token is None:
                 left[at] = 1
                 token = out.pop()
-                at -= len(self.bytes_of[token])
+                at -= size_of[token]
+                before = out[-1] if out else None
             else:
                 out.append(token)
-                at, token = end, longest[end]
+                at, before = end, token
+                token = starts_with[longest[at]] if at < size else None
         return out
 
     def encode(self, text: str) -> np.ndarray:
@@ -136,12 +168,14 @@ class BytePairEncoding:
         while start < len(text):
             cut = _BREAK.search(text, start + CHUNK_CHARS) if len(text) - start > CHUNK_CHARS else None
             end = cut.start() if cut else len(text)
-            parts.extend(map(self._pieces.__getitem__, self._split.findall(text[start:end])))
+            parts.append(b"".join(map(self._pieces.__getitem__, self._split.findall(text, start, end))))
             start = end
         return np.frombuffer(b"".join(parts), np.int32)
 
-    def decode(self, ids: list[int]) -> bytes | None:
-        """The bytes of the tokens; None if an id is null or not in the vocabulary."""
+    def decode(self, ids: list[int] | None) -> bytes | None:
+        """The bytes of the tokens; None for None, or if an id is null or not in the vocabulary."""
+        if ids is None:
+            return None
         try:
             return b"".join(map(self.bytes_of.__getitem__, ids))
         except KeyError:
@@ -156,6 +190,16 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(i) for token, i in (line.split() for line in data.splitlines() if line.strip())}
 
 
+def _lists(lists: pa.ListArray) -> Iterator[list[int] | None]:
+    """The lists of an Arrow array; much faster than asking for each by itself where no id is null."""
+    if lists.values.null_count:
+        yield from lists.to_pylist()
+        return
+    values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+    for start, end, there in zip(offsets, offsets[1:], lists.is_valid().to_pylist(), strict=False):
+        yield values[start:end].tolist() if there else None
+
+
 class Tokenizer:
     """Column functions of a vocabulary file; the file (its size is checked) is broadcast and loaded once in a worker."""
 
@@ -206,6 +250,6 @@ class Tokenizer:
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             coding = load()
             for lists in batches:
-                yield pa.array((coding.decode(x.as_py()) if x.is_valid else None for x in lists), pa.binary())
+                yield pa.array(list(map(coding.decode, _lists(lists))), pa.binary())
 
         return run(ids)
