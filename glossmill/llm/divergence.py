@@ -28,7 +28,7 @@ BROADCAST_BYTES = 128 << 20
 #: Distinct terms that a task counts before it passes them on, and bytes of text walked at once.
 TASK_TERMS, WALK_BYTES = 500_000, 4 << 20
 #: Counts (sources times terms) in one block of the comparison, and sources in one side of it.
-BLOCK_CELLS, SIDE_SOURCES = 1 << 19, 256
+BLOCK_CELLS, SIDE_SOURCES = 1 << 15, 256
 SCALE = 1_000_000_000
 
 #: Letters A-Z lower-cased, other letters and bytes beyond ASCII kept, anything else a space.
