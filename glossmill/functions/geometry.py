@@ -10,6 +10,9 @@ from glossmill.functions.vectors import total
 # Indices of the landmark layouts. A hand has its wrist first, then four points for each finger.
 LEFT_SHOULDER, RIGHT_SHOULDER = 11, 12
 FINGERS = {"thumb": (1, 2, 3, 4), "index": (5, 6, 7, 8), "middle": (9, 10, 11, 12), "ring": (13, 14, 15, 16), "pinky": (17, 18, 19, 20)}
+# The 83 points of a whole-body layout (543 points, or 576 with refined eyes): 33 of the body, both hands, eight of the face.
+FACE = (1, 61, 291, 152, 107, 336, 33, 263)
+BODY_83 = (*range(33), *range(501, 522), *range(522, 543), *(33 + i for i in FACE))
 WRIST, INDEX_BASE, PINKY_BASE, MIDDLE_BASE = 0, 5, 17, 9
 
 
@@ -30,6 +33,16 @@ def clean_points(kp: Column, points: int, dims: int = 3) -> Column:
     )
 
 
+def even_points(kp: Column, points: int = 83, dims: int = 3) -> Column:
+    """Frames of any layout as ``points`` points of ``dims`` coordinates.
+
+    Of a whole-body frame (543 points and more) the 83 of ``BODY_83`` are taken; 75 points (body and hands) and others
+    are padded with points not seen, or cut.
+    """
+    own = F.when(F.size(kp) >= 543, F.transform(F.array(*map(F.lit, BODY_83)), lambda i: F.get(kp, i))).otherwise(kp)
+    return clean_points(own, points, dims)
+
+
 def seen(point: Column) -> Column:
     """A point was detected: x or y is not zero."""
     return (point[0] != 0) | (point[1] != 0)

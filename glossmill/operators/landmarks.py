@@ -166,6 +166,30 @@ def compare_pose_stats(features: DataFrame, names: list[str], by: str = "label")
     return pairs.select("a", "b", *[(F.col(f"a_{n}") - F.col(f"b_{n}")).alias(n) for n in names], *[separable(F.col(f"a_{n}"), F.col(f"b_{n}")).alias(f"sep_{n}") for n in names])
 
 
+def trajectory_features(frames: DataFrame) -> DataFrame:
+    """How a point moves through each clip of ``frames(clip_id, frame_idx, x, y)``; clips of under three frames are left out.
+
+    ``path`` is the way gone, ``net`` the way from the first to the last frame, ``linearity`` their ratio, ``direction``
+    the angle of the net way in degrees, ``vertical`` the vertical share of all steps and ``circularity`` the turning
+    (cross products of neighbouring steps) by the squared path. One window and one aggregate for each clip.
+    """
+    order = Window.partitionBy("clip_id").orderBy("frame_idx")
+    steps = frames.select("clip_id", "frame_idx", "x", "y", *[(F.col(c) - F.lag(c).over(order)).alias(f"d{c}") for c in "xy"])
+    turns = steps.withColumn("turn", F.lag("dx").over(order) * F.col("dy") - F.lag("dy").over(order) * F.col("dx"))
+    ends = [f(F.struct("x", "y"), F.col("frame_idx")).alias(n) for f, n in ((F.min_by, "first"), (F.max_by, "last"))]
+    sums = turns.groupBy("clip_id").agg(
+        F.count("*").alias("n"), F.coalesce(F.sum(F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))), F.lit(0.0)).alias("path"),
+        F.sum(F.abs("dx")).alias("ax"), F.sum(F.abs("dy")).alias("ay"), F.coalesce(F.sum("turn"), F.lit(0.0)).alias("turn"), *ends,
+    )
+    nx, ny = F.col("last.x") - F.col("first.x"), F.col("last.y") - F.col("first.y")
+    net, least = F.sqrt(nx * nx + ny * ny), F.lit(1e-6)
+    return sums.where("n >= 3").select(
+        "clip_id", "path", net.alias("net"), (net / F.greatest("path", least)).alias("linearity"), F.degrees(F.atan2(ny, nx)).alias("direction"),
+        (F.col("ay") / F.greatest(F.col("ax") + F.col("ay"), least)).alias("vertical"),
+        (F.abs("turn") / F.greatest(F.col("path") * F.col("path"), least) * (F.col("n") - 1)).alias("circularity"),
+    )
+
+
 def repetition(frames: DataFrame, value: Column, least: int = 2) -> DataFrame:
     """Period of a clip's movement: the lag of the highest peak of its autocorrelation, 0 if there is none over 0.3."""
 

@@ -10,6 +10,8 @@ from glossmill.operators import splits
 from glossmill.plans import proxies as P
 from glossmill.plans.q_eval import rounded
 from glossmill.plans.registry import query
+from glossmill.sources import readers
+from glossmill.sources.scratch import scratch_path
 
 _WITH = f"WITH {P.FRAMES_SQL}"
 _LEFT, _RIGHT = list(range(0, 5)), list(range(5, 10))
@@ -288,3 +290,42 @@ def blend_to_baseline(spark, sf_dir):
     frames = P.frames(spark, sf_dir)
     pairs = frames.select("clip_id").distinct().withColumn("base_id", F.expr("clip_id div 2"))
     return _sum(L.blend_to_baseline(frames, pairs, _LEFT))
+
+
+_TRAJECTORY = ("path", "net", "linearity", "direction", "vertical", "circularity")
+
+
+@query(
+    "trajectory_features",
+    f"""{_WITH}, h AS (SELECT clip_id, frame_idx, (kp[6][1] + kp[7][1] + kp[8][1] + kp[9][1] + kp[10][1]) / 5 AS x, (kp[6][2] + kp[7][2] + kp[8][2] + kp[9][2] + kp[10][2]) / 5 AS y FROM frames),
+d AS (SELECT *, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM h WINDOW w AS (PARTITION BY clip_id ORDER BY frame_idx)),
+t AS (SELECT *, lag(dx) OVER w * dy - lag(dy) OVER w * dx AS turn FROM d WINDOW w AS (PARTITION BY clip_id ORDER BY frame_idx)),
+s AS (SELECT clip_id, count(*) AS n, sum(sqrt(dx * dx + dy * dy)) AS path, sum(abs(dx)) AS ax, sum(abs(dy)) AS ay, sum(turn) AS turn, arg_max(x, frame_idx) - arg_min(x, frame_idx) AS nx, arg_max(y, frame_idx) - arg_min(y, frame_idx) AS ny FROM t GROUP BY 1)
+SELECT clip_id, round(path, 6) AS path, round(sqrt(nx * nx + ny * ny), 6) AS net, round(sqrt(nx * nx + ny * ny) / greatest(path, 1e-6), 6) AS linearity, round(degrees(atan2(ny, nx)), 6) AS direction,
+round(ay / greatest(ax + ay, 1e-6), 6) AS vertical, round(abs(turn) / greatest(path * path, 1e-6) * (n - 1), 6) AS circularity FROM s WHERE n >= 3""",
+)
+def trajectory_features(spark, sf_dir):
+    hand = P.frames(spark, sf_dir).select(
+        "clip_id", "frame_idx", *[(sum((F.col("kp")[i][c] for i in _RIGHT), F.lit(0.0)) / 5).alias(n) for c, n in enumerate("xy")]
+    )
+    return rounded(L.trajectory_features(hand), *_TRAJECTORY)
+
+
+@query(
+    "read_clips",
+    """WITH e AS (SELECT vec_id, embedding, CAST([75, 83, 543, 576][CAST(vec_id % 4 + 1 AS INT)] AS BIGINT) AS n FROM embeddings),
+i AS (SELECT vec_id, n, embedding, CASE WHEN n >= 543 THEN list_concat(range(0, 33), range(501, 543), [34, 94, 324, 185, 140, 369, 66, 296]) ELSE range(0, n) END AS idx FROM e)
+SELECT vec_id AS clip_id, 83 AS points, 3 AS coords, round(list_sum([CAST(embedding[CAST(k % 64 + 1 AS INT)] AS DOUBLE) for k in idx]), 6) AS x,
+CAST(list_sum(idx) AS DOUBLE) AS y, CAST(idx[34] AS DOUBLE) AS hand, CAST(coalesce(idx[83], 0) AS DOUBLE) AS last FROM i""",
+)
+def read_clips(spark, sf_dir):
+    """Frames of four layouts in one folder of Parquet files, read as one layout."""
+    path = scratch_path(spark, "clips")
+    n = F.element_at(F.array(*map(F.lit, (75, 83, 543, 576))), (F.col("vec_id") % 4 + 1).cast("int"))
+    points = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array(F.get("embedding", i % 64).cast("double"), i.cast("double")))
+    P.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("clip_id"), F.lit(0).alias("frame_idx"), points.alias("kp")).write.parquet(path)
+    kp, total = F.col("kp"), lambda c: F.aggregate("kp", F.lit(0.0), lambda s, p: s + p[c])
+    out = readers.read_clips(spark, path).select(
+        "clip_id", F.size(kp).alias("points"), F.size(kp[0]).alias("coords"), total(0).alias("x"), total(1).alias("y"), kp[33][1].alias("hand"), kp[82][1].alias("last")
+    )
+    return rounded(out, "x")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glossmill.functions.geometry import clean_points
+from glossmill.functions.geometry import even_points
 
 CANDIDATE = "struct<gloss:string,confidence:double>"
 PREDICTION = (
@@ -26,9 +26,9 @@ GLOSS_EVENT = f"session_id string, event_id long, ts timestamp, gloss string, co
 
 
 def read_clips(spark: SparkSession, path: str, points: int = 83, dims: int = 3) -> DataFrame:
-    """Frames ``(clip_id, frame_idx, kp)`` from Parquet, with the number of points and coordinates made even."""
+    """Frames ``(clip_id, frame_idx, kp)`` from Parquet; layouts of 75, 83, 543 and 576 points become one (:func:`even_points`)."""
     frames = spark.read.parquet(path)
-    return frames.withColumn("kp", clean_points(F.col("kp"), points, dims))
+    return frames.withColumn("kp", even_points(F.col("kp"), points, dims))
 
 
 def read_clip_blobs(spark: SparkSession, path: str, points: int = 83, dims: int = 3) -> DataFrame:
@@ -48,7 +48,7 @@ def read_clip_blobs(spark: SparkSession, path: str, points: int = 83, dims: int
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content")
     frames = files.mapInPandas(run, "clip_id string, frame_idx long, kp array<array<double>>")
-    return frames.withColumn("kp", clean_points(F.col("kp"), points, dims))
+    return frames.withColumn("kp", even_points(F.col("kp"), points, dims))
 
 
 def read_manifest(spark: SparkSession, path: str, flat_pool: bool = True) -> DataFrame:
