@@ -99,7 +99,7 @@ def perfect_translation(predicted: Column, truth: Column) -> Column:
 
 def perplexity_to_score(perplexity: Column) -> Column:
     """Piecewise curve from perplexity (an input) to 0..100."""
-    x = perplexity
+    x = perplexity  # fixed values: the bounds and scores of the pieces
     return (
         F.when(x < 50, 100.0)
         .when(x < 100, 90 + (100 - x) / 50 * 10)

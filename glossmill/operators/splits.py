@@ -224,7 +224,7 @@ def balance_summary(train: DataFrame, balanced: DataFrame, target: int) -> DataF
     return before.join(after, "gloss").withColumn("achieved", F.col("after") == target)
 
 
-#: Techniques in the order of the configuration, with their weights.
+#: Techniques in the order of the configuration, with their weights.
 TECHNIQUES = (
     ("geometric", 3.0), ("noise", 2.0), ("translation", 2.0), ("scaling", 2.0), ("speed", 2.0), ("flip", 1.0),
     ("occlusion", 1.0), ("hand_drop", 1.0), ("temporal_warp", 1.0), ("proportion", 1.0), ("viewpoint", 1.0), ("combined", 1.0),
