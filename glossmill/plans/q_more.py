@@ -96,9 +96,10 @@ def user_predictor(spark, sf_dir):
     """SELECT user_id, CAST(count(*) AS BIGINT) AS pending, count(*) FILTER (event_type IN ('click', 'view')) AS used FROM events GROUP BY 1""",
 )
 def gloss_usage(spark, sf_dir):
-    pending = P.table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list("event_type").alias("glosses"))
+    pending = P.table(spark, sf_dir, "events").select("user_id", F.array("event_type").alias("glosses"))
     marked = E.gloss_usage(pending.withColumn("selections", F.array(F.lit("CLICK"), F.lit("View"))))
-    return marked.select("user_id", F.size("usage").cast("long").alias("pending"), F.size(F.filter("usage", lambda u: u["used"])).cast("long").alias("used"))
+    used = F.size(F.filter("usage", lambda u: u["used"]))
+    return marked.groupBy("user_id").agg(F.sum(F.size("usage").cast("long")).alias("pending"), F.sum(used.cast("long")).alias("used"))
 
 
 @query(
