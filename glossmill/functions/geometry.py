@@ -81,9 +81,12 @@ def normalize_shoulders(kp: Column, left: int = LEFT_SHOULDER, right: int = RIGH
     return F.when(usable, shift_scale(kp, centre(a, b), width)).otherwise(kp)
 
 
-def normalize_center_scale(kp: Column, left: int = LEFT_SHOULDER, right: int = RIGHT_SHOULDER) -> Column:
-    """Centred on the shoulders (else the mean of the points seen), scaled by their distance if over 0.01 (else by the
-    spread of the points seen); x and y only, other coordinates stay."""
+def frame_space(kp: Column, left: int = LEFT_SHOULDER, right: int = RIGHT_SHOULDER) -> Column:
+    """Where a frame lies and how large it is: a struct of ``x``, ``y`` and ``scale``.
+
+    The middle of the shoulders (else the mean of the points seen) and their distance if over 0.01 (else the spread of the
+    points seen; 1 without any).
+    """
     a, b = F.get(kp, F.lit(left)), F.get(kp, F.lit(right))
     good = F.filter(kp, seen)
     n = F.greatest(F.size(good), F.lit(1))
@@ -93,7 +96,18 @@ def normalize_center_scale(kp: Column, left: int = LEFT_SHOULDER, right: int = R
     width = distance(F.slice(a, 1, 2), F.slice(b, 1, 2))
     cx, cy = (F.when(both, (a[i] + b[i]) / 2).otherwise(mean[i]) for i in (0, 1))
     scale = F.when(both & (width > 0.01), width).otherwise(F.when(spread > 0, spread).otherwise(1.0))
-    return F.transform(kp, lambda p: F.when(seen(p), F.concat(F.array((p[0] - cx) / scale, (p[1] - cy) / scale), F.slice(p, 3, 10))).otherwise(p))
+    return F.struct(cx.alias("x"), cy.alias("y"), scale.alias("scale"))
+
+
+def into_space(kp: Column, space: Column) -> Column:
+    """Points seen relative to a frame's space, in x and y; other coordinates stay."""
+    at = lambda p: F.array((p[0] - space["x"]) / space["scale"], (p[1] - space["y"]) / space["scale"])
+    return F.transform(kp, lambda p: F.when(seen(p), F.concat(at(p), F.slice(p, 3, 10))).otherwise(p))
+
+
+def normalize_center_scale(kp: Column, left: int = LEFT_SHOULDER, right: int = RIGHT_SHOULDER) -> Column:
+    """Points in the space of their frame (:func:`frame_space`); x and y only, other coordinates stay."""
+    return into_space(kp, frame_space(kp, left, right))
 
 
 def flatten_points(kp: Column) -> Column:

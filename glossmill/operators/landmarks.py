@@ -152,18 +152,37 @@ def gloss_features(features: DataFrame, by: str = "label") -> DataFrame:
     return features.groupBy(by).agg(F.count("*").alias("clips"), *aggs)
 
 
-def separable(a: Column, b: Column) -> Column:
-    """Can two classes be told apart by a number: relative difference over 30 % yes, over 15 % maybe."""
+def separable(a: Column, b: Column, number: bool = True) -> Column:
+    """Can two classes be told apart: a relative difference over 30 % yes, over 15 % maybe; strings and booleans if unequal."""
+    if not number:
+        return F.when(a.eqNullSafe(b), "no").otherwise("yes")
     delta = F.abs(a - b) / F.greatest(F.abs(a), F.abs(b), F.lit(1e-6)) * 100
     return F.when(delta > 30, "yes").when(delta > 15, "maybe").otherwise("no")
 
 
-def compare_pose_stats(features: DataFrame, names: list[str], by: str = "label") -> DataFrame:
-    """All pairs of classes of a table with one row each: difference of each feature and whether it separates them."""
-    a = features.select(F.col(by).alias("a"), *[F.col(n).alias(f"a_{n}") for n in names])
-    b = features.select(F.col(by).alias("b"), *[F.col(n).alias(f"b_{n}") for n in names])
-    pairs = a.join(b, F.col("a") < F.col("b"))
-    return pairs.select("a", "b", *[(F.col(f"a_{n}") - F.col(f"b_{n}")).alias(n) for n in names], *[separable(F.col(f"a_{n}"), F.col(f"b_{n}")).alias(f"sep_{n}") for n in names])
+#: Parts that the classes are cut into where all their pairs are compared.
+PAIR_BLOCKS = 32
+
+
+def compare_pose_stats(features: DataFrame, names: list[str], by: str = "label", blocks: int = PAIR_BLOCKS) -> DataFrame:
+    """All pairs of classes of a table with one row each: difference of each feature and whether it separates them.
+
+    Strings and booleans have no difference, only ``sep_``. ``n_yes`` and ``n_maybe`` count the features, and
+    ``separating`` names those that tell the two apart. One side is sent to each of ``blocks`` parts of the other, so the
+    pairs are an equality join of bounded parts.
+    """
+    kinds = dict(features.dtypes)
+    numbers = {n for n in names if kinds[n] not in ("string", "boolean")}
+    own = F.pmod(F.xxhash64(by), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    a = features.select(F.col(by).alias("a"), own.alias("part"), *[F.col(n).alias(f"a_{n}") for n in names])
+    b = features.select(F.col(by).alias("b"), every.alias("part"), *[F.col(n).alias(f"b_{n}") for n in names])
+    pairs = a.join(b, "part").where(F.col("a") < F.col("b"))
+    seps = {n: separable(F.col(f"a_{n}"), F.col(f"b_{n}"), n in numbers) for n in names}
+    out = pairs.select("a", "b", *[(F.col(f"a_{n}") - F.col(f"b_{n}")).alias(n) for n in names if n in numbers], *[s.alias(f"sep_{n}") for n, s in seps.items()])
+    count = lambda kind: sum(((F.col(f"sep_{n}") == kind).cast("int") for n in names), F.lit(0))
+    apart = F.array_compact(F.array(*[F.when(F.col(f"sep_{n}") == "yes", n) for n in names]))
+    return out.withColumns({"n_yes": count("yes"), "n_maybe": count("maybe"), "separating": apart})
 
 
 def trajectory_features(frames: DataFrame) -> DataFrame:
@@ -191,16 +210,23 @@ def trajectory_features(frames: DataFrame) -> DataFrame:
 
 
 def repetition(frames: DataFrame, value: Column, least: int = 2) -> DataFrame:
-    """Period of a clip's movement: the lag of the highest peak of its autocorrelation, 0 if there is none over 0.3."""
+    """Period of a clip's movement: the lag of the highest peak of its autocorrelation, 0 if there is none over 0.3.
+
+    The whole autocorrelation comes from the power spectrum; lags that may be the highest are then computed again as
+    plain sums, so ties fall to the shortest lag.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("frame_idx")["x"].to_numpy(float)
         x = x - x.mean()
         power, lag, best = float(x @ x), 0, 0.3
-        for k in range(least, len(x) // 2 + 1 if power > 1e-12 else 0):
-            r = float(x[k:] @ x[:-k]) / power
-            if r > best + 1e-12:
-                lag, best = k, r
+        if power > 1e-12 and len(x) // 2 >= least:
+            size = 1 << (2 * len(x) - 1).bit_length()
+            r = np.fft.irfft(np.abs(np.fft.rfft(x, size)) ** 2, size)[least : len(x) // 2 + 1] / power
+            for k in least + np.flatnonzero(r >= max(float(r.max()), best) - 1e-9):
+                exact = float(x[k:] @ x[:-k]) / power
+                if exact > best + 1e-12:
+                    lag, best = int(k), exact
         return pd.DataFrame({"clip_id": [pdf["clip_id"].iloc[0]], "period": [lag]})
 
     return frames.select("clip_id", "frame_idx", value.alias("x")).groupBy("clip_id").applyInPandas(run, "clip_id long, period long")
@@ -349,7 +375,7 @@ def concat_with_rest(parts: DataFrame, hold: int) -> DataFrame:
     return parts.unionByName(held).withColumn("frame_no", F.row_number().over(order) - 1)
 
 
-def blend_to_baseline(frames: DataFrame, baseline: DataFrame, hand: list[int]) -> DataFrame:
+def shift_to_baseline(frames: DataFrame, baseline: DataFrame, hand: list[int]) -> DataFrame:
     """Shifts the hand of each clip by the difference of its mean position from that of a baseline clip.
 
     ``baseline(clip_id, base_id)`` names the baseline of each clip; the means are one row for each clip.
@@ -363,6 +389,45 @@ def blend_to_baseline(frames: DataFrame, baseline: DataFrame, hand: list[int]) -
     return frames.join(delta, "clip_id").withColumn("kp", moved).drop("delta")
 
 
+def blend_to_baseline(
+    frames: DataFrame, baseline: DataFrame, hands: dict[str, list[int]], blend: float = 1.0, most_zero: float = 0.8,
+    basis: list[int] | None = None, shoulders: tuple[int, int] = (G.LEFT_SHOULDER, G.RIGHT_SHOULDER),
+) -> DataFrame:
+    """Moves the hands of each clip to where those of its baseline are, whatever the place and size of the signer.
+
+    ``baseline(clip_id, base_id)`` names the baseline of each clip; clips without one that has frames are left out. A
+    hand's place is the mean of its points over all frames, in the space of each frame (:func:`frame_space` of the
+    points ``basis``, all if none, in which ``shoulders`` are numbered). The difference of the places, times ``blend``, is
+    carried back by each frame's own scale, so points that are not shifted keep their exact values. Points not seen stay
+    so, and a hand of which over ``most_zero`` of the baseline's x and y are zero is set to zero. ``hands`` names the points
+    in the layout of ``frames``, so whole-body frames are changed in place. Frames are joined with a row for each clip.
+    """
+    own = F.col("kp") if basis is None else G.select_points(F.col("kp"), basis)
+    placed = frames.withColumn("space", G.frame_space(own, *shoulders))
+    stats = []
+    for name, idx in hands.items():
+        flat = F.flatten(G.select_points(F.col("kp"), idx, 2))
+        inside = G.into_space(G.select_points(F.col("kp"), idx, 2), F.col("space"))
+        stats += [F.avg(total(F.transform(inside, G.coordinate(i))) / len(idx)).alias(f"{name}_{c}") for i, c in enumerate("xy")]
+        stats.append(F.avg(F.size(F.filter(flat, lambda x: x == 0)) / F.size(flat)).alias(f"{name}_zero"))
+    means = placed.groupBy("clip_id").agg(*stats)
+    base = means.select(F.col("clip_id").alias("base_id"), *[F.col(c).alias(f"b_{c}") for c in means.columns[1:]])
+    both = baseline.select("clip_id", "base_id").join(means, "clip_id").join(base, "base_id")
+    steps = [F.struct(*[((F.col(f"b_{h}_{c}") - F.col(f"{h}_{c}")) * blend).alias(c) for c in "xy"], (F.col(f"b_{h}_zero") > most_zero).alias("zero")).alias(h) for h in hands]
+    changes = both.select("clip_id", F.struct(*steps).alias("change"))
+
+    def moved(p: Column, i: Column) -> Column:
+        out = F.when(~G.seen(p), p)
+        for name, idx in hands.items():
+            step, scale = F.col(f"change.{name}"), F.col("space.scale")
+            to = F.concat(F.array(p[0] + step["x"] * scale, p[1] + step["y"] * scale), F.slice(p, 3, 10))
+            hit = F.array_contains(F.array(*map(F.lit, idx)), i)
+            out = out.when(hit, F.when(step["zero"], F.transform(p, lambda x: F.lit(0.0))).otherwise(to))
+        return out.otherwise(p)
+
+    return placed.join(changes, "clip_id").withColumn("kp", F.transform("kp", moved)).drop("space", "change")
+
+
 def energy(kp: Column) -> Column:
     """Sum of all coordinates, to compare tables of points."""
     return total(F.flatten(kp))

@@ -219,7 +219,29 @@ def gloss_features(spark, sf_dir):
 SELECT a, b, round(v - w, 6) AS velocity, CASE WHEN abs(v - w) / greatest(abs(v), abs(w), 1e-6) * 100 > 30 THEN 'yes' WHEN abs(v - w) / greatest(abs(v), abs(w), 1e-6) * 100 > 15 THEN 'maybe' ELSE 'no' END AS sep_velocity FROM p""",
 )
 def compare_pose_stats(spark, sf_dir):
-    return rounded(L.compare_pose_stats(_gloss_features(spark, sf_dir), ["velocity"]), "velocity")
+    return rounded(L.compare_pose_stats(_gloss_features(spark, sf_dir), ["velocity"]).select("a", "b", "velocity", "sep_velocity"), "velocity")
+
+
+_SEP = "CASE WHEN abs(x.{0} - y.{0}) / greatest(abs(x.{0}), abs(y.{0}), 1e-6) * 100 > 30 THEN 'yes' WHEN abs(x.{0} - y.{0}) / greatest(abs(x.{0}), abs(y.{0}), 1e-6) * 100 > 15 THEN 'maybe' ELSE 'no' END AS sep_{0}"
+
+
+@query(
+    "compare_class_stats",
+    f"""WITH c AS (SELECT substr(p_brand, 7) AS label, avg(p_size) AS size, avg(p_size * p_size) AS square FROM part GROUP BY 1),
+d AS (SELECT *, size > 25 AS large, substr(label, 1, 1) AS maker FROM c),
+s AS (SELECT x.label AS a, y.label AS b, x.size - y.size AS size, x.square - y.square AS square, {_SEP.format("size")}, {_SEP.format("square")},
+  CASE WHEN x.large = y.large THEN 'no' ELSE 'yes' END AS sep_large, CASE WHEN x.maker = y.maker THEN 'no' ELSE 'yes' END AS sep_maker FROM d x JOIN d y ON x.label < y.label)
+SELECT a, b, round(size, 6) AS size, round(square, 6) AS square, sep_size, sep_square, sep_large, sep_maker,
+  CAST(len([v for v in [sep_size, sep_square, sep_large, sep_maker] if v = 'yes']) AS INT) AS n_yes, CAST(len([v for v in [sep_size, sep_square, sep_large, sep_maker] if v = 'maybe']) AS INT) AS n_maybe,
+  concat_ws(' ', CASE WHEN sep_size = 'yes' THEN 'size' END, CASE WHEN sep_square = 'yes' THEN 'square' END, CASE WHEN sep_large = 'yes' THEN 'large' END, CASE WHEN sep_maker = 'yes' THEN 'maker' END) AS separating FROM s""",
+)
+def compare_class_stats(spark, sf_dir):
+    """Brands compared by numbers, a boolean and a string."""
+    size = F.col("p_size").cast("double")
+    stats = P.table(spark, sf_dir, "part").groupBy(F.substring("p_brand", 7, 9).alias("label")).agg(F.avg(size).alias("size"), F.avg(size * size).alias("square"))
+    stats = stats.withColumn("large", F.col("size") > 25).withColumn("maker", F.substring("label", 1, 1))
+    out = L.compare_pose_stats(stats, ["size", "square", "large", "maker"])
+    return rounded(out.withColumn("separating", F.array_join("separating", " ")), "size", "square")
 
 
 @query(
@@ -282,14 +304,46 @@ def concat_with_rest(spark, sf_dir):
 
 
 @query(
-    "blend_to_baseline",
+    "shift_to_baseline",
     f"""{_WITH}, {_HANDS}, m AS (SELECT clip_id, [avg(l[1]), avg(l[2]), avg(l[3])] AS m FROM hv GROUP BY 1), d AS (SELECT a.clip_id, [b.m[i] - a.m[i] for i in range(1, 4)] AS d FROM m a JOIN m b ON b.clip_id = a.clip_id // 2)
 SELECT clip_id, frame_idx, round(list_sum([p[1] + p[2] + p[3] for p in kp]) + 5 * (d[1] + d[2] + d[3]), 6) AS s FROM hv JOIN d USING (clip_id)""",
 )
+def shift_to_baseline(spark, sf_dir):
+    frames = P.frames(spark, sf_dir)
+    pairs = frames.select("clip_id").distinct().withColumn("base_id", F.expr("clip_id div 2"))
+    return _sum(L.shift_to_baseline(frames, pairs, _LEFT))
+
+
+def _hand_place(name, a, b):
+    seen, n = f"[p for p in kp[{a}:{b}] if p[1] <> 0 OR p[2] <> 0]", b - a + 1
+    zeros = f"len([x for x in flatten([p[1:2] for p in kp[{a}:{b}]]) if x = 0]) / {2.0 * n}"
+    return ", ".join(
+        [f"avg(coalesce(list_sum([(p[{i}] - o[{i}]) / scale for p in {seen}]), 0) / {n}) AS {name}_{c}" for i, c in ((1, "x"), (2, "y"))] + [f"avg({zeros}) AS {name}_zero"]
+    )
+
+
+def _hand_moved(name, a, b):
+    step = f"CASE WHEN p[1] <> 0 OR p[2] <> 0 THEN 0.5 * scale * (b.{name}_x - a.{name}_x + b.{name}_y - a.{name}_y) ELSE 0 END"
+    return f"CASE WHEN b.{name}_zero > 0.8 THEN 0 ELSE list_sum([p[1] + p[2] + p[3] + {step} for p in kp[{a}:{b}]]) END"
+
+
+@query(
+    "blend_to_baseline",
+    f"""{_WITH}, z AS (SELECT clip_id, frame_idx, CASE WHEN clip_id % 5 = 0 THEN list_concat([[0.0, 0.0, 0.0] for i in range(5)], kp[6:21]) ELSE kp END AS kp FROM frames),
+m AS (SELECT *, [p for p in kp if p[1] <> 0 OR p[2] <> 0] AS good FROM z),
+w AS (SELECT *, [(kp[12][1] + kp[13][1]) / 2, (kp[12][2] + kp[13][2]) / 2] AS o, sqrt((kp[12][1] - kp[13][1]) ** 2 + (kp[12][2] - kp[13][2]) ** 2) AS w, list_avg([p[1] for p in good]) AS mx, list_avg([p[2] for p in good]) AS my FROM m),
+s AS (SELECT *, CASE WHEN w > 0.01 THEN w ELSE sqrt(list_sum([(p[1] - mx) ** 2 + (p[2] - my) ** 2 for p in good]) / (2 * len(good))) END AS scale FROM w),
+c AS (SELECT clip_id, {_hand_place("l", 1, 5)}, {_hand_place("r", 6, 10)} FROM s GROUP BY 1)
+SELECT s.clip_id, frame_idx, round({_hand_moved("l", 1, 5)} + {_hand_moved("r", 6, 10)} + list_sum([p[1] + p[2] + p[3] for p in kp[11:21]]), 5) AS s
+FROM s JOIN c a ON a.clip_id = s.clip_id JOIN c b ON b.clip_id = s.clip_id // 2""",
+)
 def blend_to_baseline(spark, sf_dir):
+    """Half way to the baseline; every fifth clip has no left hand."""
     frames = P.frames(spark, sf_dir)
+    hidden = F.transform("kp", lambda p, i: F.when((F.col("clip_id") % 5 == 0) & (i < 5), F.transform(p, lambda x: F.lit(0.0))).otherwise(p))
+    frames = frames.withColumn("kp", hidden)
     pairs = frames.select("clip_id").distinct().withColumn("base_id", F.expr("clip_id div 2"))
-    return _sum(L.blend_to_baseline(frames, pairs, _LEFT))
+    return _sum(L.blend_to_baseline(frames, pairs, {"left": _LEFT, "right": _RIGHT}, blend=0.5), 5)
 
 
 _TRAJECTORY = ("path", "net", "linearity", "direction", "vertical", "circularity")

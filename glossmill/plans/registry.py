@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package that register queries.
-MODULES = ["q_eval", "q_profiles", "q_splits", "q_segments", "q_stats", "q_vocab", "q_landmarks", "q_captions", "q_context", "q_more"]
+MODULES = ["q_eval", "q_profiles", "q_splits", "q_segments", "q_stats", "q_vocab", "q_landmarks", "q_captions", "q_context", "q_readers", "q_more"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
