@@ -337,13 +337,15 @@ def augment(
 
 
 def augment_clips(
-    clips: DataFrame, plan: DataFrame, parts: int | None = None, body: tuple[int, int] = BODY, hands: tuple[tuple[int, int], ...] = HANDS
-) -> DataFrame:
+    clips: DataFrame, plan: DataFrame, parts: int | None = None, body: tuple[int, int] = BODY, hands: tuple[tuple[int, int], ...] = HANDS,
+    spread: bool = True,
+) -> DataFrame:
     """New clips ``(clip_id, aug_id, technique, clip)``, one for each row of ``plan(clip_id, aug_id, technique)``.
 
     Clips meet their plan by an equi-join and are spread by clip and number, as the output is many times the input. The
     random draw of a row depends on its clip and number only, so a retried task gives the same clip. ``body`` and
-    ``hands`` say where these points are (first and end).
+    ``hands`` say where these points are (first and end). Without ``spread`` the clips stay where the join has them: over
+    tables bucketed by clip no keypoint is moved.
     """
 
     def run(batches):
@@ -357,7 +359,8 @@ def augment_clips(
             yield pd.DataFrame(out, columns=["clip_id", "aug_id", "technique", "clip"])
 
     rows = clips.join(plan, "clip_id").withColumn("seed", F.xxhash64("clip_id", "aug_id"))
-    rows = rows.repartition(parts, "clip_id", "aug_id") if parts else rows.repartition("clip_id", "aug_id")
+    if spread:
+        rows = rows.repartition(parts, "clip_id", "aug_id") if parts else rows.repartition("clip_id", "aug_id")
     kind = dict(plan.dtypes)["aug_id"]
     return rows.mapInPandas(run, f"clip_id {dict(clips.dtypes)['clip_id']}, aug_id {kind}, technique string, clip array<array<array<double>>>")
 

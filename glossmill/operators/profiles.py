@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from glossmill.operators.statistics import percentiles
+from glossmill.sources.scratch import written
+
 
 def top1() -> Column:
     return F.col("top_k")[0]["gloss"]
@@ -274,8 +277,8 @@ def motion_complexity(moves: DataFrame, predictions: DataFrame, by: str = "clip_
     percentiles 33 and 66 of all clips, one row that is joined to all. Returns ``(complexity, clips, accuracy, spread)``.
     """
     spread = moves.groupBy(by).agg(F.stddev_pop("move").alias("spread"))
-    known = predictions.join(spread, by).where("spread IS NOT NULL")
-    bounds = known.agg(F.percentile("spread", F.array(F.lit(0.33), F.lit(0.66))).alias("b"))
+    known = written(predictions.join(spread, by).where("spread IS NOT NULL"), "spreads")
+    bounds = percentiles(known, "spread", [0.33, 0.66]).select(F.col("percentiles").alias("b"))
     name = F.when(F.col("spread") <= F.col("b")[0], "low").when(F.col("spread") <= F.col("b")[1], "medium").otherwise("high")
     return (
         known.crossJoin(F.broadcast(bounds))

@@ -46,6 +46,43 @@ def average_rank(df: DataFrame, value: str, by: list[str], name: str = "rank") -
     return df.join(ranked.select(*by, value, (F.col("below__n") + (F.col("_n") + 1) / 2).alias(name)), [*by, value])
 
 
+def percentiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None, ranges: int = 256) -> DataFrame:
+    """Exact percentiles ``(*by, n, percentiles)`` of each group, linear between neighbours; ``probs`` from 0 to 1.
+
+    Equal values are counted and written once. Mergeable quantile sketches of fixed size (some 30 KB a group) cut the
+    different values into ``ranges`` ranges, whose totals tell which of them hold the ranks asked for; only these are
+    put in order, each in a task of its own. The bounds only place values, so the result is exact. Nulls, NaN and groups
+    with a null in ``by`` are left out; an empty table gives no row.
+    """
+    by, x = by or [], F.col(value).cast("double")
+    counts = df.where(x.isNotNull() & ~F.isnan(x)).groupBy(*by, x.alias("_x")).agg(F.count("*").alias("_n"))
+    counts = written(counts, "values")
+    at = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
+    cuts = counts.groupBy(*by).agg(F.kll_sketch_agg_double("_x", F.lit(2048)).alias("_sketch"), F.count("*").alias("_c"))
+    cuts = cuts.select(*by, F.when(F.col("_c") > 0, F.kll_sketch_get_quantile_double("_sketch", at)).alias("_cuts"))
+    placed = counts.join(cuts, by) if by else counts.join(F.broadcast(cuts))  # without groups the bounds are one row
+    placed = placed.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_x")))).drop("_cuts")
+
+    totals = placed.groupBy(*by, "_range").agg(F.sum("_n").alias("_in"))
+    group = Window.partitionBy(*by)
+    ahead = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumns({"_before": F.coalesce(F.sum("_in").over(ahead), F.lit(0)), "_all": F.sum("_in").over(group)})
+    place = lambda k, p: F.struct(F.lit(k).alias("k"), (F.lit(float(p)) * (F.col("_all") - 1)).alias("pos"))
+    wanted = totals.withColumn("_w", F.explode(F.array(*[place(k, p) for k, p in enumerate(probs)])))
+    wanted = wanted.withColumn("_at", F.explode(F.array_distinct(F.array(F.floor("_w.pos"), F.ceil("_w.pos")))))
+    wanted = written(wanted.where("_at >= _before AND _at < _before + _in"), "ranks")
+
+    chosen = placed.join(wanted.select(*by, "_range", "_before").distinct(), [*by, "_range"])
+    inside = Window.partitionBy(*by, "_range").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    ordered = chosen.withColumn("_from", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0))).drop("_before")
+    found = ordered.join(wanted, [*by, "_range"]).where("_at >= _from AND _at < _from + _n")
+    pos = F.first("_w.pos")
+    low, high, share = F.min_by("_x", "_at"), F.max_by("_x", "_at"), pos - F.floor(pos)
+    each = found.groupBy(*by, F.col("_w.k").alias("_k")).agg(F.first("_all").alias("_all"), F.when(share == 0, low).otherwise((1 - share) * low + share * high).alias("_v"))
+    listed = F.array_sort(F.collect_list(F.struct("_k", "_v")))
+    return each.groupBy(*by).agg(F.first("_all").alias("n"), F.transform(listed, lambda s: s["_v"]).alias("percentiles"))
+
+
 def effect_label(d: Column) -> Column:
     size = F.abs(d)
     return F.when(size < 0.2, "negligible").when(size < 0.5, "small").when(size < 0.8, "medium").otherwise("large")

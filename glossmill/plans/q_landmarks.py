@@ -10,7 +10,7 @@ from glossmill.operators import splits
 from glossmill.plans import proxies as P
 from glossmill.plans.q_eval import rounded
 from glossmill.plans.registry import query
-from glossmill.sources import readers
+from glossmill.sources import readers, sinks
 from glossmill.sources.scratch import scratch_path
 
 _WITH = f"WITH {P.FRAMES_SQL}"
@@ -292,6 +292,21 @@ def augment_clips(spark, sf_dir):
     return out.select("clip_id", "aug_id", "technique", F.size("clip").alias("frames"), L.energy(F.flatten("clip")).alias("s"))
 
 
+@query(
+    "bucketed_clips",
+    f"{_WITH}, c AS (SELECT clip_id, count(*) AS n, sum(list_sum([p[1] + p[2] + p[3] for p in kp])) AS s FROM frames GROUP BY 1) SELECT clip_id, clip_id % 3 AS aug_id, CAST(n AS INT) AS frames, round(s, 6) AS s FROM c",
+)
+def bucketed_clips(spark, sf_dir):
+    """Clips and their plan as tables of the same buckets, joined where they lie."""
+    clips = L.clip_arrays(P.frames(spark, sf_dir))
+    plan = clips.select("clip_id", (F.col("clip_id") % 3).alias("aug_id"))
+    tables = []
+    for name, rows in (("clips", clips), ("plan", plan)):
+        path = scratch_path(spark, name)
+        tables.append(sinks.write_bucketed(rows, path.rsplit("/", 1)[-1].replace("-", "_"), path, 8))
+    return tables[0].join(tables[1], "clip_id").select("clip_id", "aug_id", F.size("clip").alias("frames"), F.round(L.energy(F.flatten("clip")), 6).alias("s"))
+
+
 @query(
     "concat_with_rest",
     f"""{_WITH}, f AS (SELECT clip_id // 4 AS sentence_id, clip_id % 4 AS pos, frame_idx FROM frames), l AS (SELECT sentence_id, pos, max(frame_idx) AS last, max(pos) OVER (PARTITION BY sentence_id) AS e FROM f GROUP BY 1, 2),

@@ -266,3 +266,16 @@ def accuracy_bands(spark, sf_dir):
     every = P.predictions(spark, sf_dir)
     profiles = PR.sign_profiles(every.where("true_gloss != 'G07'"))
     return rounded(bands(every.select(F.col("video_id").alias("sentence_id"), F.col("true_gloss").alias("sign")), profiles), "mean", "std")
+
+
+_PERCENTS = (0.0, 0.1, 0.25, 0.5, 0.9, 0.99, 1.0)
+
+
+@query(
+    "percentiles",
+    "SELECT l_returnflag, count(*) AS n, " + ", ".join(f"round(quantile_cont(CAST(l_extendedprice AS DOUBLE), {p}), 6) AS p{round(p * 100)}" for p in _PERCENTS) + " FROM lineitem GROUP BY 1",
+)
+def percentiles(spark, sf_dir):
+    out = S.percentiles(P.table(spark, sf_dir, "lineitem"), "l_extendedprice", list(_PERCENTS), ["l_returnflag"])
+    names = [f"p{round(p * 100)}" for p in _PERCENTS]
+    return rounded(out.select("l_returnflag", "n", *[F.col("percentiles")[i].alias(c) for i, c in enumerate(names)]), *names)

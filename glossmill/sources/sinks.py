@@ -30,3 +30,14 @@ def write_assignment(assigned: DataFrame, path: str) -> None:
 
 def write_report(report: DataFrame, path: str, kind: str = "json") -> None:
     report.write.format(kind).save(path)
+
+
+def write_bucketed(rows: DataFrame, table: str, path: str, buckets: int, by: str = "clip_id") -> DataFrame:
+    """``rows`` as a table of ``buckets`` sorted buckets of ``by`` under ``path``; returns the table.
+
+    Tables with equal numbers of buckets are joined and grouped on ``by`` where they lie: keypoints are not moved again.
+    Rows are brought to their bucket first, so a bucket is one file.
+    """
+    spread = rows.repartition(buckets, by).sortWithinPartitions(by)
+    spread.write.mode("overwrite").bucketBy(buckets, by).sortBy(by).option("path", path).format("parquet").saveAsTable(table)
+    return rows.sparkSession.table(table)
