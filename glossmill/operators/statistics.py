@@ -60,6 +60,7 @@ def percentiles(df: DataFrame, value: str, probs: list[float], by: list[str] | N
     at = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
     cuts = counts.groupBy(*by).agg(F.kll_sketch_agg_double("_x", F.lit(2048)).alias("_sketch"), F.count("*").alias("_c"))
     cuts = cuts.select(*by, F.when(F.col("_c") > 0, F.kll_sketch_get_quantile_double("_sketch", at)).alias("_cuts"))
+    cuts = written(cuts, "cuts")  # sketches draw at random, so a second run would have other bounds
     placed = counts.join(cuts, by) if by else counts.join(F.broadcast(cuts))  # without groups the bounds are one row
     placed = placed.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_x")))).drop("_cuts")
 
@@ -80,7 +81,8 @@ def percentiles(df: DataFrame, value: str, probs: list[float], by: list[str] | N
     low, high, share = F.min_by("_x", "_at"), F.max_by("_x", "_at"), pos - F.floor(pos)
     each = found.groupBy(*by, F.col("_w.k").alias("_k")).agg(F.first("_all").alias("_all"), F.when(share == 0, low).otherwise((1 - share) * low + share * high).alias("_v"))
     listed = F.array_sort(F.collect_list(F.struct("_k", "_v")))
-    return each.groupBy(*by).agg(F.first("_all").alias("n"), F.transform(listed, lambda s: s["_v"]).alias("percentiles"))
+    out = each.groupBy(*by).agg(F.first("_all").alias("n"), F.transform(listed, lambda s: s["_v"]).alias("percentiles"))
+    return out.where("n IS NOT NULL")
 
 
 def effect_label(d: Column) -> Column:
