@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from glossmill.llm.common import bounded_batches, boxed, connected_components, cut, release
 
@@ -244,18 +245,48 @@ def _shared(rows: DataFrame) -> DataFrame:
     return out
 
 
-def _with_hubs(crowded: DataFrame, merge: bool) -> DataFrame:
-    """``crowded(key, fp, m, ...)`` with the ``hub`` of each key: the member that shares most, the middle of a large group.
-
-    With ``merge``, keys take the hub that shares most in all keys of their own hub, so overlapping ones come together.
-    """
+def _with_hubs(crowded: DataFrame) -> DataFrame:
+    """``crowded(key, fp, m, ...)`` with the ``hub`` of each key: the member that shares most, the middle of a large group."""
     fame = crowded.groupBy("fp").agg(F.sum("m").alias("fame"))
     hubs = crowded.join(fame, "fp").groupBy("key").agg(F.max(F.struct("fame", F.col("fp").alias("hub"))).alias("best"))
-    hubs = cut(hubs, "hubs")
-    if merge:
-        top = crowded.join(hubs, "key").groupBy("fp").agg(F.max("best").alias("top"))
-        hubs = cut(hubs.join(top, F.col("best.hub") == F.col("fp")).select("key", F.col("top").alias("best")), "hubs")
-    return crowded.join(hubs.select("key", "best.hub"), "key")
+    return crowded.join(cut(hubs, "hubs").select("key", "best.hub"), "key")
+
+
+def _segment_buckets(parts: DataFrame) -> DataFrame:
+    """Buckets ``(key, value, main, m)`` over the distinct segments of ``parts(value, fp, n)``; ``m`` counts the rows in a key.
+
+    Equal segments meet before their variants are made, so a large group of near copies is as many rows as it has
+    different segments. A value has at most 33 keys and a key at most 33 values, so the windows over a key stay small.
+    Only keys with a whole segment (``main``) and another row stay.
+    """
+    values = parts.groupBy("value").agg(F.count("*").alias("c"))
+    less = "transform(filter(transform(sequence(0, 31), i -> shiftleft(1L, i)), b -> value & b != 0), b -> value & ~b)"
+    keyed = values.select("value", "c", F.explode(F.expr(f"concat(array(value), {less})")).alias("key"))
+    by_key = Window.partitionBy("key")
+    keyed = keyed.withColumn("main", F.col("key") == F.col("value"))
+    keyed = keyed.withColumns({"m": F.sum("c").over(by_key), "any": F.max("main").over(by_key)})
+    return cut(keyed.where("m > 1 AND any").select("key", "value", "main", "m"), "buckets")
+
+
+def _hub_members(crowded: DataFrame, held: DataFrame) -> DataFrame:
+    """Members ``(key, hub, fp, n)`` of the hubs of large buckets ``crowded(key, value)``, from ``held(value, fp, n, w)``.
+
+    A bucket's hub is the member that shares most (``w``: rows in the crowded keys of a value), the middle of a large
+    group. Keys take the hub that shares most in all keys of their own hub, so overlapping buckets are one group; the
+    group's ``key`` is the hub. All is decided over values; only the last join has a row for each member.
+    """
+    famed = cut(held.withColumn("fame", F.sum("w").over(Window.partitionBy("fp"))).drop("w"), "famed")
+    best = famed.groupBy("value").agg(F.max(F.struct("fame", F.col("fp").alias("hub"))).alias("best"))
+    hubs = crowded.join(best, "value").withColumn("best", F.max("best").over(Window.partitionBy("key")))
+    hubs = cut(hubs.select("value", "best").distinct(), "hubs")
+    own = famed.join(hubs.select(F.col("best.hub").alias("fp")).distinct(), "fp")
+    top = own.join(hubs, "value").groupBy("fp").agg(F.max("best").alias("top"))
+    pairs = hubs.join(top, F.col("best.hub") == F.col("fp")).select("value", F.col("top.hub").alias("hub")).distinct()
+    pairs = cut(pairs, "hubs")
+    members = cut(famed.join(pairs, "value").select(F.col("hub").alias("key"), "hub", "fp", "n").distinct(), "members")
+    for old in (famed, hubs, pairs):
+        release(old)
+    return members
 
 
 def _inner_pairs(groups: DataFrame, similarity: float) -> DataFrame:
@@ -276,21 +307,19 @@ def _inner_pairs(groups: DataFrame, similarity: float) -> DataFrame:
     return pairs.select(F.least("x", "fp").alias("src"), F.greatest("x", "fp").alias("dst"))
 
 
-def _link_sets(buckets: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links ``(src, dst)`` whose components are those of all alike pairs that share a bucket of ``buckets``.
+def _link_sets(small: DataFrame, members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links ``(src, dst)`` whose components are those of all alike pairs that share a bucket.
 
-    ``buckets(key, fp, n, main, m)``; ``sets(fp, shingles)``. Small buckets verify all pairs. The members of a larger
-    one (a large group of near copies) are verified against one of them, its hub. Of those that are not linked to it, a
-    pair that is alike either shares a shingle that the hub has not, and meets again in the smaller bucket of that
-    shingle, or has nothing in common but parts of the hub: then each of both has at least 4 / 9 (at 0.8) of the sum of
-    their sizes in common with it, which hardly any has that is not alike the hub itself. So no group is cut into all
-    pairs and no link is lost. Crowded buckets of shingles are resolved in the same way, with what the hubs so far leave
-    of the sets, which shrinks in every round.
+    ``small(key, fp, n, main)``: buckets of up to ``SMALL_GROUP`` texts, which verify all pairs; ``members(key, hub, fp,
+    n)``: larger ones (a large group of near copies) by their hubs; ``sets(fp, shingles)``. The members of a larger one
+    are verified against one of them, its hub. Of those that are not linked to it, a pair that is alike either shares a
+    shingle that the hub has not, and meets again in the smaller bucket of that shingle, or has nothing in common but
+    parts of the hub: then each of both has at least 4 / 9 (at 0.8) of the sum of their sizes in common with it, which
+    hardly any has that is not alike the hub itself. So no group is cut into all pairs and no link is lost. Crowded
+    buckets of shingles are resolved in the same way, with what the hubs so far leave of the sets, which shrinks in
+    every round.
     """
-    found = [_verified(_all_pairs(buckets.where(F.col("m") <= SMALL_GROUP), similarity), sets, similarity)]
-    crowded = buckets.where(F.col("m") > SMALL_GROUP).select("key", "fp", "n", "m")
-    # Buckets around one hub are one group.
-    members = cut(_with_hubs(crowded, merge=True).select(F.col("hub").alias("key"), "hub", "fp", "n").distinct(), "members")
+    found = [_verified(_all_pairs(small, similarity), sets, similarity)]
     rest = members.join(sets.withColumn("rest", F.col("shingles")), "fp")
     while members.limit(1).count():
         known = sets.join(members.select("hub").distinct(), F.col("fp") == F.col("hub"))
@@ -310,7 +339,7 @@ def _link_sets(buckets: DataFrame, sets: DataFrame, similarity: float) -> DataFr
         pairs = _all_pairs(tokens.where(F.col("m") <= SMALL_GROUP), similarity).unionByName(_inner_pairs(still, similarity))
         found.append(_verified(pairs, sets, similarity))
 
-        crowded = _with_hubs(tokens.where(F.col("m") > SMALL_GROUP), merge=False)
+        crowded = _with_hubs(tokens.where(F.col("m") > SMALL_GROUP))
         members = cut(crowded.select("key", "parent", "hub", "fp", "n"), "members")
         rest = members.join(groups.select(F.col("key").alias("parent"), "fp", "rest"), ["parent", "fp"]).drop("parent").join(sets, "fp")
     return reduce(DataFrame.unionByName, found)
@@ -331,20 +360,22 @@ def near_copy_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -
     one = F.min(F.struct(row_key(F.col("doc_id"), F.col("text_key")).alias("row"), "n", "wide")).alias("one")
     nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("low"), one).select("fp", "low", "one.*"), "nodes")
 
-    plain, less = zip(*[_segment_keys(f"wide[{k}]", k) for k in range(WIDE)], strict=True)
-    keys = [f"transform(concat({', '.join(x)}), k -> struct(k AS key, {main} AS main))" for x, main in ((plain, "true"), (less, "false"))]
-    # A node becomes over a hundred rows, so its small table is spread first.
-    spread = nodes.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
-    keyed = spread.where("n > 0").select("fp", "n", F.explode(F.expr(f"concat({', '.join(keys)})")).alias("k"))
-    buckets = _shared(keyed.select("fp", "n", "k.*"))
-    rows = nodes.join(buckets.select("fp").distinct(), "fp").select("fp", F.col("row").alias("key"))
+    plain = ", ".join(_segment_keys(f"wide[{k}]", k)[0] for k in range(WIDE))
+    parts = nodes.where("n > 0").select(F.explode(F.expr(f"concat({plain})")).alias("value"), "fp", "n")
+    buckets = _segment_buckets(parts)
+    # Written, so that AQE can split a value which very many texts share.
+    shared = cut(buckets.groupBy("value").agg(F.sum(F.when(F.col("m") > SMALL_GROUP, F.col("m"))).alias("w")), "shared")
+    held = cut(parts.join(shared, "value"), "held")
+    small = buckets.where(F.col("m") <= SMALL_GROUP).join(held, "value").select("key", "fp", "n", "main")
+    members = _hub_members(buckets.where(F.col("m") > SMALL_GROUP).select("key", "value"), held.where("w IS NOT NULL"))
+    rows = nodes.join(held.select("fp").distinct(), "fp").select("fp", F.col("row").alias("key"))
     texts = docs.select(row_key(F.col("doc_id"), text_key(F.col("text"))).alias("key"), "text")
     texts = texts.join(rows.hint("shuffle_hash"), "key").dropDuplicates(["fp"])
     sets = cut(texts.select("fp", _shingles(F.col("text"), width).alias("shingles")), "sets")
-    links = _link_sets(buckets, sets, similarity)
+    links = _link_sets(small, members, sets, similarity)
     named = _name_groups(marked, nodes.select("fp", "low"), links)  # the links are components now
-    release(buckets)
-    release(sets)
+    for old in (buckets, shared, held, members, sets):
+        release(old)
     return named
 
 
