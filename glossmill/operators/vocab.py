@@ -69,6 +69,89 @@ def pairwise_distance(vectors: DataFrame, metric: str = "cosine", blocks: int |
     return sent.groupBy("i", "j").applyInPandas(run, "a string, b string, distance double")
 
 
+#: Most cells of :func:`nearest_classes`; their centres are the only vectors that pass through the driver.
+MOST_CELLS = 1_024
+
+
+def needed_cells(centers: np.ndarray, radius: np.ndarray, bound: np.ndarray) -> list[list[int]]:
+    """For each cell the cells that may hold something within its ``bound``, by the triangle inequality."""
+    apart = np.stack([np.linalg.norm(centers - c, axis=1) for c in centers])
+    least = apart - radius[:, None] - radius[None]
+    return [np.flatnonzero(row <= b + 1e-8).tolist() for row, b in zip(least, bound, strict=True)]
+
+
+def nearest_classes(vectors: DataFrame, k: int = 5, cells: int | None = None) -> DataFrame:
+    """The ``k`` nearest other classes of each class of ``vectors(gloss, vec)``: ``(gloss, rank, other, distance)``.
+
+    Euclidean distance, ties (to nine places) by name; of unit vectors that is the order of the cosine. Glosses are
+    distinct, vectors of one length without nulls. Fewer than ``k`` others are all there are; an empty table gives no row.
+
+    Each class goes to the nearest of some centres (the first classes by MD5 of the name). The k nearest inside its own
+    block bound how far a class has to look, so of two cells further apart than their radii and that bound nothing is
+    compared. The rest are pairs of blocks of at most about ``ONE_BLOCK`` classes; a crowded cell is several blocks. The
+    result is always that of all pairs. What passes through the driver is a row for each cell, ``MOST_CELLS`` at most.
+    """
+    spark = vectors.sparkSession
+    rows = vectors.select("gloss", F.transform("vec", lambda x: x.cast("double")).alias("vec"))
+    if cells is None:
+        cells = -(-rows.count() // ONE_BLOCK)
+    some = rows.orderBy(F.md5("gloss"), "gloss").limit(min(max(cells, 1), MOST_CELLS)).collect()
+    if not some:
+        return rows.select("gloss", F.lit(1).alias("rank"), F.col("gloss").alias("other"), F.lit(0.0).alias("distance"))
+    centers = np.array([r.vec for r in some])
+
+    def place(batches):
+        for pdf in batches:
+            if len(pdf):
+                d = np.stack([np.linalg.norm(centers - np.asarray(v), axis=1) for v in pdf["vec"]])
+                yield pdf.assign(cell=d.argmin(1), far=d.min(1))
+
+    placed = written(rows.mapInPandas(place, "gloss string, vec array<double>, cell int, far double"), "placed")
+    stats = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()
+    radius, parts = np.full(len(centers), -np.inf), [0] * len(centers)
+    for r in stats:
+        radius[r.cell], parts[r.cell] = r.far, -(-r.n // ONE_BLOCK)
+    sizes = F.array(*map(F.lit, parts))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("gloss"), F.get(sizes, F.col("cell"))).cast("int"))
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values("gloss")
+        names, x, y = right["gloss"].to_numpy(), np.stack(left["vec"].to_numpy()), np.stack(right["vec"].to_numpy())
+        out = []
+        for cell, name, v in zip(left["cell"], left["gloss"], x, strict=True):
+            d = np.linalg.norm(y - v, axis=1)
+            order = np.argsort(np.round(d, 9), kind="stable")[: k + 1]
+            out += [(cell, name, names[i], d[i]) for i in [i for i in order if names[i] != name][:k]]
+        return pd.DataFrame(out, columns=["cell", "gloss", "other", "distance"])
+
+    found = "cell int, gloss string, other string, distance double"
+    own = written(placed.groupBy("cell", "part").applyInPandas(lambda pdf: best(pdf, pdf), found), "own")
+    # A class with fewer than k others in its block has to look everywhere.
+    each = own.groupBy("cell", "gloss").agg(F.count("*").alias("n"), F.max("distance").alias("d"))
+    full = {r.cell: r for r in each.where(F.col("n") == k).groupBy("cell").agg(F.count("*").alias("n"), F.max("d").alias("d")).collect()}
+    bound = np.array([-np.inf] * len(centers))
+    for r in stats:
+        bound[r.cell] = full[r.cell].d if r.cell in full and full[r.cell].n == r.n else np.inf
+    need = needed_cells(centers, radius, bound)
+    both = [(i, j) for i, to in enumerate(need) for j in to if parts[i] and parts[j]]
+    table = spark.createDataFrame(both or [(-1, -1)], "i int, j int")  # MOST_CELLS ** 2 rows at most
+    each_part = lambda c: F.explode(F.sequence(F.lit(0), F.get(sizes, F.col(c)) - 1))
+    out = table.groupBy("i").agg(F.collect_list("j").alias("js"))
+    left = placed.join(out, placed["cell"] == out["i"]).withColumn("j", F.explode("js")).withColumn("q", each_part("j"))
+    left = left.where("i != j OR part != q").select("i", F.col("part").alias("p"), "j", "q", "cell", *[F.col(c).alias(c) for c in ("gloss", "vec")])
+    back = table.groupBy("j").agg(F.collect_list("i").alias("is"))
+    right = placed.join(back, placed["cell"] == back["j"]).withColumn("i", F.explode("is")).withColumn("p", each_part("i"))
+    right = right.where("i != j OR p != part").select("i", "p", "j", F.col("part").alias("q"), *[F.col(c).alias(c) for c in ("gloss", "vec")])
+
+    def across(some: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        return best(some, others) if len(some) and len(others) else pd.DataFrame({c.split()[0]: [] for c in found.split(", ")})
+
+    keys = ["i", "p", "j", "q"]
+    near = own.unionByName(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(across, found))
+    order = Window.partitionBy("gloss").orderBy(F.round("distance", 9), "other")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("gloss", "rank", "other", "distance")
+
+
 def standardized(vectors: DataFrame, heavy: tuple[int, int] | None = None, weight: float = 2.0) -> DataFrame:
     """``vectors(gloss, vec)`` with each dimension brought to mean 0 and spread 1 over the classes.
 

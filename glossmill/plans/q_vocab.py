@@ -50,6 +50,16 @@ def pairwise_weighted(spark, sf_dir):
     return rounded(O.pairwise_distance(O.standardized(_centroids(spark, sf_dir), (30, 60)), "euclidean", blocks=2), "distance")
 
 
+@query(
+    "nearest_classes",
+    f"""WITH {_CENT}, d AS (SELECT p.gloss, q.gloss AS other, list_distance(p.vec, q.vec) AS distance FROM cents p JOIN cents q ON p.gloss <> q.gloss),
+r AS (SELECT *, row_number() OVER (PARTITION BY gloss ORDER BY round(distance, 9), other) AS rank FROM d)
+SELECT gloss, CAST(rank AS INT) AS rank, other, round(distance, 6) AS distance FROM r WHERE rank <= 5""",
+)
+def nearest_classes(spark, sf_dir):
+    return rounded(O.nearest_classes(_centroids(spark, sf_dir), 5, cells=4), "distance")
+
+
 _SOFT = """s AS (SELECT vec_id, label, [CAST(x AS DOUBLE) * 20 for x in embedding] AS z FROM embeddings), x AS (SELECT *, [exp(v - list_max(z)) for v in z] AS e FROM s),
 soft AS (SELECT vec_id, label, [v / list_sum(e) for v in e] AS p FROM x)"""
 
