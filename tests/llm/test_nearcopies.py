@@ -124,3 +124,27 @@ def test_odd_rows(spark):
     kept = simhash.drop_near_copies(docs)
     assert kept.columns == docs.columns and sorted((r.doc_id, r["_key"]) for r in kept.collect()) == [(4, 2), (6, 3), (8, 6), (9, 7)]
     assert simhash.near_copy_groups(docs).count() == 8 and simhash.drop_near_copies(docs.limit(0)).count() == 0
+
+
+def test_segment_buckets_count_texts(spark):
+    """Buckets over distinct segments hold and count what buckets of texts hold: whole segments and those less one set bit."""
+    draw = random.Random(4)
+    base = [draw.getrandbits(32) for _ in range(3)]
+    rows = []
+    for fp in range(200):
+        for number in range(3):
+            value = base[number]
+            for _ in range(draw.choice((0, 0, 1, 2))):
+                value ^= 1 << draw.randrange(32)
+            rows.append((number << 32 | (draw.getrandbits(32) if fp % 4 == 0 else value), fp, 9))
+    keys = {}
+    for value, fp, _ in rows:
+        for key in [value] + [value & ~(1 << b) for b in range(32) if value >> b & 1]:
+            keys.setdefault(key, []).append((value, fp))
+    want = {(k, v, k == v, len(x)) for k, x in keys.items() if len(x) > 1 and any(v == k for v, _ in x) for v, _ in x}
+    got = simhash._segment_buckets(spark.createDataFrame(rows, "value long, fp long, n int")).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and max(m for *_, m in want) > 16
+    per_key = {}
+    for key, value, *_ in want:
+        per_key.setdefault(key, set()).add(value)
+    assert max(map(len, per_key.values())) <= 33
