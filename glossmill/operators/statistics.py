@@ -24,11 +24,12 @@ def sums_below(counts: DataFrame, value: str, by: list[str], sums: list[str], ra
 
     ``value`` is distinct inside each group of ``by``. Each group's values are cut at their approximate quantiles into
     ``ranges`` ranges of about as many rows each, however they are spread; the bounds only place rows, so the sums are
-    exact. The running sum inside a range is shifted by the totals of the ranges before it. ``counts`` is computed once
-    and written; bounds, totals and sums start from the files.
+    exact. The running sum inside a range is shifted by the totals of the ranges before it. ``counts`` and bounds are
+    computed once and written; totals and sums start from the files.
     """
     counts = written(counts, "counts")
     cuts = counts.groupBy(*by).agg(F.percentile_approx(value, [k / ranges for k in range(1, ranges)], 100 * ranges).alias("_cuts"))
+    cuts = written(cuts, "cuts")  # sketches depend on the order they are merged in, so a second run may have other bounds
     placed = counts.join(cuts, by) if by else counts.join(F.broadcast(cuts))  # without groups the bounds are one row
     placed = placed.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     ahead = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
