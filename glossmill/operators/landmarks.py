@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
@@ -336,6 +337,28 @@ def augment(
     return x
 
 
+#: Bytes of coordinates that a task has made before it hands them on.
+MADE_BYTES = 4 << 20
+
+
+def _clip_array(clip: pa.ListScalar) -> np.ndarray:
+    """A clip's coordinates of shape (frames, points, coordinates); a null is NaN."""
+    frames = clip.values
+    points = frames.flatten()
+    values = points.flatten().to_numpy(zero_copy_only=False)
+    per_frame = len(points) // max(len(frames), 1)
+    return values.reshape(len(frames), per_frame, len(values) // max(len(points), 1))
+
+
+def _clip_lists(clips: list[np.ndarray]) -> pa.ListArray:
+    """Clips as lists of frames of points; NaN is a null."""
+    values = pa.array(np.concatenate([x.ravel() for x in clips]), pa.float64(), from_pandas=True)
+    for axis in (2, 1, 0):
+        sizes = np.concatenate([np.full(math.prod(x.shape[:axis]), x.shape[axis]) for x in clips])
+        values = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), values)
+    return values
+
+
 def augment_clips(
     clips: DataFrame, plan: DataFrame, parts: int | None = None, body: tuple[int, int] = BODY, hands: tuple[tuple[int, int], ...] = HANDS,
     spread: bool = True,
@@ -349,20 +372,24 @@ def augment_clips(
     """
 
     def run(batches):
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                x = np.array([[np.asarray(p, float) for p in frame] for frame in row.clip])
-                draw = np.random.default_rng(abs(int(row.seed)))
-                made = augment(x, row.technique, draw, int(row.aug_id), body, hands)
-                out.append((row.clip_id, row.aug_id, row.technique, made.tolist()))
-            yield pd.DataFrame(out, columns=["clip_id", "aug_id", "technique", "clip"])
+        for batch in batches:
+            seeds, numbers, techniques = (batch.column(c).to_pylist() for c in ("seed", "aug_id", "technique"))
+            made, start, size = [], 0, 0
+            for i, (seed, number, technique) in enumerate(zip(seeds, numbers, techniques, strict=True)):
+                draw = np.random.default_rng(abs(seed))
+                made.append(augment(_clip_array(batch.column("clip")[i]), technique, draw, number, body, hands))
+                size += made[-1].nbytes
+                if size >= MADE_BYTES or i + 1 == batch.num_rows:
+                    own = [batch.column(c).slice(start, len(made)) for c in ("clip_id", "aug_id", "technique")]
+                    yield pa.RecordBatch.from_arrays([*own, _clip_lists(made)], ["clip_id", "aug_id", "technique", "clip"])
+                    made, start, size = [], i + 1, 0
 
     rows = clips.join(plan, "clip_id").withColumn("seed", F.xxhash64("clip_id", "aug_id"))
     if spread:
         rows = rows.repartition(parts, "clip_id", "aug_id") if parts else rows.repartition("clip_id", "aug_id")
     kind = dict(plan.dtypes)["aug_id"]
-    return rows.mapInPandas(run, f"clip_id {dict(clips.dtypes)['clip_id']}, aug_id {kind}, technique string, clip array<array<array<double>>>")
+    rows = rows.select("clip_id", "aug_id", "technique", "seed", F.col("clip").cast("array<array<array<double>>>").alias("clip"))
+    return rows.mapInArrow(run, f"clip_id {dict(clips.dtypes)['clip_id']}, aug_id {kind}, technique string, clip array<array<array<double>>>")
 
 
 def concat_with_rest(parts: DataFrame, hold: int) -> DataFrame:
