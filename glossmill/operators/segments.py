@@ -9,7 +9,8 @@ from __future__ import annotations
 import bisect
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
@@ -172,6 +173,11 @@ def merge_intervals(intervals: DataFrame, gap_ms: int = 300) -> DataFrame:
 WALK_ROWS = 50_000
 
 
+def _listed(column: pa.Array) -> list:
+    """An Arrow column as a list; much faster than asking for each value by itself where none is null."""
+    return column.to_pylist() if column.null_count else column.to_numpy(zero_copy_only=False).tolist()
+
+
 def walk(rows: DataFrame, key: str, order: list[str], step: Walk, schema: str, block_rows: int = WALK_ROWS) -> DataFrame:
     """A walk over the rows of each ``key`` in ``order``, for rules in which what was decided before matters.
 
@@ -182,56 +188,79 @@ def walk(rows: DataFrame, key: str, order: list[str], step: Walk, schema: str, b
     Rows are range-partitioned, so a key with very many of them is walked in many tasks. A block first starts without a
     state; blocks are walked again with what the block before really left, until no block's end changes any more. Rules
     that cut now and then forget what was before the cut, so this takes two or three rounds; the result is always that of
-    one walk. Between rounds there is one row for each block.
+    one walk. Between rounds there is one row for each block. A task streams its blocks in order and holds one Arrow batch.
     """
     blocks = max(1, -(-rows.count() // block_rows))
-    columns = [c for c in rows.columns if c != key]
-    placed = rows.repartitionByRange(blocks, key, *order).withColumn("_block", F.spark_partition_id())
-    packed = F.array_sort(F.collect_list(F.struct(key, *order, *[c for c in columns if c not in order])))
-    lists = written(placed.groupBy("_block").agg(packed.alias("rows")), "blocks")
-    last = lists.agg(F.max("_block")).first()[0]
-    names = [key, *order, *[c for c in columns if c not in order]]
+    names = [key, *order, *[c for c in rows.columns if c not in (key, *order)]]
+    placed = rows.select(*names).repartitionByRange(blocks, key, *order).withColumn("_block", F.spark_partition_id())
+    placed = written(placed, "blocks")
+    last = placed.agg(F.max("_block")).first()[0]
+    spark = rows.sparkSession
+    kind = rows.schema[key].dataType.simpleString()
+    ends_schema = f"_block int, {key} {kind}, _state array<long>"
+    arrow = {s: spark.createDataFrame([], s).toArrow().schema for s in (schema, ends_schema)}
 
     def over(put_out: bool):
+        shape = arrow[schema if put_out else ends_schema]
+
+        def frame(done: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*done, strict=True) if done else [()] * len(shape)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, shape, strict=True)], schema=shape)
+
+        def end(block: int, now: tuple | None) -> list[tuple]:
+            if not put_out:
+                return [(block, *now)]
+            return step(now[1], now[0], None)[1] if block == last and now is not None else []
+
         def run(batches):
-            for pdf in batches:
-                for block, some, held, state in zip(pdf["_block"], pdf["rows"], pdf["key"], pdf["state"], strict=True):
-                    now = None if state is None else (held, [int(x) for x in state])
-                    done: list[tuple] = []
-                    columns = {c: [r[c] for r in some] for c in names}
-                    keys, start = columns.pop(key), 0
-                    while start < len(keys):
-                        end = bisect.bisect_right(keys, keys[start], start)
-                        if now is not None and now[0] != keys[start]:
-                            done += step(now[1], now[0], None)[1]
-                            now = None
-                        after, out = step(now and now[1], keys[start], {c: v[start:end] for c, v in columns.items()})
-                        done += out
-                        now, start = (keys[start], after), end
-                    if block == last and now is not None:
-                        done += step(now[1], now[0], None)[1]
-                    if put_out:
-                        yield pd.DataFrame(done, columns=out_names)
-                    else:
-                        yield pd.DataFrame({"_block": [block], "key": [now[0]], "state": [now[1]]})
+            block, now = None, None  # the block that is walked; the key it is at and the state there
+            entered: dict[int, tuple] = {}
+            for batch in batches:
+                done: list[tuple] = []
+                plain = pc.is_null(batch.column("_state"))
+                for row in batch.filter(pc.invert(plain)).to_pylist():
+                    entered[row["_block"]] = row[key], row["_state"]
+                columns = {c: _listed(x) for c, x in zip(batch.schema.names, batch.filter(plain).columns, strict=True) if c != "_state"}
+                at, keys, start = columns.pop("_block"), columns.pop(key), 0
+                while start < len(at):
+                    if at[start] != block:
+                        if block is not None:
+                            done += end(block, now)
+                        block, now = at[start], entered.pop(at[start], None)
+                    stop = bisect.bisect_right(keys, keys[start], start, bisect.bisect_right(at, block, start))
+                    if now is not None and now[0] != keys[start]:
+                        out = step(now[1], now[0], None)[1]
+                        done += out if put_out else []
+                        now = None
+                    after, out = step(now and now[1], keys[start], {c: v[start:stop] for c, v in columns.items()})
+                    done += out if put_out else []
+                    now, start = (keys[start], after), stop
+                yield frame(done)
+            if block is not None:
+                yield frame(end(block, now))
 
         return run
 
-    out_names = [c.split()[0] for c in schema.split(", ")]
-    kind = rows.schema[key].dataType.simpleString()
-    ends_schema = f"_block int, key {kind}, state array<long>"
-    spark = rows.sparkSession
-    entries = spark.createDataFrame([], ends_schema)
+    def walked(entries: DataFrame | None, put_out: bool) -> DataFrame:
+        """One round; what the block before left comes ahead of a block's rows."""
+        given = placed.withColumn("_state", F.lit(None).cast("array<long>"))
+        if entries is not None:
+            given = given.unionByName(entries.where("_state IS NOT NULL"), allowMissingColumns=True)
+        given = given.repartition("_block").sortWithinPartitions("_block", F.col("_state").isNull(), key, *order)
+        return given.mapInArrow(run_of[put_out], schema if put_out else ends_schema)
+
+    run_of = {x: over(x) for x in (False, True)}
+    entries = None
     while blocks > 1 and last is not None:
-        given = lists.join(entries, "_block", "left")
-        ends = written(given.select("_block", "rows", "key", "state").mapInPandas(over(False), ends_schema), "ends")
+        ends = written(walked(entries, False), "ends")
         before = Window.orderBy("_block")
-        after = written(ends.select("_block", F.lag("key").over(before).alias("key"), F.lag("state").over(before).alias("state")), "entries")
-        same = after.join(entries.toDF("_block", "k", "s"), "_block", "left").where("key IS DISTINCT FROM k OR state IS DISTINCT FROM s")
+        after = written(ends.select("_block", F.lag(key).over(before).alias(key), F.lag("_state").over(before).alias("_state")), "entries")
+        known = after.where("false") if entries is None else entries
+        changed = after.join(known.toDF("_block", "_k", "_s"), "_block", "left").where(~F.col(key).eqNullSafe(F.col("_k")) | ~F.col("_state").eqNullSafe(F.col("_s")))
         entries = after
-        if same.isEmpty():
+        if changed.isEmpty():
             break
-    return lists.join(entries, "_block", "left").select("_block", "rows", "key", "state").mapInPandas(over(True), schema)
+    return walked(entries, True)
 
 
 def merge_short_intervals(intervals: DataFrame, gap_ms: int = 500, short_ms: int = 1000, block_rows: int = WALK_ROWS) -> DataFrame:
