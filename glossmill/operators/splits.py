@@ -103,17 +103,30 @@ def simple_split(videos: DataFrame, train: float = 0.7, val: float = 0.15, seed:
 
 def leaky_split(clips: DataFrame, train: float = 0.7, val: float = 0.15, seed: str = "42") -> DataFrame:
     """The control experiment: clips are dealt one by one, whatever family they are of."""
-    cls = Window.partitionBy("gloss")
-    order = shuffled(seed, F.col("clip_id"))
-    rows = clips.withColumn("rn", F.row_number().over(cls.orderBy(order, "clip_id"))).withColumn("n", F.count("*").over(cls))
+    rows = _dealt(clips, seed)
     a, b = (F.col("n") * train).cast("int"), (F.col("n") * val).cast("int")
     return rows.withColumn("split", F.when(F.col("rn") <= a, "train").when(F.col("rn") <= a + b, "val").otherwise("test")).drop("rn", "n")
 
 
-def random_stratified_split(clips: DataFrame, train: float = 0.8, seed: str = "42") -> DataFrame:
-    cls = Window.partitionBy("gloss")
+def _dealt(clips: DataFrame, seed: str) -> DataFrame:
+    """``clips`` with their place ``rn`` in the shuffled order of their class and its size ``n``.
+
+    A class is cut by the first three digits of the hash that orders it into up to 4,096 even ranges, whose totals are
+    summed up first, so no task orders a whole class.
+    """
     order = shuffled(seed, F.col("clip_id"))
-    rows = clips.withColumn("rn", F.row_number().over(cls.orderBy(order, "clip_id"))).withColumn("n", F.count("*").over(cls))
+    rows = clips.withColumn("_order", order).withColumn("_range", F.substring("_order", 1, 3)).withColumn("_class", F.struct("gloss"))
+    counts = rows.groupBy("_class", "_range").agg(F.count("*").alias("_in"))
+    cls = Window.partitionBy("_class")
+    ahead = cls.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_class", "_range", F.coalesce(F.sum("_in").over(ahead), F.lit(0)).alias("_before"), F.sum("_in").over(cls).alias("n"))
+    inside = Window.partitionBy("_class", "_range").orderBy("_order", "clip_id")
+    placed = rows.withColumn("_rn", F.row_number().over(inside)).join(counts, ["_class", "_range"])
+    return placed.withColumn("rn", F.col("_rn") + F.col("_before")).select(*clips.columns, "rn", "n")
+
+
+def random_stratified_split(clips: DataFrame, train: float = 0.8, seed: str = "42") -> DataFrame:
+    rows = _dealt(clips, seed)
     return rows.withColumn("split", F.when(F.col("rn") <= F.bround(F.col("n") * train), "train").otherwise("val")).drop("rn", "n")
 
 
@@ -124,10 +137,13 @@ def assign(clips: DataFrame, fams: DataFrame) -> DataFrame:
 
 def leaky_overlap(assigned: DataFrame) -> DataFrame:
     """Families in two splits, and their share of the smaller-named split's families."""
-    keys = assigned.select("split", "gloss", "video_id").distinct()
-    sizes = keys.groupBy(F.col("split").alias("a")).agg(F.count("*").alias("families"))
-    one, two = keys.withColumnRenamed("split", "a"), keys.withColumnRenamed("split", "b")
-    both = one.join(two, ["gloss", "video_id"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    known = ["gloss", "video_id"]  # rows with a null key meet no other, but count as a family
+    of = assigned.groupBy(*known).agg(F.collect_set("split").alias("splits"))
+    of = of.groupBy("splits", F.col("gloss").isNotNull() & F.col("video_id").isNotNull()).agg(F.count("*").alias("n")).toDF("splits", "joins", "n")
+    of = written(of, "families")  # a row for each set of splits
+    sizes = of.select("n", F.explode("splits").alias("a")).groupBy("a").agg(F.sum("n").alias("families"))
+    one = of.where("joins").withColumn("a", F.explode("splits"))
+    both = one.select("n", "a", F.explode("splits").alias("b")).where("a < b").groupBy("a", "b").agg(F.sum("n").alias("shared"))
     return both.join(sizes, "a").select("a", "b", "shared", (F.col("shared") / F.col("families") * 100).alias("share"))
 
 
