@@ -30,8 +30,9 @@ def euclidean(a: Column, b: Column) -> Column:
 
 def softmax(scores: Column) -> Column:
     """Softmax, with the maximum taken off first."""
-    shifted = F.transform(scores, lambda x: F.exp(x.cast("double") - F.array_max(scores).cast("double")))
-    return F.transform(shifted, lambda x: x / total(shifted))
+    once = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731 - names a value, else each entry computes it anew
+    shifted = once(F.array_max(scores).cast("double"), lambda top: F.transform(scores, lambda x: F.exp(x.cast("double") - top)))
+    return once(shifted, lambda e: once(total(e), lambda s: F.transform(e, lambda x: x / s)))
 
 
 def entropy(p: Column) -> Column:

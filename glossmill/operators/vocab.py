@@ -171,6 +171,7 @@ def standardized(vectors: DataFrame, heavy: tuple[int, int] | None = None, weigh
 
 def entropy_distinctiveness(scores: DataFrame) -> DataFrame:
     """From ``scores(gloss, p)``, a distribution for each clip: mean distribution's entropy and mean confidence, blended."""
+    scores = written(scores.select("gloss", "p"), "scores")  # once: explode would compute a distribution for each entry
     conf = scores.groupBy("gloss").agg(F.avg(F.array_max("p")).alias("confidence"))
     each = scores.select("gloss", F.posexplode("p").alias("i", "x")).groupBy("gloss", "i").agg(F.avg("x").alias("x"))
     spread = each.groupBy("gloss").agg((-F.sum(F.col("x") * F.log(F.col("x") + 1e-10)) / F.log(F.count("*").cast("double"))).alias("entropy"))
