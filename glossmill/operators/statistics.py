@@ -326,15 +326,14 @@ def ablation(df: DataFrame, components: list[str]) -> DataFrame:
     ``cohens_d`` is that of run 'model' over 'baseline'; ``loss`` what leaving the component out costs.
     """
     variants = {"full": components, **{f"without_{c}": [x for x in components if x != c] for c in components}}
-    means = [(sum(F.col(c) for c in kept) / len(kept)).alias(v) for v, kept in variants.items()]
-    long = df.select("entry_id", "run", *means).unpivot(["entry_id", "run"], list(variants), "variant", "score")
-    both = long.groupBy("entry_id", "variant").agg(
-        F.max(F.when(F.col("run") == "model", F.col("score"))).alias("m"), F.max(F.when(F.col("run") == "baseline", F.col("score"))).alias("b")
-    )
-    diff = F.col("m") - F.col("b")
-    out = both.groupBy("variant").agg((F.avg(diff) / F.stddev_samp(diff)).alias("cohens_d"))
-    full = out.where("variant = 'full'").select(F.col("cohens_d").alias("full_d"))
-    return out.join(F.broadcast(full)).select("variant", "cohens_d", (F.col("full_d") - F.col("cohens_d")).alias("loss"))
+    means = {v: sum(F.col(c) for c in kept) / len(kept) for v, kept in variants.items()}
+    of = lambda run: [F.max(F.when(F.col("run") == run, x)).alias(f"{run}_{v}") for v, x in means.items()]
+    both = df.groupBy("entry_id").agg(*of("model"), *of("baseline"))
+    diff = {v: F.col(f"model_{v}") - F.col(f"baseline_{v}") for v in variants}
+    one = both.agg(*[(F.avg(d) / F.stddev_samp(d)).alias(v) for v, d in diff.items()])
+    rows = F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), F.col(v).alias("cohens_d")) for v in variants])).alias("row")
+    out = one.select("full", rows).select("full", "row.*")
+    return out.select("variant", "cohens_d", (F.col("full") - F.col("cohens_d")).alias("loss"))
 
 
 def pca_weights(df: DataFrame, columns: list[str]) -> pd.DataFrame:
