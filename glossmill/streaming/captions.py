@@ -12,10 +12,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from glossmill.streaming import buckets as B
+
 # Words that end a caption.
 QUESTION_WORDS = ("WHAT", "WHERE", "WHEN", "WHO", "WHY", "HOW", "WHICH")
 END_WORDS = ("FINISH", "DONE", "END", "BYE", "THANK-YOU")
@@ -185,44 +188,55 @@ def _batch(events: DataFrame, make, until: datetime.datetime | None) -> DataFram
     return _timed(rows.mapInPandas(run, f"session_id string, {schema}"))
 
 
-def _stream(events: DataFrame, make, watermark: str) -> DataFrame:
-    """The same walk with the buffer as state of the session.
+def _stream(events: DataFrame, make, watermark: str, buckets: int) -> DataFrame:
+    """The same walk with the buffers as state.
 
     Events wait in the state until the watermark has passed them, so they are walked in order of time whatever order
     they come in; a timer brings the next moment at which an event or a silence counts. A session that is over leaves no
-    state. A task holds a session's events of one micro-batch and those that wait; the reader's ``maxFilesPerTrigger`` or
-    ``maxBytesPerTrigger`` bounds the former, the watermark's delay the latter.
+    state. A call walks the sessions of one of ``buckets`` buckets: it holds their events of one micro-batch and those
+    that wait; the reader's ``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` bounds the former, the watermark's delay the
+    latter.
     """
-    schema, kept = make().ROWS, make().STATE
+    schema, kept = make().ROWS, ["session_id", *(column.split()[0] for column in make().STATE.split(", "))]
+    columns = ["session_id", "t", "event_id", "gloss", "confidence"]
 
     def run(key, batches, state):
-        buffer, waiting, out = make(), [], []
+        buffers, frames, out = {}, [], []
         if state.exists:
-            *saved, times, ids, glosses, confidences = state.get
-            buffer.load(*saved)
-            waiting = list(zip(times, ids, glosses, confidences, strict=True))
+            saved, left = state.get
+            for session, *values in zip(*B.unpack(saved).to_pydict().values(), strict=True) if saved else ():
+                buffers[session] = make()
+                buffers[session].load(*values)
+            frames = B.unpack_rows(left)
         if not state.hasTimedOut:
-            for pdf in batches:
-                waiting += zip(pdf["t"].tolist(), pdf["event_id"].tolist(), pdf["gloss"], pdf["confidence"].tolist(), strict=True)
-        passed = state.getCurrentWatermarkMs()
-        waiting.sort(key=lambda event: event[:2])
-        ready = [event for event in waiting if _micros(event[0]) <= passed * 1000]
-        waiting = waiting[len(ready) :]
-        for t, _, gloss, confidence in ready:
-            out += buffer.word(t, gloss, confidence)
-        out += buffer.silence(passed / 1000)
-        if waiting or not buffer.over(passed / 1000):
-            state.update((*buffer.save(), *([event[k] for event in waiting] for k in range(4))))
-            due = min([buffer.due(), *(event[0] for event in waiting[:1])]) if buffer.last_word else waiting[0][0]
-            state.setTimeoutTimestamp(max(math.ceil(due * 1000), passed + 1))
+            frames += [pdf[columns] for pdf in batches]
+        passed, waiting, first = state.getCurrentWatermarkMs(), None, {}
+        if frames:
+            rows, _ = B.in_order(frames)
+            ready = (rows["t"] * 1e6).round() <= passed * 1000
+            waiting = rows[~ready]
+            for session, t, _, gloss, confidence in zip(*(rows.loc[ready, c].tolist() for c in columns), strict=True):
+                if session not in buffers:
+                    buffers[session] = make()
+                out += [(session, *row) for row in buffers[session].word(t, gloss, confidence)]
+            head = waiting.drop_duplicates("session_id")
+            first = dict(zip(head["session_id"], head["t"].tolist(), strict=True))
+        for session, buffer in buffers.items():
+            out += [(session, *row) for row in buffer.silence(passed / 1000)]
+        live = {session: buffer for session, buffer in buffers.items() if not buffer.over(passed / 1000)}
+        if live or first:
+            saved = zip(*((session, *buffer.save()) for session, buffer in live.items()), strict=True)
+            saved = B.pack(pa.table(dict(zip(kept, map(list, saved), strict=True)))) if live else None
+            state.update((saved, B.pack_rows(waiting) if first else None))
+            due = min([*(buffer.due() for buffer in live.values()), *first.values()])
+            state.setTimeoutTimestamp(max(math.ceil(due * 1000) - 1, passed, 1))  # comes when the watermark is beyond it
         else:
             state.remove()
-        if out:
-            yield _frame([(key[0], *row) for row in out], schema)
+        yield from (_frame(part, schema) for part in B.parts(out))
 
     rows = _events(events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark))
-    waits = "times array<double>, ids array<long>, glosses array<string>, confs array<double>"
-    return _timed(rows.groupBy("session_id").applyInPandasWithState(run, f"session_id string, {schema}", f"{kept}, {waits}", "append", "EventTimeTimeout"))
+    grouped = B.bucketed(rows, buckets)
+    return _timed(grouped.applyInPandasWithState(run, f"session_id string, {schema}", "sessions binary, waiting binary", "append", "EventTimeTimeout"))
 
 
 def trigger_captions(events: DataFrame, until: datetime.datetime | None = None, **settings) -> DataFrame:
@@ -234,12 +248,12 @@ def trigger_captions(events: DataFrame, until: datetime.datetime | None = None,
     return _batch(events, lambda: TriggerBuffer(**settings), until)
 
 
-def trigger_caption_stream(events: DataFrame, watermark: str = "10 seconds", **settings) -> DataFrame:
+def trigger_caption_stream(events: DataFrame, watermark: str = "10 seconds", buckets: int = B.BUCKETS, **settings) -> DataFrame:
     """Captions of a stream of events; those of :func:`trigger_captions` up to the watermark, in any order of arrival.
 
     Rows later than the watermark are dropped.
     """
-    return _stream(events, lambda: TriggerBuffer(**settings), watermark)
+    return _stream(events, lambda: TriggerBuffer(**settings), watermark, buckets)
 
 
 def count_batches(events: DataFrame, n: int = 3, gap: float = 2.0, until: datetime.datetime | None = None, session_end: float = 1800.0) -> DataFrame:
@@ -247,9 +261,11 @@ def count_batches(events: DataFrame, n: int = 3, gap: float = 2.0, until: dateti
     return _batch(events, lambda: CountBuffer(n, gap, session_end), until)
 
 
-def count_batch_stream(events: DataFrame, watermark: str = "10 seconds", n: int = 3, gap: float = 2.0, session_end: float = 1800.0) -> DataFrame:
+def count_batch_stream(
+    events: DataFrame, watermark: str = "10 seconds", n: int = 3, gap: float = 2.0, session_end: float = 1800.0, buckets: int = B.BUCKETS
+) -> DataFrame:
     """Emissions of :func:`count_batches` from a stream; the rest comes when the watermark ends the session."""
-    return _stream(events, lambda: CountBuffer(n, gap, session_end), watermark)
+    return _stream(events, lambda: CountBuffer(n, gap, session_end), watermark, buckets)
 
 
 def session_captions(events: DataFrame, pause: str = "1800 milliseconds") -> DataFrame:
