@@ -19,6 +19,12 @@ from glossmill.functions.text import ctqi_v3
 from glossmill.sources.scratch import written
 
 
+def _cuts_below(value: Column, ranges: int) -> Column:
+    """How many of the sorted ``_cuts``, fewer than ``ranges``, are below the value: found by halves, not one by one."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range((ranges - 1).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(F.get("_cuts", at + step - 1) < value, step).otherwise(0))
+
+
 def sums_below(counts: DataFrame, value: str, by: list[str], sums: list[str], ranges: int = 128) -> DataFrame:
     """``counts(*by, value, *sums)`` with the totals of each of ``sums`` over all smaller values, as ``below_<name>``.
 
@@ -31,7 +37,7 @@ def sums_below(counts: DataFrame, value: str, by: list[str], sums: list[str], ra
     cuts = counts.groupBy(*by).agg(F.percentile_approx(value, [k / ranges for k in range(1, ranges)], 100 * ranges).alias("_cuts"))
     cuts = written(cuts, "cuts")  # sketches depend on the order they are merged in, so a second run may have other bounds
     placed = counts.join(cuts, by) if by else counts.join(F.broadcast(cuts))  # without groups the bounds are one row
-    placed = placed.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    placed = placed.withColumn("_range", _cuts_below(F.col(value), ranges)).drop("_cuts")
     ahead = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = placed.groupBy(*by, "_range").agg(*[F.sum(n).alias(f"_{n}") for n in sums])
     shift = totals.select(*by, "_range", *[F.coalesce(F.sum(f"_{n}").over(ahead), F.lit(0)).alias(f"_{n}") for n in sums])
@@ -63,7 +69,7 @@ def percentiles(df: DataFrame, value: str, probs: list[float], by: list[str] | N
     cuts = cuts.select(*by, F.when(F.col("_c") > 0, F.kll_sketch_get_quantile_double("_sketch", at)).alias("_cuts"))
     cuts = written(cuts, "cuts")  # sketches draw at random, so a second run would have other bounds
     placed = counts.join(cuts, by) if by else counts.join(F.broadcast(cuts))  # without groups the bounds are one row
-    placed = placed.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_x")))).drop("_cuts")
+    placed = placed.withColumn("_range", _cuts_below(F.col("_x"), ranges)).drop("_cuts")
 
     totals = placed.groupBy(*by, "_range").agg(F.sum("_n").alias("_in"))
     group = Window.partitionBy(*by)
@@ -189,8 +195,8 @@ def power_sample_size(stats: DataFrame, power: float = 0.8) -> DataFrame:
 def correlations(df: DataFrame, human: str, metrics: list[str]) -> DataFrame:
     """Pearson and Spearman correlation of each metric with the human score: ``(metric, pearson, spearman, strength)``.
 
-    Spearman's is Pearson's of average ranks. Rows are counted by their pair of values and written once; the ranks of
-    both sides come from these counts in one pass, and are joined back to the pairs.
+    Spearman's is Pearson's of average ranks. Rows are counted by their pair of values and written once. Ranks, means and
+    squares of both sides come from the counts of single values; only the products go back to the pairs.
     """
     long = df.unpivot([human], metrics, "metric", "score").where(F.col("score").isNotNull() & F.col(human).isNotNull())
     score, other = F.col("score").cast("double").alias("a"), F.col(human).cast("double").alias("b")
@@ -198,29 +204,28 @@ def correlations(df: DataFrame, human: str, metrics: list[str]) -> DataFrame:
     sides = pairs.select("metric", "n", F.explode(F.array(*[F.struct(F.lit(x).alias("side"), F.col(x).alias("v")) for x in "ab"])).alias("s"))
     counts = sides.groupBy("metric", "s.side", "s.v").agg(F.sum("n").alias("n"))
     ranked = sums_below(counts, "v", ["metric", "side"], ["n"]).withColumn("rank", F.col("below_n") + (F.col("n") + 1) / 2)
-    ranked = written(ranked.select("metric", "side", "v", "rank"), "ranks")
-    for x in "ab":
-        side = ranked.where(F.col("side") == x).select("metric", F.col("v").alias(x), F.col("rank").alias(f"r{x}"))
-        pairs = pairs.join(side, ["metric", x])
-    return _weighted_correlations(pairs)
+    return _rank_correlations(pairs, written(ranked.select("metric", "side", "v", "n", "rank"), "ranks"))
 
 
-def _weighted_correlations(pairs: DataFrame) -> DataFrame:
-    """Correlations of ``(a, b)`` and of ``(ra, rb)`` for each metric; a row counts ``n`` times.
+def _rank_correlations(pairs: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Correlations of the values and of the ranks of ``pairs(metric, a, b, n)``; ``ranked`` has the values of each side.
 
-    Deviations from the means are summed, not squares of large numbers; the means are a row for each metric.
+    Deviations from the means are summed, not squares of large numbers; the means are a row for each metric and side.
+    A pair meets the ranks of its ``a``, and what is summed by ``b`` meets the ranks of ``b``.
     """
-    n, of = F.col("n"), ("a", "b", "ra", "rb")
-    means = pairs.groupBy("metric").agg(*[(F.sum(F.col(x) * n) / F.sum(n)).alias(f"m{x}") for x in of])
-    rows = pairs.join(means, "metric").select("metric", "n", *[(F.col(x) - F.col(f"m{x}")).alias(x) for x in of])
-
-    def corr(x: str, y: str) -> Column:
-        dots = [F.sum(F.col(p) * F.col(q) * n) for p, q in ((x, y), (x, x), (y, y))]
-        return F.when((dots[1] > 0) & (dots[2] > 0), dots[0] / F.sqrt(dots[1] * dots[2]))
-
+    n = F.col("n")
+    means = ranked.groupBy("metric", "side").agg(*[(F.sum(F.col(x) * n) / F.sum(n)).alias(f"m{x}") for x in ("v", "rank")])
+    off = ranked.join(means, ["metric", "side"]).select("metric", "side", "v", "n", (F.col("v") - F.col("mv")).alias("d"), (F.col("rank") - F.col("mrank")).alias("r"))
+    off = written(off, "deviations")
+    of = lambda x: off.where(F.col("side") == x).select("metric", F.col("v").alias(x), F.col("d").alias(f"d{x}"), F.col("r").alias(f"r{x}"))
+    by_b = pairs.join(of("a"), ["metric", "a"]).groupBy("metric", "b").agg(F.sum(F.col("da") * n).alias("da"), F.sum(F.col("ra") * n).alias("ra"))
+    products = by_b.join(of("b"), ["metric", "b"]).groupBy("metric").agg(*[F.sum(F.col(f"{x}a") * F.col(f"{x}b")).alias(f"{x}ab") for x in "dr"])
+    square = lambda x, side: F.sum(F.when(F.col("side") == side, F.col(x) * F.col(x) * n)).alias(f"{x}{side}{side}")
+    squares = off.groupBy("metric").agg(*[square(x, side) for x in "dr" for side in "ab"])
+    corr = lambda x: F.when((F.col(f"{x}aa") > 0) & (F.col(f"{x}bb") > 0), F.col(f"{x}ab") / F.sqrt(F.col(f"{x}aa") * F.col(f"{x}bb")))
     r = F.abs("pearson")
     strength = F.when(r >= 0.9, "very strong").when(r >= 0.7, "strong").when(r >= 0.5, "moderate").when(r >= 0.3, "weak").otherwise("none")
-    return rows.groupBy("metric").agg(corr("a", "b").alias("pearson"), corr("ra", "rb").alias("spearman")).withColumn("strength", strength)
+    return products.join(squares, "metric").select("metric", corr("d").alias("pearson"), corr("r").alias("spearman")).withColumn("strength", strength)
 
 
 def human_scores(ratings: DataFrame) -> DataFrame:

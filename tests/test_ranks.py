@@ -34,3 +34,26 @@ def test_half_cents_of_wilcoxon_as_in_sql(spark, tmp_path):
     (got,) = registry.queries()["wilcoxon"](spark, str(tmp_path)).collect()
     want = con.sql(registry.oracle_sql()["wilcoxon"])
     assert [got[c] for c in want.columns] == list(want.fetchall()[0])
+
+
+def test_cuts_are_found_by_halves(spark):
+    cuts = [[], [1.0], [1.0, 1.0, 2.0], [float(k // 3) for k in range(127)], [float(k) for k in range(255)]]
+    values = [-1.0, 0.0, 0.5, 1.0, 1.5, 2.0, 41.0, 42.0, 63.5, 254.0, 300.0, float("nan")]
+    rows = spark.createDataFrame([(c, v) for c in cuts for v in values], "_cuts array<double>, v double")
+    for ranges, n in ((128, 127), (256, 255)):
+        some = rows.where(F.size("_cuts") <= n).withColumn("got", S._cuts_below(F.col("v"), ranges))
+        assert some.where("got <> size(filter(_cuts, c -> c < v)) OR got IS NULL").count() == 0
+
+
+def test_correlations_meet_the_pairs_once(spark):
+    """Means and squares come from the values of each side, so the plan reads and joins the pairs once."""
+    rows = spark.range(500).selectExpr("CAST(id % 23 AS DOUBLE) AS human", "CAST(id % 7 AS DOUBLE) AS x", "CAST(id * 31 % 90 AS DOUBLE) AS y", "1.0D AS same")
+    out = S.correlations(rows, "human", ["x", "y", "same"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation" in line and "a#" in line and "b#" in line for line in plan.splitlines()) == 1
+    got = {r.metric: (r.pearson, r.spearman, r.strength) for r in out.collect()}
+    pdf = rows.toPandas()
+    for name in ("x", "y"):
+        assert abs(got[name][0] - pdf["human"].corr(pdf[name])) < 1e-9
+        assert abs(got[name][1] - pdf["human"].rank().corr(pdf[name].rank())) < 1e-9
+    assert got["same"] == (None, None, "none")
