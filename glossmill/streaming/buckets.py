@@ -2,7 +2,7 @@
 
 A call for each session costs more than its few rows. A bucket is a fixed share of the sessions by the hash of their
 name, so a call sorts and walks the rows of many, and the state is one value of packed columns. The number of buckets
-bounds what a call holds and stays the same for the life of a checkpoint.
+bounds what a call holds and stays the same for the life of a checkpoint. A task has one core, so packing starts no threads.
 """
 
 from __future__ import annotations
@@ -25,21 +25,21 @@ def bucketed(rows: DataFrame, buckets: int, session: Column | str = "session_id"
 
 def pack(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4", use_threads=False)) as writer:
         writer.write_table(table)
     return sink.getvalue().to_pybytes()
 
 
 def unpack(packed: bytes) -> pa.Table:
-    return pa.ipc.open_stream(pa.py_buffer(packed)).read_all()
+    return pa.ipc.open_stream(pa.py_buffer(packed), options=pa.ipc.IpcReadOptions(use_threads=False)).read_all()
 
 
 def pack_rows(rows: pd.DataFrame) -> bytes | None:
-    return pack(pa.Table.from_pandas(rows, preserve_index=False)) if len(rows) else None
+    return pack(pa.Table.from_pandas(rows, preserve_index=False, nthreads=1)) if len(rows) else None
 
 
 def unpack_rows(packed: bytes | None) -> list[pd.DataFrame]:
-    return [] if packed is None else [unpack(packed).to_pandas()]
+    return [] if packed is None else [unpack(packed).to_pandas(use_threads=False)]
 
 
 def in_order(frames: list[pd.DataFrame]) -> tuple[pd.DataFrame, np.ndarray]:
