@@ -78,3 +78,19 @@ def test_runs_of_long_sessions(spark, tmp_path, n):
     got = spark.read.schema(out.schema).parquet(f"{tmp_path}/out")
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
     assert got.count() > 900 and got.agg(F.max(F.size("glosses"))).first()[0] >= (n or 2 * X.RUN)
+
+
+def test_odd_latencies(spark, tmp_path):
+    """Latencies that are no number or infinite, and sums whose order shows, come out as from a table; null ones do not."""
+    schema = "session_id string, event_id long, ts timestamp, latency double"
+    odd = [1e308, 1e308, -1e308, 0.1, 0.2, 0.3, 1e16, 1.0, -0.0, float("inf"), 2.0, float("-inf"), 3.0, float("nan"), None, 4.0, 5.0, 6.0, 7.0]
+    rows = [("a", k, START + datetime.timedelta(seconds=k), v) for k, v in enumerate(odd)]
+    rows += [("b", 50, START, float("nan")), ("c", 51, START, None), ("d", 52, START, -0.0), ("z", 99, START + datetime.timedelta(seconds=9000), 1.0)]
+    table = spark.createDataFrame(rows, schema)
+    table.coalesce(1).write.parquet(f"{tmp_path}/in")
+    out = X.latency_means(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), 3, watermark="60 seconds", buckets=2)
+    with X.rocksdb(spark):
+        C.run_available(out, f"{tmp_path}/out")
+    want = X.latency_means(table, 3, until=START + datetime.timedelta(seconds=9000 - 60)).collect()
+    got = spark.read.schema(out.schema).parquet(f"{tmp_path}/out").collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(got) == len(odd) - 1 + 2
